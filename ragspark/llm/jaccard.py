@@ -1,8 +1,9 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A document is its set of distinct 3-word shingles (64-bit hashes). Shingles have two classes, rare
-and frequent, by a count of all documents' shingles in a fixed number of buckets; the global order
-is rare first, then by hash. Let x be a set of n shingles, t the threshold, a = n - ceil(t n) the
+A document is its set of distinct 3-word shingles (64-bit hashes). All documents' shingles are
+counted in a fixed number of buckets; a bucket's level grows with its count, and the top level's
+shingles are the frequent class, the others the rare one. The global order is by level, then by
+hash, so prefixes hold the rarest. Let x be a set of n shingles, t the threshold, a = n - ceil(t n) the
 most shingles of x that a partner can miss, and D = floor(n (1 - t) / t) the most that the two can
 differ by in all. The signatures of x come from a prefix of its order:
 
@@ -17,7 +18,10 @@ equal set links. So no link is lost, whatever the classes; they only make shared
 
 Documents with equal sets are one before signatures are compared. A signature's sets are compared
 with its smallest one; what that links is joined, and only sets in different components that still
-share a signature are compared in pairs. So a group of copies costs a comparison a copy.
+share a signature are compared in pairs. So a group of copies costs a comparison a copy. Before
+two sets meet, their sizes and parity maps must allow it: bit i of a map is the parity of the
+shingles that hash to i, so each shingle that only one set has changes one bit at most, and two maps
+that differ in more bits than the sets may differ in shingles are of sets that do not link.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ from .components import components
 
 #: Buckets travel in so many blocks.
 BLOCKS = 64
+#: Bits of a parity map, and the level of the frequent class.
+PARITY = 1024
+TOP = 255
 
 
 @dataclass
@@ -66,17 +73,24 @@ def allowed(n: int, least: int) -> tuple[int, int]:
     return n - -(-n * least // 100), n * (100 - least) // least
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, least: int) -> np.ndarray:
-    """`frequent`: by bucket, the leading bits of a shingle."""
+def signatures(s: np.ndarray, levels: np.ndarray, least: int) -> np.ndarray:
+    """Of a sorted set; `levels`: by bucket, the leading bits of a shingle."""
     miss, differ = allowed(len(s), least)
     if not differ:
         return s[:0]
-    often = frequent[s >> np.uint64(64 - int(np.log2(len(frequent))))]
-    rare = s[~often]
-    if len(rare) > miss:
-        return rare[: miss + 1]
-    f = s[often][: 2 * (differ - len(rare)) + 2]
-    return np.concatenate([rare, mix(mix(f[:-1]) + f[1:])])
+    level = levels[s >> np.uint64(64 - int(np.log2(len(levels))))]
+    often = level == TOP
+    rare = int(len(s) - often.sum())
+    if rare > miss:
+        return s[np.argsort(level, kind="stable")[: miss + 1]]
+    f = s[often][: 2 * (differ - rare) + 2]
+    return np.concatenate([s[~often], mix(mix(f[:-1]) + f[1:])])
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """The set's parity map as signed longs."""
+    odd = np.bincount((mix(s) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def block_rows(counts: np.ndarray, names=("block", "counts")) -> pa.RecordBatch:
@@ -86,8 +100,8 @@ def block_rows(counts: np.ndarray, names=("block", "counts")) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for b in some], pa.binary())], names=list(names))
 
 
-def summed(rows: DataFrame, bits: int, test: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The blocks' sums, tested where they are summed; the driver gets 2**bits bits."""
+def summed(rows: DataFrame, bits: int, level: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The blocks' sums, made levels (bytes) where they are summed; the driver gets 2**bits bytes."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -95,11 +109,11 @@ def summed(rows: DataFrame, bits: int, test: Callable[[np.ndarray], np.ndarray])
             for b, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 total[b] = total.get(b, 0) + np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(test(x)).tobytes() for x in total.values()], pa.binary())], names=["block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([level(x).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], names=["block", "levels"])
 
-    out = np.zeros((BLOCKS, (1 << bits) // BLOCKS), bool)
-    for r in rows.repartition(BLOCKS, "block").mapInArrow(add, "block int, bits binary").toLocalIterator():
-        out[r.block] = np.unpackbits(np.frombuffer(r.bits, np.uint8))
+    out = np.zeros((BLOCKS, (1 << bits) // BLOCKS), np.uint8)
+    for r in rows.repartition(BLOCKS, "block").mapInArrow(add, "block int, levels binary").collect():
+        out[r.block] = np.frombuffer(r.levels, np.uint8)
     return out.ravel()
 
 
@@ -111,39 +125,39 @@ class Join:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("id_hash"), "text")
 
     def read(self) -> DataFrame:
-        """doc_id, id_hash, n, set_key of every document; and, by the way, the shingles' classes."""
+        """doc_id, id_hash, n, set_key, parity of every document; and, by the way, the shingles' levels."""
         s = self.settings
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["doc_id", "id_hash", "n", "set_key", "block", "counts"]
+            names = ["doc_id", "id_hash", "n", "set_key", "parity", "block", "counts"]
             counts, known = np.zeros(1 << s.bits, np.uint32), set()
             for batch in batches:
                 for part in slices(batch):
-                    sizes, keys = [], []
+                    sizes, keys, maps = [], [], []
                     for x in text_sets(part, s.words):
                         sizes.append(len(x))
                         keys.append(set_key(x))
+                        maps.append(parity(x))
                         if keys[-1] not in known:
                             known.add(keys[-1])
-                            some, times = np.unique(x >> np.uint64(64 - s.bits), return_counts=True)
-                            counts[some] += times.astype(np.uint32)
+                            np.add.at(counts, (x >> np.uint64(64 - s.bits)).view(np.int64), np.uint32(1))
                     blank = part.num_rows
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(blank, pa.int32()), pa.nulls(blank, pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.nulls(blank, pa.int32()), pa.nulls(blank, pa.binary())], names=names)
             rows = block_rows(counts)
             n = rows.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [rows.column(0), rows.column(1)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.nulls(n, pa.list_(pa.int64())), rows.column(0), rows.column(1)], names=names)
 
-        both = self.scratch.save(self.docs.mapInArrow(each, "doc_id long, id_hash long, n long, set_key long, block int, counts binary"), "read")
-        sets = both.filter("block is null").select("doc_id", "id_hash", "n", "set_key")
+        both = self.scratch.save(self.docs.mapInArrow(each, "doc_id long, id_hash long, n long, set_key long, parity array<long>, block int, counts binary"), "read")
+        sets = both.filter("block is null").select("doc_id", "id_hash", "n", "set_key", "parity")
         total = sets.groupBy("set_key").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
         mean = total / (1 << s.bits)
         limit = mean + 8 * mean**0.5 + 8
-        self.frequent = summed(both.filter("block is not null").select("block", "counts"), s.bits, lambda x: x > limit)
+        self.levels = summed(both.filter("block is not null").select("block", "counts"), s.bits, lambda x: np.minimum(TOP, x * TOP / limit))
         return sets
 
     def postings(self) -> DataFrame:
         """signature, set_key: of each document (equal sets of one batch once)."""
-        s, frequent = self.settings, self.spark.sparkContext.broadcast(self.frequent)
+        s, levels = self.settings, self.spark.sparkContext.broadcast(self.levels)  # 2**bits bytes
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: set[int] = set()
@@ -154,7 +168,7 @@ class Join:
                         key = set_key(x)
                         if key not in known:
                             known.add(key)
-                            found.append(signatures(x, frequent.value, s.least))
+                            found.append(signatures(x, levels.value, s.least))
                             keys.append(np.full(len(found[-1]), key, np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys))], names=["signature", "set_key"])
 
@@ -171,7 +185,7 @@ class Join:
                 counts[batch.column("id_hash").to_numpy().view(np.uint64) >> np.uint64(64 - s.id_bits)] = 1
             yield block_rows(counts)
 
-        here = self.spark.sparkContext.broadcast(summed(one.select("id_hash").mapInArrow(mark, "block int, counts binary"), s.id_bits, lambda x: x > 0))
+        here = self.spark.sparkContext.broadcast(summed(one.select("id_hash").mapInArrow(mark, "block int, counts binary"), s.id_bits, lambda x: x > 0) > 0)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: set[int] = set()
@@ -190,6 +204,17 @@ class Join:
         found = self.docs.select("id_hash", "text").mapInArrow(each, "set_key long, shingles array<long>")
         return found.join(one.select("set_key"), "set_key", "left_semi").groupBy("set_key").agg(F.min_by("shingles", F.size("shingles")).alias("shingles"))
 
+    def possible(self, pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """The pairs (a, b) that sizes and parity maps allow; facts: set_key, n, parity."""
+        p = pairs
+        for k in "ab":
+            p = p.join(facts.select(F.col("set_key").alias(k), F.col("n").alias(f"_n{k}"), F.col("parity").alias(f"_p{k}")), k)
+        least, both = self.settings.least, F.col("_na") + F.col("_nb")
+        apart = F.aggregate(F.zip_with("_pa", "_pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        like = (100 * F.col("_na") >= least * F.col("_nb")) & (100 * F.col("_nb") >= least * F.col("_na"))
+        # shared >= least (na + nb) / (100 + least), and the sets differ in na + nb - 2 shared.
+        return p.filter(like & (apart * (100 + least) <= both * (100 - least))).select("a", "b")
+
     def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose Jaccard similarity reaches the threshold."""
         ends = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
@@ -210,18 +235,18 @@ class Join:
         # A third of all sets may have one signature: its side of the join can be split.
         live = scratch.save(posted.join(live, "signature").distinct(), "live")
         scratch.drop("postings")
+        facts = scratch.save(sets.groupBy("set_key").agg(F.max("n").alias("n"), F.min("parity").alias("parity")), "facts")
         stars = scratch.save(live.filter("set_key <> first").select(F.col("first").alias("a"), F.col("set_key").alias("b")).distinct(), "stars")
-        links = self.verified(stars, sets, "star")
+        links = self.verified(scratch.save(self.possible(stars, facts), "near"), sets, "star")
         of = scratch.save(components(links, scratch, "star-cc"), "star-of")
         placed = live.join(of.withColumnRenamed("node", "set_key"), "set_key", "left").select("signature", "set_key", F.coalesce("component", "set_key").alias("component"))
         torn = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("signature")
-        size = sets.groupBy("set_key").agg(F.max("n").alias("n"))
-        left = scratch.save(placed.join(torn, "signature", "left_semi").join(size, "set_key"), "left")
+        left = scratch.save(placed.join(torn, "signature", "left_semi").join(facts.select("set_key", "n"), "set_key"), "left")
         x, y = (left.select("signature", *[F.col(c).alias(f"{c}_{k}") for c in ("set_key", "component", "n")]) for k in "xy")
         apart = (F.col("set_key_x") < F.col("set_key_y")) & (F.col("component_x") != F.col("component_y"))
         like = (100 * F.col("n_x") >= least * F.col("n_y")) & (100 * F.col("n_y") >= least * F.col("n_x"))
         more = x.join(y, "signature").filter(apart & like).select(F.col("set_key_x").alias("a"), F.col("set_key_y").alias("b")).distinct()
-        more = scratch.save(more.join(stars, ["a", "b"], "left_anti"), "more")
+        more = scratch.save(self.possible(more.join(stars, ["a", "b"], "left_anti"), facts), "more")
         scratch.drop("live", "left")
         if not more.isEmpty():
             both = links.unionByName(self.verified(more, sets, "rest"))
