@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import arrow_out, slices, text_column, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a worker remembers, by most recent batch of words.
-CACHE = 400_000
-LETTERS_AND_STOP = re.compile(r"([^\W\d_]+)([.,;:!?])")
+#: Words whose ids a worker remembers; then it begins anew.
+CACHE = 800_000
+#: Signs that the tokenizer parts from letters before them.
+STOPS = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -42,50 +45,61 @@ class Settings:
 class Encoder:
     """Ids of texts through ids of words: the tokenizer drops white space and merges nothing across it.
 
-    Words are encoded once a batch and remembered. A word of letters and one stop is the two
-    tokenized apart (the tokenizer's own split). Words that hold `<|` keep their case, since the
-    special tokens' names are matched before lower-casing.
+    A word's ids are kept as the bytes of 16-bit numbers. A word of letters and one stop is the two
+    tokenized apart (the tokenizer's own split), so it is not kept itself. Words that hold `<|` are
+    not taken from here, since the special tokens' names are matched before lower-casing.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        parts = [(m[1], m[2]) if (m := LETTERS_AND_STOP.fullmatch(w)) else (w,) for w in words]
-        new = sorted({p for ps in parts for p in ps if p not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = sorted({p for ps in parts for p in ps})
+        self.stops = {c: self.encoded([c])[0] for c in STOPS}
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        known, stops = self.known, self.stops
+        out = [known.get(w) for w in words]
+        missing = [i for i, x in enumerate(out) if x is None]
+        stem = {i: w[:-1] for i in missing if (w := words[i])[-1] in stops and w[:-1].isalpha()}
+        new = sorted({stem.get(i) or words[i] for i in missing} - known.keys())
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = sorted({stem.get(i) or words[i] for i in missing})
         for i in range(0, len(new), 50_000):
             batch = new[i : i + 50_000]
-            self.known |= {w: tuple(e.ids) for w, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True)}
-        known = self.known
-        return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts]
+            known.update(zip(batch, self.encoded(batch), strict=True))
+        for i in missing:
+            out[i] = known[stem[i]] + stops[words[i][-1]] if i in stem else known[words[i]]
+        return out
 
 
 def encode(texts: pa.Array, encoder: Encoder) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each text its ids (uint16 or uint32), and its distinct words' hashes as index terms."""
-    special = [bool(t) and "<|" in t for t in texts.to_pylist()]
+    """Of each text its ids (16 bits, or 32 if any is larger), and its distinct words' hashes as index terms."""
+    special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_pylist()
     words, codes, ends = words_of(texts)
     listed = words.to_pylist()
     ids = encoder.words(listed)
-    sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+    flat = np.frombuffer(b"".join(ids), np.uint16)
     begin = np.cumsum(sizes) - sizes
-    hashes = np.fromiter((zlib.crc32(w.encode()) for w in listed), np.uint32, len(listed))
+    hashes = np.fromiter(map(zlib.crc32, map(str.encode, listed)), np.uint32, len(listed))
+    counts = sizes[codes]
+    upto = np.append(0, np.cumsum(counts))
+    stream = flat[np.arange(int(upto[-1])) + np.repeat(begin[codes] - upto[:-1], counts)]
     out, terms = [], []
     for i in range(len(texts)):
-        c = codes[ends[i] : ends[i + 1]]
+        a, b = ends[i], ends[i + 1]
         if special[i]:
             out.append(np.asarray([x for w in re.split(r"[\x20\x09-\x0D]+", texts[i].as_py()) if w for x in encoder.tokenizer.encode(w, add_special_tokens=False).ids], np.uint32))
         else:
-            n = sizes[c]
-            total = int(n.sum())
-            at = np.arange(total) + np.repeat(begin[c] - (np.cumsum(n) - n), n)
-            out.append(flat[at])
-        terms.append(np.unique(hashes[c]))
+            out.append(stream[upto[a] : upto[b]])
+        c = np.sort(codes[a:b])
+        first = np.ones(len(c), bool)
+        first[1:] = c[1:] != c[:-1]
+        terms.append(hashes[c[first]])
     return out, terms
 
 
