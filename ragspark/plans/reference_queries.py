@@ -1,9 +1,561 @@
-"""The registered queries of the retrieval engine."""
+"""The registered queries of the retrieval engine, each with DuckDB SQL where that can express it."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ..functions import identifiers as ident
+from ..functions import text as tx
+from ..functions import vectors as vec
+from ..operators import evaluation as ev
+from ..operators import experiments, facets, ner, retrieval, storage
+from ..operators import filters as flt
+from ..operators.chunking import chunk_documents
+from ..operators.ivf import IvfIndex, suggested_lists
+from ..plug import prompt_context
+from ..sources import parsing
+from .derived import MODEL, SQL, Tables
+
+_FOUND: dict[str, tuple[Callable, str | None]] = {}
+QUERY = "the of and"
+
+
+def query(sql: str | None = None):
+    """Registers a function of Tables under its name; `sql` may use derived.SQL's tables."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        text = None
+        if sql is not None:
+            more = sql.lstrip()
+            text = f"WITH {SQL}{', ' + more[5:] if more.startswith('WITH ') else more}"
+        _FOUND[f.__name__] = (f, text)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for n, (f, _) in _FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: s for n, (_, s) in _FOUND.items() if s}
+
+
+# --- SQL pieces -------------------------------------------------------------------------------
+
+Q0 = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
+TERMS = "list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w <> '')"
+SIM = f"scored AS (SELECT *, round(list_cosine_similarity(embedding, {Q0}), 6) AS similarity FROM chunks WHERE embedding_model = '{MODEL}')"
+NEAR30 = f"{SIM}, v AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, chunk_id) AS vector_rank FROM scored QUALIFY vector_rank <= 30)"
+
+
+def _text_sql(terms: tuple[str, ...]) -> str:
+    test = " AND ".join(f"list_contains(w, '{t}')" for t in terms)
+    listed = ", ".join(f"'{t}'" for t in terms)
+    return f"""worded AS (SELECT *, {TERMS} AS w FROM chunks WHERE embedding_model = '{MODEL}'),
+      t AS (SELECT *, round(CAST(len(list_filter(w, lambda x: x IN ({listed}))) AS DOUBLE) / len(w), 6) AS text_score, row_number() OVER (ORDER BY round(CAST(len(list_filter(w, lambda x: x IN ({listed}))) AS DOUBLE) / len(w), 6) DESC, chunk_id) AS text_rank
+        FROM worded WHERE {test} QUALIFY text_rank <= 30),
+      vt AS (SELECT chunk_id, coalesce(v.doc_id, t.doc_id) AS doc_id, coalesce(v.section_name, t.section_name) AS section_name, coalesce(similarity, 0) AS similarity, text_score, vector_rank, text_rank FROM v FULL JOIN t USING (chunk_id))"""
+
+
+T = _text_sql(("the", "of", "and"))
+NONE = _text_sql(("zzzzqqq",))
+COUNTS = "mc AS (SELECT doc_id, section_name, count(*) AS mention_count, list_sort(list(DISTINCT label)) AS entity_types FROM mentions WHERE section_name IS NOT NULL GROUP BY ALL)"
+NER = "least(1.0::DOUBLE, ln(1 + coalesce(mention_count, 0)) / ln(11.0::DOUBLE))"
+RRF = "SELECT chunk_id, doc_id, similarity, text_score, vector_rank, text_rank, round(1.0::DOUBLE / (60.0::DOUBLE + coalesce(vector_rank, 31)) + 1.0::DOUBLE / (60.0::DOUBLE + coalesce(text_rank, 31)), 8) AS final_score FROM vt ORDER BY final_score DESC, chunk_id LIMIT 10"
+NORM = "coalesce(text_score / nullif(max(text_score) OVER (), 0), 0)"
+WEIGHTED = f"SELECT chunk_id, doc_id, similarity, text_score, coalesce(vector_rank, 999999) AS vector_rank, coalesce(text_rank, 999999) AS text_rank, round(0.7::DOUBLE * similarity + 0.3::DOUBLE * {NORM}, 6) AS final_score FROM vt ORDER BY final_score DESC, chunk_id LIMIT 10"
+FULL = f"SELECT chunk_id, doc_id, similarity, text_score, coalesce(vector_rank, 999999) AS vector_rank, coalesce(text_rank, 999999) AS text_rank, coalesce(mention_count, 0) AS mention_count, array_to_string(coalesce(entity_types, []), ',') AS entity_types, round(0.5::DOUBLE * similarity + 0.3::DOUBLE * {NORM} + 0.2::DOUBLE * {NER}, 6) AS final_score FROM vt LEFT JOIN mc USING (doc_id, section_name) ORDER BY final_score DESC, chunk_id LIMIT 10"
+BOOST = f"SELECT chunk_id, doc_id, similarity, coalesce(mention_count, 0) AS mention_count, array_to_string(coalesce(entity_types, []), ',') AS entity_types, round(0.15::DOUBLE * {NER}, 6) AS boost, round(similarity + round(0.15::DOUBLE * {NER}, 6), 6) AS final_score FROM v LEFT JOIN mc USING (doc_id, section_name) ORDER BY final_score DESC, similarity DESC, chunk_id LIMIT 10"
+
+
+def joined(df: DataFrame) -> DataFrame:
+    return df.withColumn("entity_types", F.array_join("entity_types", ","))
+
+
+# --- retrieval --------------------------------------------------------------------------------
+
+
+@query(f"WITH {SIM}, h AS (SELECT * FROM scored ORDER BY similarity DESC, chunk_id LIMIT 10) SELECT chunk_id, doc_id, similarity, similarity AS final_score, chunk_index, title, source, CASE WHEN ext_id LIKE 'pmcid%' THEN upper(regexp_replace(ext_id, '^[a-z]+://', '')) ELSE regexp_replace(ext_id, '^[a-z]+://', '') END AS doc_ref, CAST(year(year) AS INTEGER) AS year, institute AS institution, array_to_string(author, '; ') AS authors, round(1 - similarity, 6) AS distance FROM h JOIN docs USING (doc_id)")
+def vector_topk(t: Tables) -> DataFrame:
+    hits = retrieval.vector_only(t.chunks, t.vector(), 10, MODEL)
+    return retrieval.contexts(hits, t.chunks, t.docs).withColumn("authors", F.array_join("authors", "; ")).drop("text")
+
+
+@query(f"SELECT chunk_id, round(list_distance(embedding, {Q0}), 6) AS distance FROM chunks ORDER BY distance, chunk_id LIMIT 10")
+def l2_topk(t: Tables) -> DataFrame:
+    return retrieval.l2_nearest(t.chunks, t.vector())
+
+
+@query(f"WITH {SIM} SELECT chunk_id, scored.doc_id, similarity, similarity AS final_score FROM scored JOIN docs USING (doc_id) WHERE (lower(author[1]) LIKE '%smith 1%' OR lower(author[2]) LIKE '%smith 1%' OR lower(author[2]) LIKE '%chen 3%') AND year(year) BETWEEN 2005 AND 2020 AND lower(institute) LIKE '%institute en%' AND source IN ('arXiv', 'PubMed Central') ORDER BY similarity DESC, chunk_id LIMIT 10")
+def vector_topk_filtered(t: Tables) -> DataFrame:
+    f = flt.Filters(authors=["Smith 1", "chen 3"], year_min=2005, year_max=2020, institutions=["institute en"], sources=["arXiv", "PubMed Central"])
+    return retrieval.filtered(t.chunks, t.docs, t.vector(), f, 10, MODEL)
+
+
+@query(f"WITH {NEAR30}, {COUNTS} {BOOST}")
+def ner_boost(t: Tables) -> DataFrame:
+    return joined(retrieval.ner_boost(t.chunks, t.mentions, t.vector(), 10, MODEL))
+
+
+@query(f"WITH {NEAR30}, {T} SELECT chunk_id, doc_id, text_score, text_rank FROM t")
+def text_topk(t: Tables) -> DataFrame:
+    hits = retrieval.text_matches(retrieval.of_model(t.chunks, MODEL), QUERY, 30)
+    return retrieval.ranked(hits, "text_score", "text_rank")
+
+
+@query(f"WITH {NEAR30}, {T} {RRF}")
+def hybrid_rrf(t: Tables) -> DataFrame:
+    return retrieval.hybrid_rrf(t.chunks, t.vector(), QUERY, 10, MODEL)
+
+
+@query(f"WITH {NEAR30}, {T} {WEIGHTED}")
+def hybrid_weighted(t: Tables) -> DataFrame:
+    return retrieval.hybrid_weighted(t.chunks, t.vector(), QUERY, 10, MODEL)
+
+
+@query(f"WITH {NEAR30}, {NONE} {WEIGHTED}")
+def hybrid_weighted_no_match(t: Tables) -> DataFrame:
+    return retrieval.hybrid_weighted(t.chunks, t.vector(), "zzzzqqq", 10, MODEL)
+
+
+@query(f"WITH {NEAR30}, {T}, {COUNTS} {FULL}")
+def full_hybrid(t: Tables) -> DataFrame:
+    return joined(retrieval.full_hybrid(t.chunks, t.mentions, t.vector(), QUERY, 10, MODEL))
+
+
+@query(f"WITH {NEAR30}, {T}, {COUNTS}, s1 AS (SELECT chunk_id, similarity AS final_score, similarity FROM scored ORDER BY 2 DESC, 1 LIMIT 10), s2 AS ({BOOST}), s3 AS ({RRF}), s4 AS ({FULL}) SELECT 'ivfflat_only' AS strategy, row_number() OVER (ORDER BY final_score DESC, chunk_id) AS position, chunk_id, final_score FROM s1 UNION ALL SELECT 'ivfflat_ner_boost', row_number() OVER (ORDER BY final_score DESC, similarity DESC, chunk_id), chunk_id, final_score FROM s2 UNION ALL SELECT 'ivfflat_tsvector', row_number() OVER (ORDER BY final_score DESC, chunk_id), chunk_id, final_score FROM s3 UNION ALL SELECT 'ivfflat_ner_tsvector', row_number() OVER (ORDER BY final_score DESC, chunk_id), chunk_id, final_score FROM s4")
+def compare_strategies(t: Tables) -> DataFrame:
+    return retrieval.compare(retrieval.of_model(t.chunks, MODEL), t.mentions, t.vector(), QUERY, 10)
+
+
+@query(f"SELECT vec_id AS mention_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {Q0}), 6) AS similarity FROM embeddings WHERE label = 3 ORDER BY similarity DESC, mention_id LIMIT 10")
+def similar_mentions(t: Tables) -> DataFrame:
+    e = t.raw("embeddings")
+    m = e.select(F.col("vec_id").alias("mention_id"), F.col("vec_id").alias("doc_id"), F.lit("").alias("mention_text"), "label")
+    return retrieval.similar_mentions(m, e.select(F.col("vec_id").alias("mention_id"), "embedding"), t.vector(), 3).select("mention_id", "label", "similarity")
+
+
+@query("WITH q AS (SELECT chunk_id AS query_id, embedding AS e FROM chunks WHERE chunk_id % 20 = 0), s AS (SELECT query_id, chunk_id, round(list_cosine_similarity(embedding, e), 6) AS similarity FROM q, chunks) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10")
+def batch_topk(t: Tables) -> DataFrame:
+    q = t.chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.batch_nearest(t.chunks, q, 10)
+
+
+@query("WITH s AS (SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM chunks a JOIN chunks b ON a.chunk_id <> b.chunk_id AND a.label = b.label WHERE a.label = 1) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5")
+def knn_self(t: Tables) -> DataFrame:
+    return retrieval.self_neighbours(t.chunks.filter("label = 1"), 5)
+
+
+@query(f"WITH {SIM} SELECT chunk_id, doc_id, similarity FROM scored ORDER BY similarity DESC, chunk_id LIMIT 10")
+def ivf_full_probe(t: Tables) -> DataFrame:
+    return _ivf(t, probe_all=True)
+
+
+@query()
+def ivf_topk(t: Tables) -> DataFrame:
+    return _ivf(t, probe_all=False)
+
+
+def _ivf(t: Tables, probe_all: bool) -> DataFrame:
+    import tempfile
+    import uuid
+
+    place = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    n = min(32, suggested_lists(t.chunks.count()))
+    index = IvfIndex.build(t.chunks, f"{place}/ivf-{uuid.uuid4().hex}", n, MODEL)
+    return index.search(t.vector(), 10, n if probe_all else max(1, n // 4))
+
+
+# --- mentions ---------------------------------------------------------------------------------
+
+
+@query("WITH g AS (SELECT label, count(*) AS mentions FROM mentions GROUP BY label UNION ALL SELECT 'all', count(*) FROM mentions) SELECT label, mentions, round(100 * mentions / (SELECT CAST(count(*) AS DOUBLE) FROM mentions), 4) AS percent FROM g")
+def mention_stats(t: Tables) -> DataFrame:
+    return ner.statistics(t.mentions)
+
+
+@query("SELECT doc_id, mention_text, label FROM mentions WHERE doc_id = 42")
+def mentions_for_doc(t: Tables) -> DataFrame:
+    return t.mentions.filter("doc_id = 42").select("doc_id", "mention_text", "label")
+
+
+@query("SELECT doc_id, mention_text FROM mentions WHERE label = 'drug' ORDER BY doc_id DESC, mention_text LIMIT 100")
+def mentions_by_label(t: Tables) -> DataFrame:
+    return t.mentions.filter("label = 'drug'").select("doc_id", "mention_text").orderBy(F.desc("doc_id"), "mention_text").limit(100)
+
+
+@query("SELECT doc_id, label, count(*) AS mentions FROM mentions GROUP BY ALL")
+def label_counts(t: Tables) -> DataFrame:
+    return t.mentions.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+@query("WITH m AS (SELECT doc_id % 50 AS doc_id, doc_id AS chunk_index, upper(mention_text) || ' ' AS mention_text, label, section_name FROM mentions) SELECT doc_id, min(chunk_index) AS chunk_index, lower(trim(mention_text)) AS shown, label, section_name FROM m GROUP BY doc_id, lower(trim(mention_text)), label, section_name")
+def dedup_mentions(t: Tables) -> DataFrame:
+    m = t.mentions.select((F.col("doc_id") % 50).alias("doc_id"), F.col("doc_id").alias("chunk_index"), F.concat(F.upper("mention_text"), F.lit(" ")).alias("mention_text"), "label", "section_name")
+    return ner.dedup(m, "chunk_index").select("doc_id", "chunk_index", F.lower(F.trim("mention_text")).alias("shown"), "label", "section_name")
+
+
+@query()
+def extract_mentions(t: Tables) -> DataFrame:
+    return ner.dedup(ner.extract_mentions(t.chunks, {"stupid": "disease", "license": "drug"}))
+
+
+# --- storage and planning ---------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM ids WHERE id_type = 'doi')")
+def docs_without_doi(t: Tables) -> DataFrame:
+    return storage.docs_without_doi(t.docs, t.ids).select("doc_id")
+
+
+@query("SELECT DISTINCT doc_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM mentions WHERE label = 'drug')")
+def docs_without_mentions(t: Tables) -> DataFrame:
+    return storage.docs_without_mentions(t.chunks, t.mentions.filter("label = 'drug'"))
+
+
+@query("SELECT source_id, source_id NOT IN (SELECT d.source_id FROM docs d JOIN chunks c USING (doc_id) WHERE c.embedding_model = 'other') AS todo FROM docs")
+def docs_needing_update(t: Tables) -> DataFrame:
+    return storage.plan(t.docs.select("source_id"), t.docs, t.chunks, "other")
+
+
+@query("SELECT chunk_id, doc_id FROM chunks WHERE doc_id IN (SELECT doc_id FROM mentions WHERE label = 'disease')")
+def semi_docs_with_mentions(t: Tables) -> DataFrame:
+    return storage.chunks_of_docs_with_mentions(t.chunks, t.mentions.filter("label = 'disease'")).select("chunk_id", "doc_id")
+
+
+@query("SELECT count(DISTINCT CASE WHEN id_type = 'doi' AND id_value NOT LIKE '10.48550/%' THEN doc_id END) AS journal, count(DISTINCT CASE WHEN id_type = 'doi' AND id_value LIKE '10.48550/%' THEN doc_id END) AS arxiv, count(DISTINCT CASE WHEN id_type = 'doi' THEN doc_id END) AS total FROM ids")
+def doi_counts(t: Tables) -> DataFrame:
+    return storage.doi_counts(t.ids)
+
+
+@query("SELECT doc_id FROM docs ORDER BY doc_id DESC LIMIT 100")
+def newest_docs(t: Tables) -> DataFrame:
+    return storage.newest(t.docs, 100)
+
+
+@query("SELECT max(doc_id) AS max_doc_id FROM docs")
+def max_doc_id(t: Tables) -> DataFrame:
+    return storage.high_water_mark(t.docs)
+
+
+@query("SELECT doc_id FROM docs WHERE doc_id > 150")
+def new_since_mark(t: Tables) -> DataFrame:
+    return storage.new_since(t.docs, 150)
+
+
+@query("SELECT doc_id, embedding_model, count(*) AS chunks FROM chunks GROUP BY ALL")
+def chunk_counts_by_model(t: Tables) -> DataFrame:
+    return storage.chunk_counts_by_model(t.chunks)
+
+
+@query("SELECT d.doc_id, count(c.chunk_id) AS chunks FROM docs d LEFT JOIN chunks c USING (doc_id) GROUP BY d.doc_id")
+def chunks_per_doc(t: Tables) -> DataFrame:
+    return storage.chunks_per_doc(t.docs, t.chunks)
+
+
+@query("SELECT count(*) AS total, count(CASE WHEN section_name IS NOT NULL THEN text END) AS with_text FROM chunks")
+def coverage_report(t: Tables) -> DataFrame:
+    return storage.coverage(t.chunks.withColumn("text", F.when(F.col("section_name").isNotNull(), F.col("text"))))
+
+
+@query("""WITH o AS (SELECT doc_id, ext_id, title, institute FROM docs WHERE doc_id % 2 = 0),
+  n AS (SELECT ext_id, CASE WHEN doc_id % 3 <> 0 THEN 'New ' || doc_id END AS title, CAST(NULL AS VARCHAR) AS institute FROM docs WHERE doc_id % 5 = 0)
+  SELECT o.doc_id, ext_id, coalesce(n.title, o.title) AS title, coalesce(n.institute, o.institute) AS institute, o.doc_id IS NULL AS is_new FROM o FULL JOIN n USING (ext_id)""")
+def upsert_documents(t: Tables) -> DataFrame:
+    old = t.docs.filter("doc_id % 2 = 0").select("doc_id", "ext_id", "title", "institute")
+    new = t.docs.filter("doc_id % 5 = 0").select("ext_id", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("New "), F.col("doc_id").cast("string"))).alias("title"), F.lit(None).cast("string").alias("institute"))
+    top = old.agg(F.max("doc_id").alias("top"))
+    up = storage.upsert_documents(old, new).join(F.broadcast(top))
+    return up.select(F.when(F.col("doc_id") <= F.col("top"), F.col("doc_id")).alias("doc_id"), "ext_id", "title", "institute", (F.col("doc_id") > F.col("top")).alias("is_new"))
+
+
+@query("""WITH o AS (SELECT doc_id, chunk_index, 'old' AS text FROM chunks UNION ALL SELECT doc_id, chunk_index + 1, 'old' FROM chunks),
+  n AS (SELECT doc_id, chunk_index, 'new' AS text FROM chunks WHERE doc_id % 3 = 0)
+  SELECT doc_id, chunk_index, text FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id AND n.chunk_index = o.chunk_index) UNION ALL SELECT * FROM n""")
+def upsert_chunks(t: Tables) -> DataFrame:
+    c = t.chunks.select("doc_id", "chunk_index")
+    old = c.withColumn("text", F.lit("old")).unionByName(c.select("doc_id", (F.col("chunk_index") + 1).alias("chunk_index"), F.lit("old").alias("text")))
+    return storage.upsert_chunks(old, c.filter("doc_id % 3 = 0").withColumn("text", F.lit("new")))
+
+
+@query("SELECT chunk_id, doc_id, embedding_model FROM chunks WHERE NOT (embedding_model = 'other' AND doc_id % 4 = 1)")
+def purge_chunks(t: Tables) -> DataFrame:
+    return storage.purge_chunks(t.chunks, t.docs.filter("doc_id % 4 = 1"), "other").select("chunk_id", "doc_id", "embedding_model")
+
+
+@query("""WITH n AS (SELECT doc_id, 'doi' AS id_type, '10.1000/j' || (doc_id - doc_id % 2) AS id_value FROM docs)
+  SELECT doc_id, id_type, id_value FROM ids UNION ALL SELECT min(doc_id), id_type, id_value FROM n WHERE lower(id_value) NOT IN (SELECT lower(id_value) FROM ids WHERE id_type = 'doi') GROUP BY id_type, id_value""")
+def insert_ids_if_absent(t: Tables) -> DataFrame:
+    i = F.col("doc_id")
+    return storage.insert_ids(t.ids, t.docs.select("doc_id", F.lit("doi").alias("id_type"), F.concat(F.lit("10.1000/j"), (i - i % 2).cast("string")).alias("id_value")))
+
+
+# --- facets -----------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT source FROM docs")
+def facet_sources(t: Tables) -> DataFrame:
+    return facets.sources(t.docs)
+
+
+@query("SELECT min(year(year)) AS min_year, max(year(year)) AS max_year FROM docs")
+def facet_years(t: Tables) -> DataFrame:
+    return facets.year_range(t.docs)
+
+
+@query("SELECT count(*) AS document_count FROM docs")
+def facet_count(t: Tables) -> DataFrame:
+    return facets.document_count(t.docs)
+
+
+@query("SELECT name, count(*) AS document_count FROM (SELECT unnest(author) AS name FROM docs) GROUP BY name ORDER BY 2 DESC, 1 LIMIT 20")
+def facet_authors(t: Tables) -> DataFrame:
+    return facets.top_authors(t.docs)
+
+
+@query("SELECT institute AS name, count(*) AS document_count FROM docs WHERE institute IS NOT NULL GROUP BY name ORDER BY 2 DESC, 1 LIMIT 20")
+def facet_institutions(t: Tables) -> DataFrame:
+    return facets.top_institutions(t.docs)
+
+
+# --- text and identifiers ---------------------------------------------------------------------
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),
+  i AS (SELECT doc_id, w, unnest(range(0, len(w), 510)) AS s FROM w)
+  SELECT doc_id, CAST(s // 510 AS INTEGER) AS chunk_index, sha256(array_to_string(w[s + 1 : s + 600], ' ')) AS content_hash, substr(array_to_string(w[s + 1 : s + 600], ' '), 1, 40) AS preview FROM i""")
+def chunk_by_tokens(t: Tables) -> DataFrame:
+    d = t.raw("documents").select("doc_id", F.posexplode(tx.chunk_by_tokens(F.col("text"), 600, 90)).alias("chunk_index", "c"))
+    return d.select("doc_id", "chunk_index", tx.content_hash(F.col("c")).alias("content_hash"), tx.preview(F.col("c"), 40).alias("preview"))
+
+
+@query()
+def sentence_split(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("ordinal", "sentence"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, substr(text, 1, 500) AS preview FROM documents")
+def content_hash(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"), tx.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT chunk_id, 'PMC' || doc_id AS pmcid, chunk_index, 1200 AS chunk_tokens, section_name FROM chunks")
+def chunk_metadata_json(t: Tables) -> DataFrame:
+    j = F.to_json(F.struct(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("pmcid"), "chunk_index", F.lit(1200).alias("chunk_tokens"), "section_name"))
+    m = F.from_json("metadata", "pmcid string, chunk_index int, chunk_tokens int, section_name string")
+    return t.chunks.select("chunk_id", j.alias("metadata")).select("chunk_id", m.alias("m")).select("chunk_id", "m.*")
+
+
+@query(r"SELECT doc_id, lower(regexp_replace(trim('  https://DOI.org/10.1109/ABC' || doc_id || ' '), '(?i)^https?://(dx\.)?doi\.org/', '')) AS doi, '10.48550/arXiv.2401.' || doc_id AS arxiv_doi, '2401.' || doc_id AS arxiv FROM docs")
+def doi_normalize(t: Tables) -> DataFrame:
+    s = F.col("doc_id").cast("string")
+    raw = F.concat(F.lit("arXiv:2401."), s, F.lit("v2"))
+    return t.docs.select("doc_id", ident.doi(F.concat(F.lit("  https://DOI.org/10.1109/ABC"), s, F.lit(" "))).alias("doi"), ident.arxiv_doi(raw).alias("arxiv_doi"), ident.arxiv_id(raw).alias("arxiv"))
+
+
+@query(r"SELECT page_id, lower(regexp_replace(trim(url || '//'), '/+$', '')) AS uri FROM pages")
+def uri_normalize(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", ident.uri(F.concat("url", F.lit("//"))).alias("uri"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'r' || doc_id ELSE substr(md5(title), 1, 16) END AS scholar_id, CASE WHEN doc_id % 5 <> 0 THEN make_date(1990 + doc_id % 30, 1, 1) END AS year, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'A;B' || doc_id END AS authors FROM docs")
+def scholar_fields(t: Tables) -> DataFrame:
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    summary = F.when(i % 5 != 0, F.concat(F.lit("J Test, "), (F.lit(1990) + i % 30).cast("string"), F.lit(" - x"))).otherwise(F.lit("no date 12345"))
+    names = F.when(i % 3 == 0, F.lit(" ; ")).otherwise(F.concat(F.lit("A; ;B"), s, F.lit(" ;")))
+    return t.docs.select("doc_id", ident.scholar_id(F.when(i % 2 == 0, F.concat(F.lit("r"), s)), F.col("title")).alias("scholar_id"), ident.year_of(summary).alias("year"), F.array_join(ident.authors(names), ";").alias("authors"))
+
+
+@query("SELECT doc_id, 'PMC' || doc_id || '#3,PMC7#2' AS cited FROM docs WHERE doc_id <> 7 UNION ALL SELECT 7, 'PMC7#3,PMC7#2'")
+def parse_citations(t: Tables) -> DataFrame:
+    s = F.col("doc_id").cast("string")
+    answer = F.concat(F.lit("x [PMC"), s, F.lit("#3] y [pmc"), s, F.lit(":3] [PMCID:4] [arXiv:1.2#1] [PMC7; PMC8 #2]"))
+    shown = F.transform(ident.citations(answer), lambda c: F.concat(c["doc"], F.lit("#"), c["idx"].cast("string")))
+    return t.docs.select("doc_id", F.array_join(shown, ",").alias("cited"))
+
+
+@query(f"WITH {SIM}, h AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 5) SELECT string_agg('[' || CASE doc_id % 3 WHEN 0 THEN 'PMC' || doc_id WHEN 1 THEN '2401.' || doc_id ELSE 's' || doc_id END || '#' || chunk_index || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM h")
+def prompt(t: Tables) -> DataFrame:
+    hits = retrieval.contexts(retrieval.vector_only(t.chunks, t.vector(), 5, MODEL), t.chunks, t.docs)
+    return prompt_context(hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "chunk_id"))))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^ -~]', ' ', 'g'), '\b(eren\w*)\b', '<mark>\1</mark>', 'gi'), '\b(tion\w*)\b', '<mark>\1</mark>', 'gi') AS shown FROM p")
+def highlight(t: Tables) -> DataFrame:
+    """Over ASCII, since RE2 and Java part words differently beyond it."""
+    return t.docs.select("doc_id", tx.highlight(F.regexp_replace("text", "[^ -~]", " "), "What eren tion the?").alias("shown"))
+
+
+@query("WITH s AS (SELECT doc_id % 20 AS d, doc_id AS i, length(text) AS n FROM p), r AS (SELECT *, sum(n) OVER (PARTITION BY d ORDER BY i) AS upto FROM s) SELECT d, i, greatest(0, least(n, 2000 - (upto - n))) AS taken FROM r WHERE 2000 - (upto - n) > 0".replace("greatest(0, least(n, 2000 - (upto - n)))", "CAST(greatest(0, least(n, 2000 - (upto - n))) AS BIGINT)"))
+def char_budget(t: Tables) -> DataFrame:
+    s = t.docs.select((F.col("doc_id") % 20).alias("d"), F.col("doc_id").alias("i"), F.length("text").cast("long").alias("n"))
+    r = s.withColumn("upto", F.sum("n").over(Window.partitionBy("d").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return r.select("d", "i", tx.char_budget(F.col("n"), F.col("upto"), 2000).alias("taken")).filter("taken > 0")
+
+
+@query("SELECT doc_id, 'a' || doc_id || '; b' AS shown FROM docs")
+def ordered_dedup(t: Tables) -> DataFrame:
+    s = F.col("doc_id").cast("string")
+    return t.docs.select("doc_id", F.array_join(tx.ordered_distinct(F.array(F.concat(F.lit(" a"), s), F.lit("b"), F.concat(F.lit("A"), s), F.lit(" "), F.lit("B "))), "; ").alias("shown"))
+
+
+@query("SELECT item_id, split_part(substr(text, 1, 150), '.', 1) || '.' AS q FROM benchmark WHERE length(split_part(substr(text, 1, 150), '.', 1) || '.') > 20")
+def query_synthesis(t: Tables) -> DataFrame:
+    return t.raw("benchmark").select("item_id", tx.synthesized_query(F.col("text")).alias("q")).filter(F.length("q") > 20)
+
+
+@query()
+def section_chunks(t: Tables) -> DataFrame:
+    return chunk_documents(t.raw("documents"), 200, 20).drop("full_text")
+
+
+@query()
+def parse_html(t: Tables) -> DataFrame:
+    return parsing.html_pages(t.raw("pages"))
+
+
+# --- experiments ------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, CASE CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR)), 32, 1)) AS INTEGER) % 4 WHEN 0 THEN 'ivfflat_only' WHEN 1 THEN 'ivfflat_ner_boost' WHEN 2 THEN 'ivfflat_tsvector' ELSE 'ivfflat_ner_tsvector' END AS strategy FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id FROM events)")
+def ab_assign(t: Tables) -> DataFrame:
+    e = experiments.Experiment()
+    for s in retrieval.STRATEGIES:
+        e.register(s)
+    return e.assign(t.log.select("user_id").distinct()).select("user_id", "strategy")
+
+
+@query("SELECT strategy, count(*) AS queries, round(sum(latency_ms) / count(*), 6) AS avg_latency_ms, round(sum(len(clicked_chunk_ids)) / CAST(count(*) AS DOUBLE), 6) AS click_through, round(avg(CASE WHEN user_rating <> 0 THEN user_rating END), 6) AS avg_rating FROM log WHERE event = 'user_interaction' GROUP BY strategy")
+def ab_stats(t: Tables) -> DataFrame:
+    return experiments.statistics(t.log)
+
+
+@query("SELECT strategy, count(*) AS queries, round(sum(latency_ms) / count(*), 6) AS avg_latency_ms, round(sum(len(clicked_chunk_ids)) / CAST(count(*) AS DOUBLE), 6) AS click_through, round(avg(CASE WHEN user_rating <> 0 THEN user_rating END), 6) AS avg_rating FROM log WHERE event = 'user_interaction' GROUP BY strategy")
+def stream_ab_stats(t: Tables) -> DataFrame:
+    """The same through a stream: the log is appended as JSON lines, then read as a stream to its end."""
+    import tempfile
+    import uuid
+
+    from ..streaming.logs import ab_log, running_statistics
+
+    place = f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/ab-{uuid.uuid4().hex}"
+    experiments.append_log(t.log.select("event", "user_id", "strategy", "latency_ms", "clicked_chunk_ids", "user_rating"), f"{place}/log")
+    name = f"ab_{uuid.uuid4().hex}"
+    running_statistics(ab_log(t.spark, f"{place}/log"), name, f"{place}/state").awaitTermination()
+    return t.spark.table(name)
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, strategy, count(*) AS queries, round(avg(latency_ms), 6) AS avg_latency_ms FROM log GROUP BY ALL")
+def ab_windowed(t: Tables) -> DataFrame:
+    from ..streaming.logs import windowed_statistics
+
+    return windowed_statistics(t.log)
+
+
+# --- evaluation -------------------------------------------------------------------------------
+
+
+LAT = "l AS (SELECT strategy, CASE WHEN event_id % 7 <> 0 THEN latency_ms END AS ms FROM log)"
+
+
+def _latencies(t: Tables) -> DataFrame:
+    return t.log.select("strategy", F.when(F.col("event_id") % 7 != 0, F.col("latency_ms")).alias("ms"))
+
+
+@query(f"WITH {LAT}, s AS (SELECT strategy, list_sort(list(ms) FILTER (ms IS NOT NULL)) AS v, round(avg(coalesce(ms, 0)), 6) AS mean, round(stddev_samp(ms), 6) AS stdev, min(ms) AS low, max(ms) AS high FROM l GROUP BY strategy) SELECT strategy, mean, stdev, low, high, v[len(v) // 2 + 1] AS median, v[CAST(floor(len(v) * 0.95::DOUBLE) AS BIGINT) + 1] AS p95, v[CAST(floor(len(v) * 0.99::DOUBLE) AS BIGINT) + 1] AS p99 FROM s")
+def latency_stats_index(t: Tables) -> DataFrame:
+    return ev.latency_by_index(_latencies(t), "strategy", "ms")
+
+
+@query(f"WITH {LAT} SELECT strategy, round(avg(ms), 6) AS mean, round(quantile_cont(ms, 0.05), 6) AS p5, round(quantile_cont(ms, 0.5), 6) AS median, round(quantile_cont(ms, 0.95), 6) AS p95 FROM l GROUP BY strategy")
+def latency_stats_linear(t: Tables) -> DataFrame:
+    return ev.latency_linear(_latencies(t), "strategy", "ms")
+
+
+@query("WITH a AS (SELECT strategy, CASE event_id % 3 WHEN 0 THEN 'b0' WHEN 1 THEN 'b1' ELSE 'b2' END AS bench, round(avg(latency_ms), 6) AS v FROM log GROUP BY ALL) SELECT strategy, max(CASE WHEN bench = 'b0' THEN v END) AS b0, max(CASE WHEN bench = 'b1' THEN v END) AS b1, max(CASE WHEN bench = 'b2' THEN v END) AS b2 FROM a GROUP BY strategy")
+def pivot_latency(t: Tables) -> DataFrame:
+    a = t.log.groupBy("strategy", F.concat(F.lit("b"), (F.col("event_id") % 3).cast("string")).alias("bench")).agg(F.round(F.avg("latency_ms"), 6).alias("v"))
+    return ev.pivot_first(a, "strategy", "bench", "v", ["b0", "b1", "b2"])
+
+
+RUNS = "r AS (SELECT 32 * (1 + event_id % 4) AS nlist, CAST(pow(2, event_id % 5) AS BIGINT) AS nprobe, latency_ms AS ms, (event_id % 11) / 10.0::DOUBLE AS recall FROM log), w AS (SELECT nlist, nprobe, count(*) AS queries, round(avg(ms), 6) AS avg_ms, round(median(ms), 6) AS median_ms, round(stddev_samp(ms), 6) AS std_ms, round(avg(recall), 6) AS avg_recall, round(median(recall), 6) AS median_recall, round(min(recall), 6) AS min_recall, round(max(recall), 6) AS max_recall FROM r GROUP BY ALL)"
+
+
+def _runs(t: Tables) -> DataFrame:
+    i = F.col("event_id")
+    return t.log.select((32 * (1 + i % 4)).alias("nlist"), F.pow(F.lit(2), i % 5).cast("long").alias("nprobe"), F.col("latency_ms").alias("ms"), ((i % 11) / F.lit(10.0)).alias("recall"))
+
+
+@query(f"WITH {RUNS} SELECT * FROM w")
+def ivf_sweep(t: Tables) -> DataFrame:
+    return ev.sweep(_runs(t))
+
+
+@query(f"WITH {RUNS} SELECT * FROM w WHERE avg_recall >= 0.4 ORDER BY avg_ms, nlist, nprobe LIMIT 1")
+def best_config(t: Tables) -> DataFrame:
+    return ev.best_setting(ev.sweep(_runs(t)), 0.4)
+
+
+@query("SELECT strategy, arg_min(latency_ms, event_id) AS first, arg_max(latency_ms, event_id) AS last, round(arg_max(latency_ms, event_id) - arg_min(latency_ms, event_id), 6) AS change FROM log GROUP BY strategy")
+def trend(t: Tables) -> DataFrame:
+    return ev.trend(t.log, "strategy", "event_id", "latency_ms")
+
+
+@query("SELECT strategy, round(avg(latency_ms), 6) AS mean, round(stddev_pop(latency_ms), 6) AS std FROM log GROUP BY strategy")
+def trial_stats(t: Tables) -> DataFrame:
+    return ev.trial_stats(t.log, "strategy", "latency_ms")
+
+
+# Two ways to rank each query's chunks: by all dimensions, and by the first half of them.
+RANKED = "q AS (SELECT chunk_id AS query_id, embedding AS e FROM chunks WHERE chunk_id % 25 = 0), rk AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding, e), 6) DESC, chunk_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding[1:32], e[1:32]), 6) DESC, chunk_id) AS rb FROM q, chunks), oa AS (SELECT query_id, chunk_id, ra AS rank FROM rk WHERE ra <= 10), ob AS (SELECT query_id, chunk_id, rb AS rank FROM rk WHERE rb <= 10), j AS (SELECT query_id, count(*) AS n, sum((oa.rank - ob.rank) * (oa.rank - ob.rank)) AS d FROM oa JOIN ob USING (query_id, chunk_id) GROUP BY query_id), k AS (SELECT DISTINCT query_id FROM oa)"
+
+
+def _two_lists(t: Tables) -> tuple[DataFrame, DataFrame]:
+    out = []
+    for part in (64, 32):
+        c = t.chunks.withColumn("embedding", F.slice("embedding", 1, part))
+        q = c.filter("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+        out.append(retrieval.batch_nearest(c, q, 10))
+    return out[0], out[1]
+
+
+@query(f"WITH {RANKED} SELECT query_id, round(coalesce(n, 0) / CAST(20 - coalesce(n, 0) AS DOUBLE), 6) AS jaccard, round(coalesce(n, 0) / 10.0::DOUBLE, 6) AS recall FROM k LEFT JOIN j USING (query_id)")
+def jaccard_recall(t: Tables) -> DataFrame:
+    a, b = _two_lists(t)
+    o = ev.overlap(a, b)
+    return o.select("query_id", F.round(ev.jaccard(F.col("n_a"), F.col("n_b"), F.col("n_both")), 6).alias("jaccard"), F.round(ev.recall(F.col("n_a"), F.col("n_both")), 6).alias("recall"))
+
+
+@query(f"WITH {RANKED} SELECT query_id, round(CASE WHEN coalesce(n, 0) < 2 THEN 0 ELSE 1 - 6 * d / (CAST(n AS DOUBLE) * (n * n - 1)) END, 6) AS rank_correlation FROM k LEFT JOIN j USING (query_id)")
+def rank_corr(t: Tables) -> DataFrame:
+    a, b = _two_lists(t)
+    return ev.rank_correlation(a, b)
+
+
+@query("WITH g AS (SELECT doc_id % 7 AS query_id, doc_id AS chunk_id, quality, toxic FROM labels), n AS (SELECT query_id, count(CASE WHEN quality = 1 THEN 1 END) AS a, count(CASE WHEN toxic = 1 THEN 1 END) AS b, count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS c FROM g WHERE quality = 1 OR toxic = 1 GROUP BY query_id), m AS (SELECT query_id, CASE WHEN a = 0 THEN 0 ELSE c / CAST(a AS DOUBLE) END AS p, CASE WHEN b = 0 THEN 0 ELSE c / CAST(b AS DOUBLE) END AS r FROM n) SELECT query_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM m")
+def prf(t: Tables) -> DataFrame:
+    g = t.raw("labels").select((F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("chunk_id"), "quality", "toxic")
+    return ev.precision_recall(g.filter("quality = 1"), g.filter("toxic = 1"))
+
+
+@query()
+def pca_energy(t: Tables) -> DataFrame:
+    e = ev.pca_energy(t.raw("embeddings"))
+    rows = [(i + 1, round(x, 9), round(c, 9)) for i, (x, c) in enumerate(zip(e["explained"], e["cumulative"], strict=True))]
+    return t.spark.createDataFrame(rows, "component int, share double, cumulative double")
+
+
+@query()
+def ablation_overlap(t: Tables) -> DataFrame:
+    rows = [ev.ablation(t.chunks, keep, trials=1, most=500) for keep in (0.8, 0.4)]
+    return t.spark.createDataFrame([(r["keep"], r["mean"], r["std"]) for r in rows], "keep double, mean double, std double")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM embeddings")
+def vector_norms(t: Tables) -> DataFrame:
+    return t.raw("embeddings").select("vec_id", F.round(vec.norm(F.col("embedding")), 6).alias("norm"))
