@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.identifiers import assigned
 from ..schemas import AB_EVENTS
@@ -51,7 +52,7 @@ class Experiment:
 
 def interactions(rows: DataFrame) -> DataFrame:
     """Rows in the log's shape, as user_interaction events."""
-    have = {f.name: f.dataType for f in AB_EVENTS}
+    have = {f.name: f.dataType for f in StructType.fromDDL(AB_EVENTS)}
     out = rows.withColumn("event", F.lit("user_interaction"))
     return out.select(*[(F.col(n) if n in out.columns else F.lit(None)).cast(t).alias(n) for n, t in have.items()])
 

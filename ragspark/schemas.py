@@ -1,16 +1,12 @@
-"""Declared schemas of the engine's tables (nothing is inferred)."""
-
-from pyspark.sql.types import StructType
-
-_ddl = StructType.fromDDL
-
-DOCUMENTS = _ddl("doc_id long, ext_id string, title string, source_uri string, author array<string>, year date, journal string, institute string, source string, source_id string, tags array<string>, captured_at timestamp, doi string")
-CHUNKS = _ddl("chunk_id long, doc_id long, chunk_index int, text string, metadata string, embedding array<float>, embedding_model string, content_hash string, created_at timestamp, section_name string")
-MENTIONS = _ddl("mention_id long, doc_id long, mention_text string, label string, start_char int, end_char int, context string, label_confidence double, section_name string, created_at timestamp")
-MENTION_EMBEDDINGS = _ddl("mention_id long, embedding array<float>, created_at timestamp")
-DOCUMENT_IDS = _ddl("doc_id long, id_type string, id_value string")
-AB_EVENTS = _ddl("event string, experiment_id string, user_id string, session_id string, strategy string, query string, results_count int, latency_ms double, clicked_chunk_ids array<long>, user_rating int, user_feedback string, timestamp string, metadata map<string,string>")
-BENCHMARK_RUN = _ddl("timestamp string, config struct<num_queries:int, top_k:int, embedding_model:string, queries:array<string>>, strategy_metrics map<string, struct<avg_latency_ms:double, median_latency_ms:double, p95_latency_ms:double, p99_latency_ms:double, std_latency_ms:double, min_latency_ms:double, max_latency_ms:double>>")
+"""Declared schemas of the engine's tables, as DDL (nothing is inferred)."""
+
+DOCUMENTS = "doc_id long, ext_id string, title string, source_uri string, author array<string>, year date, journal string, institute string, source string, source_id string, tags array<string>, captured_at timestamp, doi string"
+CHUNKS = "chunk_id long, doc_id long, chunk_index int, text string, metadata string, embedding array<float>, embedding_model string, content_hash string, created_at timestamp, section_name string"
+MENTIONS = "mention_id long, doc_id long, mention_text string, label string, start_char int, end_char int, context string, label_confidence double, section_name string, created_at timestamp"
+MENTION_EMBEDDINGS = "mention_id long, embedding array<float>, created_at timestamp"
+DOCUMENT_IDS = "doc_id long, id_type string, id_value string"
+AB_EVENTS = "event string, experiment_id string, user_id string, session_id string, strategy string, query string, results_count int, latency_ms double, clicked_chunk_ids array<long>, user_rating int, user_feedback string, timestamp string, metadata map<string,string>"
+BENCHMARK_RUN = "timestamp string, config struct<num_queries:int, top_k:int, embedding_model:string, queries:array<string>>, strategy_metrics map<string, struct<avg_latency_ms:double, median_latency_ms:double, p95_latency_ms:double, p99_latency_ms:double, std_latency_ms:double, min_latency_ms:double, max_latency_ms:double>>"
 
 #: The labels a mention may have, and the kinds an identifier may have.
 MENTION_LABELS = ("disease", "statistical_significance", "device", "drug")

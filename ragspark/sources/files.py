@@ -14,12 +14,12 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("id")).filter("id <> ''")
 
 
-def json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Lines that are not JSON are rows of nulls."""
     return spark.read.schema(schema).json(path)
 
 
-def json_documents(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def json_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A document a file; missing paths give no rows."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
