@@ -7,7 +7,7 @@ hash, so prefixes hold the rarest. Let x be a set of n shingles, t the threshold
 most shingles of x that a partner can miss, and D = floor(n (1 - t) / t) the most that the two can
 differ by in all. The signatures of x come from a prefix of its order:
 
-* with more than a rare shingles, the first a + 1, each a signature: one must be shared;
+* with at least a + k rare shingles, the first a + k, each a signature: k must be shared;
 * else all its rare shingles (r of them, each a signature), and the first 2 (D - r) + 2 frequent
   ones, of which each two neighbours are a signature. If no rare one is shared, r differences are
   spent; each of the D - r others breaks at most two neighbourhoods, and one is left.
@@ -16,6 +16,9 @@ Of two linked sets, take the one whose prefix ends first: what it shares lies in
 too, so both have the signature. For t >= 0.8 a set always has enough shingles, or D = 0 and only an
 equal set links. So no link is lost, whatever the classes; they only make shared signatures rare.
 
+k grows with n (extra()), and a set of the first kind is out at once if fewer of its signatures occur
+elsewhere than the k of the smallest set that it may link with: chance shares a few, copies many.
+
 Documents with equal sets are one before signatures are compared. A signature's sets are compared
 with its smallest one; what that links is joined, and only sets in different components that still
 share a signature are compared in pairs. So a group of copies costs a comparison a copy. Before
@@ -34,6 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Scratch, hash_words, mix, shingles, slices, text_column, words_of
 from .components import components
@@ -73,18 +77,29 @@ def allowed(n: int, least: int) -> tuple[int, int]:
     return n - -(-n * least // 100), n * (100 - least) // least
 
 
-def signatures(s: np.ndarray, levels: np.ndarray, least: int) -> np.ndarray:
-    """Of a sorted set; `levels`: by bucket, the leading bits of a shingle."""
-    miss, differ = allowed(len(s), least)
+def extra(n: int, least: int) -> int:
+    """k of the module's text: a twentieth of the set more, at most all that a partner must have."""
+    return min(n // 20 + 1, n - allowed(n, least)[0])
+
+
+def needed(n: int, least: int) -> int:
+    """How many signatures a set of the first kind shares at least with any set it links with."""
+    return extra(-(-n * least // 100), least)
+
+
+def signatures(s: np.ndarray, levels: np.ndarray, least: int) -> tuple[np.ndarray, int]:
+    """Of a sorted set, and how many of them must occur elsewhere; `levels`: by bucket, the leading bits of a shingle."""
+    n = len(s)
+    miss, differ = allowed(n, least)
     if not differ:
-        return s[:0]
+        return s[:0], 1
     level = levels[s >> np.uint64(64 - int(np.log2(len(levels))))]
     often = level == TOP
-    rare = int(len(s) - often.sum())
-    if rare > miss:
-        return s[np.argsort(level, kind="stable")[: miss + 1]]
-    f = s[often][: 2 * (differ - rare) + 2]
-    return np.concatenate([s[~often], mix(mix(f[:-1]) + f[1:])])
+    rare = int(n - often.sum())
+    if rare >= miss + extra(n, least):
+        return s[np.argsort(level, kind="stable")[: miss + extra(n, least)]], needed(n, least)
+    f = s[often][: max(0, 2 * (differ - rare) + 2)]
+    return np.concatenate([s[~often], mix(mix(f[:-1]) + f[1:])]), 1
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -156,23 +171,25 @@ class Join:
         return sets
 
     def postings(self) -> DataFrame:
-        """signature, set_key: of each document (equal sets of one batch once)."""
+        """signature, set_key, need: of each document (equal sets of one task once)."""
         s, levels = self.settings, self.spark.sparkContext.broadcast(self.levels)  # 2**bits bytes
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: set[int] = set()
             for batch in batches:
                 for part in slices(batch):
-                    found, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                    found, keys, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
                     for x in text_sets(part, s.words):
                         key = set_key(x)
                         if key not in known:
                             known.add(key)
-                            found.append(signatures(x, levels.value, s.least))
-                            keys.append(np.full(len(found[-1]), key, np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys))], names=["signature", "set_key"])
+                            own, need = signatures(x, levels.value, s.least)
+                            found.append(own)
+                            keys.append(np.full(len(own), key, np.int64))
+                            needs.append(np.full(len(own), need, np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(needs))], names=["signature", "set_key", "need"])
 
-        return self.docs.select("text").mapInArrow(each, "signature long, set_key long")
+        return self.docs.select("text").mapInArrow(each, "signature long, set_key long, need int")
 
     def contents(self, sets: DataFrame, wanted: DataFrame) -> DataFrame:
         """set_key, shingles of the wanted set_keys, from one document each."""
@@ -215,6 +232,38 @@ class Join:
         # shared >= least (na + nb) / (100 + least), and the sets differ in na + nb - 2 shared.
         return p.filter(like & (apart * (100 + least) <= both * (100 - least))).select("a", "b")
 
+    def apart(self, members: DataFrame, tile: int = 1024) -> DataFrame:
+        """Distinct pairs (a < b) that share a signature, are of different components, and that sizes and parity maps allow.
+
+        `members`: signature, set_key, component, n, parity. A signature's sets are cut into tiles,
+        and each pair of tiles is a group of its own; only pairs that may link leave it.
+        """
+        least = self.settings.least
+        tiles = members.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+        m = members.join(tiles, "signature").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
+        m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        m = m.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "component", "n", "parity")
+
+        def pairs(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            own, keys, of, n = (group.column(c).to_numpy() for c in ("own", "set_key", "component", "n"))
+            maps = group.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(keys), -1)
+            left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+            a, b = [], []
+            for s in range(0, len(left), 64):
+                x = left[s : s + 64]
+                nx, ny = n[x][:, None], n[right][None]
+                may = (of[x][:, None] != of[right][None]) & (100 * nx >= least * ny) & (100 * ny >= least * nx)
+                if key[1] == key[2]:
+                    may &= keys[x][:, None] < keys[right][None]
+                i, j = may.nonzero()
+                differ = np.bitwise_count(maps[x[i]] ^ maps[right[j]]).sum(axis=1, dtype=np.int64)
+                ok = differ * (100 + least) <= (n[x[i]] + n[right[j]]) * (100 - least)
+                a.append(np.minimum(keys[x[i[ok]]], keys[right[j[ok]]]))
+                b.append(np.maximum(keys[x[i[ok]]], keys[right[j[ok]]]))
+            return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+
+        return m.groupBy("signature", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+
     def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose Jaccard similarity reaches the threshold."""
         ends = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
@@ -233,20 +282,25 @@ class Join:
         posted = scratch.save(self.postings(), "postings")
         live = posted.groupBy("signature").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last")).filter("first <> last").select("signature", "first")
         # A third of all sets may have one signature: its side of the join can be split.
-        live = scratch.save(posted.join(live, "signature").distinct(), "live")
+        live = scratch.save(posted.join(live, "signature").distinct(), "shared")
         scratch.drop("postings")
+        able = live.groupBy("set_key").agg(F.count(F.lit(1)).alias("have"), F.max("need").alias("need")).filter("have >= need").select("set_key", "have")
+        live = scratch.save(live.join(able, "set_key").select("signature", "set_key", "have"), "able")
+        # The set that shares most is the least changed of its copies: the others are compared with it.
+        rank = F.struct((-F.col("have")).alias("less"), "set_key")
+        live = live.join(live.groupBy("signature").agg(F.min(rank).alias("best"), F.max(rank).alias("worst")).filter("best <> worst").select("signature", F.col("best.set_key").alias("first")), "signature")
+        live = scratch.save(live.select("signature", "set_key", "first"), "live")
+        scratch.drop("shared", "able")
         facts = scratch.save(sets.groupBy("set_key").agg(F.max("n").alias("n"), F.min("parity").alias("parity")), "facts")
-        stars = scratch.save(live.filter("set_key <> first").select(F.col("first").alias("a"), F.col("set_key").alias("b")).distinct(), "stars")
+        stars = live.filter("set_key <> first").select(F.least("first", "set_key").alias("a"), F.greatest("first", "set_key").alias("b")).distinct()
+        stars = scratch.save(stars, "stars")
         links = self.verified(scratch.save(self.possible(stars, facts), "near"), sets, "star")
         of = scratch.save(components(links, scratch, "star-cc"), "star-of")
         placed = live.join(of.withColumnRenamed("node", "set_key"), "set_key", "left").select("signature", "set_key", F.coalesce("component", "set_key").alias("component"))
         torn = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("signature")
-        left = scratch.save(placed.join(torn, "signature", "left_semi").join(facts.select("set_key", "n"), "set_key"), "left")
-        x, y = (left.select("signature", *[F.col(c).alias(f"{c}_{k}") for c in ("set_key", "component", "n")]) for k in "xy")
-        apart = (F.col("set_key_x") < F.col("set_key_y")) & (F.col("component_x") != F.col("component_y"))
-        like = (100 * F.col("n_x") >= least * F.col("n_y")) & (100 * F.col("n_y") >= least * F.col("n_x"))
-        more = x.join(y, "signature").filter(apart & like).select(F.col("set_key_x").alias("a"), F.col("set_key_y").alias("b")).distinct()
-        more = scratch.save(self.possible(more.join(stars, ["a", "b"], "left_anti"), facts), "more")
+        left = scratch.save(placed.join(torn, "signature", "left_semi").join(facts, "set_key"), "left")
+        more = self.apart(left).join(stars, ["a", "b"], "left_anti")
+        more = scratch.save(more, "more")
         scratch.drop("live", "left")
         if not more.isEmpty():
             both = links.unionByName(self.verified(more, sets, "rest"))
@@ -291,7 +345,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, scratch: Scratch, settings: S
     if repeated.isEmpty():
         return plain
     odd = docs.join(repeated.select(F.col("doc_id").alias("_odd")), F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi")
-    schema = odd.schema.add("_key", "long")
+    schema = StructType([*odd.schema.fields, StructField("_key", LongType())])
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
