@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 class Embedder(Protocol):
@@ -54,7 +55,7 @@ class ExtractiveGenerator:
 
 def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "embedding") -> DataFrame:
     """`df` with an embedding; the embedder goes to each worker once, texts come in batches."""
-    schema = df.schema.add(out, "array<double>")
+    schema = StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))])
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
