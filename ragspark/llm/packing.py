@@ -14,13 +14,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import arrow_out, slices, text_column, words_of
+from .common import arrow_out, slices, text_column, trim, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a worker remembers; then it begins anew.
-CACHE = 800_000
-#: Signs that the tokenizer parts from letters before them.
-STOPS = ".,;:!?"
+CACHE = 1_000_000
+#: Signs that the tokenizer parts from letters before them, and keeps together (the apostrophe, which it does not, is none).
+SIGNS = ".,;:!?*#$%&|()[]{}+-=_/\\~@^\"`"
+#: Bytes of text encoded at once.
+ENCODED = 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -45,7 +47,7 @@ class Settings:
 class Encoder:
     """Ids of texts through ids of words: the tokenizer drops white space and merges nothing across it.
 
-    A word's ids are kept as the bytes of 16-bit numbers. A word of letters and one stop is the two
+    A word's ids are kept as the bytes of 16-bit numbers. A word of letters and then signs is the two
     tokenized apart (the tokenizer's own split), so it is not kept itself. Words that hold `<|` are
     not taken from here, since the special tokens' names are matched before lower-casing.
     """
@@ -54,25 +56,31 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.stops = {c: self.encoded([c])[0] for c in STOPS}
 
     def encoded(self, words: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[bytes]:
-        known, stops = self.known, self.stops
-        out = [known.get(w) for w in words]
-        missing = [i for i, x in enumerate(out) if x is None]
-        stem = {i: w[:-1] for i in missing if (w := words[i])[-1] in stops and w[:-1].isalpha()}
-        new = sorted({stem.get(i) or words[i] for i in missing} - known.keys())
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = sorted({stem.get(i) or words[i] for i in missing})
+    def learn(self, words: set[str]) -> None:
+        new = sorted(words)
         for i in range(0, len(new), 50_000):
             batch = new[i : i + 50_000]
-            known.update(zip(batch, self.encoded(batch), strict=True))
+            self.known.update(zip(batch, self.encoded(batch), strict=True))
+
+    def words(self, words: list[str]) -> list[bytes]:
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        get = known.get
+        out = [get(w) for w in words]
+        missing = [i for i, x in enumerate(out) if x is None]
+        parts = []
         for i in missing:
-            out[i] = known[stem[i]] + stops[words[i][-1]] if i in stem else known[words[i]]
+            w = words[i]
+            stem = w.rstrip(SIGNS)
+            parts.append((stem, w[len(stem) :]) if len(stem) < len(w) and stem.isalpha() else (w, ""))
+        self.learn({p for both in parts for p in both if p and p not in known})
+        for i, (stem, signs) in zip(missing, parts, strict=True):
+            out[i] = known[stem] + known[signs] if signs else known[stem] if stem else b""
         return out
 
 
@@ -229,7 +237,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, settings: Sett
 
         held = 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=ENCODED):
                 got, words = encode(text_column(part), encoder)
                 for name, x, w in zip(part.column("doc_id").to_pylist(), got, words, strict=True):
                     names.append(name)
@@ -241,6 +249,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, settings: Sett
                         held = 0
         if names:
             yield flush()
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(each, SCHEMA)
 
