@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Fixed value: what the contracts call a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -125,5 +125,16 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix(x))
 
 
+def trim() -> None:
+    """Gives freed memory back at a task's end; workers are kept and would hold it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_out(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, hash_words, mix, shingles, slices, text_column, words_of
+from .common import Scratch, hash_words, mix, shingles, slices, text_column, trim, words_of
 from .components import components
 
 #: Buckets travel in so many blocks.
@@ -108,11 +108,13 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def block_rows(counts: np.ndarray, names=("block", "counts")) -> pa.RecordBatch:
-    """A count by bucket as rows of BLOCKS blocks, byte by byte of all (upper bytes are zeros and compress away)."""
+def block_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """block, counts: a count by bucket in BLOCKS blocks, byte by byte of all (upper bytes are zeros and compress away)."""
     parts = counts.reshape(BLOCKS, -1)
     some = [b for b in range(BLOCKS) if parts[b].any()]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for b in some], pa.binary())], names=list(names))
+    for i in range(0, len(some), 8):
+        packed = [parts[b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for b in some[i : i + 8]]
+        yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 8], pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
 
 def summed(rows: DataFrame, bits: int, level: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -158,9 +160,10 @@ class Join:
                             np.add.at(counts, (x >> np.uint64(64 - s.bits)).view(np.int64), np.uint32(1))
                     blank = part.num_rows
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.nulls(blank, pa.int32()), pa.nulls(blank, pa.binary())], names=names)
-            rows = block_rows(counts)
-            n = rows.num_rows
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.nulls(n, pa.list_(pa.int64())), rows.column(0), rows.column(1)], names=names)
+            for rows in block_rows(counts):
+                n = rows.num_rows
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.nulls(n, pa.list_(pa.int64())), rows.column(0), rows.column(1)], names=names)
+            trim()
 
         both = self.scratch.save(self.docs.mapInArrow(each, "doc_id long, id_hash long, n long, set_key long, parity array<long>, block int, counts binary"), "read")
         sets = both.filter("block is null").select("doc_id", "id_hash", "n", "set_key", "parity")
@@ -188,6 +191,7 @@ class Join:
                             keys.append(np.full(len(own), key, np.int64))
                             needs.append(np.full(len(own), need, np.int32))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(needs))], names=["signature", "set_key", "need"])
+            trim()
 
         return self.docs.select("text").mapInArrow(each, "signature long, set_key long, need int")
 
@@ -200,7 +204,7 @@ class Join:
             counts = np.zeros(1 << s.id_bits, np.uint32)
             for batch in batches:
                 counts[batch.column("id_hash").to_numpy().view(np.uint64) >> np.uint64(64 - s.id_bits)] = 1
-            yield block_rows(counts)
+            yield from block_rows(counts)
 
         here = self.spark.sparkContext.broadcast(summed(one.select("id_hash").mapInArrow(mark, "block int, counts binary"), s.id_bits, lambda x: x > 0) > 0)
 
@@ -217,6 +221,7 @@ class Join:
                             keys.append(key)
                             values.append(x.view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["set_key", "shingles"])
+            trim()
 
         found = self.docs.select("id_hash", "text").mapInArrow(each, "set_key long, shingles array<long>")
         return found.join(one.select("set_key"), "set_key", "left_semi").groupBy("set_key").agg(F.min_by("shingles", F.size("shingles")).alias("shingles"))
@@ -232,37 +237,46 @@ class Join:
         # shared >= least (na + nb) / (100 + least), and the sets differ in na + nb - 2 shared.
         return p.filter(like & (apart * (100 + least) <= both * (100 - least))).select("a", "b")
 
-    def apart(self, members: DataFrame, tile: int = 1024) -> DataFrame:
+    def apart(self, members: DataFrame, tile: int = 1024, rows: int = 20_000) -> DataFrame:
         """Distinct pairs (a < b) that share a signature, are of different components, and that sizes and parity maps allow.
 
-        `members`: signature, set_key, component, n, parity. A signature's sets are cut into tiles,
-        and each pair of tiles is a group of its own; only pairs that may link leave it.
+        `members` (a table): signature, set_key, component, n, parity. A signature's sets are cut
+        into tiles; pairs of tiles, of whatever signatures, share groups of about `rows` rows. Only
+        pairs that may link leave them.
         """
         least = self.settings.least
         tiles = members.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
         m = members.join(tiles, "signature").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         m = m.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "component", "n", "parity")
+        m = m.withColumn("pile", F.pmod(F.xxhash64("signature", "i", "j"), F.lit(members.count() // rows + 1)))
 
-        def pairs(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-            own, keys, of, n = (group.column(c).to_numpy() for c in ("own", "set_key", "component", "n"))
+        def pairs(group: pa.Table) -> pa.Table:
+            sig, i, j, own, keys, of, n = (group.column(c).to_numpy() for c in ("signature", "i", "j", "own", "set_key", "component", "n"))
             maps = group.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(keys), -1)
-            left, right = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
+            order = np.lexsort((j, i, sig))
+            change = (np.diff(sig[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)
             a, b = [], []
-            for s in range(0, len(left), 64):
-                x = left[s : s + 64]
-                nx, ny = n[x][:, None], n[right][None]
-                may = (of[x][:, None] != of[right][None]) & (100 * nx >= least * ny) & (100 * ny >= least * nx)
-                if key[1] == key[2]:
-                    may &= keys[x][:, None] < keys[right][None]
-                i, j = may.nonzero()
-                differ = np.bitwise_count(maps[x[i]] ^ maps[right[j]]).sum(axis=1, dtype=np.int64)
-                ok = differ * (100 + least) <= (n[x[i]] + n[right[j]]) * (100 - least)
-                a.append(np.minimum(keys[x[i[ok]]], keys[right[j[ok]]]))
-                b.append(np.maximum(keys[x[i[ok]]], keys[right[j[ok]]]))
+            for part in np.split(order, np.flatnonzero(change) + 1):
+                first = part[0]
+                left, right = part[own[part] == i[first]], part[own[part] == j[first]]
+                for s in range(0, len(left), 64):
+                    x = left[s : s + 64]
+                    nx, ny = n[x][:, None], n[right][None]
+                    may = (of[x][:, None] != of[right][None]) & (100 * nx >= least * ny) & (100 * ny >= least * nx)
+                    if i[first] == j[first]:
+                        may &= keys[x][:, None] < keys[right][None]
+                    p, q = may.nonzero()
+                    if not len(p):
+                        continue
+                    p, q = x[p], right[q]
+                    differ = np.bitwise_count(maps[p] ^ maps[q]).sum(axis=1, dtype=np.int64)
+                    ok = differ * (100 + least) <= (n[p] + n[q]) * (100 - least)
+                    a.append(np.minimum(keys[p[ok]], keys[q[ok]]))
+                    b.append(np.maximum(keys[p[ok]], keys[q[ok]]))
             return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
 
-        return m.groupBy("signature", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
+        return m.groupBy("pile").applyInArrow(pairs, "a long, b long").distinct()
 
     def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose Jaccard similarity reaches the threshold."""
@@ -297,7 +311,8 @@ class Join:
         links = self.verified(scratch.save(self.possible(stars, facts), "near"), sets, "star")
         of = scratch.save(components(links, scratch, "star-cc"), "star-of")
         placed = live.join(of.withColumnRenamed("node", "set_key"), "set_key", "left").select("signature", "set_key", F.coalesce("component", "set_key").alias("component"))
-        torn = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("signature")
+        # Two sets of a signature have met as centre and other; of three, two may not have.
+        torn = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("sets")).filter("low <> high and sets > 2").select("signature")
         left = scratch.save(placed.join(torn, "signature", "left_semi").join(facts, "set_key"), "left")
         more = self.apart(left).join(stars, ["a", "b"], "left_anti")
         more = scratch.save(more, "more")
