@@ -164,3 +164,15 @@ def ablation(vectors: DataFrame, keep: float, trials: int = 6, k: int = 10, dim:
         hits = whole.join(part, ["query_id", "chunk_id"]).count()
         shares.append(hits / max(1, whole.count()))
     return {"keep": keep, "mean": float(np.mean(shares)), "std": float(np.std(shares))}
+
+
+def compare_runs(runs: dict[str, DataFrame], base: str, key: str = "query_id", item: str = "chunk_id", rank: str = "rank") -> DataFrame:
+    """Overlap, recall and rank correlation of each run with the base, query by query (joined by query, not by place)."""
+    out = None
+    for name, run in runs.items():
+        if name == base:
+            continue
+        o = overlap(runs[base], run, key, item).join(rank_correlation(runs[base], run, key, item, rank), key)
+        o = o.select(F.lit(name).alias("strategy"), key, F.round(jaccard(F.col("n_a"), F.col("n_b"), F.col("n_both")), 6).alias("jaccard"), F.round(recall(F.col("n_a"), F.col("n_both")), 6).alias("recall"), "rank_correlation")
+        out = o if out is None else out.unionByName(o)
+    return out

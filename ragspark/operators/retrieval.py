@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fulltext
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions.identifiers import doc_ref
@@ -83,6 +84,12 @@ def text_matches(chunks: DataFrame, query: str, n: int, mode: str = "and", *carr
     return c.select("chunk_id", "doc_id", "text_score", *carry).orderBy(F.desc("text_score"), "chunk_id").limit(n)
 
 
+def stemmed_matches(chunks: DataFrame, query: str, n: int, mode: str = "and") -> DataFrame:
+    """F2, I4-I7 with stems and positions: the n chunks of the best rank."""
+    s = fulltext.scored(chunks, query, mode=mode).withColumn("text_score", F.round("text_score", 8))
+    return s.select("chunk_id", "doc_id", "text_score").orderBy(F.desc("text_score"), "chunk_id").limit(n)
+
+
 def candidates(chunks: DataFrame, query: Sequence[float], words: str, n: int, mode: str) -> DataFrame:
     """The nearest and the best matches with both ranks; a match that is not near has similarity 0."""
     v = ranked(nearest(chunks, query, n, "section_name"), "similarity", "vector_rank")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -146,3 +146,20 @@ def enrich(spark: SparkSession, docs: DataFrame, ids: DataFrame, mark: int) -> t
     after = insert_ids(ids, found)
     counts = doi_counts(after).first()
     return after, {"processed": todo.count(), "journal_dois": counts.journal, "arxiv_dois": counts.arxiv, "total_dois": counts.total}
+
+
+def ingest_summary(results: DataFrame) -> DataFrame:
+    """Found, ingested, skipped, errors by topic and of all; results: topic, status."""
+    counts = [F.count(F.lit(1)).alias("found")] + [F.count(F.when(F.col("status") == s, 1)).alias(n) for s, n in (("ok", "ingested"), ("skipped", "skipped"), ("error", "errors"))]
+    return results.rollup("topic").agg(*counts).withColumn("topic", F.coalesce("topic", F.lit("all")))
+
+
+def capped(chunks: DataFrame, most: int) -> DataFrame:
+    """Each document's first chunks."""
+    return chunks.filter(F.col("chunk_index") < most)
+
+
+def chunk_metadata(tokens: int, overlap: int, model: str, source: str | None = None) -> Column:
+    """The JSON kept with a chunk; with a source its id goes under source_id, else under pmcid."""
+    key = [F.lit(source).alias("source"), F.col("source_id")] if source else [F.col("source_id").alias("pmcid")]
+    return F.to_json(F.struct(*key, "chunk_index", F.lit(tokens).alias("chunk_tokens"), F.lit(overlap).alias("chunk_overlap"), F.lit(model).alias("embedding_model"), "section_name"))

@@ -108,6 +108,17 @@ def text_topk(t: Tables) -> DataFrame:
     return retrieval.ranked(hits, "text_score", "text_rank")
 
 
+@query()
+def stemmed_text_topk(t: Tables) -> DataFrame:
+    return retrieval.stemmed_matches(t.chunks, "onions eren the", 30, "or")
+
+
+@query("SELECT CASE WHEN chunk_id IS NULL THEN NULL ELSE section_name END AS topic, count(*) AS found, count(CASE WHEN chunk_id % 3 = 0 THEN 1 END) AS ingested, count(CASE WHEN chunk_id % 3 = 1 THEN 1 END) AS skipped, count(CASE WHEN chunk_id % 3 = 2 THEN 1 END) AS errors FROM chunks WHERE section_name IS NOT NULL GROUP BY 1 UNION ALL SELECT 'all', count(*), count(CASE WHEN chunk_id % 3 = 0 THEN 1 END), count(CASE WHEN chunk_id % 3 = 1 THEN 1 END), count(CASE WHEN chunk_id % 3 = 2 THEN 1 END) FROM chunks WHERE section_name IS NOT NULL")
+def ingest_summary(t: Tables) -> DataFrame:
+    status = F.when(F.col("chunk_id") % 3 == 0, "ok").when(F.col("chunk_id") % 3 == 1, "skipped").otherwise("error")
+    return storage.ingest_summary(t.chunks.filter("section_name is not null").select(F.col("section_name").alias("topic"), status.alias("status")))
+
+
 @query(f"WITH {NEAR30}, {T} {RRF}")
 def hybrid_rrf(t: Tables) -> DataFrame:
     return retrieval.hybrid_rrf(t.chunks, t.vector(), QUERY, 10, MODEL)

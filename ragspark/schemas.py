@@ -11,3 +11,23 @@ BENCHMARK_RUN = "timestamp string, config struct<num_queries:int, top_k:int, emb
 #: The labels a mention may have, and the kinds an identifier may have.
 MENTION_LABELS = ("disease", "statistical_significance", "device", "drug")
 ID_TYPES = ("pmid", "pmcid", "doi", "arxiv", "arxiv-doi", "biorxiv", "medrxiv")
+
+TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "mentions": MENTIONS, "mention_embeddings": MENTION_EMBEDDINGS, "document_ids": DOCUMENT_IDS}
+
+
+def create(spark, database: str = "ragspark", partitions: dict[str, list[str]] | None = None) -> None:
+    """The tables, if they are not there; chunks by model, so that a search reads one model's files."""
+    by = {"chunks": ["embedding_model"]} | (partitions or {})
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name, columns in TABLES.items():
+        part = f" PARTITIONED BY ({', '.join(by[name])})" if name in by else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns.replace(' long', ' bigint')}) USING parquet{part}")
+
+
+def valid_mentions(df):
+    """The rows whose label is one (the table's CHECK)."""
+    return df.filter(df["label"].isin(*MENTION_LABELS))
+
+
+def valid_ids(df):
+    return df.filter(df["id_type"].isin(*ID_TYPES))
