@@ -59,9 +59,11 @@ def mix_sources(sized: DataFrame, seed: str = "mix", weights=(5, 2, 1), share: f
 
     Null text: size 0. Null source: a source of its own, last. A source without words: target 0,
     nothing taken. Null doc_id: an id before all others. Repeated rows count and are taken each for
-    itself. Empty table: no rows. Other columns pass through.
+    itself. Empty table: no rows. Other columns pass through; those of the names that are added, or
+    that are used inside (_class, _salt, _rank, _s, _c, _z, _before, _target, _source_size), do not.
     """
-    d = sized.withColumn("_class", F.floor(F.sqrt("size")))
+    own = ("source_size", "target", "copies", "taken", "_class", "_salt", "_rank", "_s", "_c", "_z", "_before", "_target", "_source_size")
+    d = sized.drop(*own).withColumn("_class", F.floor(F.sqrt("size")))
     d = d.withColumn("_salt", _number(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % SALTS)
     small = d.select("source", "size", "_class", "_salt")
     groups = small.groupBy("source", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"))

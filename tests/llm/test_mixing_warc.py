@@ -80,6 +80,12 @@ def test_mixing_sql(spark, docs, sf_dir):
     assert ours == set(c.execute(mixing.MIX_SQL).fetchall())
 
 
+def test_mixing_clashing_names(docs):
+    d = docs([(1, "a b", "en", "s"), (2, "c", "en", "t")]).drop("size").withColumn("size", mixing.word_count("text")).selectExpr("*", "'x' as target", "9 as source_size", "'y' as _s", "1 as taken")
+    got = {r.doc_id: (r.source_size, r.target) for r in mixing.mix_sources(d).collect()}
+    assert {i: s for i, (s, _) in got.items()} == {1: 2, 2: 1} and sum(t for _, t in got.values()) == pytest.approx(4.5)
+
+
 def test_mixing_is_native(docs):
     d = mixing.mix_sources(docs([(1, "a", "en", "s")]).drop("size").withColumn("size", mixing.word_count("text")))
     plan = d._jdf.queryExecution().executedPlan().toString()
