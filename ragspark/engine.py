@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.identifiers import citations
 from .operators import chunking, facets, filters, ner, retrieval, storage
-from .plug import Embedder, ExtractiveGenerator, Generator, HashEmbedder, embed, prompt_context, system_prompt
+from .plug import SYSTEM_PROMPT, USER_PROMPT, Embedder, ExtractiveGenerator, Generator, HashEmbedder, embed, prompt_context
 
 
 class Engine:
@@ -32,7 +32,7 @@ class Engine:
         if not rows:
             return {"answer": None, "citations": [], "contexts": []}
         context = prompt_context(self.spark.createDataFrame([(r["rank"], r["doc_ref"], r["chunk_index"], r["text"]) for r in rows], "rank int, doc_ref string, chunk_index int, text string")).first().context
-        text = self.generator.generate(system_prompt(), f"{context}\n\nQuestion: {question}")
+        text = self.generator.generate(SYSTEM_PROMPT, USER_PROMPT.format(context=context, question=question))
         cited = self.spark.createDataFrame([(text,)], "t string").select(citations(F.col("t")).alias("c")).first().c
         by = {(r["doc_ref"], r["chunk_index"]): r for r in rows}
         found = [by[(c.doc, c.idx)] for c in cited if (c.doc, c.idx) in by] or rows[:1]

@@ -38,6 +38,11 @@ def find_doi(text: Column) -> Column:
     return doi(_blank_null(F.regexp_extract(text, r"\b(10\.[0-9]{4,9}/\S+)\b", 1)))
 
 
+def entry_doi(doi_field: Column, doi_link: Column, journal_ref: Column, raw_id: Column) -> Column:
+    """Of an arXiv entry, its DOI field, its DOI link, one in the journal reference, else the archive's own."""
+    return F.coalesce(doi(_blank_null(doi_field)), doi(_blank_null(doi_link)), find_doi(journal_ref), arxiv_doi(raw_id))
+
+
 def pmcid(x: Column, lookup: Column | None = None) -> Column:
     """A10: itself in upper case if it is one, else what a lookup gave."""
     up = F.upper(strip(x))
@@ -71,16 +76,21 @@ def norm_authors(text: Column) -> Column:
     return ordered_distinct(F.split(text, r"[;,\n]+"))
 
 
+# Filters that only the other search engine knows.
+OPEN_ACCESS = r'(?i)\(\s*"open access"\s*\[filter\]\s*\)'
+DATE_RANGE = r"(?i)\(\s*[0-9]{4}\s*:\s*[0-9]{4}\s*\[dp\]\s*\)"
+
+
 def sanitize_arxiv_query(q: Column) -> Column:
-    """Without field filters, in quotes if of several words, over all fields."""
-    bare = strip(F.regexp_replace(F.regexp_replace(q, r"\[[^\]]*\]", ""), r"\s+", " "))
-    quoted = F.when(F.contains(bare, F.lit(" ")) & ~F.contains(bare, F.lit('"')), F.concat(F.lit('"'), bare, F.lit('"'))).otherwise(bare)
-    return F.concat(F.lit("all:"), quoted)
+    """Without those filters; each word or quoted phrase in quotes under all:, AND, OR and brackets as they are."""
+    bare = F.regexp_replace(F.regexp_replace(q, OPEN_ACCESS, ""), DATE_RANGE, "")
+    bare = strip(F.regexp_replace(bare, r"\s+", " "))
+    return F.regexp_replace(bare, r'"([^"]*)"|(?<![^\s()"])(?!(?:AND|OR)(?![^\s()"]))([^\s()"]+)', 'all:"$1$2"')
 
 
 def citations(text: Column) -> Column:
     """(doc, idx) of each bracket that names a PMC document and a chunk; ordered, each once."""
-    groups = F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]"), 1)
+    groups = F.regexp_extract_all(text, F.lit(r"\[([^\[\]]+)\]"), 1)
     pairs = F.transform(
         groups,
         lambda g: F.struct(

@@ -78,15 +78,15 @@ def content_hash(text: Column) -> Column:
 
 
 #: Words that are not highlighted.
-DULL = ("what", "when", "where", "which", "that", "this", "with", "from", "have", "does", "about", "the", "and")
+DULL = ("what", "are", "the", "is", "in", "of", "and", "or", "for", "with", "to", "a", "an")
 
 
 def highlight(text: Column, query: str, open_: str = "<mark>", close: str = "</mark>") -> Column:
     """Words that begin with a keyword (over three letters, not dull) are wrapped, whatever their case."""
     import re
 
-    words = [re.sub(r"[^\w]", "", w) for w in query.split()]
-    keys = list(dict.fromkeys(w.lower() for w in words if len(w) > 3 and w.lower() not in DULL))
+    words = [w.lower() for w in query.split()]
+    keys = [k for k in dict.fromkeys(re.sub(r"[^\w]", "", w) for w in words if len(w) > 3 and w not in DULL) if k]
     return reduce(lambda t, k: F.regexp_replace(t, rf"(?i)\b({k}\w*)\b", f"{open_}$1{close}"), keys, text)
 
 

@@ -10,15 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words that make a short line a section header.
+# Words that make a short line a section header, and the shapes of headers.
 HEADER_WORDS = (
-    "abstract", "introduction", "background", "methods", "materials", "results", "discussion", "conclusion",
-    "references", "acknowledgments", "acknowledgements", "appendix", "supplementary", "related work", "methodology",
-    "experiments", "evaluation", "analysis", "limitations", "future work",
+    "abstract", "introduction", "background", "related work", "methods", "methodology", "materials and methods", "results", "experiments",
+    "evaluation", "discussion", "conclusion", "conclusions", "references", "bibliography", "acknowledgments", "acknowledgements", "appendix",
+    "supplementary", "appendices",
 )
 NUMBERED = re.compile(r"\s*(\d+\.?\s+)([A-Z][A-Za-z\s]+)")
 CAPS = re.compile(r"[A-Z\s\d.\-]+")
-TITLE = re.compile(r"[A-Z][a-z]+(\s+(?:[A-Z][a-z]+|and|of|the|in|for))*")
+TITLE = re.compile(r"([A-Z][a-z]+\s+)+[A-Z][a-z]+")
 CUT = re.compile(r"(?<=[.?!])\s+(?=[A-Z0-9(])")
 
 Section = tuple[str, str]

@@ -9,13 +9,38 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# What states a significance, and what names a device.
-STATISTICS = re.compile(
-    r"p\s*[<>=≤≥]\s*0?\.\d+|p-value\s*(?:of|[<>=])?\s*0?\.\d+|\d+%\s*CI\b|\bCI\b\s*:\s*[\d.]+\s*-\s*[\d.]+|\bCI\b|confidence interval"
-    r"|\bOR\s*[=:]\s*[\d.]+|\bHR\s*[=:]\s*[\d.]+|\bRR\s*[=:]\s*[\d.]+|statistically significant|\bn\s*=\s*\d+",
-    re.IGNORECASE,
+# What states a significance, what names a device, and the labels of models' entities.
+STATISTICS_PATTERNS = (
+    r"\bp\s*[<>=≤≥]\s*0\.\d+\b",
+    r"\bp-value\s*[<>=≤≥]\s*0\.\d+\b",
+    r"\bp\s*=\s*\.\d+\b",
+    r"\b\d+%\s*(?:confidence|CI)\s*interval",
+    r"\bCI\s*[:\s]*\[?[\d\.\-\s,]+\]?",
+    r"\b95%\s*CI\b",
+    r"\bstatistically\s+significant\b",
+    r"\bsignificant\s+(?:difference|effect|improvement|reduction|increase)\b",
+    r"\bp\s*[<]\s*0\.05\b",
+    r"\bp\s*[<]\s*0\.01\b",
+    r"\bp\s*[<]\s*0\.001\b",
 )
-DEVICES = re.compile(r"\b(?:CT|MRI|PET|EEG|ECG|EKG)\s+(?:scan|scanner|imaging|machine)s?\b|\b(?:cochlear|dental|breast)\s+implants?\b|\b(?:pacemaker|defibrillator|stent|catheter|ventilator)s?\b|\bhearing\s+aids?\b", re.IGNORECASE)
+DEVICE_PATTERNS = (
+    r"\b(?:catheter|stent|pacemaker|defibrillator|implant|prosthesis|ventilator)s?\b",
+    r"\b(?:MRI|CT|PET|ultrasound|X-ray|scanner|monitor)\b",
+    r"\b(?:surgical|medical)\s+(?:device|instrument|equipment)\b",
+    r"\b(?:insulin\s+pump|hearing\s+aid|wheelchair)\b",
+)
+MODEL_LABELS = {
+    "DISEASE": "disease",
+    "DISORDER": "disease",
+    "SYMPTOM": "disease",
+    "SYNDROME": "disease",
+    "CHEMICAL": "drug",
+    "DRUG": "drug",
+    "MEDICATION": "drug",
+    "PHARMACEUTICAL": "drug",
+}
+STATISTICS = re.compile("|".join(STATISTICS_PATTERNS), re.IGNORECASE)
+DEVICES = re.compile("|".join(DEVICE_PATTERNS), re.IGNORECASE)
 CONFIDENCE = {"statistical_significance": 0.9, "device": 0.85, "model": 0.8}
 SECTION = re.compile(r"\A\[[^\]\n]*\]\n")
 CUT = re.compile(r"(?<=[.?!])\s+(?=[A-Z0-9(])")
@@ -42,7 +67,7 @@ def context_of(text: str, start: int, end: int) -> str:
 
 
 def vocabulary_pattern(vocabulary: dict[str, str]) -> re.Pattern | None:
-    """The offline stand-in for a model: terms with their labels, longest first."""
+    """The offline stand-in for a model: terms with their labels (a model's, or ours), longest first."""
     terms = sorted(vocabulary, key=lambda t: (-len(t), t))
     return re.compile(r"\b(?:" + "|".join(map(re.escape, terms)) + r")\b", re.IGNORECASE) if terms else None
 
@@ -52,7 +77,7 @@ def entities(text: str | None, vocabulary: dict[str, str] | None = None) -> list
     body, gone = strip_prefix(text or "")
     passes: list = []
     if vocabulary and (p := vocabulary_pattern(vocabulary)):
-        low = {k.lower(): v for k, v in vocabulary.items()}
+        low = {k.lower(): MODEL_LABELS.get(v, v) for k, v in vocabulary.items()}
         passes.append((p, lambda m: low[m.lower()], CONFIDENCE["model"]))
     passes.append((STATISTICS, lambda m: "statistical_significance", CONFIDENCE["statistical_significance"]))
     passes.append((DEVICES, lambda m: "device", CONFIDENCE["device"]))

@@ -64,8 +64,18 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "emb
     return df.mapInPandas(each, schema).withColumn(out, F.transform(out, lambda x: F.round(x, 6).cast("float")))
 
 
-def system_prompt() -> str:
-    return "Answer from the passages alone, and cite each as [document#chunk]."
+# The prompts.
+SYSTEM_PROMPT = """You are a biomedical assistant. Answer ONLY using the provided CONTEXT.
+- Cite each claim with bracketed refs like [PMCID:chunk].
+- If evidence is insufficient, say you don't know.
+- Be concise and factual."""
+USER_PROMPT = """[CONTEXT]
+{context}
+[/CONTEXT]
+[QUESTION]
+{question}
+[/QUESTION]
+Answer with citations in the form [PMCID:chunk]."""
 
 
 def prompt_context(hits: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import arxiv_id, norm_authors, scholar_id, year_of
+from ..functions.identifiers import arxiv_id, entry_doi, norm_authors, scholar_id, year_of
 from ..functions.text import ordered_distinct, strip
 
 PASSAGE = "struct<text:string, infons:map<string,string>>"
@@ -34,30 +33,55 @@ def bioc_counts(payloads: DataFrame) -> DataFrame:
     return d.select("id", F.size("_d").alias("documents"), passages.alias("passages"))
 
 
-# Where BioC keeps authors, and which passages are what.
-AUTHOR_KEYS = ("authors", "author", "creator", "contrib", "contributor", "name")
+# Where BioC keeps authors, and the types of passages.
+DOCUMENT_AUTHOR_KEYS = ("authors", "author", "creator", "contrib")
+PASSAGE_AUTHOR_KEYS = ("authors", "author", "name", "contrib", "contributor")
+TITLE_TYPES = ("title", "article-title")
+HEADING_TYPES = ("section", "sec", "heading")
+AFFILIATION_TYPES = ("affiliation", "author-affiliation")
+
+
+def _passages(payload: Column) -> Column:
+    return F.flatten(F.transform(bioc_documents(payload), lambda d: F.coalesce(d["passages"], F.array().cast(f"array<{PASSAGE}>"))))
 
 
 def bioc_blocks(payloads: DataFrame, most: int = 8) -> DataFrame:
-    """Id, ordinal, kind, section, text of the first `most` passages that are not affiliations."""
-    p = payloads.select("id", F.posexplode(F.flatten(F.transform(bioc_documents(F.col("payload")), lambda d: F.coalesce(d["passages"], F.array().cast(f"array<{PASSAGE}>"))))).alias("pos", "p"))
-    kind = F.lower(F.coalesce(F.col("p.infons")["type"], F.lit("")))
-    section = F.coalesce(F.col("p.infons")["section_type"], F.lit(""))
-    p = p.withColumn("kind", F.when(kind.contains("title") & (F.col("pos") == 0), "title").when(kind.contains("title"), "heading").when(kind.contains("list"), "bullet").otherwise("para")).withColumn("section", section)
-    p = p.filter(~(kind.contains("aff") | F.lower("section").contains("aff")) & (strip(F.coalesce("p.text", F.lit(""))) != ""))
-    rows = p.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "kind", "section", F.col("p.text").alias("text")))), 1, most).alias("b"))
-    return rows.select("id", F.posexplode("b").alias("ordinal", "b")).select("id", "ordinal", "b.kind", "b.section", "b.text")
+    """Id, ordinal, kind, text of the first `most` passages that have text and are not affiliations."""
+
+    def kind(p: Column) -> Column:
+        return F.lower(F.coalesce(F.when(p["infons"]["type"] != "", p["infons"]["type"]), p["infons"]["section_type"], F.lit("")))
+
+    used = F.filter(_passages(F.col("payload")), lambda p: (strip(F.coalesce(p["text"], F.lit(""))) != "") & ~kind(p).isin(*AFFILIATION_TYPES))
+    rows = payloads.select("id", F.posexplode(F.slice(used, 1, most)).alias("ordinal", "p"))
+    named = F.when(kind(F.col("p")).isin(*TITLE_TYPES), "title").when(kind(F.col("p")).isin(*HEADING_TYPES), "heading").otherwise("para")
+    return rows.select("id", "ordinal", named.alias("kind"), strip(F.col("p.text")).alias("text"))
 
 
 def bioc_meta(payloads: DataFrame) -> DataFrame:
-    """Id, title, year, authors."""
-    d = payloads.select("id", F.get(bioc_documents(F.col("payload")), F.lit(0)).alias("d"))
-    title = F.get(F.col("d.passages"), F.lit(0))["text"]
-    years = F.concat_ws(" ", F.col("d.infons")["year"], F.array_join(F.transform("d.passages", lambda p: F.coalesce(p["infons"]["year"], p["infons"]["date"], F.lit(""))), " "))
-    said = lambda k: lambda p: p["infons"][k]
-    named = reduce(lambda a, b: F.concat(a, b), [F.concat(F.array(F.col("d.infons")[k]), F.transform("d.passages", said(k))) for k in AUTHOR_KEYS])
-    joined = F.array_join(F.filter(named, lambda x: x.isNotNull()), ";")
-    return d.select("id", title.alias("title"), year_of(years).alias("year"), norm_authors(joined).alias("authors"))
+    """Id, title, year, institutes (joined), authors; each the first that any passage gives, institutes and authors all."""
+    p = payloads.select("id", bioc_documents(F.col("payload")).alias("d"), _passages(F.col("payload")).alias("p"))
+
+    def infon(k: str):
+        return lambda x: x["infons"][k]
+
+    text = lambda x: strip(F.coalesce(x["text"], F.lit("")))
+    kind = lambda x: F.lower(F.coalesce(x["infons"]["type"], F.lit("")))
+    titles = F.filter("p", lambda x: (kind(x).isin(*TITLE_TYPES) | F.coalesce(x["infons"]["section_type"] == "TITLE", F.lit(False))) & (text(x) != ""))
+    dated = F.transform("p", lambda x: F.coalesce(year_of(F.coalesce(F.when(x["infons"]["year"] != "", x["infons"]["year"]), x["infons"]["date"])), year_of(x["text"])))
+    places = F.transform(F.filter("p", lambda x: kind(x).isin("aff", *AFFILIATION_TYPES)), text)
+    said = [F.transform("d", infon(k)) for k in DOCUMENT_AUTHOR_KEYS] + [F.transform("p", infon(k)) for k in PASSAGE_AUTHOR_KEYS]
+    first = lambda x: F.coalesce(x["infons"]["given-names"], x["infons"]["firstname"])
+    last = lambda x: F.coalesce(x["infons"]["surname"], x["infons"]["lastname"])
+    said.append(F.transform("p", lambda x: F.concat_ws(" ", first(x), last(x))))
+    joined = F.array_join(F.filter(F.concat(*said), lambda x: x.isNotNull()), ";")
+    authors, institutes = norm_authors(joined), ordered_distinct(places)
+    return p.select(
+        "id",
+        F.get(F.transform(titles, text), F.lit(0)).alias("title"),
+        F.get(F.filter(dated, lambda y: y.isNotNull()), F.lit(0)).alias("year"),
+        F.when(F.size(institutes) > 0, F.array_join(institutes, "; ")).alias("institutes"),
+        F.when(F.size(authors) > 0, authors).alias("authors"),
+    )
 
 
 def esearch_ids(payload: Column) -> Column:
@@ -111,15 +135,15 @@ def atom_entries(payloads: DataFrame) -> DataFrame:
             said = lambda p, e=e: re.sub(r"\s+", " ", (e.findtext(p, "", ns) or "")).strip()
             url = said("a:id")
             links = {(link.get("title") or link.get("rel") or ""): link.get("href") for link in e.findall("a:link", ns)}
-            yield (url.rpartition("/abs/")[2] or url, said("a:title"), said("a:summary"), [re.sub(r"\s+", " ", n.text or "").strip() for n in e.findall("a:author/a:name", ns)], said("a:published"), url, links.get("pdf"), said("x:doi") or None, said("x:journal_ref") or None)
+            yield (url.rpartition("/abs/")[2] or url, said("a:title"), said("a:summary"), [re.sub(r"\s+", " ", n.text or "").strip() for n in e.findall("a:author/a:name", ns)], said("a:published"), url, links.get("pdf"), links.get("doi"), said("x:doi") or None, said("x:journal_ref") or None)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([r for x in b.payload for r in entries(x)], columns=["raw_id", "title", "abstract", "names", "published", "abs_url", "pdf_url", "doi", "journal_ref"])
+            yield pd.DataFrame([r for x in b.payload for r in entries(x)], columns=["raw_id", "title", "abstract", "names", "published", "abs_url", "pdf_url", "doi_link", "own_doi", "journal_ref"])
 
-    r = payloads.select("payload").mapInPandas(each, "raw_id string, title string, abstract string, names array<string>, published string, abs_url string, pdf_url string, doi string, journal_ref string")
+    r = payloads.select("payload").mapInPandas(each, "raw_id string, title string, abstract string, names array<string>, published string, abs_url string, pdf_url string, doi_link string, own_doi string, journal_ref string")
     date = F.coalesce(F.try_to_date(F.substring("published", 1, 10), "yyyy-MM-dd"), year_of(F.col("published")))
-    return r.select(arxiv_id(F.col("raw_id")).alias("arxiv_id"), "title", "abstract", ordered_distinct(F.col("names")).alias("authors"), date.alias("published"), "abs_url", "pdf_url", "doi", "journal_ref").dropDuplicates(["arxiv_id"])
+    return r.select(arxiv_id(F.col("raw_id")).alias("arxiv_id"), "title", "abstract", ordered_distinct(F.col("names")).alias("authors"), date.alias("published"), "abs_url", "pdf_url", entry_doi(F.col("own_doi"), F.col("doi_link"), F.col("journal_ref"), F.col("raw_id")).alias("doi"), "journal_ref").dropDuplicates(["arxiv_id"])
 
 
 def _text(e: ElementTree.Element | None) -> str:

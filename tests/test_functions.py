@@ -52,7 +52,7 @@ def test_doc_ref(spark, ext, expected):
         (ident.authors, "", None),
         (ident.authors, " ; ", None),
         (ident.norm_authors, "A B, a b;C\nD", ["A B", "C", "D"]),
-        (ident.sanitize_arxiv_query, "hair cell[mesh] loss", 'all:"hair cell loss"'),
+        (ident.sanitize_arxiv_query, 'hair AND ("cell loss" OR ORBIT) ("open access"[filter]) (2019:2024[dp])', 'all:"hair" AND (all:"cell loss" OR all:"ORBIT")'),
         (ident.pmcid, " pmc12 ", "PMC12"),
     ],
 )

@@ -111,10 +111,11 @@ def test_blocks():
 
 def test_entities():
     (e,) = [x for x in ner.entities("arXiv:1\n\n[Methods]\nA CT scan") if x[1] == "device"]
-    assert (e[0], e[2]) == ("CT scan", 21) and e[5] == 0.85
+    assert (e[0], e[2], e[3]) == ("CT", 21, 23) and e[5] == 0.85
     stats = [(x[0], x[2]) for x in ner.entities("(p < 0.05)")]
     assert stats == [("p < 0.05", 1)]
     assert [x[0] for x in ner.entities("CI: 1.2-3.4")] == ["CI: 1.2-3.4"]
+    assert [x[0] for x in ner.entities("95% CI [1.2, 3.4]")] == ["95% CI"]
     assert ner.entities(None) == []
 
 

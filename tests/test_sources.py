@@ -13,7 +13,7 @@ from ragspark.plug import HashEmbedder
 from ragspark.sources import files, parsing
 from ragspark.streaming import logs
 
-DOC = {"id": "1", "infons": {}, "passages": [{"text": "A Title", "infons": {"type": "title", "year": "2019", "authors": "A B; C D"}}, {"text": "Dept", "infons": {"type": "aff"}}, {"text": "Body.", "infons": {"type": "paragraph", "section_type": "INTRO"}}]}
+DOC = {"id": "1", "infons": {}, "passages": [{"text": "A Title", "infons": {"type": "title", "year": "2019", "authors": "A B; C D"}}, {"text": "Dept", "infons": {"type": "affiliation"}}, {"text": "Body.", "infons": {"type": "paragraph", "section_type": "INTRO"}}]}
 
 
 def payloads(spark, *values):
@@ -30,7 +30,7 @@ def test_bioc_blocks_and_meta(spark):
     p = payloads(spark, json.dumps({"documents": [DOC]}))
     assert [(r.kind, r.text) for r in parsing.bioc_blocks(p).orderBy("ordinal").collect()] == [("title", "A Title"), ("para", "Body.")]
     m = parsing.bioc_meta(p).first()
-    assert (m.title, m.year, m.authors) == ("A Title", datetime.date(2019, 1, 1), ["A B", "C D"])
+    assert (m.title, m.year, m.institutes, m.authors) == ("A Title", datetime.date(2019, 1, 1), "Dept", ["A B", "C D"])
 
 
 ATOM = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><entry><id>http://arxiv.org/abs/2401.1v2</id><title>T
