@@ -399,7 +399,7 @@ def prompt(t: Tables) -> DataFrame:
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^ -~]', ' ', 'g'), '\b(eren\w*)\b', '<mark>\1</mark>', 'gi'), '\b(tion\w*)\b', '<mark>\1</mark>', 'gi') AS shown FROM p")
 def highlight(t: Tables) -> DataFrame:
     """Over ASCII, since RE2 and Java part words differently beyond it."""
-    return t.docs.select("doc_id", tx.highlight(F.regexp_replace("text", "[^ -~]", " "), "What eren tion the?").alias("shown"))
+    return t.docs.select("doc_id", tx.highlight(F.regexp_replace("text", "[^ -~]", " "), "What eren tion with").alias("shown"))
 
 
 @query("WITH s AS (SELECT doc_id % 20 AS d, doc_id AS i, length(text) AS n FROM p), r AS (SELECT *, sum(n) OVER (PARTITION BY d ORDER BY i) AS upto FROM s) SELECT d, i, greatest(0, least(n, 2000 - (upto - n))) AS taken FROM r WHERE 2000 - (upto - n) > 0".replace("greatest(0, least(n, 2000 - (upto - n)))", "CAST(greatest(0, least(n, 2000 - (upto - n))) AS BIGINT)"))
