@@ -321,7 +321,10 @@ class Join:
             both = links.unionByName(self.verified(more, sets, "rest"))
             of = scratch.save(components(both, scratch, "rest-cc"), "rest-of")
         out = sets.join(of.withColumnRenamed("node", "set_key"), "set_key", "left")
-        return out.select("doc_id", "n", "set_key", F.when(F.col("n") > 0, F.coalesce("component", "set_key")).alias("group"))
+        out = out.select("doc_id", "n", "set_key", F.when(F.col("n") > 0, F.coalesce("component", "set_key")).alias("group"))
+        out = scratch.save(out, "decided")
+        scratch.drop("read", "facts", "near", "stars", "star-links", "star-of", "more", "rest-links", "rest-of")
+        return out
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, settings: Settings = Settings()) -> DataFrame:
@@ -332,7 +335,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, s
     other. Empty table: no rows. Very long texts: whole. Other columns are not read.
     """
     d = Join(spark, docs, scratch, settings).run()
-    first = d.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("first"))
+    # A table of its own: the join's sides are then plain shuffles, which can be split at a hot group.
+    first = scratch.save(d.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("first")), "first")
     d = d.join(first, "group", "left")
     return d.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group").isNotNull(), F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -346,9 +350,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, scratch: Scratch, settings: S
 
     Where a doc_id is repeated or null, rows are told apart by their sets; of equal ones one stays.
     """
-    d = scratch.save(Join(spark, docs, scratch, settings).run(), "decided")
+    d = Join(spark, docs, scratch, settings).run()
     named = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set_key")
-    first = d.filter("n > 0").groupBy("group").agg(F.min(named).alias("first"))
+    first = scratch.save(d.filter("n > 0").groupBy("group").agg(F.min(named).alias("first")), "first")
     d = d.join(first, "group", "left").withColumn("stays", (F.col("n") == 0) | F.col("first").eqNullSafe(named))
     d = scratch.save(d.select("doc_id", "n", "set_key", "stays"), "stays")
     repeated = d.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select("doc_id")
