@@ -125,6 +125,16 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(mix(x))
 
 
+#: What an operator keeps in a worker between its tasks; a task of another one clears it.
+CACHES: list[dict] = []
+
+
+def release() -> None:
+    for cache in CACHES:
+        cache.clear()
+    trim()
+
+
 def trim() -> None:
     """Gives freed memory back at a task's end; workers are kept and would hold it."""
     import ctypes

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, hash_words, mix, shingles, slices, text_column, trim, words_of
+from .common import Scratch, hash_words, mix, release, shingles, slices, text_column, trim, words_of
 from .components import components
 
 #: Buckets travel in so many blocks.
@@ -146,6 +146,7 @@ class Join:
         s = self.settings
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             names = ["doc_id", "id_hash", "n", "set_key", "parity", "block", "counts"]
             counts, known = np.zeros(1 << s.bits, np.uint32), set()
             for batch in batches:
@@ -178,6 +179,7 @@ class Join:
         s, levels = self.settings, self.spark.sparkContext.broadcast(self.levels)  # 2**bits bytes
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             known: set[int] = set()
             for batch in batches:
                 for part in slices(batch):
@@ -209,6 +211,7 @@ class Join:
         here = self.spark.sparkContext.broadcast(summed(one.select("id_hash").mapInArrow(mark, "block int, counts binary"), s.id_bits, lambda x: x > 0) > 0)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             known: set[int] = set()
             for batch in batches:
                 at = batch.column("id_hash").to_numpy().view(np.uint64) >> np.uint64(64 - s.id_bits)

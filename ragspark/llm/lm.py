@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, hash_words, mix, text_column, words_of
+from .common import Scratch, crc_mod, hash_words, mix, release, text_column, words_of
 
 #: Fixed hashes of the tokens that no text can hold.
 END, START = np.uint64(0x454E44), np.uint64(0x5354415254)
@@ -142,6 +142,7 @@ def score(docs: DataFrame, scratch: Scratch, settings: Settings = Settings()) ->
     held_out = settings.held_out
 
     def read(group: pa.Table) -> tuple[pa.Table, Chunk]:
+        release()
         group = group.combine_chunks()
         batch = group.to_batches()[0] if group.num_rows else None
         texts = text_column(batch) if batch is not None else pa.array([], pa.string())
