@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,7 @@ from ..operators import filters as flt
 from ..operators.chunking import chunk_documents
 from ..operators.ivf import IvfIndex, suggested_lists
 from ..plug import prompt_context
+from ..session import shared_dir
 from ..sources import parsing
 from .derived import MODEL, SQL, Tables
 
@@ -173,12 +175,8 @@ def ivf_topk(t: Tables) -> DataFrame:
 
 
 def _ivf(t: Tables, probe_all: bool) -> DataFrame:
-    import tempfile
-    import uuid
-
-    place = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     n = min(32, suggested_lists(t.chunks.count()))
-    index = IvfIndex.build(t.chunks, f"{place}/ivf-{uuid.uuid4().hex}", n, MODEL)
+    index = IvfIndex.build(t.chunks, f"{shared_dir(t.spark)}/ivf-{uuid.uuid4().hex}", n, MODEL)
     return index.search(t.vector(), 10, n if probe_all else max(1, n // 4))
 
 
@@ -449,12 +447,9 @@ def ab_stats(t: Tables) -> DataFrame:
 @query("SELECT strategy, count(*) AS queries, round(sum(latency_ms) / count(*), 6) AS avg_latency_ms, round(sum(len(clicked_chunk_ids)) / CAST(count(*) AS DOUBLE), 6) AS click_through, round(avg(CASE WHEN user_rating <> 0 THEN user_rating END), 6) AS avg_rating FROM log WHERE event = 'user_interaction' GROUP BY strategy")
 def stream_ab_stats(t: Tables) -> DataFrame:
     """The same through a stream: the log is appended as JSON lines, then read as a stream to its end."""
-    import tempfile
-    import uuid
-
     from ..streaming.logs import ab_log, running_statistics
 
-    place = f"{t.spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/ab-{uuid.uuid4().hex}"
+    place = f"{shared_dir(t.spark)}/ab-{uuid.uuid4().hex}"
     experiments.append_log(t.log.select("event", "user_id", "strategy", "latency_ms", "clicked_chunk_ids", "user_rating"), f"{place}/log")
     name = f"ab_{uuid.uuid4().hex}"
     running_statistics(ab_log(t.spark, f"{place}/log"), name, f"{place}/state").awaitTermination()

@@ -1,7 +1,9 @@
-"""A session with the settings that the engine expects."""
+"""A session with the settings that the engine expects, and the folder that its nodes share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +13,15 @@ def session(master: str = "local[*]", name: str = "ragspark", **conf) -> SparkSe
     for k, v in ({"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.enabled": "false"} | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset a local folder, which only a local master can use."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="ragspark-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place
