@@ -8,6 +8,13 @@ base64 under an extension header, so no cut is wrong.
 
 from __future__ import annotations
 
+import base64
+import gzip
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +36,7 @@ def _record_id(page_id: Column, digest: Column) -> Column:
     return _uuid(F.concat_ws(":", F.lit("response"), F.coalesce(page_id.cast("string"), F.lit("")), digest))
 
 
-def records(pages: DataFrame) -> DataFrame:
+def warc_records(pages: DataFrame) -> DataFrame:
     """page_id, url, payload (text whose UTF-8 bytes are the payload), payload_bytes, payload_digest."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     return pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("payload_digest"))
@@ -114,6 +121,72 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive, plain or gzipped record by record, by stated lengths."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    pos = 0
+    while (begin := data.find(b"WARC/", pos)) >= 0:
+        end = data.find(b"\r\n\r\n", begin)
+        if end < 0:
+            return
+        lines = data[begin:end].decode("utf-8", "replace").split("\r\n")[1:]
+        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        size = int(head.get("content-length", 0))
+        yield head, data[end + 4 : end + 4 + size]
+        pos = end + 4 + size
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """Response and revisit records of archives from elsewhere (files under 2 GB, each read as one): as read() gives them.
+
+    Without an X-Page-ID a record is numbered by a hash of its id. The stated digest is of any kind.
+    """
+    schema = "record_type string, record_id string, url string, stated_digest string, stated_bytes long, refers_to_record string, page_id long, refers_to long, payload binary"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in schema.split(", ")]
+        for batch in batches:
+            for data in batch.column("content"):
+                rows = []
+                for head, block in parse(data.as_py()):
+                    if head.get("warc-type") not in ("response", "revisit"):
+                        continue
+                    http, _, body = block.partition(b"\r\n\r\n") if "application/http" in head.get("content-type", "") else (b"", b"", block)
+                    length = re.search(rb"(?i)\r\ncontent-length: *([0-9]+)", b"\r\n" + http)
+                    rid = head.get("warc-record-id", "")
+                    number = head.get("x-page-id") or xxhash.xxh3_64_intdigest(rid) >> 1
+                    refers = head.get("x-refers-to-page-id")
+                    if head.get("x-payload-encoding") == "base64":
+                        body = base64.b64decode(body)
+                    rows.append((head["warc-type"], rid, head.get("warc-target-uri"), head.get("warc-payload-digest", "").removeprefix("sha256:") or None, int(length[1]) if length else len(body), head.get("warc-refers-to"), int(number), int(refers) if refers else None, body))
+                if rows:
+                    kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(each, schema)
+
+
+def restore(records: DataFrame) -> DataFrame:
+    """page_id, url, html of every record: revisits are joined to the original response of their digest.
+
+    Digests and originals' ids alone are shuffled to find one original each; its payload then goes
+    to its revisits. A revisit whose original is nowhere has null html.
+    """
+    full = records.filter("record_type = 'response'")
+    again = records.filter("record_type = 'revisit'").select("page_id", "url", "stated_digest")
+    wanted = again.select("stated_digest").distinct()
+    one = full.select("stated_digest", "record_id").join(wanted, "stated_digest", "left_semi").groupBy("stated_digest").agg(F.min("record_id").alias("record_id"))
+    source = full.join(one, ["stated_digest", "record_id"], "left_semi").dropDuplicates(["stated_digest"]).select("stated_digest", F.col("payload").cast("string").alias("html"))
+    return full.select("page_id", "url", F.col("payload").cast("string").alias("html")).unionByName(again.join(source, "stated_digest", "left").select("page_id", "url", "html"))
+
+
+def rewrite(spark: SparkSession, records: DataFrame, path: str, keep, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Records of any archives as new ones: each payload once, revisits of it elsewhere, fresh headers."""
+    recs = warc_records(keep(restore(records), "restored"))
+    write(spark, recs, keep(resolve(recs.drop("payload")), "revisits"), path, date)
+
+
 def deduplicate(spark: SparkSession, pages: DataFrame, path: str, keep) -> DataFrame:
     """Writes `pages` as deduplicated archives under `path` and returns what they hold, a row per page.
 
@@ -121,7 +194,7 @@ def deduplicate(spark: SparkSession, pages: DataFrame, path: str, keep) -> DataF
     revisits. Repeated rows of the smallest page_id are all responses. Null url or page_id: the
     header is left out. Empty table: no rows. Other columns are not read.
     """
-    recs = records(pages)
+    recs = warc_records(pages)
     write(spark, recs, keep(resolve(recs.drop("payload")), "revisits"), path)
     r = read(spark, path)
     full = F.col("record_type") == "response"

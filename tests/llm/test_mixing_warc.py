@@ -140,3 +140,35 @@ def test_warc_shuffled_join(spark, scratch, monkeypatch):
     monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
     rows = [(i, "u", "same " * 40) for i in range(20)]
     assert sorted((tuple(r) for r in archived(spark, scratch, rows).collect()), key=repr) == plain_pages(rows)
+
+
+def test_rewrite_archives(spark, scratch):
+    """Two archives with revisits of their own become one set: a payload once, every page restored."""
+    rows = [(i, f"http://h/{i}", ["p" * 150, "q" * 150, "short", "\r\n\r\nWARC/1.1\r\n" * 9][i % 4]) for i in range(24)]
+    for k in range(2):
+        pages = spark.createDataFrame(rows[k * 12 : k * 12 + 12], PAGES)
+        warc.deduplicate(spark, pages, scratch.path(f"in{k}"), lambda df, n, k=k: scratch.save(df, f"{n}{k}")).collect()
+    both = warc.read(spark, scratch.path("in0")).unionByName(warc.read(spark, scratch.path("in1")))
+    warc.rewrite(spark, both, scratch.path("out"), scratch.save)
+    out = warc.read(spark, scratch.path("out"))
+    assert out.filter("record_type = 'response'").count() == 3 + 6
+    back = {(r.page_id, r.url, r.html) for r in warc.restore(out).collect()}
+    assert back == set(rows)
+    by_parser = warc.read_any(spark, scratch.path("out"))
+    assert {(r.page_id, r.url, r.html) for r in warc.restore(by_parser).collect()} == set(rows)
+
+
+def test_foreign_archive(spark, tmp_path):
+    import gzip
+
+    def record(kind, rid, body, extra=b""):
+        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: " + rid + b"\r\n" + extra + b"Content-Type: application/http;msgtype=response\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>WARC/1.0\r\n\r\n</p>"
+    data = [record(b"warcinfo", b"<0>", b"x"), record(b"response", b"<1>", page, b"WARC-Payload-Digest: sha1:A\r\n"), record(b"revisit", b"<2>", b"HTTP/1.1 200 OK\r\n\r\n", b"WARC-Payload-Digest: sha1:A\r\n"), record(b"revisit", b"<3>", b"", b"WARC-Payload-Digest: sha1:B\r\n")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in data))
+    (tmp_path / "b.warc").write_bytes(b"".join(data))
+    got = warc.read_any(spark, str(tmp_path))
+    assert got.count() == 6
+    html = sorted((r.html or "") for r in warc.restore(got).collect())
+    assert html == ["", ""] + ["<p>WARC/1.0\r\n\r\n</p>"] * 4
