@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chargrams import gram_hashes
-from .common import arrow_out, crc_mod, slices, text_column
+from .common import arrow_out, crc_mod, slices, small_batches, text_column
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -95,6 +95,7 @@ def fit(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), f
     Only their ids and, from the executors, their presence bits come to the driver: bounded whatever
     the texts' lengths. Rows of null lang or text and texts without a letter teach nothing.
     """
+    small_batches(spark)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", fold) != held_out))
     chosen = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows)
     rows = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
@@ -129,6 +130,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, fold: int = 4,
     fold of the empty text. Repeated rows: a row each. Empty table: no rows; nothing to learn from:
     all `und`. The whole text counts, however long. Other columns are not read.
     """
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2**bits x languages floats
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +145,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, fold: int = 4,
 
 def keep_identified(docs: DataFrame, model: Model, spark: SparkSession) -> DataFrame:
     """`docs` without the rows that identify() calls `und`: null text, or no letter in it."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import CACHES, arrow_out, slices, text_column, trim, words_of
+from .common import CACHES, arrow_out, slices, small_batches, text_column, trim, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a worker remembers; then it begins anew.
@@ -251,6 +251,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, settings: Sett
             yield flush()
         trim()
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(each, SCHEMA)
 
 

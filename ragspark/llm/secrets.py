@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_out, slices, text_column
+from .common import arrow_out, slices, small_batches, text_column
 
 # The base patterns. The upper-case and hex ones have their least length in them;
 # a run too short has no longer match inside, so that is the same as dropping it afterwards.
@@ -138,6 +138,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                     },
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(each, SCHEMA)
 
 
@@ -157,4 +158,5 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                     columns["n_chars"] = pa.array([c if a == b else len(b) for a, b, c in zip(old, new, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(each, fields)
