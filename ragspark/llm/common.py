@@ -27,8 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of an Arrow batch on its way to a worker: long texts fill batches of rows far beyond what JVM and worker can spare.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch on its way to a worker. Batches of thousands of long texts leave the
+#: executor's native memory in large pieces that it does not get back; workers put small ones together.
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -91,6 +92,21 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
+def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs of about `limit` bytes of text: small batches together, large ones in slices."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column, limit):
+            n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + n > limit:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words (A-Z lowered), each token's index among them, and the tokens' offsets by text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))

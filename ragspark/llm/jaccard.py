@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Scratch, hash_words, mix, release, shingles, slices, text_column, trim, words_of
+from .common import Scratch, hash_words, mix, release, runs, shingles, text_column, trim, words_of
 from .components import components
 
 #: Buckets travel in so many blocks.
@@ -112,9 +112,9 @@ def block_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """block, counts: a count by bucket in BLOCKS blocks, byte by byte of all (upper bytes are zeros and compress away)."""
     parts = counts.reshape(BLOCKS, -1)
     some = [b for b in range(BLOCKS) if parts[b].any()]
-    for i in range(0, len(some), 8):
-        packed = [parts[b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for b in some[i : i + 8]]
-        yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 8], pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+    for i in range(0, len(some), 2):
+        packed = [parts[b].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for b in some[i : i + 2]]
+        yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 2], pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
 
 def summed(rows: DataFrame, bits: int, level: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -149,18 +149,17 @@ class Join:
             release()
             names = ["doc_id", "id_hash", "n", "set_key", "parity", "block", "counts"]
             counts, known = np.zeros(1 << s.bits, np.uint32), set()
-            for batch in batches:
-                for part in slices(batch):
-                    sizes, keys, maps = [], [], []
-                    for x in text_sets(part, s.words):
-                        sizes.append(len(x))
-                        keys.append(set_key(x))
-                        maps.append(parity(x))
-                        if keys[-1] not in known:
-                            known.add(keys[-1])
-                            np.add.at(counts, (x >> np.uint64(64 - s.bits)).view(np.int64), np.uint32(1))
-                    blank = part.num_rows
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.nulls(blank, pa.int32()), pa.nulls(blank, pa.binary())], names=names)
+            for part in runs(batches):
+                sizes, keys, maps = [], [], []
+                for x in text_sets(part, s.words):
+                    sizes.append(len(x))
+                    keys.append(set_key(x))
+                    maps.append(parity(x))
+                    if keys[-1] not in known:
+                        known.add(keys[-1])
+                        np.add.at(counts, (x >> np.uint64(64 - s.bits)).view(np.int64), np.uint32(1))
+                blank = part.num_rows
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("id_hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(maps, pa.list_(pa.int64())), pa.nulls(blank, pa.int32()), pa.nulls(blank, pa.binary())], names=names)
             for rows in block_rows(counts):
                 n = rows.num_rows
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.nulls(n, pa.list_(pa.int64())), rows.column(0), rows.column(1)], names=names)
@@ -181,18 +180,17 @@ class Join:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             release()
             known: set[int] = set()
-            for batch in batches:
-                for part in slices(batch):
-                    found, keys, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-                    for x in text_sets(part, s.words):
-                        key = set_key(x)
-                        if key not in known:
-                            known.add(key)
-                            own, need = signatures(x, levels.value, s.least)
-                            found.append(own)
-                            keys.append(np.full(len(own), key, np.int64))
-                            needs.append(np.full(len(own), need, np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(needs))], names=["signature", "set_key", "need"])
+            for part in runs(batches):
+                found, keys, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                for x in text_sets(part, s.words):
+                    key = set_key(x)
+                    if key not in known:
+                        known.add(key)
+                        own, need = signatures(x, levels.value, s.least)
+                        found.append(own)
+                        keys.append(np.full(len(own), key, np.int64))
+                        needs.append(np.full(len(own), need, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(needs))], names=["signature", "set_key", "need"])
             trim()
 
         return self.docs.select("text").mapInArrow(each, "signature long, set_key long, need int")
@@ -213,17 +211,16 @@ class Join:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             release()
             known: set[int] = set()
-            for batch in batches:
-                at = batch.column("id_hash").to_numpy().view(np.uint64) >> np.uint64(64 - s.id_bits)
-                for part in slices(batch.filter(pa.array(here.value[at]))):
-                    keys, values = [], []
-                    for x in text_sets(part, s.words):
-                        key = set_key(x)
-                        if key not in known:
-                            known.add(key)
-                            keys.append(key)
-                            values.append(x.view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["set_key", "shingles"])
+            bucket = lambda b: b.column("id_hash").to_numpy().view(np.uint64) >> np.uint64(64 - s.id_bits)
+            for part in runs(b.filter(pa.array(here.value[bucket(b)])) for b in batches):
+                keys, values = [], []
+                for x in text_sets(part, s.words):
+                    key = set_key(x)
+                    if key not in known:
+                        known.add(key)
+                        keys.append(key)
+                        values.append(x.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.list_(pa.int64()))], names=["set_key", "shingles"])
             trim()
 
         found = self.docs.select("id_hash", "text").mapInArrow(each, "set_key long, shingles array<long>")
@@ -370,10 +367,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, scratch: Scratch, settings: S
     schema = StructType([*odd.schema.fields, StructField("_key", LongType())])
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                keys = pa.array([set_key(x) for x in text_sets(part, settings.words)], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, "_key"])
+        for part in runs(batches):
+            keys = pa.array([set_key(x) for x in text_sets(part, settings.words)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, "_key"])
 
     keyed = odd.mapInArrow(key, schema)
     won = d.filter("stays and n > 0").select(F.col("doc_id").alias("_i"), F.col("set_key").alias("_k")).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chargrams import gram_hashes
-from .common import arrow_out, crc_mod, slices, small_batches, text_column
+from .common import arrow_out, crc_mod, runs, small_batches, text_column
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -102,15 +102,14 @@ def fit(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), f
     orders, bits = settings.orders, settings.bits
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                packed = []
-                for t in text_column(part).to_pylist():
-                    seen = np.zeros(1 << bits, bool)
-                    if LETTER.search(t):
-                        seen[presence(t, orders, bits)] = True
-                    packed.append(np.packbits(seen).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(packed, pa.binary()), part.column("lang").cast(pa.string())], names=["doc_id", "bits", "lang"])
+        for part in runs(batches):
+            packed = []
+            for t in text_column(part).to_pylist():
+                seen = np.zeros(1 << bits, bool)
+                if LETTER.search(t):
+                    seen[presence(t, orders, bits)] = True
+                packed.append(np.packbits(seen).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(packed, pa.binary()), part.column("lang").cast(pa.string())], names=["doc_id", "bits", "lang"])
 
     got = rows.mapInArrow(each, "doc_id long, bits binary, lang string").toArrow().to_pydict()
     rank = sorted(range(len(got["doc_id"])), key=lambda i: (hash_order(got["doc_id"][i]), got["lang"][i], got["bits"][i]))[: settings.rows]
@@ -135,10 +134,9 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, fold: int = 4,
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-        for batch in batches:
-            for part in slices(batch):
-                lang, score = shared.value.predict(text_column(part).to_pylist())
-                yield arrow_out(schema, {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "lang_pred": lang, "score": score})
+        for part in runs(batches):
+            lang, score = shared.value.predict(text_column(part).to_pylist())
+            yield arrow_out(schema, {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "lang_pred": lang, "score": score})
 
     return docs.select("doc_id", (crc_mod("doc_id", fold) == held_out).alias("held_out"), "text").mapInArrow(each, SCHEMA)
 
@@ -149,9 +147,8 @@ def keep_identified(docs: DataFrame, model: Model, spark: SparkSession) -> DataF
     shared = spark.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                lang, _ = shared.value.predict(text_column(part).to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+        for part in runs(batches):
+            lang, _ = shared.value.predict(text_column(part).to_pylist())
+            yield part.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)

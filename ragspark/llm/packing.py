@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import CACHES, arrow_out, slices, small_batches, text_column, trim, words_of
+from .common import CACHES, arrow_out, runs, small_batches, text_column, trim, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a worker remembers; then it begins anew.
@@ -236,17 +236,16 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, settings: Sett
             return arrow_out(schema, out)
 
         held = 0
-        for batch in batches:
-            for part in slices(batch, limit=ENCODED):
-                got, words = encode(text_column(part), encoder)
-                for name, x, w in zip(part.column("doc_id").to_pylist(), got, words, strict=True):
-                    names.append(name)
-                    ids.append(np.append(x, np.uint32(settings.end)).astype(np.uint32))
-                    terms.append(w)
-                    held += len(ids[-1])
-                    if held >= settings.shard:
-                        yield flush()
-                        held = 0
+        for part in runs(batches, limit=ENCODED):
+            got, words = encode(text_column(part), encoder)
+            for name, x, w in zip(part.column("doc_id").to_pylist(), got, words, strict=True):
+                names.append(name)
+                ids.append(np.append(x, np.uint32(settings.end)).astype(np.uint32))
+                terms.append(w)
+                held += len(ids[-1])
+                if held >= settings.shard:
+                    yield flush()
+                    held = 0
         if names:
             yield flush()
         trim()

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_out, slices, small_batches, text_column
+from .common import arrow_out, runs, small_batches, text_column
 
 # The base patterns. The upper-case and hex ones have their least length in them;
 # a run too short has no longer match inside, so that is the same as dropping it afterwards.
@@ -125,18 +125,17 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("n_assign", "n_access", "n_hex")] + [("base_sha256", pa.string()), ("spans", pa.string())])
-        for batch in batches:
-            for part in slices(batch):
-                found = [scan(t) for t in text_column(part).to_pylist()]
-                yield arrow_out(
-                    schema,
-                    {
-                        "doc_id": part.column("doc_id"),
-                        **{f"n_{KINDS[k]}": [sum(s[1] == k for s in b) for b, _ in found] for k in range(3)},
-                        "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found],
-                        "spans": [joined(a) for _, a in found],
-                    },
-                )
+        for part in runs(batches):
+            found = [scan(t) for t in text_column(part).to_pylist()]
+            yield arrow_out(
+                schema,
+                {
+                    "doc_id": part.column("doc_id"),
+                    **{f"n_{KINDS[k]}": [sum(s[1] == k for s in b) for b, _ in found] for k in range(3)},
+                    "base_sha256": [hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found],
+                    "spans": [joined(a) for _, a in found],
+                },
+            )
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(each, SCHEMA)
@@ -147,16 +146,15 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     fields = docs.schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                names = part.schema.names
-                columns = {n: part.column(i) for i, n in enumerate(names)}
-                old = text_column(part).to_pylist()
-                new = [redact(t) for t in old]
-                columns["text"] = pa.array(new, pa.string())
-                if "n_chars" in names:
-                    columns["n_chars"] = pa.array([c if a == b else len(b) for a, b, c in zip(old, new, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
-                yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+        for part in runs(batches):
+            names = part.schema.names
+            columns = {n: part.column(i) for i, n in enumerate(names)}
+            old = text_column(part).to_pylist()
+            new = [redact(t) for t in old]
+            columns["text"] = pa.array(new, pa.string())
+            if "n_chars" in names:
+                columns["n_chars"] = pa.array([c if a == b else len(b) for a, b, c in zip(old, new, columns["n_chars"].to_pylist(), strict=True)], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(each, fields)

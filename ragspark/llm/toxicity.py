@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chargrams import gram_hashes
-from .common import Scratch, arrow_out, crc_mod, slices, text_column
+from .common import Scratch, arrow_out, crc_mod, runs, text_column
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -173,9 +173,8 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, fold: int = 3, hel
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
         m = shared.value
-        for batch in batches:
-            for part in slices(batch):
-                s = [m.score(t) for t in text_column(part).to_pylist()]
-                yield arrow_out(schema, {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": s, "predicted": [int(x >= m.settings.least) for x in s]})
+        for part in runs(batches):
+            s = [m.score(t) for t in text_column(part).to_pylist()]
+            yield arrow_out(schema, {"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "score": s, "predicted": [int(x >= m.settings.least) for x in s]})
 
     return docs.select("doc_id", (crc_mod("doc_id", fold) == held_out).alias("held_out"), "text").mapInArrow(each, SCHEMA)
