@@ -195,10 +195,10 @@ class Join:
 
         return self.docs.select("text").mapInArrow(each, "signature long, set_key long, need int")
 
-    def contents(self, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-        """set_key, shingles of the wanted set_keys, from one document each."""
+    def contents(self, facts: DataFrame, wanted: DataFrame) -> DataFrame:
+        """set_key, shingles of the wanted set_keys, from the documents of one id each."""
         s = self.settings
-        one = sets.join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.min("id_hash").alias("id_hash"))
+        one = facts.join(wanted, "set_key", "left_semi").select("set_key", "id_hash")
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = np.zeros(1 << s.id_bits, np.uint32)
@@ -278,10 +278,10 @@ class Join:
 
         return m.groupBy("pile").applyInArrow(pairs, "a long, b long").distinct()
 
-    def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    def verified(self, pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose Jaccard similarity reaches the threshold."""
         ends = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-        held = self.scratch.save(self.contents(sets, ends), f"{name}-sets")
+        held = self.scratch.save(self.contents(facts, ends), f"{name}-sets")
         both = pairs.join(held.select(F.col("set_key").alias("a"), F.col("shingles").alias("_x")), "a").join(held.select(F.col("set_key").alias("b"), F.col("shingles").alias("_y")), "b")
         shared = F.size(F.array_intersect("_x", "_y"))
         good = both.filter(100 * shared >= self.settings.least * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
@@ -305,20 +305,20 @@ class Join:
         live = live.join(live.groupBy("signature").agg(F.min(rank).alias("best"), F.max(rank).alias("worst")).filter("best <> worst").select("signature", F.col("best.set_key").alias("first")), "signature")
         live = scratch.save(live.select("signature", "set_key", "first"), "live")
         scratch.drop("shared", "able")
-        facts = scratch.save(sets.groupBy("set_key").agg(F.max("n").alias("n"), F.min("parity").alias("parity")), "facts")
+        facts = scratch.save(sets.groupBy("set_key").agg(F.max("n").alias("n"), F.min("parity").alias("parity"), F.min("id_hash").alias("id_hash")), "facts")
         stars = live.filter("set_key <> first").select(F.least("first", "set_key").alias("a"), F.greatest("first", "set_key").alias("b")).distinct()
         stars = scratch.save(stars, "stars")
-        links = self.verified(scratch.save(self.possible(stars, facts), "near"), sets, "star")
+        links = self.verified(scratch.save(self.possible(stars, facts), "near"), facts, "star")
         of = scratch.save(components(links, scratch, "star-cc"), "star-of")
         placed = live.join(of.withColumnRenamed("node", "set_key"), "set_key", "left").select("signature", "set_key", F.coalesce("component", "set_key").alias("component"))
         # Two sets of a signature have met as centre and other; of three, two may not have.
         torn = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("sets")).filter("low <> high and sets > 2").select("signature")
-        left = scratch.save(placed.join(torn, "signature", "left_semi").join(facts, "set_key"), "left")
+        left = scratch.save(placed.join(torn, "signature", "left_semi").join(facts.drop("id_hash"), "set_key"), "left")
         more = self.apart(left).join(stars, ["a", "b"], "left_anti")
         more = scratch.save(more, "more")
         scratch.drop("live", "left")
         if not more.isEmpty():
-            both = links.unionByName(self.verified(more, sets, "rest"))
+            both = links.unionByName(self.verified(more, facts, "rest"))
             of = scratch.save(components(both, scratch, "rest-cc"), "rest-of")
         out = sets.join(of.withColumnRenamed("node", "set_key"), "set_key", "left")
         out = out.select("doc_id", "n", "set_key", F.when(F.col("n") > 0, F.coalesce("component", "set_key")).alias("group"))
