@@ -225,6 +225,50 @@ def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, most_queri
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
+def batch_matches(chunks: DataFrame, queries: DataFrame, n: int, mode: str = "and") -> DataFrame:
+    """query_id, chunk_id, text_score, text_rank: the n best matches of many queries (query_id, words) in one join on terms.
+
+    Only the queries' terms leave the chunks: those are counted a chunk before anything is shuffled.
+    """
+    first = F.slice(F.split(tx.strip(F.col("words")), r"\s+"), 1, 10)
+    asked = queries.select("query_id", F.array_distinct(tx.terms(F.array_join(first, " "))).alias("asked"))
+    asked = asked.select("query_id", F.size("asked").alias("n_asked"), F.explode("asked").alias("term"))
+    words = chunks.select("chunk_id", tx.terms(F.col("text")).alias("w"))
+    known = asked.select("term").distinct()
+    tf = words.select("chunk_id", F.size("w").alias("n_words"), F.explode("w").alias("term")).join(known, "term", "left_semi")
+    tf = tf.groupBy("chunk_id", "n_words", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = tf.join(asked, "term").groupBy("query_id", "chunk_id", "n_words", "n_asked").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("found"))
+    hits = hits if mode == "or" else hits.filter("found = n_asked")
+    hits = hits.withColumn("text_score", F.round(F.col("tf").cast("double") / F.col("n_words"), 6))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("text_score"), "chunk_id"))
+    return hits.withColumn("text_rank", rank.cast("long")).filter(F.col("text_rank") <= n).select("query_id", "chunk_id", "text_score", "text_rank")
+
+
+def batch_hybrid(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k: int = 10, fusion: str = "rrf", mode: str = "and", rrf_k: int = 60, weights=(0.5, 0.3, 0.2), multiplier: int = 3) -> DataFrame:
+    """Strategies 3 (fusion="rrf") and 4 ("weighted") for many queries (query_id, vector, words) in one plan.
+
+    Candidates carry ids and scores; the chunks' document and section, and mentions of these alone,
+    are joined to them afterwards.
+    """
+    n = multiplier * k
+    v = batch_nearest(chunks, queries, n).withColumnRenamed("rank", "vector_rank")
+    c = v.join(batch_matches(chunks, queries, n, mode), ["query_id", "chunk_id"], "full_outer").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    if fusion == "rrf":
+        part = lambda r: F.lit(1.0) / (F.lit(float(rrf_k)) + F.coalesce(F.col(r), F.lit(n + 1)))
+        c = c.withColumn("final_score", F.round(part("vector_rank") + part("text_rank"), 8))
+    else:
+        top = F.max("text_score").over(Window.partitionBy("query_id"))
+        norm = F.coalesce(F.try_divide(F.col("text_score"), F.when(top > 0, top)), F.lit(0.0))
+        c = c.withColumn("norm", norm).join(chunks.select("chunk_id", "doc_id", "section_name"), "chunk_id")
+        key = ["doc_id", "section_name"]
+        counts = mentions.join(c.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("mention_count"))
+        c = c.join(counts, key, "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0).cast("long")))
+        c = c.withColumn("final_score", F.round(weights[0] * F.col("similarity") + weights[1] * F.col("norm") + weights[2] * ner_score(F.col("mention_count")), 6))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "chunk_id"))
+    c = c.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
+    return c.select("query_id", "rank", "chunk_id", "similarity", "text_score", "final_score")
+
+
 def self_neighbours(vectors: DataFrame, k: int = 10, most: int = 10_000) -> DataFrame:
     """Each vector's k nearest others; a diagnostic over a sample of at most `most` rows."""
     found = batch_nearest(vectors, vectors.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), k + 1, most)

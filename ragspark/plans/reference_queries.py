@@ -159,6 +159,30 @@ def batch_topk(t: Tables) -> DataFrame:
     return retrieval.batch_nearest(t.chunks, q, 10)
 
 
+BATCH = f"""q AS (SELECT chunk_id AS query_id, embedding AS e, CASE WHEN chunk_id % 40 = 0 THEN ['the', 'of'] ELSE ['de', 'la'] END AS asked FROM chunks WHERE chunk_id % 20 = 0),
+  sv AS (SELECT query_id, chunk_id, round(list_cosine_similarity(embedding, e), 6) AS similarity FROM q, chunks),
+  v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS vector_rank FROM sv QUALIFY vector_rank <= 30),
+  w AS (SELECT chunk_id, {TERMS} AS w FROM chunks),
+  st AS (SELECT query_id, chunk_id, round(CAST(len(list_filter(w, lambda x: list_contains(asked, x))) AS DOUBLE) / len(w), 6) AS text_score FROM q, w WHERE list_has_all(w, asked)),
+  t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_score DESC, chunk_id) AS text_rank FROM st QUALIFY text_rank <= 30),
+  vt AS (SELECT query_id, chunk_id, coalesce(similarity, 0) AS similarity, text_score, vector_rank, text_rank FROM v FULL JOIN t USING (query_id, chunk_id))"""
+
+
+def _batch(t: Tables) -> DataFrame:
+    q = t.chunks.filter("chunk_id % 20 = 0")
+    return q.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"), F.when(F.col("chunk_id") % 40 == 0, " The of,").otherwise("de la de").alias("words"))
+
+
+@query(f"WITH {BATCH}, f AS (SELECT query_id, chunk_id, similarity, text_score, round(1.0::DOUBLE / (60.0::DOUBLE + coalesce(vector_rank, 31)) + 1.0::DOUBLE / (60.0::DOUBLE + coalesce(text_rank, 31)), 8) AS final_score FROM vt) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10")
+def batch_hybrid_rrf(t: Tables) -> DataFrame:
+    return retrieval.batch_hybrid(t.chunks, t.mentions, _batch(t), 10)
+
+
+@query(f"WITH {BATCH}, mc AS (SELECT doc_id, section_name, count(*) AS mention_count FROM mentions WHERE section_name IS NOT NULL GROUP BY ALL), f AS (SELECT query_id, vt.chunk_id, similarity, text_score, round(0.5::DOUBLE * similarity + 0.3::DOUBLE * coalesce(text_score / nullif(max(text_score) OVER (PARTITION BY query_id), 0), 0) + 0.2::DOUBLE * {NER}, 6) AS final_score FROM vt JOIN chunks c ON c.chunk_id = vt.chunk_id LEFT JOIN mc ON mc.doc_id = c.doc_id AND mc.section_name = c.section_name) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10")
+def batch_full_hybrid(t: Tables) -> DataFrame:
+    return retrieval.batch_hybrid(t.chunks, t.mentions, _batch(t), 10, fusion="weighted")
+
+
 @query("WITH s AS (SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM chunks a JOIN chunks b ON a.chunk_id <> b.chunk_id AND a.label = b.label WHERE a.label = 1) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5")
 def knn_self(t: Tables) -> DataFrame:
     return retrieval.self_neighbours(t.chunks.filter("label = 1"), 5)
