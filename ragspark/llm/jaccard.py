@@ -245,7 +245,7 @@ class Join:
         pairs that may link leave them.
         """
         least = self.settings.least
-        tiles = members.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+        tiles = self.scratch.save(members.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")), "tiles")
         m = members.join(tiles, "signature").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         m = m.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "component", "n", "parity")
@@ -293,30 +293,34 @@ class Join:
         """doc_id, n (null text: 0), set_key, group (a set_key: that of the smallest set linked; null for empty sets)."""
         scratch, least = self.scratch, self.settings.least
         sets = self.read()
+        # What is counted by a key becomes a table before it is joined back: both sides of the join are
+        # then plain shuffles, which can be split where a third of all sets have one signature.
         posted = scratch.save(self.postings(), "postings")
-        live = posted.groupBy("signature").agg(F.min("set_key").alias("first"), F.max("set_key").alias("last")).filter("first <> last").select("signature", "first")
-        # A third of all sets may have one signature: its side of the join can be split.
-        live = scratch.save(posted.join(live, "signature").distinct(), "shared")
-        scratch.drop("postings")
+        twice = posted.groupBy("signature").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low <> high").select("signature")
+        live = scratch.save(posted.join(scratch.save(twice, "twice"), "signature"), "often")
+        live = scratch.save(live.distinct(), "shared")
+        scratch.drop("postings", "often")
         able = live.groupBy("set_key").agg(F.count(F.lit(1)).alias("have"), F.max("need").alias("need")).filter("have >= need").select("set_key", "have")
         live = scratch.save(live.join(able, "set_key").select("signature", "set_key", "have"), "able")
         # The set that shares most is the least changed of its copies: the others are compared with it.
         rank = F.struct((-F.col("have")).alias("less"), "set_key")
-        live = live.join(live.groupBy("signature").agg(F.min(rank).alias("best"), F.max(rank).alias("worst")).filter("best <> worst").select("signature", F.col("best.set_key").alias("first")), "signature")
+        best = live.groupBy("signature").agg(F.min(rank).alias("best"), F.max(rank).alias("worst")).filter("best <> worst").select("signature", F.col("best.set_key").alias("first"))
+        live = live.join(scratch.save(best, "best"), "signature")
         live = scratch.save(live.select("signature", "set_key", "first"), "live")
-        scratch.drop("shared", "able")
+        scratch.drop("twice", "shared", "able", "best")
         facts = scratch.save(sets.groupBy("set_key").agg(F.max("n").alias("n"), F.min("parity").alias("parity"), F.min("id_hash").alias("id_hash")), "facts")
         stars = live.filter("set_key <> first").select(F.least("first", "set_key").alias("a"), F.greatest("first", "set_key").alias("b")).distinct()
         stars = scratch.save(stars, "stars")
         links = self.verified(scratch.save(self.possible(stars, facts), "near"), facts, "star")
         of = scratch.save(components(links, scratch, "star-cc"), "star-of")
-        placed = live.join(of.withColumnRenamed("node", "set_key"), "set_key", "left").select("signature", "set_key", F.coalesce("component", "set_key").alias("component"))
+        placed = live.select("signature", "set_key").join(of.withColumnRenamed("node", "set_key"), "set_key", "left").select("signature", "set_key", F.coalesce("component", "set_key").alias("component"))
+        placed = scratch.save(placed, "placed")
         # Two sets of a signature have met as centre and other; of three, two may not have.
         torn = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("sets")).filter("low <> high and sets > 2").select("signature")
-        left = scratch.save(placed.join(torn, "signature", "left_semi").join(facts.drop("id_hash"), "set_key"), "left")
+        left = scratch.save(placed.join(scratch.save(torn, "torn"), "signature", "left_semi").join(facts.drop("id_hash"), "set_key"), "left")
         more = self.apart(left).join(stars, ["a", "b"], "left_anti")
         more = scratch.save(more, "more")
-        scratch.drop("live", "left")
+        scratch.drop("live", "placed", "torn", "left", "tiles")
         if not more.isEmpty():
             both = links.unionByName(self.verified(more, facts, "rest"))
             of = scratch.save(components(both, scratch, "rest-cc"), "rest-of")
