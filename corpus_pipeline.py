@@ -19,23 +19,37 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts and texts without a letter go; all else stays, repeated rows too, whatever is null beside the text.
+
+    Columns other than COLUMNS go, here and in the next three stages; an empty table stays empty in all.
+    """
     return langid.keep_identified(docs.select(COLUMNS), langid.fit(spark, docs), spark)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents that of the smallest doc_id stays (null last); texts without words all stay.
+
+    Of repeated rows one stays; different texts under one doc_id are different documents.
+    """
     return jaccard.keep_one(spark, docs.select(COLUMNS), Scratch(spark, "pipeline-near"))
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays; null and empty texts as they are; a null n_chars is set only where the text changed."""
     return secrets.redact_documents(docs.select(COLUMNS))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null sources are a source; a text without words counts 0 and is taken as its source's others are.
+
+    A source without any word has target 0 and goes; repeated rows are taken each for itself.
+    """
     mixed = mixing.mix_sources(docs.select(COLUMNS).withColumn("size", mixing.word_count("text")))
     return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 
 def lexical_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts are an end id alone; repeated rows are packed each for itself; a long text goes on in the next sequence."""
     return packing.pack_documents(docs)
 
 

@@ -96,6 +96,23 @@ def test_run_is_the_stages(spark, sf_dir, stages):
     assert {r.doc_id for r in got.collect()} == {r.doc_id for r in stages[-1][2]} and key
 
 
+def test_odd_rows(spark, docs, sf_dir):
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, "12 34", "en", "a"), (4, "One two three four", None, None), (4, "One two three four", None, None), (None, "one TWO three four", "en", "b"), (None, "alone in the world", None, "b"), (5, "token=abcdef123 and more words", "en", None), (6, "the of and " * 20_000, "en", "a"), (7, "one two three four", "en", "c")]
+    d = docs(rows)
+    out = []
+    for _, f in corpus_pipeline.STAGES:
+        after = Scratch(spark, "odd").save(f(spark, d, sf_dir), "x")
+        out.append(after.collect())
+        d = after
+    assert len(out[0]) == 7 and {r.doc_id for r in out[1]} == {4, None, 5, 6} and len(out[1]) == 4
+    assert [r.text for r in out[2] if r.doc_id == 5] == ["[REDACTED] and more words"]
+    assert {r.doc_id for r in out[3]} <= {4, None, 5, 6} and out[4]
+    empty = docs([])
+    for _, f in corpus_pipeline.STAGES:
+        empty = Scratch(spark, "none").save(f(spark, empty, sf_dir), "x")
+        assert empty.count() == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 
