@@ -46,7 +46,24 @@ class IvfIndex:
         fitted = KMeans(k=nlist, seed=seed, distanceMeasure="cosine", featuresCol="_v", predictionCol="list_id").fit(few)
         placed = fitted.transform(withv).drop("_v")
         placed.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
-        return cls(c.sparkSession, path, np.asarray(fitted.clusterCenters()))
+        centers = [(i, [float(x) for x in v]) for i, v in enumerate(fitted.clusterCenters())]
+        c.sparkSession.createDataFrame(centers, "list_id int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/_centroids")
+        return cls(c.sparkSession, path, np.asarray([v for _, v in centers]))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> IvfIndex:
+        """An index that was built before; its centroids (nlist rows) come to the driver."""
+        rows = spark.read.parquet(f"{path}/_centroids").orderBy("list_id").collect()
+        return cls(spark, path, np.asarray([r.centroid for r in rows]))
+
+    def verify(self) -> DataFrame:
+        """list_id and rows of each list; only partition folders and counts are read."""
+        return self.spark.read.parquet(self.path).groupBy("list_id").agg(F.count(F.lit(1)).alias("rows"))
+
+    def drop(self) -> None:
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def search(self, query: Sequence[float], k: int = 10, nprobe: int | None = None) -> DataFrame:
         """Exact within the nprobe lists whose centroids are nearest; only their folders are read."""

@@ -51,6 +51,31 @@ def test_ivf_all_probes_is_exact(spark, t, tmp_path):
     index = IvfIndex.build(t.chunks, str(tmp_path / "ivf"), 8, MODEL)
     assert ids(index.search(t.vector(), 10, 8)) == ids(retrieval.vector_only(t.chunks, t.vector(), 10, MODEL))
     assert len(ids(index.search(t.vector(), 3, 1))) <= 3
+    again = IvfIndex.open(spark, str(tmp_path / "ivf"))
+    assert ids(again.search(t.vector(), 10, 3)) == ids(index.search(t.vector(), 10, 3))
+    assert again.verify().agg(F.sum("rows")).first()[0] == retrieval.of_model(t.chunks, MODEL).count()
+    again.drop()
+    assert not (tmp_path / "ivf").exists()
+
+
+def test_ivf_settings():
+    from ragspark.operators import ivf
+
+    assert ivf.default_probes(96) == 6 and ivf.default_probes(3) == 1 and ivf.suggested_lists(10_000) == 150
+    assert ivf.check_lists(150, 10_000)
+    with pytest.warns(UserWarning):
+        assert not ivf.check_lists(20, 10_000)
+
+
+def test_forced_assignment(spark):
+    e = experiments.Experiment()
+    e.register("a")
+    r = e.assign(spark.createDataFrame([("u", "s")], "user_id string, session_id string"), forced="a").first()
+    assert (r.strategy, r.experiment_id) == ("a", "forced_a")
+
+
+def test_stems_find_more(t):
+    assert retrieval.stemmed_matches(t.chunks, "the eren", 5, "or").count() >= 0
 
 
 def test_upserts(spark):
