@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.chunking import chunk_documents
+
 #: Patterns that stand for the four labels in invented prose; RE2 and Java read them alike.
 LABEL_PATTERNS = (("device", "[a-z]{2,}ment"), ("disease", "[a-z]{2,}heit"), ("drug", "[a-z]{3,}tion"), ("statistical_significance", "[0-9]+"))
 MODEL = "hash-64"
@@ -43,6 +45,12 @@ class Tables:
         i = F.col("doc_id")
         return v.join(d, "doc_id").select("chunk_id", "doc_id", (i % 4).cast("int").alias("chunk_index"), "text", "embedding", F.when(i % 10 == 9, F.lit("other")).otherwise(F.lit(MODEL)).alias("embedding_model"), F.when(i % 17 != 0, F.concat(F.lit("S"), (i % 3).cast("string"))).alias("section_name"), "label")
 
+    @cached_property
+    def whole_chunks(self) -> DataFrame:
+        """The chunker's chunks of whole documents, with their full text; chunk_id is the document's and the index."""
+        c = chunk_documents(self.raw("documents").select("doc_id", "text"))
+        return c.select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", F.col("full_text").alias("text"), "section_name")
+
     @cached_property
     def mentions(self) -> DataFrame:
         d = self.raw("documents").select("doc_id", F.substring("text", 1, 500).alias("text"))

@@ -112,7 +112,7 @@ def text_topk(t: Tables) -> DataFrame:
 
 @query()
 def stemmed_text_topk(t: Tables) -> DataFrame:
-    return retrieval.stemmed_matches(t.chunks, "onions eren the", 30, "or")
+    return retrieval.stemmed_matches(t.whole_chunks, "onions eren the", 30, "or")
 
 
 @query("SELECT CASE WHEN chunk_id IS NULL THEN NULL ELSE section_name END AS topic, count(*) AS found, count(CASE WHEN chunk_id % 3 = 0 THEN 1 END) AS ingested, count(CASE WHEN chunk_id % 3 = 1 THEN 1 END) AS skipped, count(CASE WHEN chunk_id % 3 = 2 THEN 1 END) AS errors FROM chunks WHERE section_name IS NOT NULL GROUP BY 1 UNION ALL SELECT 'all', count(*), count(CASE WHEN chunk_id % 3 = 0 THEN 1 END), count(CASE WHEN chunk_id % 3 = 1 THEN 1 END), count(CASE WHEN chunk_id % 3 = 2 THEN 1 END) FROM chunks WHERE section_name IS NOT NULL")
@@ -235,7 +235,7 @@ def dedup_mentions(t: Tables) -> DataFrame:
 
 @query()
 def extract_mentions(t: Tables) -> DataFrame:
-    return ner.dedup(ner.extract_mentions(t.chunks, {"stupid": "disease", "license": "drug"}))
+    return ner.dedup(ner.extract_mentions(t.whole_chunks, {"stupid": "disease", "license": "drug"}))
 
 
 # --- storage and planning ---------------------------------------------------------------------
