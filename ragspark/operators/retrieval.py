@@ -21,6 +21,8 @@ from ..functions.identifiers import doc_ref
 from . import filters as flt
 
 MISSING = 999999
+#: Queries of a block whose scores with a batch are held at once.
+QUERY_ROWS = 512
 
 
 def of_model(chunks: DataFrame, model: str | None) -> DataFrame:
@@ -193,36 +195,66 @@ def mentions_by_label(mentions: DataFrame, label: str, limit: int = 100) -> Data
     return mentions.filter(F.col("label") == label).orderBy(F.desc("created_at"), "mention_id").limit(limit)
 
 
-def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 10_000) -> DataFrame:
-    """query_id, rank, chunk_id, similarity: top k of many queries in one pass over the chunks.
-
-    The queries (query_id, vector) are broadcast behind a check of their number; each batch of
-    chunks is one matrix product whose k best per query leave it, so the shuffle carries
-    k x batches rows a query. More queries than most_queries: call it for parts of them.
-    """
-    q = queries.select("query_id", vec.as_double("vector").alias("vector")).orderBy("query_id").limit(most_queries + 1).toArrow()
-    if q.num_rows > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    ids = q.column("query_id").to_pylist()
-    m = np.asarray(q.column("vector").to_pylist(), float).reshape(len(ids), -1)
-    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+def query_blocks(queries: DataFrame, most: int) -> Iterator[tuple[list[int], list]]:
+    """The queries' ids and vectors in blocks of at most `most`; the driver holds a block and a partition."""
+    q = queries.select("query_id", vec.as_double("vector").alias("vector"))
+    first = q.limit(most + 1).toArrow()
+    if first.num_rows <= most:
+        yield first.column("query_id").to_pylist(), first.column("vector").to_pylist()
+        return
+    ids: list[int] = []
+    vectors: list = []
+    for r in q.toLocalIterator():
+        ids.append(r.query_id)
+        vectors.append(r.vector)
+        if len(ids) == most:
+            yield ids, vectors
+            ids, vectors = [], []
+    if ids:
+        yield ids, vectors
+
+
+def best_places(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest scores, ties by the smaller id."""
+    at = np.arange(len(scores))
+    if len(scores) > 4 * k:
+        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+
+
+def block_nearest(chunks: DataFrame, ids: list[int], vectors: list, k: int) -> DataFrame:
+    """query_id, chunk_id, similarity: each Arrow batch's k best chunks of each query of a block."""
+    m = np.asarray(vectors, float).reshape(len(ids), -1 if ids else 0)
+    shared = chunks.sparkSession.sparkContext.broadcast(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
         for b in batches:
             c = np.asarray(b.column("chunk_id"))
             v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
-            s = np.round((m @ v.T) / np.maximum(np.linalg.norm(v, axis=1), 1e-12), 6)
-            out: tuple[list, list, list] = ([], [], [])
-            for i in range(len(ids)):
-                top = np.lexsort((c, -s[i]))[:k]
-                out[0].extend([ids[i]] * len(top))
-                out[1].extend(c[top].tolist())
-                out[2].extend(s[i][top].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "chunk_id", "similarity"])
-
-    found = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", vec.as_double("embedding").alias("embedding")).mapInArrow(each, "query_id long, chunk_id long, similarity double")
+            norms = np.maximum(np.linalg.norm(v, axis=1), 1e-12)
+            for start in range(0, len(ids), QUERY_ROWS):
+                s = np.round((m[start : start + QUERY_ROWS] @ v.T) / norms, 6)
+                out: tuple[list, list, list] = ([], [], [])
+                for i in range(len(s)):
+                    top = best_places(s[i], c, k)
+                    out[0].extend([ids[start + i]] * len(top))
+                    out[1].extend(c[top].tolist())
+                    out[2].extend(s[i][top].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "chunk_id", "similarity"])
+
+    return chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", vec.as_double("embedding").alias("embedding")).mapInArrow(each, "query_id long, chunk_id long, similarity double")
+
+
+def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 10_000) -> DataFrame:
+    """query_id, rank, chunk_id, similarity: top k of any number of queries, a pass over the chunks a block of most_queries.
+
+    A block's queries (query_id, vector) are broadcast; each batch of chunks is a matrix product
+    whose k best per query leave it, so the shuffle carries k x batches rows a query.
+    """
+    parts = [block_nearest(chunks, ids, vectors, k) for ids, vectors in query_blocks(queries, most_queries)]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
-    return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    return reduce(DataFrame.unionAll, parts).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
 def batch_matches(chunks: DataFrame, queries: DataFrame, n: int, mode: str = "and") -> DataFrame:
@@ -270,7 +302,7 @@ def batch_hybrid(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k:
 
 
 def self_neighbours(vectors: DataFrame, k: int = 10, most: int = 10_000) -> DataFrame:
-    """Each vector's k nearest others; a diagnostic over a sample of at most `most` rows."""
+    """Each vector's k nearest others, in blocks of `most` vectors."""
     found = batch_nearest(vectors, vectors.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), k + 1, most)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return found.filter("query_id <> chunk_id").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
