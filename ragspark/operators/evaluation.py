@@ -152,17 +152,20 @@ def masked(vectors: DataFrame, keep: float, seed: int, column: str = "embedding"
     return vectors.withColumn(column, normalize(F.array(*[F.col(column)[i] for i in take])))
 
 
-def ablation(vectors: DataFrame, keep: float, trials: int = 6, k: int = 10, dim: int = 64, most: int = 1500) -> dict:
-    """How much of the k nearest stays when dimensions go; over at most `most` rows of smallest hash."""
+def ablation(vectors: DataFrame, keep: float, trials: int = 6, k: int = 10, dim: int = 64, every: int = 20, whole: DataFrame | None = None) -> dict:
+    """How much of the k nearest stays when dimensions go.
+
+    The vectors whose id divides by `every` are asked for, among all vectors; `whole` is their
+    neighbours by all dimensions if the caller has them.
+    """
     from .retrieval import self_neighbours
 
-    few = vectors.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(most)
-    whole = self_neighbours(few, k, most)
+    whole = self_neighbours(vectors, k, every=every) if whole is None else whole
     shares = []
     for t in range(trials):
-        part = self_neighbours(masked(few, keep, t, dim=dim), k, most)
-        hits = whole.join(part, ["query_id", "chunk_id"]).count()
-        shares.append(hits / max(1, whole.count()))
+        part = self_neighbours(masked(vectors, keep, t, dim=dim), k, every=every).select("query_id", "chunk_id", F.lit(1).alias("kept"))
+        n = whole.join(part, ["query_id", "chunk_id"], "left").agg(F.count(F.lit(1)).alias("whole"), F.count("kept").alias("kept")).first()
+        shares.append(n.kept / max(1, n.whole))
     return {"keep": keep, "mean": float(np.mean(shares)), "std": float(np.std(shares))}
 
 

@@ -301,8 +301,9 @@ def batch_hybrid(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k:
     return c.select("query_id", "rank", "chunk_id", "similarity", "text_score", "final_score")
 
 
-def self_neighbours(vectors: DataFrame, k: int = 10, most: int = 10_000) -> DataFrame:
-    """Each vector's k nearest others, in blocks of `most` vectors."""
-    found = batch_nearest(vectors, vectors.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), k + 1, most)
+def self_neighbours(vectors: DataFrame, k: int = 10, most: int = 10_000, every: int = 1) -> DataFrame:
+    """The k nearest others, among all vectors, of each whose id divides by `every`; in blocks of `most` queries."""
+    queries = vectors.filter(F.col("chunk_id") % every == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = batch_nearest(vectors, queries, k + 1, most)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
     return found.filter("query_id <> chunk_id").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)

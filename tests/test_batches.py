@@ -5,7 +5,6 @@ import pytest
 
 from ragspark.operators import evaluation, retrieval
 from ragspark.plans import reference_queries
-from ragspark.plans.derived import Tables
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +31,24 @@ def test_best_places_with_ties():
     for n in (1, 9, 50, 400):
         s, ids = rng.integers(0, 12, n) / 10, rng.permutation(n)
         assert retrieval.best_places(s, ids, 5).tolist() == np.lexsort((ids, -s))[:5].tolist()
+
+
+def test_ablation_against_plain(spark, vectors):
+    x = np.asarray([r.embedding for r in vectors.orderBy("chunk_id").collect()])
+
+    def nearest(v):
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        s = np.round(v @ v.T, 6)
+        return {(q, int(c)) for q in range(0, 90, 20) for c in [c for c in np.lexsort((np.arange(90), -s[q])) if c != q][:10]}
+
+    whole, shares = nearest(x), []
+    for t in range(6):
+        take = sorted(np.random.default_rng(t).choice(64, round(0.6 * 64), replace=False).tolist())
+        shares.append(len(whole & nearest(x[:, take])) / len(whole))
+    got = evaluation.ablation(vectors, 0.6)
+    assert got["mean"] == pytest.approx(np.mean(shares)) and got["std"] == pytest.approx(np.std(shares)) and got["std"] > 0
+
+
+def test_ablation_query_is_whole(spark, sf_dir):
+    rows = reference_queries.queries()["ablation_overlap"](spark, sf_dir).collect()
+    assert [r.keep for r in rows] == [0.8, 0.6, 0.4, 0.2] and all(r.std > 0 for r in rows)
