@@ -34,12 +34,12 @@ def default_tokenizer() -> str:
 @dataclass
 class Settings:
     """window: ids a sequence; end: the id after each document; shard: ids that one index covers;
-    terms: of a seed, how many of its most telling terms are looked up; k1, b: of BM25."""
+    terms: of a seed, how many of its most telling terms are looked up (None: all); k1, b: of BM25."""
 
     window: int = 2048
     end: int = 1
     shard: int = 1_500_000
-    terms: int = 24
+    terms: int | None = None
     k1: float = 1.2
     b: float = 0.75
 
@@ -85,7 +85,7 @@ class Encoder:
 
 
 def encode(texts: pa.Array, encoder: Encoder) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each text its ids (16 bits, or 32 if any is larger), and its distinct words' hashes as index terms."""
+    """Of each text its ids (16 bits, or 32 if any is larger), and its words' hashes, each as often as the word, as index terms."""
     special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_pylist()
     words, codes, ends = words_of(texts)
     listed = words.to_pylist()
@@ -104,49 +104,46 @@ def encode(texts: pa.Array, encoder: Encoder) -> tuple[list[np.ndarray], list[np
             out.append(np.asarray([x for w in re.split(r"[\x20\x09-\x0D]+", texts[i].as_py()) if w for x in encoder.tokenizer.encode(w, add_special_tokens=False).ids], np.uint32))
         else:
             out.append(stream[upto[a] : upto[b]])
-        c = np.sort(codes[a:b])
-        first = np.ones(len(c), bool)
-        first[1:] = c[1:] != c[:-1]
-        terms.append(hashes[c[first]])
+        terms.append(hashes[codes[a:b]])
     return out, terms
 
 
 class Index:
-    """A BM25 inverted index over one shard's documents (term presence within a document's words)."""
+    """A BM25 inverted index over one shard's documents (term frequencies within a document's words)."""
 
     def __init__(self, terms: list[np.ndarray], lengths: np.ndarray, settings: Settings):
         n = len(terms)
         all_terms = np.concatenate([*terms, np.zeros(0, np.uint32)])
         owner = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
         order = np.argsort(all_terms, kind="stable")
-        self.docs = owner[order]
-        _, self.begin, self.df = np.unique(all_terms[order], return_index=True, return_counts=True)
-        place = np.empty(len(all_terms), np.int32)
-        place[order] = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
-        cuts = np.cumsum([len(t) for t in terms])
-        self.terms = np.split(place, cuts[:-1]) if n else []
-        self.idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
+        t, d = all_terms[order], owner[order]
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+        at = np.flatnonzero(new)
+        self.docs, tf = d[at], np.diff(np.append(at, len(t)))
+        _, self.begin, self.df = np.unique(t[at], return_index=True, return_counts=True)
+        place = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
+        by_doc = np.argsort(self.docs, kind="stable")
+        self.terms = np.split(place[by_doc], np.cumsum(np.bincount(self.docs, minlength=n))[:-1]) if n else []
+        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
         mean = max(1.0, float(lengths.mean())) if n else 1.0
-        self.weight = (settings.k1 + 1) / (1 + settings.k1 * (1 - settings.b + settings.b * lengths / mean))
+        norm = settings.k1 * (1 - settings.b + settings.b * lengths / mean)
+        self.weight = idf[place] * tf * (settings.k1 + 1) / (tf + norm[self.docs])
         self.count, self.most = n, settings.terms
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """The unused documents that share a queried term with the seed, best first (ties: as they came)."""
         t = self.terms[seed]
         t = t[self.df[t] > 1]
-        if len(t) > self.most:
+        if self.most is not None and len(t) > self.most:
             t = t[np.argsort(self.df[t], kind="stable")[: self.most]]
         if not len(t):
             return np.zeros(0, np.int64)
-        docs = np.concatenate([self.docs[b : b + d] for b, d in zip(self.begin[t], self.df[t], strict=True)])
-        idf = np.repeat(self.idf[t], self.df[t])
-        free = unused[docs]
-        docs, idf = docs[free], idf[free]
-        if not len(docs):
-            return np.zeros(0, np.int64)
-        found, at = np.unique(docs, return_inverse=True)
-        scores = np.bincount(at, idf) * self.weight[found]
-        return found[np.argsort(-scores, kind="stable")]
+        spans = [slice(b, b + d) for b, d in zip(self.begin[t].tolist(), self.df[t].tolist(), strict=True)]
+        docs = np.concatenate([self.docs[s] for s in spans])
+        scores = np.bincount(docs, np.concatenate([self.weight[s] for s in spans]), self.count)
+        found = np.flatnonzero(unused & (scores > 0))
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 def pack(ids: list[np.ndarray], terms: list[np.ndarray], settings: Settings) -> list[tuple[int, int, int, int, int]]:
