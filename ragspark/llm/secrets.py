@@ -23,7 +23,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: The window, and the entropy in bits that a window of a character class must reach.
 WINDOW = 20
-LEAST_BITS = {"hex": 3.0, "base64": 3.9}
+LEAST_BITS = {"hex": 3.0, "base36": 3.5, "base64": 3.9}
+#: Runs of one case within a candidate that are judged by their own class, whatever they are joined to.
+RUNS = re.compile(r"[a-z0-9]{20,}|[A-Z0-9]{20,}"), re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}")
+#: A UUID, or a token (what = / _ - part) that looks like a sample or an alphabet: cut out of its candidate, the rest is judged.
+UUID = r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])"
+CUT = re.compile(UUID + r"|[A-Za-z0-9+]*(?:EXAMPLE|example|sample|placeholder|dummy|xxxx|XXXX|123456789|abcdefghij|ABCDEFGHIJ)[A-Za-z0-9+]*")
 #: What is not a secret however mixed it looks: UUIDs, samples, alphabets, paths and words with a number.
 ALLOWED = tuple(
     re.compile(p)
@@ -43,15 +48,44 @@ def char_class(candidate: str) -> str:
 
 
 def high_entropy(candidate: str, window: int = WINDOW, least: dict = LEAST_BITS) -> list[tuple[int, int]]:
-    """Merged stretches of the windows whose Shannon entropy reaches the least of the candidate's class.
+    """Merged stretches of the windows that reach the least entropy of the candidate's class or of a run's own.
 
-    Sum of c*log2(c) over the window's character counts changes at two counts a step.
+    What the allow-list matches is left out: alone, not with what is joined to it.
     """
-    if len(candidate) < window or any(p.fullmatch(candidate) for p in ALLOWED):
+    found, at = [], 0
+    for m in [*CUT.finditer(candidate), None]:
+        piece = candidate[at : m.start() if m else len(candidate)]
+        found += [(a + at, b + at) for a, b in _piece(piece, window, least)]
+        at = m.end() if m else at
+    return found
+
+
+def _piece(piece: str, window: int, least: dict) -> list[tuple[int, int]]:
+    if len(piece) < window or any(p.fullmatch(piece) for p in ALLOWED):
         return []
-    need = (math.log2(window) - least[char_class(candidate)]) * window + 1e-9  # entropy >= least: the sum <= need
+    found = _windows(piece, window, least[char_class(piece)])
+    for kind, pattern in zip(("base36", "hex"), RUNS, strict=True):
+        for m in pattern.finditer(piece):
+            if not any(p.fullmatch(m[0]) for p in ALLOWED):
+                found += [(a + m.start(), b + m.start()) for a, b in _windows(m[0], window, least[kind])]
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
+
+
+def _windows(candidate: str, window: int, bits: float) -> list[tuple[int, int]]:
+    """Merged stretches of the windows whose Shannon entropy reaches `bits`.
+
+    Sum of c*log2(c) over the window's character counts changes at two counts a step.
+    """
+    need = (math.log2(window) - bits) * window + 1e-9  # entropy >= bits: the sum <= need
+    found: list[tuple[int, int]] = []
     counts: dict[str, int] = {}
-    total, found = 0.0, []
+    total = 0.0
     term = _TERM if window == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     for i, ch in enumerate(candidate):
         c = counts.get(ch, 0)
