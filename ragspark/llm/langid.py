@@ -148,7 +148,10 @@ def keep_identified(docs: DataFrame, model: Model, spark: SparkSession) -> DataF
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches):
-            lang, _ = shared.value.predict(text_column(part).to_pylist())
+            texts = text_column(part).to_pylist()
+            lang, _ = shared.value.predict(texts)
+            if not shared.value.langs:  # nothing was learned: a letter is all that a text needs
+                lang = ["" if t and LETTER.search(t) else UNKNOWN for t in texts]
             yield part.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
