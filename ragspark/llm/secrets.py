@@ -26,47 +26,48 @@ WINDOW = 20
 LEAST_BITS = {"hex": 3.0, "base36": 3.5, "base64": 3.9}
 #: Runs of one case within a candidate that are judged by their own class, whatever they are joined to.
 RUNS = re.compile(r"[a-z0-9]{20,}|[A-Z0-9]{20,}"), re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}")
-#: A UUID, or a token (what = / _ - part) that looks like a sample or an alphabet: cut out of its candidate, the rest is judged.
-UUID = r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])"
-CUT = re.compile(UUID + r"|[A-Za-z0-9+]*(?:EXAMPLE|example|sample|placeholder|dummy|xxxx|XXXX|123456789|abcdefghij|ABCDEFGHIJ)[A-Za-z0-9+]*")
-#: What is not a secret however mixed it looks: UUIDs, samples, alphabets, paths and words with a number.
-ALLOWED = tuple(
-    re.compile(p)
-    for p in (
-        r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-        r".*(EXAMPLE|example|sample|placeholder|dummy|xxxx|XXXX).*",
-        r".*(0123456789|123456789|abcdefghij|ABCDEFGHIJ).*",
-        r"(/?[A-Za-z]+[/_=+-]+)*[A-Za-z]*[0-9]{0,4}[/_=+-]*",
-        r"[0-9/_=+-]+",
-    )
-)
-_TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+#: What is not a secret however mixed it looks: UUIDs and tokens (what = / _ - part) that look like samples or
+#: alphabets, cut out of their candidate so that the rest is judged, and pieces of nothing but words, a year and signs.
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+SAMPLE = re.compile(r"EXAMPLE|example|sample|placeholder|dummy|xxxx|XXXX|123456789|abcdefghij|ABCDEFGHIJ")
+TOKEN = re.compile(r"[A-Za-z0-9+]++")
+#: Possessive throughout, and no two neighbours share a character: one way to match, time linear in the piece.
+WORDS = re.compile(r"(?:/?+(?:[A-Za-z]++[/_=+-]++)++)?+[A-Za-z]*+[0-9]{0,4}+[/_=+-]*+|[0-9/_=+-]++")
+_TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]
 
 
 def char_class(candidate: str) -> str:
     return "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate) else "base64"
 
 
+def cuts(candidate: str) -> list[tuple[int, int]]:
+    """What the allow-list takes out of a candidate, in order: UUIDs, and tokens that hold a sample's mark."""
+    out = [m.span() for m in UUID.finditer(candidate)]
+    if SAMPLE.search(candidate):
+        out += [m.span() for m in TOKEN.finditer(candidate) if SAMPLE.search(candidate, *m.span())]
+    return sorted(out)
+
+
 def high_entropy(candidate: str, window: int = WINDOW, least: dict = LEAST_BITS) -> list[tuple[int, int]]:
     """Merged stretches of the windows that reach the least entropy of the candidate's class or of a run's own.
 
     What the allow-list matches is left out: alone, not with what is joined to it.
     """
     found, at = [], 0
-    for m in [*CUT.finditer(candidate), None]:
-        piece = candidate[at : m.start() if m else len(candidate)]
-        found += [(a + at, b + at) for a, b in _piece(piece, window, least)]
-        at = m.end() if m else at
+    for start, end in [*cuts(candidate), (len(candidate), len(candidate))]:
+        if start > at:
+            found += [(a + at, b + at) for a, b in _piece(candidate[at:start], window, least)]
+        at = max(at, end)
     return found
 
 
 def _piece(piece: str, window: int, least: dict) -> list[tuple[int, int]]:
-    if len(piece) < window or any(p.fullmatch(piece) for p in ALLOWED):
+    if len(piece) < window or WORDS.fullmatch(piece):
         return []
     found = _windows(piece, window, least[char_class(piece)])
     for kind, pattern in zip(("base36", "hex"), RUNS, strict=True):
         for m in pattern.finditer(piece):
-            if not any(p.fullmatch(m[0]) for p in ALLOWED):
+            if not WORDS.fullmatch(m[0]):
                 found += [(a + m.start(), b + m.start()) for a, b in _windows(m[0], window, least[kind])]
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
@@ -86,7 +87,7 @@ def _windows(candidate: str, window: int, bits: float) -> list[tuple[int, int]]:
     found: list[tuple[int, int]] = []
     counts: dict[str, int] = {}
     total = 0.0
-    term = _TERM if window == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    term = _TERM if window == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     for i, ch in enumerate(candidate):
         c = counts.get(ch, 0)
         total += term[c + 1] - term[c]
@@ -115,12 +116,15 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    more = []
+    more, following, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         if not m[0].isalpha():
             for a, b in high_entropy(m[0]):
                 a, b = a + m.start(), b + m.start()
-                if not any(s <= a and b <= e for s, _, e in base):
+                while following < len(base) and base[following][0] <= a:  # both in order: one sweep
+                    reach = max(reach, base[following][2])
+                    following += 1
+                if reach < b:
                     more.append((a, 3, b))
     return base, sorted(base + more)
 
@@ -176,7 +180,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """`docs` with secrets masked in text, and n_chars (if there) counted anew where text changed."""
+    """`docs` with secrets masked in text, and n_chars (if there) counted anew where text changed.
+
+    Every row and column stays, repeated rows too. Null and empty texts stay as they are, and so does
+    a null n_chars of a text that does not change. Empty table: no rows. Very long texts: whole.
+    """
     fields = docs.schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
