@@ -33,16 +33,32 @@ BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes for this session's later stages."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bounds this session's Arrow batches by bytes, unless its owner has set the bound; lazy results need it after this call."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, outlive executors, and go when dropped."""
+    """Tables written to the shared folder: they cut lineage and outlive executors.
+
+    They go when dropped, all of them at close(), and whatever is left when the driver ends. A result
+    that an operator returns may still read some, so close() comes after that has been written.
+    """
+
+    opened: list["Scratch"] = []
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        fs, path = self._on_disk(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        Scratch.opened.append(self)
+
+    def _on_disk(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -52,10 +68,15 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self._on_disk(self.path(name))
+            fs.delete(path, True)
+
+    def close(self) -> None:
+        fs, path = self._on_disk(self.root)
+        fs.delete(path, True)
+        if self in Scratch.opened:
+            Scratch.opened.remove(self)
 
 
 def crc_mod(id_column: str, m: int) -> Column:
