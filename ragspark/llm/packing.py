@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from .common import CACHES, arrow_out, runs, small_batches, text_column, trim, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a worker remembers; then it begins anew.
-CACHE = 1_000_000
+#: Bytes of words and ids that a worker remembers, about.
+CACHE = 80 << 20
 #: Signs that the tokenizer parts from letters before them, and keeps together (the apostrophe, which it does not, is none).
 SIGNS = ".,;:!?*#$%&|()[]{}+-=_/\\~@^\"`"
 #: Bytes of text encoded at once.
-ENCODED = 8 << 20
+ENCODED = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -38,7 +38,7 @@ class Settings:
 
     window: int = 2048
     end: int = 1
-    shard: int = 1_500_000
+    shard: int = 750_000
     terms: int | None = None
     k1: float = 1.2
     b: float = 0.75
@@ -47,39 +47,51 @@ class Settings:
 class Encoder:
     """Ids of texts through ids of words: the tokenizer drops white space and merges nothing across it.
 
-    A word's ids are kept as the bytes of 16-bit numbers. A word of letters and then signs is the two
-    tokenized apart (the tokenizer's own split), so it is not kept itself. Words that hold `<|` are
-    not taken from here, since the special tokens' names are matched before lower-casing.
+    A word's ids are kept as the bytes of 16-bit numbers (32-bit ones of a larger vocabulary). A word
+    of letters and then signs is the two tokenized apart (the tokenizer's own split), so it is not
+    kept itself. Words that hold `<|` are not taken from here, since the special tokens' names are
+    matched before lower-casing. What is kept is bounded by bytes: when `recent` holds half of them
+    it becomes `older`, whose words are forgotten unless they are met again meanwhile.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def encoded(self, words: list[str]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        new = sorted(words)
-        for i in range(0, len(new), 50_000):
-            batch = new[i : i + 50_000]
-            self.known.update(zip(batch, self.encoded(batch), strict=True))
+        return [np.asarray(e.ids, self.kind).tobytes() if self.kind.itemsize > 2 else array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def parts(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that are tokenized as they are; they are remembered."""
+        found = {w: self.older[w] for w in words if w in self.older} if self.older else {}
+        new = sorted(w for w in words if w not in found)
+        for i in range(0, len(new), 20_000):
+            batch = new[i : i + 20_000]
+            found.update(zip(batch, self.encoded(batch), strict=True))
+        self.recent.update(found)
+        self.held += sum(len(w) + len(x) for w, x in found.items()) + 190 * len(found)
+        return found
 
     def words(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        get = known.get
+        if self.held > self.most // 2:
+            self.older, self.recent, self.held = self.recent, {}, 0
+        get = self.recent.get
         out = [get(w) for w in words]
         missing = [i for i, x in enumerate(out) if x is None]
-        parts = []
+        split = []
         for i in missing:
             w = words[i]
             stem = w.rstrip(SIGNS)
-            parts.append((stem, w[len(stem) :]) if len(stem) < len(w) and stem.isalpha() else (w, ""))
-        self.learn({p for both in parts for p in both if p and p not in known})
-        for i, (stem, signs) in zip(missing, parts, strict=True):
+            split.append((stem, w[len(stem) :]) if len(stem) < len(w) and stem.isalpha() else (w, ""))
+        wanted = {p for both in split for p in both if p}
+        known = {p: x for p in wanted if (x := get(p)) is not None}
+        known |= self.parts(wanted.difference(known))
+        for i, (stem, signs) in zip(missing, split, strict=True):
             out[i] = known[stem] + known[signs] if signs else known[stem] if stem else b""
         return out
 
@@ -90,8 +102,8 @@ def encode(texts: pa.Array, encoder: Encoder) -> tuple[list[np.ndarray], list[np
     words, codes, ends = words_of(texts)
     listed = words.to_pylist()
     ids = encoder.words(listed)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-    flat = np.frombuffer(b"".join(ids), np.uint16)
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // encoder.kind.itemsize
+    flat = np.frombuffer(b"".join(ids), encoder.kind)
     begin = np.cumsum(sizes) - sizes
     hashes = np.fromiter(map(zlib.crc32, map(str.encode, listed)), np.uint32, len(listed))
     counts = sizes[codes]
@@ -211,6 +223,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, settings: Sett
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+        trim()
         encoder, first = worker_encoder(path), TaskContext.get().partitionId() << 32
         names: list = []
         ids: list[np.ndarray] = []
@@ -237,7 +250,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, settings: Sett
             got, words = encode(text_column(part), encoder)
             for name, x, w in zip(part.column("doc_id").to_pylist(), got, words, strict=True):
                 names.append(name)
-                ids.append(np.append(x, np.uint32(settings.end)).astype(np.uint32))
+                ids.append(np.append(x, x.dtype.type(settings.end)))
                 terms.append(w)
                 held += len(ids[-1])
                 if held >= settings.shard:
