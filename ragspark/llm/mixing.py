@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD
 
+#: Groups up to this many (counted) are broadcast, so that documents are shuffled once; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Salts by which a group of equally long documents is split.
 SALTS = 32
 
@@ -48,7 +51,7 @@ def targets(sized: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float
     return s.select("source", "_source_size", target.alias("_target"))
 
 
-def mix_sources(sized: DataFrame, seed: str = "mix", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix_sources(sized: DataFrame, keep: Callable[[DataFrame, str], DataFrame], seed: str = "mix", weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """`sized` (doc_id, source, size and whatever else) with source_size, target, copies, taken.
 
     Each source's documents stand in order of length class, salt, length and id; a document's
@@ -56,6 +59,7 @@ def mix_sources(sized: DataFrame, seed: str = "mix", weights=(5, 2, 1), share: f
     (from `seed`, so reruns agree) emits a copy for each integer boundary crossed. Order by length
     keeps the words taken near the target. A hot source is no single task: groups are (source,
     length class, salt), only their counts meet by source, and those are bounded by classes x salts.
+    `keep(df, name)` stores the groups' table; the documents themselves are shuffled once.
 
     Null text: size 0. Null source: a source of its own, last. A source without words: target 0,
     nothing taken. Null doc_id: an id before all others. Repeated rows count and are taken each for
@@ -65,12 +69,15 @@ def mix_sources(sized: DataFrame, seed: str = "mix", weights=(5, 2, 1), share: f
     own = ("source_size", "target", "copies", "taken", "_class", "_salt", "_rank", "_s", "_c", "_z", "_before", "_target", "_source_size")
     d = sized.drop(*own).withColumn("_class", F.floor(F.sqrt("size")))
     d = d.withColumn("_salt", _number(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % SALTS)
-    small = d.select("source", "size", "_class", "_salt")
-    groups = small.groupBy("source", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    # Only groups are read from here on: one pass over the documents counts them, with their words.
+    counted = keep(d.groupBy("source", "_class", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("size")), "groups")
     running = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    groups = groups.withColumn("_before", F.sum("_n").over(running) - F.col("_n")).drop("_n")
-    goals = targets(small, weights, share, cap)
+    groups = counted.drop("size").withColumn("_before", F.sum("_n").over(running) - F.col("_n")).drop("_n")
+    goals = targets(counted.select("source", "size"), weights, share, cap)
     groups = groups.alias("g").join(goals.alias("t"), F.col("g.source").eqNullSafe(F.col("t.source"))).select("g.*", "_source_size", "_target").withColumnRenamed("source", "_s").withColumnRenamed("_class", "_c").withColumnRenamed("_salt", "_z")
+    groups = keep(groups, "placed")
+    if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        groups = F.broadcast(groups)
     d = d.withColumn("_rank", F.row_number().over(Window.partitionBy("source", "_class", "_salt").orderBy("size", "doc_id")))
     d = d.join(groups, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")) & (F.col("_salt") == F.col("_z")))
     each = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))

@@ -32,8 +32,9 @@ def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = Scratch(spark, "op6").save(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "sized")
-    return mixing.mix_sources(sized).select("doc_id", "size", "source_size", "target", "copies", "taken")
+    scratch = Scratch(spark, "op6")
+    sized = scratch.save(docs.select("doc_id", "source", mixing.word_count("text").alias("size")), "sized")
+    return mixing.mix_sources(sized, scratch.save).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 import base64
 import gzip
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import xxhash
@@ -42,17 +43,25 @@ def warc_records(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload.cast("binary"), 256).alias("payload_digest"))
 
 
-def resolve(headers: DataFrame, min_bytes: int = 100) -> DataFrame:
+def resolve(headers: DataFrame, keep: Callable[[DataFrame, str], DataFrame], min_bytes: int = 100) -> DataFrame:
     """The revisits among `headers` (page_id, url, payload_bytes, payload_digest): page_id, payload_digest, refers_to, refers_url.
 
-    Headers alone are shuffled by digest: a partial minimum finds each digest's original, a join
-    takes it back to the others. A hot digest is one row a task after the partial minimum, and its
-    side of the join can be split. A null page_id is an original only if it has no other.
+    Headers alone are shuffled by digest: a partial minimum finds each digest's original, `keep(df,
+    name)` stores the originals of digests that occur again, and a join takes them back to the
+    others, and stores them. From table to table both sides of that join are plain shuffles with
+    nothing behind them that needs its partitions, so a hot digest's is split. A null page_id is an
+    original only if it has no other. Repeated rows: one row.
     """
     h = headers.filter(F.col("payload_bytes") >= min_bytes).select("page_id", "url", "payload_digest")
     first = h.groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")).alias("_o"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    joined = h.join(first, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("_o.page_id")))
-    return joined.select("page_id", "payload_digest", F.col("_o.page_id").alias("refers_to"), F.col("_o.url").alias("refers_url")).distinct()
+    first = keep(first.select("payload_digest", F.col("_o.page_id").alias("refers_to"), F.col("_o.url").alias("refers_url")), "originals")
+    joined = h.join(first, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return keep(joined.select("page_id", "payload_digest", "refers_to", "refers_url"), "again").distinct()
+
+
+def today() -> str:
+    """The date of fresh headers: now, in the format's form."""
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def _header(name: str, value: Column) -> Column:
@@ -60,12 +69,14 @@ def _header(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]+", " "), F.lit("\r\n")), F.lit(""))
 
 
-def write(spark: SparkSession, recs: DataFrame, revisits: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
+def write(spark: SparkSession, recs: DataFrame, revisits: DataFrame, path: str, date: str | None = None) -> None:
     """Deduplicated archives with fresh headers: a full record for each response, a head for each revisit.
 
     `revisits` has at most one row for a page_id and digest; up to BROADCAST_ROWS of them (counted)
-    are broadcast so that payloads stay where they are, more are joined by a shuffle.
+    are broadcast so that payloads stay where they are, more are joined by a shuffle. `date` (of the
+    run, unless given) is that of all records, so also that of the records referred to.
     """
+    date = date or today()
     few = revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     v = revisits.select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "refers_to", "refers_url", F.lit(True).alias("_again"))
     on = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("payload_digest") == F.col("_d"))
@@ -85,6 +96,7 @@ def write(spark: SparkSession, recs: DataFrame, revisits: DataFrame, path: str,
         _header("WARC-Profile", F.when(F.col("_again"), F.lit(PROFILE))),
         _header("WARC-Refers-To", F.when(F.col("_again"), original)),
         _header("WARC-Refers-To-Target-URI", F.when(F.col("_again"), F.col("refers_url"))),
+        _header("WARC-Refers-To-Date", F.when(F.col("_again"), F.lit(date))),
         _header("X-Page-ID", F.col("page_id")),
         _header("X-Refers-To-Page-ID", F.when(F.col("_again"), F.col("refers_to"))),
         _header("X-Payload-Encoding", F.when(coded, F.lit("base64"))),
@@ -141,6 +153,9 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     """Response and revisit records of archives from elsewhere (files under 2 GB, each read as one): as read() gives them.
 
     Without an X-Page-ID a record is numbered by a hash of its id. The stated digest is of any kind.
+    Records of other types are left out; absent headers are null, an absent record id is empty, and
+    a record whose end is missing has the bytes that are there. Repeated records: a row each. An
+    empty file or folder: no rows.
     """
     schema = "record_type string, record_id string, url string, stated_digest string, stated_bytes long, refers_to_record string, page_id long, refers_to long, payload binary"
 
@@ -171,7 +186,10 @@ def restore(records: DataFrame) -> DataFrame:
     """page_id, url, html of every record: revisits are joined to the original response of their digest.
 
     Digests and originals' ids alone are shuffled to find one original each; its payload then goes
-    to its revisits. A revisit whose original is nowhere has null html.
+    to its revisits. A revisit whose original is nowhere has null html, and so has one of null digest.
+    Repeated records: a row each; of several originals of a digest that of the smallest record id
+    (ties: either, their payloads are equal). Empty table: no rows. Bytes that are no UTF-8 are
+    replaced. Other columns are not read.
     """
     full = records.filter("record_type = 'response'")
     again = records.filter("record_type = 'revisit'").select("page_id", "url", "stated_digest")
@@ -181,13 +199,17 @@ def restore(records: DataFrame) -> DataFrame:
     return full.select("page_id", "url", F.col("payload").cast("string").alias("html")).unionByName(again.join(source, "stated_digest", "left").select("page_id", "url", "html"))
 
 
-def rewrite(spark: SparkSession, records: DataFrame, path: str, keep, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Records of any archives as new ones: each payload once, revisits of it elsewhere, fresh headers."""
+def rewrite(spark: SparkSession, records: DataFrame, path: str, keep, date: str | None = None) -> None:
+    """Records of any archives as new ones: each payload once, revisits of it elsewhere, fresh headers.
+
+    A revisit without its original becomes a response of an empty payload; repeated rows are written
+    each; nulls and empty tables as in deduplicate().
+    """
     recs = warc_records(keep(restore(records), "restored"))
-    write(spark, recs, keep(resolve(recs.drop("payload")), "revisits"), path, date)
+    write(spark, recs, keep(resolve(recs.drop("payload"), keep), "revisits"), path, date)
 
 
-def deduplicate(spark: SparkSession, pages: DataFrame, path: str, keep) -> DataFrame:
+def deduplicate(spark: SparkSession, pages: DataFrame, path: str, keep, date: str | None = None) -> DataFrame:
     """Writes `pages` as deduplicated archives under `path` and returns what they hold, a row per page.
 
     `keep(df, name)` stores a table. Null html: empty payload. Payloads under 100 bytes are never
@@ -195,7 +217,7 @@ def deduplicate(spark: SparkSession, pages: DataFrame, path: str, keep) -> DataF
     header is left out. Empty table: no rows. Other columns are not read.
     """
     recs = warc_records(pages)
-    write(spark, recs, keep(resolve(recs.drop("payload")), "revisits"), path)
+    write(spark, recs, keep(resolve(recs.drop("payload"), keep), "revisits"), path, date)
     r = read(spark, path)
     full = F.col("record_type") == "response"
     return r.select(

@@ -8,13 +8,14 @@ import duckdb
 import pytest
 
 from ragspark.llm import mixing, warc
+from ragspark.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def mixed(docs_df):
     d = docs_df.drop("size").withColumn("size", mixing.word_count("text"))
-    return mixing.mix_sources(d).collect()
+    return mixing.mix_sources(d, Scratch(docs_df.sparkSession, "mixed").save).collect()
 
 
 def plain_targets(sizes: dict) -> dict:
@@ -72,24 +73,32 @@ def test_mixing_odd_rows(docs, spark):
     assert mixed(docs([])) == []
 
 
-def test_mixing_sql(spark, docs, sf_dir):
+def test_mixing_sql(spark, docs, sf_dir, scratch):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ours = {(r.doc_id, r.size, r.source_size, r.target, r.copies, r.taken) for r in mixing.mix_sources(d.select("doc_id", "source", mixing.word_count("text").alias("size"))).collect()}
+    ours = {(r.doc_id, r.size, r.source_size, r.target, r.copies, r.taken) for r in mixing.mix_sources(d.select("doc_id", "source", mixing.word_count("text").alias("size")), scratch.save).collect()}
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     assert ours == set(c.execute(mixing.MIX_SQL).fetchall())
 
 
-def test_mixing_clashing_names(docs):
+def test_mixing_clashing_names(docs, scratch):
     d = docs([(1, "a b", "en", "s"), (2, "c", "en", "t")]).drop("size").withColumn("size", mixing.word_count("text")).selectExpr("*", "'x' as target", "9 as source_size", "'y' as _s", "1 as taken")
-    got = {r.doc_id: (r.source_size, r.target) for r in mixing.mix_sources(d).collect()}
+    got = {r.doc_id: (r.source_size, r.target) for r in mixing.mix_sources(d, scratch.save).collect()}
     assert {i: s for i, (s, _) in got.items()} == {1: 2, 2: 1} and sum(t for _, t in got.values()) == pytest.approx(4.5)
 
 
-def test_mixing_is_native(docs):
-    d = mixing.mix_sources(docs([(1, "a", "en", "s")]).drop("size").withColumn("size", mixing.word_count("text")))
+def test_mixing_is_native(docs, scratch):
+    d = mixing.mix_sources(docs([(1, "a", "en", "s")]).drop("size").withColumn("size", mixing.word_count("text")), scratch.save)
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+    assert plan.count("Exchange hash") == 1  # documents are shuffled once
+
+
+def test_mixing_many_groups(docs, monkeypatch):
+    rows = [(i, "w " * (i % 40), "en", "abc"[i % 3]) for i in range(300)]
+    few = sorted(map(repr, mixed(docs(rows))))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(repr, mixed(docs(rows)))) == few
 
 
 PAGES = "page_id long, url string, html string"
@@ -142,6 +151,39 @@ def test_warc_shuffled_join(spark, scratch, monkeypatch):
     assert sorted((tuple(r) for r in archived(spark, scratch, rows).collect()), key=repr) == plain_pages(rows)
 
 
+def test_hot_digest_is_split(spark, scratch):
+    """Two thirds of the headers under one digest: the join that takes the original back is cut into tasks."""
+    rows = [(i, f"http://h/{i}", "same " * 40 if i % 3 else f"{i} " * 60) for i in range(6000)]
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in held}
+    plans = []
+
+    def keep(df, name):
+        out = scratch.save(df, name)
+        if name == "again":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        recs = scratch.save(warc.warc_records(spark.createDataFrame(rows, PAGES).repartition(8)).drop("payload"), "headers")
+        found = warc.resolve(recs, keep).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == 3999 and {r.refers_to for r in found} == {1}
+    assert "skew=true" in plans[0]
+
+
+def test_dates(spark, scratch):
+    pages = spark.createDataFrame([(i, "u", "same " * 40) for i in range(2)], PAGES)
+    warc.deduplicate(spark, pages, scratch.path("archives"), scratch.save, date="2024-02-03T04:05:06Z")
+    text = "".join(r.value for r in spark.read.option("lineSep", "\x00").text(scratch.path("archives")).collect())
+    assert text.count("WARC-Date: 2024-02-03T04:05:06Z") == 2 and text.count("WARC-Refers-To-Date: 2024-02-03T04:05:06Z") == 1
+
+
 def test_rewrite_archives(spark, scratch):
     """Two archives with revisits of their own become one set: a payload once, every page restored."""
     rows = [(i, f"http://h/{i}", ["p" * 150, "q" * 150, "short", "\r\n\r\nWARC/1.1\r\n" * 9][i % 4]) for i in range(24)]
