@@ -237,19 +237,22 @@ class Join:
         # shared >= least (na + nb) / (100 + least), and the sets differ in na + nb - 2 shared.
         return p.filter(like & (apart * (100 + least) <= both * (100 - least))).select("a", "b")
 
-    def apart(self, members: DataFrame, tile: int = 1024, rows: int = 20_000) -> DataFrame:
+    def apart(self, members: DataFrame, tile: int = 1024, rows: int = 8192) -> DataFrame:
         """Distinct pairs (a < b) that share a signature, are of different components, and that sizes and parity maps allow.
 
         `members` (a table): signature, set_key, component, n, parity. A signature's sets are cut
-        into tiles; pairs of tiles, of whatever signatures, share groups of about `rows` rows. Only
-        pairs that may link leave them.
+        into tiles, and each of its rows goes to every pair of tiles with its own; these pairs, of
+        whatever signatures, share piles of about `rows` rows, of which there are so many as the
+        rows that were sent (not the sets) ask for. Only pairs that may link leave them.
         """
         least = self.settings.least
-        tiles = self.scratch.save(members.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")), "tiles")
-        m = members.join(tiles, "signature").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
+        tiles = members.groupBy("signature").agg(F.count(F.lit(1)).alias("sets")).withColumn("tiles", F.ceil(F.col("sets") / tile).cast("int"))
+        tiles = self.scratch.save(tiles, "tiles")
+        sent = tiles.agg(F.sum(F.col("sets") * F.col("tiles"))).first()[0] or 0
+        m = members.join(tiles.drop("sets"), "signature").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
         m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         m = m.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "component", "n", "parity")
-        m = m.withColumn("pile", F.pmod(F.xxhash64("signature", "i", "j"), F.lit(members.count() // rows + 1)))
+        m = m.withColumn("pile", F.pmod(F.xxhash64("signature", "i", "j"), F.lit(sent // rows + 1)))
 
         def pairs(group: pa.Table) -> pa.Table:
             sig, i, j, own, keys, of, n = (group.column(c).to_numpy() for c in ("signature", "i", "j", "own", "set_key", "component", "n"))
