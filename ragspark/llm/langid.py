@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chargrams import gram_hashes
-from .common import arrow_out, crc_mod, runs, small_batches, text_column
+from .common import arrow_out, crc_mod, release, runs, small_batches, text_column
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -39,6 +40,22 @@ def presence(text: str, orders, bits: int) -> np.ndarray:
     return seen.nonzero()[0]
 
 
+def products(grams: list[np.ndarray], matrix: np.ndarray, block: int = 64) -> np.ndarray:
+    """The texts' presence rows, scaled to length 1, times `matrix`: a product a block of texts, over the n-grams that occur in it."""
+    out, place = np.zeros((len(grams), matrix.shape[1])), np.zeros(len(matrix), np.int64)
+    for s in range(0, len(grams), block):
+        part = grams[s : s + block]
+        sizes, columns = np.asarray([len(g) for g in part]), np.concatenate(part)
+        present = np.zeros(len(matrix), bool)
+        present[columns] = True
+        used = present.nonzero()[0]
+        place[used] = np.arange(len(used))
+        rows = np.zeros((len(part), len(used)), np.float32)
+        rows[np.repeat(np.arange(len(part)), sizes), place[columns]] = 1
+        out[s : s + block] = (rows @ matrix[used]) / np.sqrt(np.maximum(1, sizes))[:, None]
+    return out
+
+
 @dataclass
 class Model:
     """weights: n-gram by language, the landmarks' normalised presence times the dual coefficients."""
@@ -48,13 +65,8 @@ class Model:
     settings: Settings
 
     def scores(self, grams: list[np.ndarray]) -> np.ndarray:
-        """One row a text: its kernel values with the landmarks times their coefficients, as a product
-        of the texts' presence rows with `weights` (products of sparse rows are sums of rows)."""
-        out = np.zeros((len(grams), len(self.langs)))
-        for i, g in enumerate(grams):
-            if len(g):
-                out[i] = self.weights[g].sum(axis=0, dtype=np.float64) / np.sqrt(len(g))
-        return out
+        """One row a text: its kernel values with the landmarks times their coefficients."""
+        return products(grams, self.weights)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         known = [bool(t) and LETTER.search(t) is not None for t in texts]
@@ -80,7 +92,7 @@ def fit_kernel(grams: list[np.ndarray], labels: list[str], settings: Settings) -
     marks = np.zeros((1 << settings.bits, m), np.float32)
     for j, g in enumerate(grams[:m]):
         marks[g, j] = 1 / np.sqrt(max(1, len(g)))
-    k = np.stack([marks[g].sum(axis=0, dtype=np.float64) / np.sqrt(max(1, len(g))) for g in grams])
+    k = products(grams, marks)
     y = np.where(np.asarray(labels)[:, None] == np.asarray(langs)[None], 1.0, -1.0)
     counts = {x: labels.count(x) for x in langs}
     w = np.asarray([len(labels) / (len(langs) * counts[x]) for x in labels])[:, None]
@@ -90,18 +102,22 @@ def fit_kernel(grams: list[np.ndarray], labels: list[str], settings: Settings) -
 
 
 def fit(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), fold: int = 4, held_out: int = 2) -> Model:
-    """Learns from at most settings.rows rows outside the fold, those with the smallest hash of doc_id.
+    """Learns from at most settings.rows doc_ids outside the fold, the languages in turn, each by smallest hash of doc_id.
 
-    Only their ids and, from the executors, their presence bits come to the driver: bounded whatever
-    the texts' lengths. Rows of null lang or text and texts without a letter teach nothing.
+    Only presence bits of one text an id come to the driver: bounded whatever the texts' lengths and
+    however often an id is repeated (its smallest language and, in that, its smallest text hold).
+    Rows of null id, lang or text and texts without a letter teach nothing.
     """
     small_batches(spark)
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", fold) != held_out))
-    chosen = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.rows)
-    rows = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi")
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", fold) != held_out)).select("doc_id", "lang", "text")
+    ids = labelled.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = ids.withColumn("turn", turn).filter(F.col("turn") <= settings.rows).orderBy("turn", "lang").limit(settings.rows)
+    rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("turn", "lang").agg(F.min("text").alias("text"))
     orders, bits = settings.orders, settings.bits
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in runs(batches):
             packed = []
             for t in text_column(part).to_pylist():
@@ -109,19 +125,15 @@ def fit(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), f
                 if LETTER.search(t):
                     seen[presence(t, orders, bits)] = True
                 packed.append(np.packbits(seen).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(packed, pa.binary()), part.column("lang").cast(pa.string())], names=["doc_id", "bits", "lang"])
+            yield pa.RecordBatch.from_arrays([part.column("turn").cast(pa.int64()), pa.array(packed, pa.binary()), part.column("lang").cast(pa.string())], names=["turn", "bits", "lang"])
 
-    got = rows.mapInArrow(each, "doc_id long, bits binary, lang string").toArrow().to_pydict()
-    rank = sorted(range(len(got["doc_id"])), key=lambda i: (hash_order(got["doc_id"][i]), got["lang"][i], got["bits"][i]))[: settings.rows]
-    grams = [np.unpackbits(np.frombuffer(got["bits"][i], np.uint8)).nonzero()[0] for i in rank]
-    taught = [(g, got["lang"][i]) for g, i in zip(grams, rank, strict=True) if len(g)]
+    got = rows.mapInArrow(each, "turn long, bits binary, lang string").toArrow().to_pydict()
+    order = sorted(range(len(got["turn"])), key=lambda i: (got["turn"][i], got["lang"][i]))
+    grams = [np.unpackbits(np.frombuffer(got["bits"][i], np.uint8)).nonzero()[0] for i in order]
+    taught = [(g, got["lang"][i]) for g, i in zip(grams, order, strict=True) if len(g)]
     return fit_kernel([g for g, _ in taught], [x for _, x in taught], settings)
 
 
-def hash_order(doc_id: int) -> int:
-    return (doc_id * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % (1 << 64) * 0xBF58476D1CE4E5B9 % (1 << 64)
-
-
 def identify(spark: SparkSession, docs: DataFrame, model: Model, fold: int = 4, held_out: int = 2) -> DataFrame:
     """A row per document: predicted language (`und` if the text is null or has no letter) and its share of the scores.
 
@@ -133,6 +145,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, fold: int = 4,
     shared = spark.sparkContext.broadcast(model)  # 2**bits x languages floats
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
         for part in runs(batches):
             lang, score = shared.value.predict(text_column(part).to_pylist())
@@ -142,16 +155,25 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, fold: int = 4,
 
 
 def keep_identified(docs: DataFrame, model: Model, spark: SparkSession) -> DataFrame:
-    """`docs` without the rows that identify() calls `und`: null text, or no letter in it."""
+    """`docs` without the rows that identify() calls `und`, and with the prediction where lang (if there) is null.
+
+    Null texts, empty ones and those without a letter go; every other row stays, repeated rows too,
+    whatever else is null in it. If nothing was learned no lang is filled in. The whole text counts,
+    however long. Empty table: no rows. Other columns pass through.
+    """
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in runs(batches):
             texts = text_column(part).to_pylist()
             lang, _ = shared.value.predict(texts)
-            if not shared.value.langs:  # nothing was learned: a letter is all that a text needs
-                lang = ["" if t and LETTER.search(t) else UNKNOWN for t in texts]
+            if not shared.value.langs:  # a letter is all that a text needs
+                lang = [None if t and LETTER.search(t) else UNKNOWN for t in texts]
+            if (at := part.schema.get_field_index("lang")) >= 0:
+                told = part.column(at)
+                part = part.set_column(at, part.schema.field(at), pc.coalesce(told, pa.array([None if x == UNKNOWN else x for x in lang], told.type)))
             yield part.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_out, runs, small_batches, text_column
+from .common import arrow_out, release, runs, small_batches, text_column
 
 # The base patterns. The upper-case and hex ones have their least length in them;
 # a run too short has no longer match inside, so that is the same as dropping it afterwards.
@@ -162,6 +162,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("n_assign", "n_access", "n_hex")] + [("base_sha256", pa.string()), ("spans", pa.string())])
         for part in runs(batches):
             found = [scan(t) for t in text_column(part).to_pylist()]
@@ -188,6 +189,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     fields = docs.schema
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in runs(batches):
             names = part.schema.names
             columns = {n: part.column(i) for i, n in enumerate(names)}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chargrams import gram_hashes
-from .common import Scratch, arrow_out, crc_mod, runs, text_column
+from .common import Scratch, arrow_out, crc_mod, release, runs, text_column
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -171,6 +171,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, fold: int = 3, hel
     shared = spark.sparkContext.broadcast(model)  # settings.features weights and a bitmap of 1 MB
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
         m = shared.value
         for part in runs(batches):
