@@ -1,6 +1,6 @@
 """A corpus from raw documents to packed sequences; each stage reads what the one before wrote.
 
-language: documents whose text is null or has no letter go. near_duplicates: one document of each
+language: documents whose text is null or has no letter go, and a null lang is predicted. near_duplicates: one document of each
 group of linked ones stays. secrets: found spans are masked in the text, n_chars is counted anew.
 mixing: each source's documents are taken so often (not at all, once, twice) that its words come
 near its target; a document taken twice is two rows. packing: the pieces of all that is left.
@@ -21,6 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null texts and texts without a letter go; all else stays, repeated rows too, whatever is null beside the text.
 
+    A null lang becomes the language predicted from the text.
     Columns other than COLUMNS go, here and in the next three stages; an empty table stays empty in all.
     """
     return langid.keep_identified(docs.select(COLUMNS), langid.fit(spark, docs), spark)
@@ -44,7 +45,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A source without any word has target 0 and goes; repeated rows are taken each for itself.
     """
-    mixed = mixing.mix_sources(docs.select(COLUMNS).withColumn("size", mixing.word_count("text")))
+    mixed = mixing.mix_sources(docs.select(COLUMNS).withColumn("size", mixing.word_count("text")), Scratch(spark, "pipeline-mix").save)
     return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 
@@ -62,7 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        before = list(Scratch.opened)
         docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
+        for done in [s for s in Scratch.opened if s not in before]:  # the stage's own tables: its rows are written
+            done.close()
         if i:
             scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
