@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from ragspark.llm import langid, lm, secrets, toxicity
+from ragspark.llm import langid, secrets, toxicity
 from ragspark.llm.chargrams import gram_hashes
 
 LANGS = {"en": "the of and that with for this", "de": "der die und nicht mit für das", "fr": "le la les des que pour dans"}
@@ -153,72 +153,3 @@ def test_secret_rows(spark, docs):
     masked = secrets.redact_documents(docs(rows)).collect()
     assert {(r.doc_id, r.text, r.n_chars) for r in masked if r.doc_id in (1, 3, 4)} == {(1, None, None), (3, "é [REDACTED] z", 14), (4, "[REDACTED]", 10)}
     assert secrets.find_secrets(docs([])).count() == 0
-
-
-def plain_lm(rows, mu=256.0):
-    low = str.maketrans({i: i + 32 for i in range(65, 91)})
-    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) for _, t in rows]
-    fold = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
-    c, b, starts = collections.Counter(), collections.Counter(), 0
-    for w, out in zip(words, fold, strict=True):
-        if not out:
-            c.update(w)
-            c[None] += 1
-            starts += 1
-            b.update(zip([0, *w], [*w, None], strict=True))
-    n, v = sum(c.values()), len(c)
-    res = []
-    for (i, _), w, out in zip(rows, words, fold, strict=True):
-        base = score = 0.0
-        for h, x in zip([0, *w], [*w, None], strict=True):
-            p = (c[x] + 1) / (n + v + 1)
-            base += math.log10(p)
-            score += math.log10((b[h, x] + mu * p) / ((starts if h == 0 else c[h]) + mu))
-        res.append((i, out, len(w) + 1, sum(c[x] > 0 for x in [*w, None]), n, base, score))
-    return res
-
-
-@pytest.mark.parametrize("chunk", [300, 10**9])
-def test_lm_against_plain(docs, scratch, chunk):
-    rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice("A b c dd É ee the".split()) for _ in range(rng.randrange(60)))) for i in range(80)]
-    rows += [(200, None), (201, ""), (202, " \t b\x0bc "), (None, "b c"), (0, "b"), (0, "b"), (203, "never seen " * 3000)]
-    got = [tuple(r) for r in lm.score(docs(rows), scratch, lm.Settings(chunk=chunk)).collect()]
-    key = lambda r: (repr(r[0]), r[2], round(r[6], 6))
-    got, want = sorted(got, key=key), sorted(plain_lm(rows), key=key)
-    assert [r[:5] for r in got] == [r[:5] for r in want]
-    assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-9)
-
-
-def test_lm_sums_to_one(docs):
-    """Each state's arcs, and what its failure arc leads to, are a distribution (with the share of unseen words)."""
-    rng = random.Random(6)
-    texts = [" ".join(rng.choice("abcde") for _ in range(9)) for _ in range(20)]
-    import pyarrow as pa
-
-    c = lm.chunk_of(pa.array(texts), np.ones(20, bool))
-    size, n = len(c.words), int(c.word_counts.sum())
-    unigram = (c.word_counts + 1) / (n + size + 1)
-    before = np.empty(len(c.ids), np.int64)
-    before[1:] = c.ids[:-1]
-    before[c.ends[:-1]] = size
-    one = np.zeros(len(c.bigrams), np.int64)
-    one[c.arcs] = np.arange(len(c.ids))
-    a = lm.Automaton(unigram, c.word_counts, before[one], before[one] * size + c.ids[one], c.bigram_counts, c.ids[one], 20, lm.Settings(prior=3.0))
-    unseen = 1 / (n + size + 1)
-    end = int(np.flatnonzero(c.words == lm.END)[0])
-    for state in [*range(size), a.begin]:
-        if state == end:
-            continue
-        total = sum(10 ** (a.arcs.get(state * size + w, a.backoff[state] + a.root[w])) for w in range(size))
-        assert total + 10 ** a.backoff[state] * unseen == pytest.approx(1)
-
-
-def test_lm_empty(docs, scratch):
-    assert lm.score(docs([]), scratch).count() == 0
-
-
-def test_lm_packing():
-    v = np.unique(np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64))
-    assert np.array_equal(lm.unpack(lm.pack(v)), v) and np.array_equal(lm.unpack_counts(lm.pack_counts(np.arange(300))), np.arange(300))
-    assert len(lm.unpack(lm.pack(v[:0]))) == 0
