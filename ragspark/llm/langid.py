@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chargrams import gram_hashes
-from .common import arrow_out, crc_mod, release, runs, small_batches, text_column
+from .common import Scratch, arrow_out, crc_mod, release, runs, small_batches, text_column
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -108,11 +108,16 @@ def fit(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), f
     however often an id is repeated (its smallest language and, in that, its smallest text hold).
     Rows of null id, lang or text and texts without a letter teach nothing.
     """
-    small_batches(spark)
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", fold) != held_out)).select("doc_id", "lang", "text")
-    ids = labelled.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = ids.withColumn("turn", turn).filter(F.col("turn") <= settings.rows).orderBy("turn", "lang").limit(settings.rows)
+    scratch = Scratch(spark, "language-fit")
+    ids = labelled.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("order", F.xxhash64("doc_id"))
+    ids = scratch.save(ids.withColumn("range", F.expr("shiftright(order, 52)")), "ids")
+    # The smallest hashes, by counts of their ranges first: no task ever holds a language's ids.
+    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("range"))
+    ranges = ids.groupBy("lang", "range").count().withColumn("upto", upto).filter(F.col("upto") - F.col("count") < settings.rows).select("lang", "range")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
+    chosen = ids.join(ranges, ["lang", "range"]).withColumn("turn", turn).filter(F.col("turn") <= settings.rows).orderBy("turn", "lang").limit(settings.rows)
+    chosen = scratch.save(chosen.select("doc_id", "lang", "turn"), "chosen")
     rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("turn", "lang").agg(F.min("text").alias("text"))
     orders, bits = settings.orders, settings.bits
 
@@ -128,6 +133,7 @@ def fit(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), f
             yield pa.RecordBatch.from_arrays([part.column("turn").cast(pa.int64()), pa.array(packed, pa.binary()), part.column("lang").cast(pa.string())], names=["turn", "bits", "lang"])
 
     got = rows.mapInArrow(each, "turn long, bits binary, lang string").toArrow().to_pydict()
+    scratch.close()
     order = sorted(range(len(got["turn"])), key=lambda i: (got["turn"][i], got["lang"][i]))
     grams = [np.unpackbits(np.frombuffer(got["bits"][i], np.uint8)).nonzero()[0] for i in order]
     taught = [(g, got["lang"][i]) for g, i in zip(grams, order, strict=True) if len(g)]
