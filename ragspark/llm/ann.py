@@ -7,26 +7,30 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, release
 
 
 @dataclass
 class Settings:
-    """sample: rows that the splits are fitted on at most; trees, depth: of the forest (2**depth leaves a tree);
-    search: leaves are taken until they hold this share of all rows, summed over the trees;
-    group_depth: the rows below a node of this depth travel together; block: rows of such a group a task."""
+    """trees; leaf: rows a leaf, about, which gives the depth; sample: rows that the splits are fitted on at
+    most, eight a leaf, which bounds the depth (beyond it leaves grow); recall, probes: leaves are read until
+    so many queries' true neighbours, found by brute force, are so far covered; rows: leaves are read until
+    they hold so many rows, summed over the trees, whatever the recall (None: as recall asks; all rows times
+    the trees: everything, an exact search); block, queries: of a group of leaves, rows and queries a task."""
 
     trees: int = 4
-    depth: int = 8
-    sample: int = 8192
-    search: float = 1.1
-    group_depth: int = 3
+    leaf: int = 128
+    sample: int = 16384
+    recall: float = 0.96
+    probes: int = 128
+    rows: int | None = None
     block: int = 8192
+    queries: int = 2048
     seed: int = 7
 
 
@@ -49,30 +53,52 @@ class Forest:
             out[:, t] = node - ((1 << self.depth) - 1)
         return out
 
-    def search(self, q: np.ndarray, rows: np.ndarray, enough: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the queue's order until their rows reach `enough`.
+    def leaves_from(self, q: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(tree, leaf), all of them, in the queue's order.
 
-        One queue holds nodes of all trees by the smallest margin on their way: going along with the
-        query costs nothing, against it the distance to the cut.
+        One queue holds nodes of all trees by the largest margin crossed on their way: going along
+        with the query costs nothing, against it the distance to the cut.
         """
         margins = self.directions @ q - self.cuts
         inner = (1 << self.depth) - 1
         queue = [(0.0, t, 0) for t in range(len(self.cuts))]
-        got, total = [], 0
-        while queue and total < enough:
+        while queue:
             cost, t, node = heapq.heappop(queue)
             while node < inner:
                 m = margins[t, node]
                 heapq.heappush(queue, (max(cost, abs(m)), t, 2 * node + (1 if m > 0 else 2)))
                 node = 2 * node + (2 if m > 0 else 1)
-            got.append((t, node - inner))
-            total += rows[t, node - inner]
-        return got
+            yield t, node - inner
 
+    def search(self, q: np.ndarray, rows: np.ndarray, enough: int) -> list[tuple[int, int]]:
+        """The first (tree, leaf) whose rows reach `enough`, without empty ones."""
+        got, total = [], 0
+        for t, leaf in self.leaves_from(q):
+            if total >= enough:
+                break
+            if rows[t, leaf]:
+                got.append((t, leaf))
+                total += int(rows[t, leaf])
+        return got
 
-def grow(x: np.ndarray, settings: Settings) -> Forest:
+    def needed(self, q: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> list[int]:
+        """How many rows are read before each wanted row's (a line: its leaf in each tree) first leaf is; ends with the last."""
+        need: list[int | None] = [None] * len(wanted)
+        total, left = 0, len(wanted)
+        for t, leaf in self.leaves_from(q):
+            if not left:
+                break
+            if rows[t, leaf]:
+                total += int(rows[t, leaf])
+                for i in np.flatnonzero(wanted[:, t] == leaf):
+                    if need[i] is None:
+                        need[i], left = total, left - 1
+        return [n for n in need if n is not None]
+
+
+def grow(x: np.ndarray, depth: int, settings: Settings) -> Forest:
     """Each node cuts its rows of the sample at the median along the line between two of them (or, if they are one point, a random line)."""
-    rng, d, inner = np.random.default_rng(settings.seed), x.shape[1], (1 << settings.depth) - 1
+    rng, d, inner = np.random.default_rng(settings.seed), x.shape[1], (1 << depth) - 1
     directions, cuts = np.zeros((settings.trees, inner, d)), np.zeros((settings.trees, inner))
     for t in range(settings.trees):
         members = {0: np.arange(len(x))}
@@ -88,7 +114,7 @@ def grow(x: np.ndarray, settings: Settings) -> Forest:
             cuts[t, node] = np.median(along) if len(rows) else 0.0
             if 2 * node + 1 < inner:
                 members[2 * node + 1], members[2 * node + 2] = rows[along <= cuts[t, node]], rows[along > cuts[t, node]]
-    return Forest(directions, cuts, settings.depth)
+    return Forest(directions, cuts, depth)
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -109,112 +135,176 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, row, cosine): of each query the k best other rows, ties to the smaller id.
+def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, row's place, cosine) arrays that hold each query's k best other rows (and what is within rounding of the k-th).
 
-    A product finds all within rounding of the k-th; these are computed one by one, so that equal
-    vectors score alike.
+    A product finds them; these are computed one by one, so that equal vectors score alike.
     """
-    out = []
     scores = q @ x.T
     scores[q_ids[:, None] == ids[None]] = -np.inf
     kth = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q), -np.inf)
-    for i in range(len(q)):
-        near = np.flatnonzero((scores[i] >= kth[i] - 1e-9) & np.isfinite(scores[i]))
-        exact = np.einsum("ij,ij->i", x[near], np.broadcast_to(q[i], (len(near), q.shape[1])))
-        for j in np.lexsort((ids[near], -exact))[:k]:
-            out.append((int(q_ids[i]), int(ids[near[j]]), float(exact[j])))
-    return out
+    i, j = np.nonzero((scores >= kth[:, None] - 1e-9) & np.isfinite(scores))
+    exact = np.empty(len(i))
+    for s in range(0, len(i), 65536):
+        exact[s : s + 65536] = np.einsum("ij,ij->i", x[j[s : s + 65536]], q[i[s : s + 65536]])
+    return i, j, exact
+
+
+def best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k best rows, ties to the smaller row."""
+    order = np.lexsort((row, -score, query))
+    first = np.flatnonzero(np.diff(query[order], prepend=query[order[0]] - 1)) if len(order) else np.zeros(0, int)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return order[rank < k]
+
+
+def units(column: pa.Array) -> np.ndarray:
+    """Vectors that travel as their bytes."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1)
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def found(query: np.ndarray, row: np.ndarray, score: np.ndarray) -> pa.Table:
+    return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(row, pa.int64()), "score": pa.array(score, pa.float64())})
+
+
+def enough_rows(placed: DataFrame, forest: Forest, rows: np.ndarray, k: int, every: int, settings: Settings) -> int:
+    """The budget: so many rows a query, over all trees, that the stated share of true neighbours is among them.
+
+    The true neighbours of settings.probes queries (the smallest hashes) come from one pass over all
+    rows, each task keeping k a probe; the forest then says how far each lies in the queue.
+    """
+    probes = placed.filter(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.probes).select("vec_id", "unit").toArrow()
+    if not probes.num_rows:
+        return 0
+    q_ids, q = probes.column("vec_id").to_numpy(), units(probes.column("unit"))
+    shared = placed.sparkSession.sparkContext.broadcast((q_ids, q))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, settings.trees), np.int32)]
+        for b in batches:
+            own = b.column("vec_id").to_numpy()
+            i, j, score = nearest(ids, vectors, own, units(b.column("unit")), k)
+            leaves = b.column("leaves").flatten().to_numpy().reshape(len(own), -1)
+            held = [np.concatenate(x) for x in zip(held, (ids[i], own[j], score, leaves[j]), strict=True)]
+            keep = best(*held[:3], k)
+            held = [x[keep] for x in held]
+        t = found(*held[:3]).append_column("leaves", pa.ListArray.from_arrays(np.arange(0, held[3].size + 1, settings.trees, dtype=np.int32), held[3].ravel()))
+        yield from t.to_batches()
+
+    near = placed.select("vec_id", "unit", "leaves").mapInArrow(compare, f"{FOUND}, leaves array<int>")
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    wanted: dict[int, list] = {}
+    for r in near.select("query_id", "leaves").collect():  # probes x k at most
+        wanted.setdefault(r.query_id, []).append(r.leaves)
+    needs = sorted(n for i, v in zip(q_ids, q, strict=True) if int(i) in wanted for n in forest.needed(v, rows, np.asarray(wanted[int(i)])))
+    return needs[min(len(needs) - 1, int(np.ceil(settings.recall * len(needs))))] if needs else 0
 
 
 def search(spark: SparkSession, vectors: DataFrame, scratch: Scratch, k: int = 5, every: int = 50, settings: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vec_id divisible by `every`, by cosine.
 
-    The forest is fitted on a bounded sample; all rows are indexed. Rows below a node of group_depth
-    go to one group, cut into blocks of about settings.block rows however hot it is; a query goes to
-    the groups that hold leaves it takes, and brings k rows from each. What is broadcast is bounded
-    by the settings: the forest, and the rows counted by leaf.
+    The forest is fitted on a bounded sample; all rows are indexed. A query reads leaves until they
+    hold the budget's rows (see enough_rows): few where vectors form clusters, most of the table
+    where they have no structure. The rows below a node, about settings.block of them, are a group;
+    larger groups are cut into blocks, and a group's queries too, however hot either is. A query goes
+    to the groups that hold leaves it reads, and brings k rows from each block. What is broadcast is
+    bounded by the settings: the forest, the rows counted by leaf, the probes.
+
+    Of equal vectors only the k + 1 smallest ids can be among a query's k nearest, itself left out;
+    the others are queries, but no candidates, so a group of copies costs no pairs.
 
     Vectors null, empty, zero, or with null or non-finite components, and those of another dimension
     than the commonest (ties: the smaller), take no part; nor do rows of null id. Repeated rows of a
-    vec_id: the smallest vector holds. Fewer candidates than k: all. Empty table: no rows.
+    vec_id: the smallest vector holds. Equal scores: the smaller vec_id is nearer, among what was
+    found. Fewer candidates than k: all. Empty table: no rows.
     """
-    schema = "query_id long, rank int, vec_id long, score double"
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable())
-    v = v.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    v = scratch.save(v, "vectors")
+    v = scratch.save(v.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     dims = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not dims:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total = dims[0]["count"]
     v = v.filter(F.size("embedding") == dims[0]["d"])
+    copy = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    few = v.withColumn("_copy", copy).filter(F.col("_copy") <= k + 1).select("vec_id", "embedding", F.lit(True).alias("candidate"))
+    asked = v.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding", F.lit(False).alias("candidate"))
+    both = few.unionByName(asked)
     taken = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).toArrow()
-    forest = grow(unit(matrix(taken.column("embedding"))), settings)
+    x = unit(matrix(taken.column("embedding")))
+    depth = max(1, min(int(np.ceil(np.log2(max(2, total / settings.leaf)))), int(np.log2(max(2, len(x) / 8)))))
+    forest = grow(x, depth, settings)
     shared = spark.sparkContext.broadcast(forest)
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             x = unit(matrix(b.column("embedding")))
             at = shared.value.leaves(x)
             yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.ListArray.from_arrays(np.arange(0, at.size + 1, at.shape[1], dtype=np.int32), at.ravel())], names=["vec_id", "unit", "leaves"]
+                [b.column("vec_id"), b.column("candidate"), pa.array([r.tobytes() for r in x], pa.binary()), pa.ListArray.from_arrays(np.arange(0, at.size + 1, at.shape[1], dtype=np.int32), at.ravel())], names=["vec_id", "candidate", "unit", "leaves"]
             )
 
-    placed = scratch.save(v.mapInArrow(locate, "vec_id long, unit binary, leaves array<int>"), "placed")
+    located = scratch.save(both.mapInArrow(locate, "vec_id long, candidate boolean, unit binary, leaves array<int>"), "placed")
+    placed, queries = located.filter("candidate").drop("candidate"), located.filter("not candidate").drop("candidate")
     scratch.drop("vectors")
     by_leaf = placed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect()  # trees x leaves at most
-    rows = np.zeros((settings.trees, 1 << settings.depth), np.int64)
+    rows = np.zeros((settings.trees, 1 << depth), np.int64)
     for r in by_leaf:
         rows[r.tree, r.leaf] = r["count"]
-    shift = settings.depth - settings.group_depth
-    blocks = np.maximum(1, -(-rows.reshape(settings.trees, 1 << settings.group_depth, -1).sum(axis=2) // settings.block))
-    enough = max(settings.search * total, 8 * k)
-    facts = spark.sparkContext.broadcast((rows, blocks))
+    enough = settings.rows if settings.rows is not None else enough_rows(placed, forest, rows, k, every, settings)
+    enough, counted = max(enough, 8 * k), spark.sparkContext.broadcast(rows)
+    shift = depth - min(depth, max(0, int(np.ceil(np.log2(max(1, total / settings.block))))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, cut = facts.value
         for b in batches:
-            out = {n: [] for n in ("tree", "grp", "block", "is_query", "id", "unit", "leaves")}
+            out: dict[str, list] = {n: [] for n in ("tree", "grp", "id", "unit", "leaves")}
             for i, u in zip(b.column("vec_id").to_pylist(), b.column("unit").to_pylist(), strict=True):
                 groups: dict[tuple[int, int], list[int]] = {}
-                for t, leaf in shared.value.search(np.frombuffer(u), counts, enough):
-                    if counts[t, leaf]:
-                        groups.setdefault((t, leaf >> shift), []).append(leaf)
+                for t, leaf in shared.value.search(np.frombuffer(u), counted.value, enough):
+                    groups.setdefault((t, leaf >> shift), []).append(leaf)
                 for (t, g), leaves in groups.items():
-                    for block in range(cut[t, g]):
-                        for n, value in zip(out, (t, g, block, True, i, u, leaves), strict=True):
-                            out[n].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["tree"], pa.int32()), pa.array(out["grp"], pa.int32()), pa.array(out["block"], pa.int64()), pa.array(out["is_query"], pa.bool_()), pa.array(out["id"], pa.int64()), pa.array(out["unit"], pa.binary()), pa.array(out["leaves"], pa.list_(pa.int32()))], names=list(out))
-
-    routed = placed.filter(F.col("vec_id") % every == 0).select("vec_id", "unit").mapInArrow(route, "tree int, grp int, block long, is_query boolean, id long, unit binary, leaves array<int>")
-    cuts = F.array(*[F.array(*[F.lit(int(n)) for n in line]) for line in blocks])
-    held = placed.select("vec_id", "unit", F.posexplode("leaves").alias("tree", "leaf"))
-    held = held.withColumn("grp", F.expr(f"shiftright(leaf, {shift})"))
-    held = held.withColumn("block", F.pmod(F.xxhash64("vec_id"), cuts[F.col("tree")][F.col("grp")]).cast("long"))
-    held = held.select("tree", "grp", "block", F.lit(False).alias("is_query"), F.col("vec_id").alias("id"), "unit", F.array("leaf").alias("leaves"))
+                    for n, value in zip(out, (t, g, i, u, leaves), strict=True):
+                        out[n].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out["tree"], pa.int32()), pa.array(out["grp"], pa.int32()), pa.array(out["id"], pa.int64()), pa.array(out["unit"], pa.binary()), pa.array(out["leaves"], pa.list_(pa.int32()))], names=list(out))
+
+    routed = scratch.save(queries.mapInArrow(route, "tree int, grp int, id long, unit binary, leaves array<int>"), "routed")
+    asking = {(r.tree, r.grp): r["count"] for r in routed.groupBy("tree", "grp").count().collect()}  # trees x groups at most
+    size = rows.reshape(settings.trees, -1, 1 << shift).sum(axis=2)
+    facts = [(t, g, int(-(-size[t, g] // settings.block)), -(-n // settings.queries)) for (t, g), n in asking.items()]
+    facts = F.broadcast(spark.createDataFrame(facts, "tree int, grp int, blocks int, parts int"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    columns = ["tree", "grp", "block", "part", "is_query", "id", "unit", "leaves"]
+    sent = routed.join(facts, ["tree", "grp"]).withColumn("is_query", F.lit(True)).withColumn("part", some("parts")).withColumn("block", each("blocks")).select(columns)
+    held = placed.select(F.col("vec_id").alias("id"), "unit", F.posexplode("leaves").alias("tree", "leaf")).withColumn("grp", F.expr(f"shiftright(leaf, {shift})")).join(facts, ["tree", "grp"])
+    held = held.withColumn("is_query", F.lit(False)).withColumn("block", some("blocks")).withColumn("leaves", F.array("leaf")).withColumn("part", each("parts")).select(columns)
 
     def rerank(group: pa.Table) -> pa.Table:
-        d = group.to_pandas()
-        queries, members = d[d.is_query], d[~d.is_query]
-        best: dict[int, dict[int, float]] = {}
-        if len(queries) and len(members):
-            x, ids = np.stack([np.frombuffer(u) for u in members.unit]), members.id.to_numpy()
-            leaf = np.asarray([a[0] for a in members.leaves])
-            wanted: dict[int, list[int]] = {}
-            for i, leaves in enumerate(queries.leaves):
-                for a in leaves:
-                    wanted.setdefault(int(a), []).append(i)
-            q, q_ids = np.stack([np.frombuffer(u) for u in queries.unit]), queries.id.to_numpy()
-            for a, who in wanted.items():
-                here = np.flatnonzero(leaf == a)
-                for s in range(0, len(who), 512) if len(here) else ():
-                    w = np.asarray(who[s : s + 512])
-                    for i, j, score in nearest(q_ids[w], q[w], ids[here], x[here], k):
-                        best.setdefault(i, {})[j] = score
-        found = [(i, j, s) for i, b in best.items() for j, s in sorted(b.items(), key=lambda p: (-p[1], p[0]))[:k]]
-        return pa.Table.from_pandas(pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}), preserve_index=False)
-
-    near = routed.unionByName(held).groupBy("tree", "grp", "block").applyInArrow(rerank, "query_id long, vec_id long, score double")
+        asks = group.column("is_query").combine_chunks()
+        q, members = group.filter(asks), group.filter(pc.invert(asks))
+        if not q.num_rows or not members.num_rows:
+            return found(*[np.zeros(0)] * 3)
+        x, ids, leaf = units(members.column("unit")), members.column("id").to_numpy(), members.column("leaves").combine_chunks().flatten().to_numpy()
+        y, q_ids, wanted = units(q.column("unit")), q.column("id").to_numpy(), q.column("leaves").combine_chunks()
+        owner = np.repeat(np.arange(len(q_ids)), pc.list_value_length(wanted).to_numpy())
+        wanted = wanted.flatten().to_numpy()
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a in np.unique(wanted):
+            here, who = np.flatnonzero(leaf == a), owner[wanted == a]
+            for s in range(0, len(who), 512) if len(here) else ():
+                w = who[s : s + 512]
+                i, j, score = nearest(q_ids[w], y[w], ids[here], x[here], k)
+                got.append((q_ids[w[i]], ids[here[j]], score))
+        query, row, score = (np.concatenate(c) for c in zip(*got, strict=True))
+        keep = best(query, row, score, k)
+        return found(query[keep], row[keep], score[keep])
+
+    near = sent.unionByName(held).groupBy("tree", "grp", "block", "part").applyInArrow(rerank, FOUND)
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ragspark.llm import ann, jaccard, neardup, packing
 from ragspark.llm.common import shingles, slices, words_of
@@ -34,12 +35,12 @@ def some_vectors(n, d=8, seed=0):
     return x.astype(np.float32)
 
 
-@pytest.mark.parametrize("block", [100_000, 37])
-def test_ann(spark, scratch, block):
+@pytest.mark.parametrize("block,queries", [(100_000, 2048), (37, 3)])
+def test_ann(spark, scratch, block, queries):
     x = some_vectors(400)
     x[10:15] = x[50]
     rows = [(i * 5, x[i].tolist(), 0) for i in range(400)]
-    s = ann.Settings(trees=3, depth=5, block=block, search=1.5)
+    s = ann.Settings(trees=3, leaf=16, block=block, queries=queries, recall=0.99)
     got = ann.search(spark, vectors(spark, rows + ODD + rows[:3]), scratch, every=50, settings=s).collect()
     u, hits, total = unit(x.astype(float)), 0, 0
     for q in range(0, 400, 10):
@@ -63,6 +64,50 @@ def test_ann_ties_and_few(spark, scratch):
     assert ann.search(spark, vectors(spark, [(0, None, 1)]), scratch).count() == 0
 
 
+def test_ann_exact(spark, scratch):
+    """A budget of all rows in all trees is an exact search; copies beyond the k + 1 smallest ids change nothing."""
+    x = some_vectors(300)
+    x[40:140] = x[7]  # a third of all rows are one vector
+    rows = [(i * 5, x[i].tolist(), 0) for i in range(300)]
+    got = ann.search(spark, vectors(spark, rows), scratch, every=50, settings=ann.Settings(rows=4 * 300, leaf=16, block=64)).collect()
+    u = unit(x.astype(float))
+    for q in range(0, 300, 10):
+        score = u @ u[q]
+        want = sorted((i for i in range(300) if i != q), key=lambda i: (-round(score[i], 12), i))[:5]
+        assert [r.vec_id // 5 for r in sorted((r for r in got if r.query_id == q * 5), key=lambda r: r["rank"])] == want
+
+
+def test_ann_reads_little_of_clusters(spark, scratch):
+    """In vectors that form clusters recall is kept with a small part of the rows."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((100, 16))
+    x = (centres[rng.integers(0, 100, 6000)] + 0.1 * rng.standard_normal((6000, 16))).astype(np.float32)
+    rows = [(i, x[i].tolist(), 0) for i in range(6000)]
+    read = []
+
+    class Watched(type(scratch)):
+        def save(self, df, name):
+            out = super().save(df, name)
+            if name == "routed":
+                read.append(out)
+            return out
+
+    watched = Watched(spark, "watched")
+    s = ann.Settings(leaf=32)
+    got = ann.search(spark, vectors(spark, rows), watched, every=50, settings=s).collect()
+    u = unit(x.astype(float))
+    hits = 0
+    for q in range(0, 6000, 50):
+        score = u @ u[q]
+        score[q] = -2
+        hits += len({r.vec_id for r in got if r.query_id == q} & set(np.argsort(-score, kind="stable")[:5].tolist()))
+    assert hits / 600 >= 0.9
+    leaves = read[0].select("id", "tree", F.explode("leaves").alias("leaf"))
+    sizes = spark.read.parquet(watched.path("placed")).filter("candidate").select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count()
+    rows_read = leaves.join(sizes, ["tree", "leaf"]).agg(F.sum("count")).first()[0]
+    assert rows_read / 120 < 0.2 * 6000
+
+
 def test_ann_recall_on_the_table(spark, scratch, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     d = v.toPandas()
