@@ -39,6 +39,8 @@ LONGER = np.uint64(1)
 ROOT = -1
 #: Repeated rows up to this many keys (counted) are broadcast; more are shuffled.
 BROADCAST_ROWS = 500_000
+#: Partitions that chunks are dealt to, at most.
+PARTITIONS = 100_000
 
 
 @dataclass
@@ -282,7 +284,8 @@ def score(docs: DataFrame, scratch: Scratch, settings: Settings = Settings()) ->
     else:
         d = d.withColumn("times", F.lit(1).cast("long"))
     chunks = int(chars // settings.chunk) + 1
-    dealt = d.withColumn("chunk", F.pmod("key", F.lit(chunks)).cast("long")).drop("key")
+    parts = min(chunks, PARTITIONS)  # of about a chunk each, whatever the session's number is
+    dealt = d.withColumn("chunk", F.pmod("key", F.lit(chunks)).cast("long")).drop("key").repartition(parts, "chunk")
 
     def read(group: pa.Table) -> tuple[pa.Table, Chunk]:
         release()
@@ -322,7 +325,7 @@ def score(docs: DataFrame, scratch: Scratch, settings: Settings = Settings()) ->
             schema=schema,
         )
 
-    told = told.filter("node is not null").select("prefix", "answer", F.col("node").alias("chunk"))
+    told = told.filter("node is not null").select("prefix", "answer", F.col("node").alias("chunk")).repartition(parts, "chunk")
     out = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(walk, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, times long")
     if repeated:
         out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_copy")
