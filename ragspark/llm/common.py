@@ -18,7 +18,7 @@ from ..session import shared_dir
 #: Fixed value: what the contracts call a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 

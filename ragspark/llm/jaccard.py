@@ -51,12 +51,16 @@ TOP = 255
 
 @dataclass
 class Settings:
-    """least: the threshold in per cent; bits: 2**bits buckets count the shingles; id_bits: of the map of documents to read again."""
+    """least: the threshold in per cent; bits: 2**bits buckets count the shingles; id_bits: of the map of documents to read again, at most.
+
+    However many shingles share a bucket, one that occurs more often than chance makes buckets differ
+    is in the top class (see limit in read()): in a larger corpus that is a larger number.
+    """
 
     words: int = 3
     least: int = 90
     bits: int = 23
-    id_bits: int = 21
+    id_bits: int = 27
 
 
 def set_key(s: np.ndarray) -> int:
@@ -200,19 +204,23 @@ class Join:
         s = self.settings
         one = facts.join(wanted, "set_key", "left_semi").select("set_key", "id_hash")
 
-        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(1 << s.id_bits, np.uint32)
-            for batch in batches:
-                counts[batch.column("id_hash").to_numpy().view(np.uint64) >> np.uint64(64 - s.id_bits)] = 1
-            yield from block_rows(counts)
+        # A bit for each leading part of an id's hash: eight bits an id that is wanted, in pieces of 4 KB.
+        bits = min(max(16, (8 * one.count()).bit_length()), s.id_bits)
+        x = F.expr(f"shiftrightunsigned(id_hash, {64 - bits})")
+        pieces = one.select(F.shiftright(x, 15).alias("piece"), x.bitwiseAND(32767).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("map")).collect()
+        wanted_bits = np.zeros(1 << (bits - 3), np.uint8)
+        for r in pieces:
+            wanted_bits[r.piece << 12 : (r.piece + 1) << 12] = np.frombuffer(r.map, np.uint8)
+        here = self.spark.sparkContext.broadcast(wanted_bits)  # 16 MB at most
 
-        here = self.spark.sparkContext.broadcast(summed(one.select("id_hash").mapInArrow(mark, "block int, counts binary"), s.id_bits, lambda x: x > 0) > 0)
+        def there(batch: pa.RecordBatch) -> np.ndarray:
+            x = batch.column("id_hash").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+            return (here.value[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             release()
             known: set[int] = set()
-            bucket = lambda b: b.column("id_hash").to_numpy().view(np.uint64) >> np.uint64(64 - s.id_bits)
-            for part in runs(b.filter(pa.array(here.value[bucket(b)])) for b in batches):
+            for part in runs(b.filter(pa.array(there(b))) for b in batches):
                 keys, values = [], []
                 for x in text_sets(part, s.words):
                     key = set_key(x)
@@ -237,6 +245,16 @@ class Join:
         # shared >= least (na + nb) / (100 + least), and the sets differ in na + nb - 2 shared.
         return p.filter(like & (apart * (100 + least) <= both * (100 - least))).select("a", "b")
 
+    def piled(self, members: DataFrame, tile: int, rows: int) -> DataFrame:
+        """`members` once for each pair of tiles with their own, and the pile that the pair of tiles is in."""
+        tiles = members.groupBy("signature").agg(F.count(F.lit(1)).alias("sets")).withColumn("tiles", F.ceil(F.col("sets") / tile).cast("int"))
+        tiles = self.scratch.save(tiles, "tiles")
+        sent = tiles.agg(F.sum(F.col("sets") * F.col("tiles"))).first()[0] or 0
+        m = members.join(tiles.drop("sets"), "signature").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
+        m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        m = m.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "component", "n", "parity")
+        return m.withColumn("pile", F.pmod(F.xxhash64("signature", "i", "j"), F.lit(sent // rows + 1)))
+
     def apart(self, members: DataFrame, tile: int = 1024, rows: int = 8192) -> DataFrame:
         """Distinct pairs (a < b) that share a signature, are of different components, and that sizes and parity maps allow.
 
@@ -246,13 +264,6 @@ class Join:
         rows that were sent (not the sets) ask for. Only pairs that may link leave them.
         """
         least = self.settings.least
-        tiles = members.groupBy("signature").agg(F.count(F.lit(1)).alias("sets")).withColumn("tiles", F.ceil(F.col("sets") / tile).cast("int"))
-        tiles = self.scratch.save(tiles, "tiles")
-        sent = tiles.agg(F.sum(F.col("sets") * F.col("tiles"))).first()[0] or 0
-        m = members.join(tiles.drop("sets"), "signature").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("tiles")).cast("int"))
-        m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        m = m.select("signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "component", "n", "parity")
-        m = m.withColumn("pile", F.pmod(F.xxhash64("signature", "i", "j"), F.lit(sent // rows + 1)))
 
         def pairs(group: pa.Table) -> pa.Table:
             sig, i, j, own, keys, of, n = (group.column(c).to_numpy() for c in ("signature", "i", "j", "own", "set_key", "component", "n"))
@@ -279,7 +290,7 @@ class Join:
                     b.append(np.maximum(keys[p[ok]], keys[q[ok]]))
             return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
 
-        return m.groupBy("pile").applyInArrow(pairs, "a long, b long").distinct()
+        return self.piled(members, tile, rows).groupBy("pile").applyInArrow(pairs, "a long, b long").distinct()
 
     def verified(self, pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose Jaccard similarity reaches the threshold."""

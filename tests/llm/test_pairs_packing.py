@@ -1,5 +1,6 @@
 """Neighbours, near duplicates, components, the n-gram join and packing against brute force."""
 
+import collections
 import itertools
 import math
 import random
@@ -281,6 +282,7 @@ def test_keep_one(spark, docs, scratch, monkeypatch, broadcast):
     assert kept.columns == d.columns
     _, sets, link = brute_join(rows)
     left = [(r.doc_id, r.text) for r in kept.collect()]
+    given = {(i, t) for i, t in rows}
     want = []
     for i, (doc, text) in enumerate(rows):
         group = reach(i, link)
@@ -289,7 +291,9 @@ def test_keep_one(spark, docs, scratch, monkeypatch, broadcast):
             want.append((doc, text))
         elif (doc is None, doc or 0) == min(ids) and i == min(j for j in group if (rows[j][0] is None, rows[j][0] or 0) == min(ids)):
             want.append((doc, text))
-    assert len(left) == len(want) and {x[0] for x in left} == {x[0] for x in want}
+    assert len(left) == len(want) and {x[0] for x in left} == {x[0] for x in want} and set(left) <= given
+    once = [i for i, n in collections.Counter(i for i, _ in rows).items() if n == 1]
+    assert sorted(x for x in left if x[0] in once) == sorted(x for x in want if x[0] in once)  # whole texts
 
 
 @pytest.fixture(scope="module")
