@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.identifiers import citations
-from .operators import chunking, facets, filters, ner, retrieval, storage
-from .plug import SYSTEM_PROMPT, USER_PROMPT, Embedder, ExtractiveGenerator, Generator, HashEmbedder, embed, prompt_context
+from .operators import chunking, experiments, facets, filters, ner, retrieval, storage
+from .plug import SYSTEM_PROMPT, USER_PROMPT, Embedder, EntityExtractor, ExtractiveGenerator, Generator, HashEmbedder, embed, prompt_context
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, docs: DataFrame, chunks: DataFrame, mentions: DataFrame, embedder: Embedder | None = None, generator: Generator | None = None):
+    def __init__(self, spark: SparkSession, docs: DataFrame, chunks: DataFrame, mentions: DataFrame, embedder: Embedder | None = None, generator: Generator | None = None, extractor: EntityExtractor | None = None):
         self.spark, self.docs, self.chunks, self.mentions = spark, docs, chunks, mentions
         self.embedder, self.generator = embedder or HashEmbedder(), generator or ExtractiveGenerator()
+        self.extractor = extractor
 
     def vector(self, question: str) -> list[float]:
         return [round(float(x), 6) for x in self.embedder.encode([question])[0]]
@@ -38,6 +41,28 @@ class Engine:
         found = [by[(c.doc, c.idx)] for c in cited if (c.doc, c.idx) in by] or rows[:1]
         return {"answer": text, "citations": found, "contexts": rows}
 
+    def ab_answer(self, question: str, experiment: experiments.Experiment, user_id: str | None = None, session_id: str | None = None, method: str = "consistent", forced: str | None = None, k: int = 5, log_path: str | None = None) -> dict:
+        """Assign a strategy, retrieve by it, answer, log; one call. Without a user the assignment is at random.
+
+        A forced strategy must be registered and has the experiment_id forced_<name>. The first three
+        passages are the citations. `log` is the event's row, appended to `log_path` if that is given.
+        """
+        if forced and forced not in experiment.names:
+            raise ValueError(f"no strategy is called {forced}")
+        if not experiment.names:
+            raise ValueError("no strategy is registered")
+        began = time.perf_counter()
+        user = self.spark.createDataFrame([(user_id, session_id)], "user_id string, session_id string")
+        given = experiment.assign(user, "random" if method == "consistent" and not user_id else method, seed=time.time_ns() % (1 << 31), forced=forced).first()
+        rows = [r.asDict() for r in self.search(question, given.strategy, k).orderBy(F.desc("final_score"), "chunk_id").collect()]
+        took = round((time.perf_counter() - began) * 1000, 3)
+        event = [(given.experiment_id, user_id, session_id, given.strategy, question, len(rows), took, [], {"top_k": str(k)})]
+        log = experiments.interactions(self.spark.createDataFrame(event, "experiment_id string, user_id string, session_id string, strategy string, query string, results_count int, latency_ms double, clicked_chunk_ids array<long>, metadata map<string,string>").withColumn("timestamp", F.current_timestamp().cast("string")))
+        if log_path:
+            experiments.append_log(log, log_path)
+        answer = f"{len(rows)} passages were found for: {question}" if rows else None
+        return {"answer": answer, "citations": rows[:3], "contexts": rows, "experiment_id": given.experiment_id, "strategy": given.strategy, "latency_ms": took, "log": log}
+
     def facets(self) -> dict:
         return facets.facets(self.docs)
 
@@ -47,16 +72,16 @@ class Engine:
         named = docs.select("ext_id", "text", "source_id").join(merged.select("ext_id", "doc_id"), "ext_id")
         made = chunking.chunk_documents(named, most, overlap, source_id="source_id")
         made = embed(made, self.embedder, "full_text").withColumn("embedding_model", F.lit(self.embedder.name)).withColumn("chunk_id", F.xxhash64("doc_id", "chunk_index"))
-        found = ner.dedup(ner.extract_mentions(made.withColumn("text", F.col("full_text")))).withColumn("mention_id", F.xxhash64("doc_id", "section_name", "label", F.lower("mention_text")))
+        found = ner.dedup(ner.extract_mentions(made.withColumn("text", F.col("full_text")), extractor=self.extractor)).withColumn("mention_id", F.xxhash64("doc_id", "section_name", "label", F.lower("mention_text")))
         keep = [c for c in self.chunks.columns if c in made.columns]
         chunks = storage.upsert_chunks(self.chunks, made.select(*keep))
         mentions = storage.append_mentions(self.mentions, found.select(*[c for c in self.mentions.columns if c in found.columns]))
-        return Engine(self.spark, merged, chunks, mentions, self.embedder, self.generator)
+        return Engine(self.spark, merged, chunks, mentions, self.embedder, self.generator, self.extractor)
 
     def backfill_mentions(self, vocabulary: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
         """Mentions of the documents that have none, and the totals."""
         todo = storage.docs_without_mentions(self.chunks, self.mentions)
         chunks = self.chunks.join(todo, "doc_id", "left_semi").withColumn("section_name", F.coalesce("section_name", F.lit("Document")))
-        found = ner.dedup(ner.extract_mentions(chunks, vocabulary))
+        found = ner.dedup(ner.extract_mentions(chunks, vocabulary, self.extractor))
         totals = found.agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("doc_id", "section_name").alias("sections"), F.count(F.lit(1)).alias("mentions")).first()
         return found, totals.asDict()

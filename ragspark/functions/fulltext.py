@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # English words that are no lexemes.
@@ -157,3 +157,30 @@ def scored(df: DataFrame, query: str, text: str = "text", mode: str = "and", out
 
     got: Column = F.nanvl(score(text), F.lit(None).cast("double"))
     return df.withColumn(out, got).filter(F.col(out).isNotNull())
+
+
+def batch_scored(df: DataFrame, queries: DataFrame, n: int, mode: str = "and") -> DataFrame:
+    """query_id, chunk_id, text_score, text_rank: the n best of many queries (query_id, words), by stems and positions.
+
+    The chunks' stems are made once and exploded, and only those that a query asks for go on, with
+    their positions; what a query's stems find in a chunk is then ranked as one vector.
+    """
+
+    @F.pandas_udf("array<string>")
+    def asked_stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([query_lexemes(t or "") for t in s])
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for found, asked in batches:
+            yield pd.Series([rank({x["lexeme"]: list(x["positions"]) for x in v}, list(q), mode) for v, q in zip(found, asked, strict=True)], dtype="float64")
+
+    asked = queries.select("query_id", asked_stems("words").alias("asked"))
+    one = asked.select("query_id", "asked", F.explode("asked").alias("lexeme"))
+    words = with_vector(df.select("chunk_id", "text")).select("chunk_id", F.inline("text_tsv")).join(one.select("lexeme").distinct(), "lexeme", "left_semi")
+    hits = words.join(one, "lexeme").groupBy("query_id", "chunk_id", "asked").agg(F.array_sort(F.collect_list(F.struct("lexeme", "positions"))).alias("found"))
+    hits = hits if mode == "or" else hits.filter(F.size("found") == F.size("asked"))
+    hits = hits.select("query_id", "chunk_id", F.round(score("found", "asked"), 8).alias("text_score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("text_score"), "chunk_id"))
+    return hits.withColumn("text_rank", place.cast("long")).filter(F.col("text_rank") <= n)

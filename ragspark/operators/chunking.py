@@ -69,7 +69,7 @@ class Packer:
     """sentences packed up to `most` words, each chunk begun with the tail of the one before (`overlap` words or more).
 
     Chunks are named by the section they begin in; with `compat` by the section that was current
-    when they were closed.
+    when they were closed, and a tail keeps the empty lines between sections.
     """
 
     most: int = 800
@@ -100,7 +100,7 @@ class Packer:
                 break
             keep.insert(0, s)
             n += len(s.split())
-        self.tail, self.held, self.words = ([s for s in keep if s] if self.overlap else []), [], 0
+        self.tail, self.held, self.words = ([s for s in keep if s or self.compat] if self.overlap else []), [], 0
 
     def seed(self) -> None:
         n = sum(len(s.split()) for s in self.tail)
@@ -171,10 +171,11 @@ def chunk_text(text: str | None, most: int = 800, overlap: int = 80, compat: boo
     return chunk_sections(sections_of(text), most, overlap, compat)
 
 
-def chunk_documents(docs: DataFrame, most: int = 800, overlap: int = 80, max_chunks: int | None = None, source_id: str | None = None) -> DataFrame:
+def chunk_documents(docs: DataFrame, most: int = 800, overlap: int = 80, max_chunks: int | None = None, source_id: str | None = None, compat: bool = False) -> DataFrame:
     """doc_id, chunk_index, text (preview), content_hash, n_words, section_name, full_text; each document by itself, no shuffle.
 
     The text is preceded by the source's id and a blank line if `source_id` names its column (1.3).
+    With `compat` chunks are named, and their overlaps kept, as chunk_sections() says (I17).
     """
     if not 0 <= overlap < most:
         raise ValueError("overlap must be less than the most words")
@@ -183,7 +184,7 @@ def chunk_documents(docs: DataFrame, most: int = 800, overlap: int = 80, max_chu
         for b in batches:
             rows = []
             for doc, text, sid in zip(b.doc_id, b.text, b.sid, strict=True):
-                for i, (body, name) in enumerate(chunk_text(text, most, overlap)[:max_chunks]):
+                for i, (body, name) in enumerate(chunk_text(text, most, overlap, compat)[:max_chunks]):
                     rows.append((doc, i, f"{sid}\n\n{body}" if sid is not None else body, name))
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "full_text", "section_name"])
 

@@ -49,17 +49,25 @@ def rank_correlation(a: DataFrame, b: DataFrame, key: str = "query_id", item: st
     return keys.join(c, key, "left").select(key, F.round(F.coalesce("_c", F.lit(0.0)), 6).alias("rank_correlation"))
 
 
-def latency_by_index(df: DataFrame, group: str, value: str) -> DataFrame:
+def latency_by_index(df: DataFrame, group: str, value: str, bins: int = 4096) -> DataFrame:
     """Percentiles as the sorted list's element at int(p n); a null counts as 0 in the mean alone.
 
-    Done by ranks and counts, not by gathering a group's values.
+    A group's range is cut into bins, whose counts say in which one each place lies; only the values
+    of those are counted one by one. No task sorts or gathers a group.
     """
-    ok = df.filter(F.col(value).isNotNull())
-    n = ok.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    pos = F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1
-    picked = ok.withColumn("_i", pos).join(n, group)
-    at = lambda p: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * F.lit(p)), F.col(value)))
-    tail = picked.groupBy(group).agg(F.expr(f"max(case when _i = _n div 2 then {value} end)").alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    ok = df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"))
+    ends = ok.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    share = (F.col("_v") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
+    binned = ok.join(ends, group).select(group, "_v", F.least(F.lit(bins - 1), F.floor(F.coalesce(share, F.lit(0.0)) * bins)).cast("int").alias("_b"))
+    upto = lambda key, order: F.sum("_c").over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = binned.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", upto([group], "_b"))
+    places = F.array(*[F.struct(F.lit(n).alias("_name"), at.cast("long").alias("_at")) for n, at in (("median", F.expr("_n div 2")), ("p95", F.floor(F.col("_n") * F.lit(0.95))), ("p99", F.floor(F.col("_n") * F.lit(0.99))))])
+    inside = (F.col("_at") >= F.col("_upto") - F.col("_c")) & (F.col("_at") < F.col("_upto"))
+    wanted = counts.join(ends.select(group, F.explode(places).alias("_p")).select(group, "_p.*"), group).filter(inside)
+    wanted = wanted.select(group, "_b", "_name", (F.col("_at") - F.col("_upto") + F.col("_c")).alias("_at"))
+    few = binned.join(wanted.select(group, "_b").distinct(), [group, "_b"], "left_semi").groupBy(group, "_b", "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", upto([group, "_b"], "_v"))
+    picked = few.join(wanted, [group, "_b"]).filter(inside)
+    tail = picked.groupBy(group).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in ("median", "p95", "p99")])
     head = df.groupBy(group).agg(F.round(F.avg(F.coalesce(value, F.lit(0.0))), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("stdev"), F.min(value).alias("low"), F.max(value).alias("high"))
     return head.join(tail, group, "left")
 
@@ -179,3 +187,17 @@ def compare_runs(runs: dict[str, DataFrame], base: str, key: str = "query_id", i
         o = o.select(F.lit(name).alias("strategy"), key, F.round(jaccard(F.col("n_a"), F.col("n_b"), F.col("n_both")), 6).alias("jaccard"), F.round(recall(F.col("n_a"), F.col("n_both")), 6).alias("recall"), "rank_correlation")
         out = o if out is None else out.unionByName(o)
     return out
+
+
+def composition(phrases: DataFrame, embedder, a: str = "a", b: str = "b", both: str = "both") -> DataFrame:
+    """Of each row (two phrases and their conjunction): how near the normalised sum of the two lies to the conjunction, and how near each does."""
+    from ..functions.vectors import cosine
+    from ..plug import embed
+
+    v = phrases
+    for c in (a, b, both):
+        v = embed(v, embedder, c, f"_{c}").withColumn(f"_{c}", F.col(f"_{c}").cast("array<double>"))
+    mixed = F.zip_with(F.col(f"_{a}"), F.col(f"_{b}"), lambda x, y: x + y)
+    near = lambda x, y: F.round(cosine(x, y), 6)
+    whole = F.col(f"_{both}")
+    return v.select(*phrases.columns, near(mixed, whole).alias("sum_to_both"), near(F.col(f"_{a}"), whole).alias("first_to_both"), near(F.col(f"_{b}"), whole).alias("second_to_both"))

@@ -88,3 +88,11 @@ def with_feedback(log: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def new_experiment_id() -> str:
     return str(uuid.uuid4())
+
+
+def export(log: DataFrame, path: str) -> DataFrame:
+    """The statistics by strategy, written as JSON lines beside the interactions they come from; returns them."""
+    stats = statistics(log)
+    stats.write.mode("overwrite").json(f"{path}/stats")
+    log.filter("event = 'user_interaction'").write.mode("overwrite").json(f"{path}/interactions")
+    return stats

@@ -37,15 +37,20 @@ class IvfIndex:
         self.spark, self.path, self.centroids = spark, path, centroids
 
     @classmethod
-    def build(cls, chunks: DataFrame, path: str, nlist: int = 96, model: str | None = None, sample: int = 100_000, seed: int = 1) -> IvfIndex:
-        """Fits centroids on at most `sample` rows (those of smallest hash), gives all rows their list, writes a folder a list."""
+    def build(cls, chunks: DataFrame, path: str, nlist: int = 96, model: str | None = None, sample: int = 100_000, seed: int = 1, file_rows: int = 500_000) -> IvfIndex:
+        """Fits centroids on at most `sample` rows (those of smallest hash), gives all rows their list, writes a folder a list.
+
+        A list of more than file_rows rows (counted) is several tasks and files, so a hot one is no single task.
+        """
         c = chunks if model is None else chunks.filter(F.col("embedding_model") == model)
         c = c.filter(F.col("embedding").isNotNull() & (vec.norm(F.col("embedding")) > 0))
         withv = c.withColumn("_v", array_to_vector(vec.as_double("embedding")))
         few = withv.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample)
         fitted = KMeans(k=nlist, seed=seed, distanceMeasure="cosine", featuresCol="_v", predictionCol="list_id").fit(few)
         placed = fitted.transform(withv).drop("_v")
-        placed.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+        parts = placed.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / file_rows).cast("int").alias("_parts"))
+        placed = placed.join(F.broadcast(parts), "list_id").withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.col("_parts")))  # nlist rows
+        placed.repartition("list_id", "_part").drop("_part", "_parts").write.mode("overwrite").partitionBy("list_id").parquet(path)
         centers = [(i, [float(x) for x in v]) for i, v in enumerate(fitted.clusterCenters())]
         c.sparkSession.createDataFrame(centers, "list_id int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/_centroids")
         return cls(c.sparkSession, path, np.asarray([v for _, v in centers]))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from ..plug import EntityExtractor
+
 # What states a significance, what names a device, and the labels of models' entities.
 STATISTICS_PATTERNS = (
     r"\bp\s*[<>=≤≥]\s*0\.\d+\b",
@@ -72,16 +76,17 @@ def vocabulary_pattern(vocabulary: dict[str, str]) -> re.Pattern | None:
     return re.compile(r"\b(?:" + "|".join(map(re.escape, terms)) + r")\b", re.IGNORECASE) if terms else None
 
 
-def entities(text: str | None, vocabulary: dict[str, str] | None = None) -> list[tuple[str, str, int, int, str, float]]:
-    """A.4, H3: (text, label, start, end, context, confidence): vocabulary, then statistics, then devices; offsets are in `text`."""
+def entities(text: str | None, vocabulary: dict[str, str] | None = None, extractor: EntityExtractor | None = None) -> list[tuple[str, str, int, int, str, float]]:
+    """A.4, H3: (text, label, start, end, context, confidence): extractor, vocabulary, then statistics, then devices; offsets are in `text`."""
     body, gone = strip_prefix(text or "")
+    found = extractor.extract(body) if extractor else []
+    out = [(shown, MODEL_LABELS.get(kind, kind), a + gone, b + gone, context_of(body, a, b), CONFIDENCE["model"]) for shown, kind, a, b in found]
     passes: list = []
     if vocabulary and (p := vocabulary_pattern(vocabulary)):
         low = {k.lower(): MODEL_LABELS.get(v, v) for k, v in vocabulary.items()}
         passes.append((p, lambda m: low[m.lower()], CONFIDENCE["model"]))
     passes.append((STATISTICS, lambda m: "statistical_significance", CONFIDENCE["statistical_significance"]))
     passes.append((DEVICES, lambda m: "device", CONFIDENCE["device"]))
-    out = []
     for pattern, label, sure in passes:
         for m in pattern.finditer(body):
             shown = m[0].strip()
@@ -89,7 +94,7 @@ def entities(text: str | None, vocabulary: dict[str, str] | None = None) -> list
     return out
 
 
-def extract_mentions(chunks: DataFrame, vocabulary: dict[str, str] | None = None) -> DataFrame:
+def extract_mentions(chunks: DataFrame, vocabulary: dict[str, str] | None = None, extractor: EntityExtractor | None = None) -> DataFrame:
     """doc_id, section_name, chunk_index and each mention's columns; each chunk by itself."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +102,7 @@ def extract_mentions(chunks: DataFrame, vocabulary: dict[str, str] | None = None
         for b in batches:
             rows = []
             for doc, section, index, text in zip(b.doc_id, b.section_name, b.chunk_index, b.text, strict=True):
-                rows += [(doc, section, index, i, *e) for i, e in enumerate(entities(text, vocabulary))]
+                rows += [(doc, section, index, i, *e) for i, e in enumerate(entities(text, vocabulary, extractor))]
             yield pd.DataFrame(rows, columns=names)
 
     schema = "doc_id long, section_name string, chunk_index int, ordinal int, mention_text string, label string, start_char int, end_char int, context string, label_confidence double"
@@ -111,6 +116,11 @@ def dedup(mentions: DataFrame, *order: str) -> DataFrame:
     return mentions.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def label_counts(mentions: DataFrame) -> DataFrame:
+    """Mentions a document and label."""
+    return mentions.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("mentions"))
+
+
 def statistics(mentions: DataFrame) -> DataFrame:
     """Mentions by label, with the row of all and the share of each."""
     g = mentions.rollup("label").agg(F.count(F.lit(1)).alias("mentions"), F.grouping("label").alias("_all"))

@@ -44,6 +44,11 @@ def ranked(df: DataFrame, score: str, name: str) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), "chunk_id")).cast("long"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The few rows that a limit left, as a local table: what is derived from them does not scan the chunks again."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def best(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order, "chunk_id").limit(k)
 
@@ -72,38 +77,46 @@ def vector_only(chunks: DataFrame, query: Sequence[float], k: int = 10, model: s
 
 def ner_boost(chunks: DataFrame, mentions: DataFrame, query: Sequence[float], k: int = 10, model: str | None = None, weight: float = 0.15, multiplier: int = 3) -> DataFrame:
     """Strategy 2, the nearest multiplier * k boosted by their mentions."""
-    c = mention_counts(nearest(of_model(chunks, model), query, multiplier * k, "section_name"), mentions)
+    return boosted(kept(nearest(of_model(chunks, model), query, multiplier * k, "section_name")), mentions, k, weight)
+
+
+def boosted(near: DataFrame, mentions: DataFrame, k: int, weight: float = 0.15) -> DataFrame:
+    """Strategy 2 over the nearest."""
+    c = mention_counts(near, mentions)
     c = c.withColumn("boost", F.round(F.lit(weight) * ner_score(F.col("mention_count")), 6))
     c = c.withColumn("final_score", F.round(F.col("similarity") + F.col("boost"), 6))
     return best(c, k, F.desc("final_score"), F.desc("similarity")).drop("section_name")
 
 
-def text_matches(chunks: DataFrame, query: str, n: int, mode: str = "and", *carry: str) -> DataFrame:
-    """The n chunks that match best."""
+def text_matches(chunks: DataFrame, query: str, n: int, mode: str = "and", *carry: str, rank: str = "words") -> DataFrame:
+    """The n chunks that match best, by the share of their words (rank="words") or by stems and positions ("stems")."""
+    if rank == "stems":
+        s = fulltext.scored(chunks, query, mode=mode).withColumn("text_score", F.round("text_score", 8))
+        return s.select("chunk_id", "doc_id", "text_score", *carry).orderBy(F.desc("text_score"), "chunk_id").limit(n)
     q = tx.query_terms(query)
     words = tx.terms(F.col("text"))
     c = chunks.filter(tx.matches(words, q, mode)).withColumn("text_score", F.round(tx.term_score(words, q), 6))
     return c.select("chunk_id", "doc_id", "text_score", *carry).orderBy(F.desc("text_score"), "chunk_id").limit(n)
 
 
-def stemmed_matches(chunks: DataFrame, query: str, n: int, mode: str = "and") -> DataFrame:
-    """F2, I4-I7 with stems and positions: the n chunks of the best rank."""
-    s = fulltext.scored(chunks, query, mode=mode).withColumn("text_score", F.round("text_score", 8))
-    return s.select("chunk_id", "doc_id", "text_score").orderBy(F.desc("text_score"), "chunk_id").limit(n)
+def candidates(chunks: DataFrame, query: Sequence[float], words: str, n: int, mode: str, rank: str = "words") -> DataFrame:
+    """The nearest and the best matches with both ranks; a match that is not near has similarity 0. At most 2 n rows, scanned for once."""
+    v = nearest(chunks, query, n, "section_name")
+    return fused_candidates(v, text_matches(chunks, words, n, mode, "section_name", rank=rank))
 
 
-def candidates(chunks: DataFrame, query: Sequence[float], words: str, n: int, mode: str) -> DataFrame:
-    """The nearest and the best matches with both ranks; a match that is not near has similarity 0."""
-    v = ranked(nearest(chunks, query, n, "section_name"), "similarity", "vector_rank")
-    t = ranked(text_matches(chunks, words, n, mode, "section_name"), "text_score", "text_rank")
+def fused_candidates(near: DataFrame, matching: DataFrame) -> DataFrame:
+    v, t = ranked(near, "similarity", "vector_rank"), ranked(matching, "text_score", "text_rank")
     j = v.alias("v").join(t.alias("t"), "chunk_id", "full_outer")
-    return j.select("chunk_id", F.coalesce("v.doc_id", "t.doc_id").alias("doc_id"), F.coalesce("v.section_name", "t.section_name").alias("section_name"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "text_score", "vector_rank", "text_rank")
+    return kept(j.select("chunk_id", F.coalesce("v.doc_id", "t.doc_id").alias("doc_id"), F.coalesce("v.section_name", "t.section_name").alias("section_name"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "text_score", "vector_rank", "text_rank"))
 
 
-def hybrid_rrf(chunks: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, rrf_k: int = 60, mode: str = "and", multiplier: int = 3) -> DataFrame:
+def hybrid_rrf(chunks: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, rrf_k: int = 60, mode: str = "and", multiplier: int = 3, rank: str = "words") -> DataFrame:
     """Strategy 3, reciprocal rank fusion."""
-    n = multiplier * k
-    c = candidates(of_model(chunks, model), query, words, n, mode)
+    return fused_by_rank(candidates(of_model(chunks, model), query, words, multiplier * k, mode, rank), k, multiplier * k, rrf_k)
+
+
+def fused_by_rank(c: DataFrame, k: int, n: int, rrf_k: int = 60) -> DataFrame:
     part = lambda r: F.lit(1.0) / (F.lit(float(rrf_k)) + F.coalesce(r, F.lit(n + 1)))
     c = c.withColumn("final_score", F.round(part(F.col("vector_rank")) + part(F.col("text_rank")), 8))
     return best(c, k, F.desc("final_score")).drop("section_name")
@@ -115,18 +128,22 @@ def _norm_text(c: DataFrame) -> DataFrame:
     return c.withColumn("norm_text", F.coalesce(F.try_divide(F.col("text_score"), F.when(top > 0, top)), F.lit(0.0)))
 
 
-def hybrid_weighted(chunks: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, weights=(0.7, 0.3), mode: str = "and", multiplier: int = 3) -> DataFrame:
+def hybrid_weighted(chunks: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, weights=(0.7, 0.3), mode: str = "and", multiplier: int = 3, rank: str = "words") -> DataFrame:
     """Strategy 3 by weights; without a match the vector part stands alone."""
-    c = _norm_text(candidates(of_model(chunks, model), query, words, multiplier * k, mode))
+    c = _norm_text(candidates(of_model(chunks, model), query, words, multiplier * k, mode, rank))
     c = c.withColumn("final_score", F.round(weights[0] * F.col("similarity") + weights[1] * F.col("norm_text"), 6))
     for r in ("vector_rank", "text_rank"):
         c = c.withColumn(r, F.coalesce(r, F.lit(MISSING).cast("long")))
     return best(c, k, F.desc("final_score")).drop("section_name", "norm_text")
 
 
-def full_hybrid(chunks: DataFrame, mentions: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, weights=(0.5, 0.3, 0.2), mode: str = "and", multiplier: int = 3) -> DataFrame:
+def full_hybrid(chunks: DataFrame, mentions: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, weights=(0.5, 0.3, 0.2), mode: str = "and", multiplier: int = 3, rank: str = "words") -> DataFrame:
     """Strategy 4, vector, text and mentions."""
-    c = mention_counts(_norm_text(candidates(of_model(chunks, model), query, words, multiplier * k, mode)), mentions)
+    return fused_fully(candidates(of_model(chunks, model), query, words, multiplier * k, mode, rank), mentions, k, weights)
+
+
+def fused_fully(c: DataFrame, mentions: DataFrame, k: int, weights=(0.5, 0.3, 0.2)) -> DataFrame:
+    c = mention_counts(_norm_text(c), mentions)
     c = c.withColumn("ner", ner_score(F.col("mention_count")))
     c = c.withColumn("final_score", F.round(weights[0] * F.col("similarity") + weights[1] * F.col("norm_text") + weights[2] * F.col("ner"), 6))
     for r in ("vector_rank", "text_rank"):
@@ -134,6 +151,7 @@ def full_hybrid(chunks: DataFrame, mentions: DataFrame, query: Sequence[float],
     return best(c, k, F.desc("final_score")).drop("section_name", "norm_text", "ner")
 
 
+# The strategies' names.
 STRATEGIES = ("ivfflat_only", "ivfflat_ner_boost", "ivfflat_tsvector", "ivfflat_ner_tsvector")
 
 
@@ -148,11 +166,14 @@ def search(strategy: str, chunks: DataFrame, mentions: DataFrame, query: Sequenc
     return vector_only(chunks, query, k, **more)
 
 
-def compare(chunks: DataFrame, mentions: DataFrame, query: Sequence[float], words: str, k: int = 10) -> DataFrame:
-    """Strategy, position, chunk_id, final_score of all four."""
+def compare(chunks: DataFrame, mentions: DataFrame, query: Sequence[float], words: str, k: int = 10, rank: str = "words") -> DataFrame:
+    """Strategy, position, chunk_id, final_score of all four, from one search by vector and one by text."""
+    n = 3 * k
+    near = kept(nearest(chunks, query, n, "section_name"))
+    c = fused_candidates(near, text_matches(chunks, words, n, "and", "section_name", rank=rank))
+    found = (best(near, k, F.desc("similarity")).withColumn("final_score", F.col("similarity")), boosted(near, mentions, k), fused_by_rank(c, k, n), fused_fully(c, mentions, k))
     parts = []
-    for name in STRATEGIES:
-        r = search(name, chunks, mentions, query, words, k).select("chunk_id", "similarity", "final_score")
+    for name, r in zip(STRATEGIES, found, strict=True):
         order = [F.desc("final_score")] + ([F.desc("similarity")] if name == "ivfflat_ner_boost" else [])
         parts.append(r.select(F.lit(name).alias("strategy"), F.row_number().over(Window.orderBy(*order, "chunk_id")).cast("long").alias("position"), "chunk_id", "final_score"))
     return reduce(DataFrame.unionByName, parts)
@@ -214,54 +235,83 @@ def query_blocks(queries: DataFrame, most: int) -> Iterator[tuple[list[int], lis
         yield ids, vectors
 
 
-def best_places(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties by the smaller id."""
-    at = np.arange(len(scores))
-    if len(scores) > 4 * k:
-        at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+def best_places(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's k largest scores, ties by the smaller id."""
+    order = np.lexsort((ids, -scores, query))
+    begin = np.flatnonzero(np.diff(query[order], prepend=-1))
+    place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+    return order[place < k]
 
 
 def block_nearest(chunks: DataFrame, ids: list[int], vectors: list, k: int) -> DataFrame:
-    """query_id, chunk_id, similarity: each Arrow batch's k best chunks of each query of a block."""
+    """query_id, chunk_id, similarity: each task's k best chunks of each query of a block, sent once at its end.
+
+    Chunks whose vector is null, holds nulls or has another length than the queries' take no part.
+    """
     m = np.asarray(vectors, float).reshape(len(ids), -1 if ids else 0)
+    names = np.asarray(ids, np.int64)
     shared = chunks.sparkSession.sparkContext.broadcast(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, blocks = shared.value, range(0, len(names), QUERY_ROWS)
+        held = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)] for _ in blocks]
         for b in batches:
             c = np.asarray(b.column("chunk_id"))
             v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
-            norms = np.maximum(np.linalg.norm(v, axis=1), 1e-12)
-            for start in range(0, len(ids), QUERY_ROWS):
-                s = np.round((m[start : start + QUERY_ROWS] @ v.T) / norms, 6)
-                out: tuple[list, list, list] = ([], [], [])
-                for i in range(len(s)):
-                    top = best_places(s[i], c, k)
-                    out[0].extend([ids[start + i]] * len(top))
-                    out[1].extend(c[top].tolist())
-                    out[2].extend(s[i][top].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "chunk_id", "similarity"])
+            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+            for at, start in enumerate(blocks):
+                s = np.round(m[start : start + QUERY_ROWS] @ v.T, 6)
+                least = np.partition(s, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(s), -np.inf)
+                i, j = np.nonzero(s >= least[:, None])
+                both = [np.concatenate(x) for x in zip(held[at], (i + start, c[j], s[i, j]), strict=True)]
+                held[at] = [x[best_places(*both, k)] for x in both] if len(both[0]) else both
+        for q, c, s in held:
+            yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "similarity"])
 
-    return chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", vec.as_double("embedding").alias("embedding")).mapInArrow(each, "query_id long, chunk_id long, similarity double")
+    whole = (F.size("embedding") == m.shape[1]) & ~F.exists("embedding", lambda x: x.isNull())
+    return chunks.filter(F.col("embedding").isNotNull() & whole).select("chunk_id", vec.as_double("embedding").alias("embedding")).mapInArrow(each, "query_id long, chunk_id long, similarity double")
 
 
 def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 10_000) -> DataFrame:
     """query_id, rank, chunk_id, similarity: top k of any number of queries, a pass over the chunks a block of most_queries.
 
-    A block's queries (query_id, vector) are broadcast; each batch of chunks is a matrix product
-    whose k best per query leave it, so the shuffle carries k x batches rows a query.
+    A block's queries (query_id, vector; null vectors are left out) are broadcast; each batch of
+    chunks is a matrix product for QUERY_ROWS of them at once, a task keeps k a query, so the
+    shuffle carries k x tasks rows a query.
     """
-    parts = [block_nearest(chunks, ids, vectors, k) for ids, vectors in query_blocks(queries, most_queries)]
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
-    return reduce(DataFrame.unionAll, parts).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
+    parts = [block_nearest(chunks, ids, vectors, k) for ids, vectors in query_blocks(queries.filter("vector is not null"), most_queries)]
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
+    return reduce(DataFrame.unionAll, parts).withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
+
+
+def batch_filtered(chunks: DataFrame, docs: DataFrame, queries: DataFrame, f: flt.Filters, k: int = 5) -> DataFrame:
+    """G10 for many queries (query_id, vector) under one filter: only the chunks of documents that pass are multiplied."""
+    return batch_nearest(chunks.join(docs.filter(flt.build(f)).select("doc_id"), "doc_id", "left_semi"), queries, k)
+
+
+def batch_boost(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k: int = 10, weight: float = 0.15, multiplier: int = 3) -> DataFrame:
+    """Strategy 2 for many queries (query_id, vector): the nearest multiplier * k of each, boosted by their mentions."""
+    c = with_mention_counts(batch_nearest(chunks, queries, multiplier * k).drop("rank"), chunks, mentions)
+    c = c.withColumn("final_score", F.round(F.col("similarity") + F.round(F.lit(weight) * ner_score(F.col("mention_count")), 6), 6))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), F.desc("similarity"), "chunk_id"))
+    return c.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "similarity", "mention_count", "final_score")
+
+
+def with_mention_counts(found: DataFrame, chunks: DataFrame, mentions: DataFrame) -> DataFrame:
+    """`found` (with chunk_id) with its chunks' document, section and mention_count; mentions of these alone are counted."""
+    c, key = found.join(chunks.select("chunk_id", "doc_id", "section_name"), "chunk_id"), ["doc_id", "section_name"]
+    counts = mentions.join(c.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("mention_count"))
+    return c.join(counts, key, "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0).cast("long")))
 
 
-def batch_matches(chunks: DataFrame, queries: DataFrame, n: int, mode: str = "and") -> DataFrame:
+def batch_matches(chunks: DataFrame, queries: DataFrame, n: int, mode: str = "and", rank: str = "words") -> DataFrame:
     """query_id, chunk_id, text_score, text_rank: the n best matches of many queries (query_id, words) in one join on terms.
 
     Only the queries' terms leave the chunks: those are counted a chunk before anything is shuffled.
+    With rank="stems" the terms are stems, and a chunk that has them is ranked by their positions.
     """
+    if rank == "stems":
+        return fulltext.batch_scored(chunks, queries, n, mode)
     first = F.slice(F.split(tx.strip(F.col("words")), r"\s+"), 1, 10)
     asked = queries.select("query_id", F.array_distinct(tx.terms(F.array_join(first, " "))).alias("asked"))
     asked = asked.select("query_id", F.size("asked").alias("n_asked"), F.explode("asked").alias("term"))
@@ -276,7 +326,7 @@ def batch_matches(chunks: DataFrame, queries: DataFrame, n: int, mode: str = "an
     return hits.withColumn("text_rank", rank.cast("long")).filter(F.col("text_rank") <= n).select("query_id", "chunk_id", "text_score", "text_rank")
 
 
-def batch_hybrid(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k: int = 10, fusion: str = "rrf", mode: str = "and", rrf_k: int = 60, weights=(0.5, 0.3, 0.2), multiplier: int = 3) -> DataFrame:
+def batch_hybrid(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k: int = 10, fusion: str = "rrf", mode: str = "and", rrf_k: int = 60, weights=(0.5, 0.3, 0.2), multiplier: int = 3, rank: str = "words") -> DataFrame:
     """Strategies 3 (fusion="rrf") and 4 ("weighted") for many queries (query_id, vector, words) in one plan.
 
     Candidates carry ids and scores; the chunks' document and section, and mentions of these alone,
@@ -284,17 +334,14 @@ def batch_hybrid(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k:
     """
     n = multiplier * k
     v = batch_nearest(chunks, queries, n).withColumnRenamed("rank", "vector_rank")
-    c = v.join(batch_matches(chunks, queries, n, mode), ["query_id", "chunk_id"], "full_outer").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    c = v.join(batch_matches(chunks, queries, n, mode, rank), ["query_id", "chunk_id"], "full_outer").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     if fusion == "rrf":
         part = lambda r: F.lit(1.0) / (F.lit(float(rrf_k)) + F.coalesce(F.col(r), F.lit(n + 1)))
         c = c.withColumn("final_score", F.round(part("vector_rank") + part("text_rank"), 8))
     else:
         top = F.max("text_score").over(Window.partitionBy("query_id"))
         norm = F.coalesce(F.try_divide(F.col("text_score"), F.when(top > 0, top)), F.lit(0.0))
-        c = c.withColumn("norm", norm).join(chunks.select("chunk_id", "doc_id", "section_name"), "chunk_id")
-        key = ["doc_id", "section_name"]
-        counts = mentions.join(c.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("mention_count"))
-        c = c.join(counts, key, "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0).cast("long")))
+        c = with_mention_counts(c.withColumn("norm", norm), chunks, mentions)
         c = c.withColumn("final_score", F.round(weights[0] * F.col("similarity") + weights[1] * F.col("norm") + weights[2] * ner_score(F.col("mention_count")), 6))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "chunk_id"))
     c = c.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)

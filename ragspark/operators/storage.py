@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 def upsert_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     """B1: keyed by ext_id; a null never erases; new documents get ids above the largest.
 
-    Of new rows with one ext_id, the last in order of their text form holds. New ids come from
-    counts by partition of a sort, not from one global window.
+    Of new rows with one ext_id, the last in order of their text form holds. A null ext_id matches
+    nothing: old rows without one stay, and each new row without one is a new document. New ids come
+    from counts by partition of a sort, not from one global window.
     """
     cols = [c for c in old.columns if c not in ("ext_id", "doc_id")]
-    one = new.withColumn("_r", F.row_number().over(Window.partitionBy("ext_id").orderBy(F.to_json(F.struct(*[c for c in new.columns])).desc()))).filter("_r = 1").drop("_r")
-    j = old.alias("o").join(one.alias("n"), "ext_id", "full_outer")
-    kept = j.select("ext_id", "o.doc_id", *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) if c in one.columns else F.col(f"o.{c}") for c in cols])
-    fresh = number_from(kept.filter("doc_id is null").select("ext_id"), "ext_id", old.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("top")).first().top + 1)
-    out = kept.join(fresh, "ext_id", "left").withColumn("doc_id", F.coalesce("doc_id", "_id")).drop("_id")
+    n = new.withColumn("_text", F.to_json(F.struct(*new.columns))).withColumn("_key", F.coalesce(F.concat(F.lit("e"), "ext_id"), F.concat(F.lit("n"), "_text")))
+    n = n.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_text")))).filter("_r = 1 or ext_id is null")
+    n = n.withColumn("_key", F.when(F.col("ext_id").isNull(), F.concat("_key", F.lit("#"), F.col("_r").cast("string"))).otherwise(F.col("_key"))).drop("_text", "_r")
+    j = old.withColumn("_key", F.concat(F.lit("e"), "ext_id")).alias("o").join(n.alias("n"), "_key", "full_outer")
+    kept = j.select("_key", F.coalesce("o.ext_id", "n.ext_id").alias("ext_id"), "o.doc_id", *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) if c in n.columns else F.col(f"o.{c}") for c in cols])
+    fresh = number_from(kept.filter("doc_id is null").select("_key"), "_key", old.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("top")).first().top + 1)
+    out = kept.join(fresh, "_key", "left").withColumn("doc_id", F.coalesce("doc_id", "_id")).drop("_id")
     return out.select(*old.columns)
 
 
@@ -71,9 +74,13 @@ def swap(df: DataFrame, path: str) -> str:
     return version
 
 
+# The kinds under which a journal's and an archive's DOI are kept.
+DOI_KINDS = ("doi", "arxiv-doi")
+
+
 def docs_without_doi(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """D8."""
-    return docs.join(ids.filter("id_type = 'doi'").select("doc_id"), "doc_id", "left_anti")
+    """Without a DOI of any kind."""
+    return docs.join(ids.filter(F.col("id_type").isin(*DOI_KINDS)).select("doc_id"), "doc_id", "left_anti")
 
 
 def docs_without_mentions(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -127,23 +134,25 @@ def coverage(chunks: DataFrame) -> DataFrame:
 
 
 def doi_counts(ids: DataFrame) -> DataFrame:
-    """Documents with a journal DOI, with an arXiv one, with any; one pass."""
-    doi = F.col("id_type") == "doi"
-    arxiv = F.lower("id_value").startswith("10.48550/")
+    """Documents with a journal DOI, with an archive's, with any; of either kind, in one pass."""
+    doi = F.col("id_type").isin(*DOI_KINDS)
+    arxiv = (F.col("id_type") == "arxiv-doi") | F.lower("id_value").startswith("10.48550/")
     return ids.agg(F.count_distinct(F.when(doi & ~arxiv, F.col("doc_id"))).alias("journal"), F.count_distinct(F.when(doi & arxiv, F.col("doc_id"))).alias("arxiv"), F.count_distinct(F.when(doi, F.col("doc_id"))).alias("total"))
 
 
-def enrich(spark: SparkSession, docs: DataFrame, ids: DataFrame, mark: int) -> tuple[DataFrame, dict]:
-    """K1, I31, A.7: arXiv documents above the mark without an arXiv DOI get theirs; others one found in their text fields."""
+def found_dois(docs: DataFrame) -> DataFrame:
+    """doc_id, id_type, id_value: an arXiv document's archive DOI, and the journal's DOI that any document's fields hold."""
     from ..functions.identifiers import arxiv_doi, find_doi
 
+    archive = F.when(F.col("source") == "arXiv", F.struct(F.lit("arxiv-doi").alias("id_type"), arxiv_doi(F.col("source_id")).alias("id_value")))
+    journal = F.struct(F.lit("doi").alias("id_type"), find_doi(F.coalesce("doi", "source_uri")).alias("id_value"))
+    return docs.select("doc_id", F.explode(F.array(archive, journal)).alias("_k")).select("doc_id", "_k.*").filter("id_value is not null")
+
+
+def enrich(spark: SparkSession, docs: DataFrame, ids: DataFrame, mark: int) -> tuple[DataFrame, dict]:
+    """K1, I31, A.7: documents above the mark get the DOIs found for them that are not there yet; and the totals."""
     todo = docs.join(new_since(docs, mark), "doc_id", "left_semi")
-    found = todo.select(
-        "doc_id",
-        F.when(F.col("source") == "arXiv", F.lit("arxiv-doi")).otherwise(F.lit("doi")).alias("id_type"),
-        F.when(F.col("source") == "arXiv", arxiv_doi(F.col("source_id"))).otherwise(find_doi(F.coalesce("doi", "source_uri"))).alias("id_value"),
-    ).filter("id_value is not null")
-    after = insert_ids(ids, found)
+    after = insert_ids(ids, found_dois(todo))
     counts = doi_counts(after).first()
     return after, {"processed": todo.count(), "journal_dois": counts.journal, "arxiv_dois": counts.arxiv, "total_dois": counts.total}
 

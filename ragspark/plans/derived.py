@@ -35,13 +35,13 @@ class Tables:
             F.when(i % 7 != 0, F.concat(F.lit("Institute "), F.upper("lang"), (i % 9).cast("string"))).alias("institute"),
             F.array(F.concat(F.lit("Smith "), (i % 11).cast("string")), F.concat(F.lit("Chen "), (i % 5).cast("string"))).alias("author"),
             F.when(i % 13 != 0, F.make_date((F.lit(2000) + i % 25).cast("int"), F.lit(1), F.lit(1))).alias("year"),
-            F.substring("text", 1, 500).alias("text"),
+            "text",
         )
 
     @cached_property
     def chunks(self) -> DataFrame:
         v = self.raw("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("long").alias("label"))
-        d = self.raw("documents").select("doc_id", F.substring("text", 1, 500).alias("text"))
+        d = self.raw("documents").select("doc_id", "text")
         i = F.col("doc_id")
         return v.join(d, "doc_id").select("chunk_id", "doc_id", (i % 4).cast("int").alias("chunk_index"), "text", "embedding", F.when(i % 10 == 9, F.lit("other")).otherwise(F.lit(MODEL)).alias("embedding_model"), F.when(i % 17 != 0, F.concat(F.lit("S"), (i % 3).cast("string"))).alias("section_name"), "label")
 
@@ -53,12 +53,13 @@ class Tables:
 
     @cached_property
     def mentions(self) -> DataFrame:
-        d = self.raw("documents").select("doc_id", F.substring("text", 1, 500).alias("text"))
+        d = self.raw("documents").select("doc_id", "text")
         named = lambda n: lambda m: F.struct(F.lit(n).alias("label"), m.alias("mention_text"))
         labels = F.array(*[F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(p), 0)), named(n)) for n, p in LABEL_PATTERNS])
-        m = d.select("doc_id", F.explode(F.flatten(labels)).alias("m"))
+        m = d.select("doc_id", "text", F.explode(F.flatten(labels)).alias("m"))
         i = F.col("doc_id")
-        return m.select("doc_id", "m.mention_text", "m.label", F.when(i % 17 != 0, F.concat(F.lit("S"), (i % 3).cast("string"))).alias("section_name"))
+        named_by = F.md5(F.concat_ws(":", i.cast("string"), "m.label", "m.mention_text").cast("binary"))
+        return m.select("doc_id", "m.mention_text", "m.label", named_by.alias("mention_id"), F.instr("text", F.col("m.mention_text")).cast("long").alias("start_char"), F.date_add(F.lit("2020-01-01").cast("date"), (i % 1000).cast("int")).alias("created_at"), F.when(i % 17 != 0, F.concat(F.lit("S"), (i % 3).cast("string"))).alias("section_name"))
 
     @cached_property
     def ids(self) -> DataFrame:
@@ -92,13 +93,13 @@ class Tables:
 
 
 def _mention_sql() -> str:
-    parts = [f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS mention_text, '{n}' AS label FROM p" for n, p in LABEL_PATTERNS]
+    parts = [f"SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS mention_text, '{n}' AS label FROM p" for n, p in LABEL_PATTERNS]
     return " UNION ALL ".join(parts)
 
 
 #: The same tables as the classes' properties, as common table expressions.
 SQL = f"""
-p AS (SELECT doc_id, substr(text, 1, 500) AS text FROM documents),
+p AS (SELECT doc_id, text FROM documents),
 docs AS (SELECT doc_id,
   CASE doc_id % 3 WHEN 0 THEN 'pmcid://pmc' WHEN 1 THEN 'arxiv://2401.' ELSE 'scholar://s' END || doc_id AS ext_id,
   'Title ' || doc_id AS title,
@@ -107,12 +108,12 @@ docs AS (SELECT doc_id,
   CASE WHEN doc_id % 7 <> 0 THEN 'Institute ' || upper(lang) || (doc_id % 9) END AS institute,
   ['Smith ' || (doc_id % 11), 'Chen ' || (doc_id % 5)] AS author,
   CASE WHEN doc_id % 13 <> 0 THEN make_date(2000 + doc_id % 25, 1, 1) END AS year,
-  substr(text, 1, 500) AS text FROM documents),
+  text FROM documents),
 chunks AS (SELECT vec_id AS chunk_id, doc_id, CAST(doc_id % 4 AS INTEGER) AS chunk_index, text, CAST(embedding AS DOUBLE[]) AS embedding,
   CASE WHEN doc_id % 10 = 9 THEN 'other' ELSE '{MODEL}' END AS embedding_model,
   CASE WHEN doc_id % 17 <> 0 THEN 'S' || (doc_id % 3) END AS section_name, CAST(label AS BIGINT) AS label
   FROM embeddings JOIN p ON vec_id = doc_id),
-mentions AS (SELECT *, CASE WHEN doc_id % 17 <> 0 THEN 'S' || (doc_id % 3) END AS section_name FROM ({_mention_sql()})),
+mentions AS (SELECT doc_id, mention_text, label, md5(doc_id || ':' || label || ':' || mention_text) AS mention_id, CAST(instr(text, mention_text) AS BIGINT) AS start_char, DATE '2020-01-01' + CAST(doc_id % 1000 AS INTEGER) AS created_at, CASE WHEN doc_id % 17 <> 0 THEN 'S' || (doc_id % 3) END AS section_name FROM ({_mention_sql()})),
 ids AS (
   SELECT doc_id, 'doi' AS id_type, '10.1000/J' || doc_id AS id_value FROM p WHERE doc_id % 4 = 0
   UNION ALL SELECT doc_id, 'doi', '10.48550/arXiv.' || doc_id FROM p WHERE doc_id % 6 = 1

@@ -12,13 +12,14 @@ from ..functions import identifiers as ident
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import evaluation as ev
+from ..functions import fulltext
 from ..operators import experiments, facets, ner, retrieval, storage
 from ..operators import filters as flt
 from ..operators.chunking import chunk_documents
 from ..operators.ivf import IvfIndex, suggested_lists
 from ..plug import prompt_context
 from ..session import shared_dir
-from ..sources import parsing
+from ..sources import files, parsing, requests
 from .derived import MODEL, SQL, Tables
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
@@ -112,7 +113,7 @@ def text_topk(t: Tables) -> DataFrame:
 
 @query()
 def stemmed_text_topk(t: Tables) -> DataFrame:
-    return retrieval.stemmed_matches(t.whole_chunks, "onions eren the", 30, "or")
+    return retrieval.text_matches(t.whole_chunks, "onions eren the", 30, "or", rank="stems")
 
 
 @query("SELECT CASE WHEN chunk_id IS NULL THEN NULL ELSE section_name END AS topic, count(*) AS found, count(CASE WHEN chunk_id % 3 = 0 THEN 1 END) AS ingested, count(CASE WHEN chunk_id % 3 = 1 THEN 1 END) AS skipped, count(CASE WHEN chunk_id % 3 = 2 THEN 1 END) AS errors FROM chunks WHERE section_name IS NOT NULL GROUP BY 1 UNION ALL SELECT 'all', count(*), count(CASE WHEN chunk_id % 3 = 0 THEN 1 END), count(CASE WHEN chunk_id % 3 = 1 THEN 1 END), count(CASE WHEN chunk_id % 3 = 2 THEN 1 END) FROM chunks WHERE section_name IS NOT NULL")
@@ -183,9 +184,20 @@ def batch_full_hybrid(t: Tables) -> DataFrame:
     return retrieval.batch_hybrid(t.chunks, t.mentions, _batch(t), 10, fusion="weighted")
 
 
-@query("WITH s AS (SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM chunks a JOIN chunks b ON a.chunk_id <> b.chunk_id AND a.label = b.label WHERE a.label = 1) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5")
+@query(f"WITH {BATCH}, mc AS (SELECT doc_id, section_name, count(*) AS n FROM mentions WHERE section_name IS NOT NULL GROUP BY ALL), f AS (SELECT query_id, v.chunk_id, similarity, coalesce(n, 0) AS mention_count, round(similarity + round(0.15::DOUBLE * least(1.0::DOUBLE, ln(1 + coalesce(n, 0)) / ln(11.0::DOUBLE)), 6), 6) AS final_score FROM v JOIN chunks c ON c.chunk_id = v.chunk_id LEFT JOIN mc ON mc.doc_id = c.doc_id AND mc.section_name = c.section_name) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, similarity DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10")
+def batch_ner_boost(t: Tables) -> DataFrame:
+    return retrieval.batch_boost(t.chunks, t.mentions, _batch(t), 10)
+
+
+@query(f"WITH {BATCH}, f AS (SELECT query_id, sv.chunk_id, similarity FROM sv JOIN chunks c ON c.chunk_id = sv.chunk_id JOIN docs d ON d.doc_id = c.doc_id WHERE year(d.year) BETWEEN 2005 AND 2020 AND d.source IN ('arXiv', 'PubMed Central')) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10")
+def batch_topk_filtered(t: Tables) -> DataFrame:
+    f = flt.Filters(year_min=2005, year_max=2020, sources=["arXiv", "PubMed Central"])
+    return retrieval.batch_filtered(t.chunks, t.docs, _batch(t), f, 10)
+
+
+@query("WITH s AS (SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM chunks a JOIN chunks b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5")
 def knn_self(t: Tables) -> DataFrame:
-    return retrieval.self_neighbours(t.chunks.filter("label = 1"), 5)
+    return retrieval.self_neighbours(t.chunks, 5, every=20)
 
 
 @query(f"WITH {SIM} SELECT chunk_id, doc_id, similarity FROM scored ORDER BY similarity DESC, chunk_id LIMIT 10")
@@ -199,7 +211,7 @@ def ivf_topk(t: Tables) -> DataFrame:
 
 
 def _ivf(t: Tables, probe_all: bool) -> DataFrame:
-    n = min(32, suggested_lists(t.chunks.count()))
+    n = suggested_lists(t.chunks.count())
     index = IvfIndex.build(t.chunks, f"{shared_dir(t.spark)}/ivf-{uuid.uuid4().hex}", n, MODEL)
     return index.search(t.vector(), 10, n if probe_all else max(1, n // 4))
 
@@ -212,19 +224,19 @@ def mention_stats(t: Tables) -> DataFrame:
     return ner.statistics(t.mentions)
 
 
-@query("SELECT doc_id, mention_text, label FROM mentions WHERE doc_id = 42")
+@query("SELECT doc_id, mention_text, label, start_char FROM mentions WHERE doc_id = 42")
 def mentions_for_doc(t: Tables) -> DataFrame:
-    return t.mentions.filter("doc_id = 42").select("doc_id", "mention_text", "label")
+    return retrieval.mentions_of_document(t.mentions, 42).select("doc_id", "mention_text", "label", "start_char")
 
 
-@query("SELECT doc_id, mention_text FROM mentions WHERE label = 'drug' ORDER BY doc_id DESC, mention_text LIMIT 100")
+@query("SELECT doc_id, mention_text, created_at FROM mentions WHERE label = 'drug' ORDER BY created_at DESC, mention_id LIMIT 100")
 def mentions_by_label(t: Tables) -> DataFrame:
-    return t.mentions.filter("label = 'drug'").select("doc_id", "mention_text").orderBy(F.desc("doc_id"), "mention_text").limit(100)
+    return retrieval.mentions_by_label(t.mentions, "drug").select("doc_id", "mention_text", "created_at")
 
 
 @query("SELECT doc_id, label, count(*) AS mentions FROM mentions GROUP BY ALL")
 def label_counts(t: Tables) -> DataFrame:
-    return t.mentions.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("mentions"))
+    return ner.label_counts(t.mentions)
 
 
 @query("WITH m AS (SELECT doc_id % 50 AS doc_id, doc_id AS chunk_index, upper(mention_text) || ' ' AS mention_text, label, section_name FROM mentions) SELECT doc_id, min(chunk_index) AS chunk_index, lower(trim(mention_text)) AS shown, label, section_name FROM m GROUP BY doc_id, lower(trim(mention_text)), label, section_name")
@@ -266,6 +278,15 @@ def doi_counts(t: Tables) -> DataFrame:
     return storage.doi_counts(t.ids)
 
 
+@query("""WITH n AS (SELECT doc_id, 'arxiv-doi' AS id_type, '10.48550/arXiv.2401.' || doc_id AS id_value FROM docs WHERE doc_id > 40 AND source = 'arXiv'
+    UNION ALL SELECT doc_id, 'doi', '10.1000/j' || (doc_id - doc_id % 2) FROM docs WHERE doc_id > 40 AND doc_id % 5 <> 0)
+  SELECT doc_id, id_type, id_value FROM ids UNION ALL SELECT min(doc_id), id_type, id_value FROM n WHERE NOT EXISTS (SELECT 1 FROM ids i WHERE i.id_type = n.id_type AND lower(i.id_value) = lower(n.id_value)) GROUP BY id_type, id_value""")
+def enrich_dois(t: Tables) -> DataFrame:
+    i = F.col("doc_id")
+    d = t.docs.select("doc_id", "source", F.concat(F.lit("2401."), i.cast("string")).alias("source_id"), F.when(i % 5 != 0, F.concat(F.lit("https://doi.org/10.1000/j"), (i - i % 2).cast("string"))).alias("doi"), F.lit(None).cast("string").alias("source_uri"))
+    return storage.enrich(t.spark, d, t.ids, 40)[0]
+
+
 @query("SELECT doc_id FROM docs ORDER BY doc_id DESC LIMIT 100")
 def newest_docs(t: Tables) -> DataFrame:
     return storage.newest(t.docs, 100)
@@ -367,7 +388,10 @@ def chunk_by_tokens(t: Tables) -> DataFrame:
     return d.select("doc_id", "chunk_index", tx.content_hash(F.col("c")).alias("content_hash"), tx.preview(F.col("c"), 40).alias("preview"))
 
 
-@query()
+@query(r"""WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\n+', ' ', 'g'), '([.?!])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g') AS t FROM documents),
+  g AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.?!])\s+([A-Z0-9(])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM f),
+  i AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM g)
+  SELECT doc_id, CAST(k - 1 AS INTEGER) AS ordinal, s[k] AS sentence FROM i""")
 def sentence_split(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("ordinal", "sentence"))
 
@@ -377,11 +401,11 @@ def content_hash(t: Tables) -> DataFrame:
     return t.raw("documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"), tx.preview(F.col("text")).alias("preview"))
 
 
-@query("SELECT chunk_id, 'PMC' || doc_id AS pmcid, chunk_index, 1200 AS chunk_tokens, section_name FROM chunks")
+@query("SELECT chunk_id, 'PMC' || doc_id AS pmcid, chunk_index, 1200 AS chunk_tokens, 150 AS chunk_overlap, 'm' AS embedding_model, section_name FROM chunks")
 def chunk_metadata_json(t: Tables) -> DataFrame:
-    j = F.to_json(F.struct(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("pmcid"), "chunk_index", F.lit(1200).alias("chunk_tokens"), "section_name"))
-    m = F.from_json("metadata", "pmcid string, chunk_index int, chunk_tokens int, section_name string")
-    return t.chunks.select("chunk_id", j.alias("metadata")).select("chunk_id", m.alias("m")).select("chunk_id", "m.*")
+    named = t.chunks.select("chunk_id", "chunk_index", "section_name", F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("source_id"))
+    m = F.from_json(storage.chunk_metadata(1200, 150, "m"), "pmcid string, chunk_index int, chunk_tokens int, chunk_overlap int, embedding_model string, section_name string")
+    return named.select("chunk_id", m.alias("m")).select("chunk_id", "m.*")
 
 
 @query(r"SELECT doc_id, lower(regexp_replace(trim('  https://DOI.org/10.1109/ABC' || doc_id || ' '), '(?i)^https?://(dx\.)?doi\.org/', '')) AS doi, '10.48550/arXiv.2401.' || doc_id AS arxiv_doi, '2401.' || doc_id AS arxiv FROM docs")
@@ -452,6 +476,184 @@ def parse_html(t: Tables) -> DataFrame:
     return parsing.html_pages(t.raw("pages"))
 
 
+# --- payloads of outside services, made from the documents --------------------------------------
+
+
+def _payloads(t: Tables, payload) -> DataFrame:
+    """id and a payload a document; `payload` makes it from the id as text."""
+    return t.docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("doc_id"), payload(F.col("doc_id").cast("string")).alias("payload"))
+
+
+def _fill(form: str):
+    """A payload with the id in place of each @."""
+    return lambda i: F.replace(F.lit(form), F.lit("@"), i)
+
+
+BIOC = '{"collection": {"documents": [{"id": "@", "infons": {"authors": "Ann A; Bo B"}, "passages": [{"text": "Title @", "infons": {"type": "title"}}, {"text": " ", "infons": {"type": "para"}}, {"text": "Some Place", "infons": {"type": "affiliation"}}, {"text": "Methods", "infons": {"type": "Section"}}, {"text": "In 2007 we saw @.", "infons": {"section_type": "BODY", "year": "2011", "author": "bo b, Cy C"}}]}]}}'
+
+
+@query("SELECT doc_id, ['PMC' || doc_id, 'PMC7'] AS ids FROM docs")
+def esearch_ids(t: Tables) -> DataFrame:
+    return _payloads(t, _fill('{"esearchresult": {"idlist": ["@", "7"]}}')).select("doc_id", parsing.esearch_ids(F.col("payload")).alias("ids"))
+
+
+@query("SELECT doc_id, '(q' || doc_id || ') AND 2001:2100[dp]' AS term, '25' AS retmax FROM docs")
+def esearch_requests(t: Tables) -> DataFrame:
+    r = t.docs.select("doc_id", requests.esearch_request(F.concat(F.lit("q"), F.col("doc_id").cast("string")), 25, first=2001).alias("r"))
+    return r.select("doc_id", F.col("r")["term"].alias("term"), F.col("r")["retmax"].alias("retmax"))
+
+
+@query("WITH s AS (SELECT doc_id, unnest(range(0, 250, 100)) AS start FROM docs) SELECT doc_id, CAST(start / 100 AS INTEGER) AS page, CAST(start AS INTEGER) AS start, CAST(least(100, 250 - start) AS INTEGER) AS size, 'all:' || doc_id AS search_query, CAST(start AS VARCHAR) AS asked FROM s")
+def atom_pages(t: Tables) -> DataFrame:
+    p = requests.page_starts(t.docs.select("doc_id", F.concat(F.lit("all:"), F.col("doc_id").cast("string")).alias("query")), 250, 100)
+    r = p.withColumn("r", requests.atom_request(F.col("query"), F.col("start")))
+    return r.select("doc_id", "page", "start", "size", F.col("r")["search_query"].alias("search_query"), F.col("r")["start"].alias("asked"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 1 AS documents, 5 AS passages FROM docs")
+def bioc_counts(t: Tables) -> DataFrame:
+    return parsing.bioc_counts(_payloads(t, _fill(BIOC)))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 0 AS ordinal, 'title' AS kind, 'Title ' || doc_id AS text FROM docs UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 'heading', 'Methods' FROM docs UNION ALL SELECT CAST(doc_id AS VARCHAR), 2, 'para', 'In 2007 we saw ' || doc_id || '.' FROM docs")
+def bioc_blocks(t: Tables) -> DataFrame:
+    return parsing.bioc_blocks(_payloads(t, _fill(BIOC)))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 'Title ' || doc_id AS title, DATE '2011-01-01' AS year, 'Some Place' AS institutes, 'Ann A;Bo B;Cy C' AS authors FROM docs")
+def bioc_meta(t: Tables) -> DataFrame:
+    # The title's number must not look like a year.
+    plain = _payloads(t, lambda i: F.replace(F.lit(BIOC), F.lit("Title @"), F.concat(F.lit("Title x"), i)))
+    m = parsing.bioc_meta(plain.withColumn("payload", F.replace("payload", F.lit("saw @"), F.lit("saw it"))))
+    return m.select("id", F.replace("title", F.lit("x"), F.lit("")).alias("title"), "year", "institutes", F.array_join("authors", ";").alias("authors"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'PMC' || doc_id WHEN 1 THEN 'PMC9' || doc_id END AS pmcid FROM docs")
+def pmcid_resolution(t: Tables) -> DataFrame:
+    i = F.col("doc_id")
+    p = _payloads(t, _fill('{"records": [{"pmcid": "PMC9@"}]}')).withColumn("payload", F.when(i % 3 == 1, F.col("payload")).otherwise(F.lit('{"records": []}')))
+    raw = F.when(i % 3 == 0, F.concat(F.lit(" pmc"), F.col("id"))).otherwise(F.col("id"))
+    return p.select("doc_id", ident.pmcid(raw, parsing.idconv_pmcid(F.col("payload"))).alias("pmcid"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '10.1/a' || doc_id WHEN 1 THEN '10.2/b' || doc_id ELSE '10.3/c' || doc_id END AS doi FROM docs")
+def journal_dois(t: Tables) -> DataFrame:
+    i, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    cross = F.when(i % 3 == 0, _fill('{"message": {"relation": {"is-preprint-of": [{"DOI": "10.1/A@"}], "has-version": [{"DOI": "10.9/z"}]}}}')(s)).when(i % 3 == 1, _fill('{"message": {"relation": {"has-version": [{"DOI": "10.2/B@"}]}}}')(s)).otherwise(F.lit("{}"))
+    data = _fill('{"data": {"attributes": {"relatedIdentifiers": [{"relationType": "References", "relatedIdentifier": "10.8/y"}, {"relationType": "IsVersionOf", "relatedIdentifier": "10.3/C@"}]}}}')(s)
+    return t.docs.select("doc_id", parsing.journal_doi(cross, data).alias("doi"))
+
+
+@query("SELECT doc_id, CAST(doc_id AS BIGINT) AS a FROM docs")
+def lenient_payloads(t: Tables) -> DataFrame:
+    p = t.docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, _fill('{"a": @}')(F.col("doc_id").cast("string"))).otherwise(_fill('callback({"a": @});')(F.col("doc_id").cast("string"))).alias("payload"))
+    return p.select("doc_id", parsing.lenient_json(F.col("payload"), "a long")["a"].alias("a"))
+
+
+@query("SELECT 'r' || doc_id AS scholar_id, 'T' || doc_id AS title, 'A;B' AS authors, DATE '2015-01-01' AS year, 'http://p/' || doc_id AS pdf_url FROM docs")
+def scholar_pages(t: Tables) -> DataFrame:
+    form = '{"organic_results": [{"result_id": "r@", "title": "T@", "publication_info": {"authors": [{"name": "A"}, {"name": " b "}, {"name": "B"}], "summary": "X - J, 2015"}, "resources": [{"file_format": "HTML", "link": "x"}, {"file_format": "pdf", "link": "http://p/@"}]}]}'
+    r = parsing.scholar_results(_payloads(t, _fill(form)).withColumn("page", F.col("doc_id").cast("int")))
+    return r.select("scholar_id", "title", F.upper(F.array_join("authors", ";")).alias("authors"), "year", "pdf_url")
+
+
+@query("SELECT '2401.' || doc_id AS arxiv_id, 'On ' || doc_id AS title, 'Ann A;Bo B' AS authors, DATE '2024-01-02' AS published, CASE WHEN doc_id % 2 = 0 THEN '10.5/x' || doc_id ELSE '10.48550/arXiv.2401.' || doc_id END AS doi FROM docs")
+def atom_feed(t: Tables) -> DataFrame:
+    form = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:x="http://arxiv.org/schemas/atom"><entry><id>http://arxiv.org/abs/2401.@v2</id><title>On\n @</title><summary>s</summary><author><name>Ann A</name></author><author><name>Bo  B</name></author><published>2024-01-02T00:00:00Z</published>$</entry></feed>'
+    p = _payloads(t, _fill(form)).withColumn("payload", F.replace("payload", F.lit("$"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<x:doi>10.5/X"), "id", F.lit("</x:doi>"))).otherwise(F.lit(""))))
+    return parsing.atom_entries(p).select("arxiv_id", "title", F.array_join("authors", ";").alias("authors"), "published", "doi")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 'title:T' || doc_id || '|heading:H|para:First.|bullet:one|para:Loose.' AS shown, 'A B' AS authors, DATE '2009-01-01' AS year, '10.7/q' || doc_id AS doi FROM docs")
+def nxml_articles(t: Tables) -> DataFrame:
+    form = '<a:article xmlns:a="u"><title-group><article-title>T@</article-title></title-group><article-id pub-id-type="doi">10.7/Q@</article-id><contrib contrib-type="author"><name><surname>B</surname><given-names>A</given-names></name></contrib><pub-date pub-type="epub"><year>2008</year></pub-date><pub-date pub-type="ppub"><year>2009</year></pub-date><body><p>Loose.</p><sec><title>H</title><p>First.</p><list><list-item>one</list-item></list></sec></body></a:article>'
+    d = parsing.nxml_documents(_payloads(t, _fill(form)))
+    return d.select("id", F.array_join(F.transform("blocks", lambda b: F.concat(b["kind"], F.lit(":"), b["text"])), "|").alias("shown"), F.array_join("authors", ";").alias("authors"), "year", "doi")
+
+
+@query("SELECT doc_id, '10.1234/ab.' || doc_id AS found, 'all:\"heart attack\" AND (all:\"statin\" OR all:\"d' || doc_id || '\")' AS asked FROM docs")
+def doi_and_query(t: Tables) -> DataFrame:
+    s = F.col("doc_id").cast("string")
+    asked = F.concat(F.lit('("open access"[filter]) "heart attack" AND (statin OR d'), s, F.lit(") (2001:2009[dp])"))
+    return t.docs.select("doc_id", ident.find_doi(F.concat(F.lit("see 10.1234/AB."), s, F.lit(", p. 3"))).alias("found"), ident.sanitize_arxiv_query(asked).alias("asked"))
+
+
+# --- files, schema rules, small functions -------------------------------------------------------
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id FROM docs WHERE doc_id % 3 <> 0")
+def id_lists(t: Tables) -> DataFrame:
+    place, s = f"{shared_dir(t.spark)}/ids-{uuid.uuid4().hex}", F.col("doc_id").cast("string")
+    t.docs.select(F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("  "), s, F.lit("\t"))).otherwise(F.lit("  ")).alias("value")).write.text(place)
+    return files.id_list(t.spark, place)
+
+
+@query("SELECT doc_id, title, list_extract(author, 1) AS first FROM docs")
+def json_round_trip(t: Tables) -> DataFrame:
+    place = f"{shared_dir(t.spark)}/json-{uuid.uuid4().hex}"
+    files.write_json(t.docs.select("doc_id", "title", "author"), place)
+    return files.json_lines(t.spark, place, "doc_id long, title string, author array<string>").select("doc_id", "title", F.col("author")[0].alias("first"))
+
+
+@query("SELECT doc_id, '[\"' || author[1] || '\",\"' || author[2] || '\"]' AS author FROM docs")
+def csv_round_trip(t: Tables) -> DataFrame:
+    place = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
+    files.write_csv(t.docs.select("doc_id", "author"), place)
+    return t.spark.read.option("header", True).option("escape", "\\").schema("doc_id long, author string").csv(place)
+
+
+@query("SELECT doc_id, mention_text, label FROM mentions WHERE label <> 'drug' UNION ALL SELECT doc_id, 'x', 'drug' FROM docs WHERE doc_id % 9 = 0")
+def append_mentions(t: Tables) -> DataFrame:
+    """Mentions that are there already are not added again, nor those that the rules of the table refuse."""
+    from ..schemas import valid_mentions
+
+    m = t.mentions.select("doc_id", "mention_text", "label", F.col("start_char"), (F.col("start_char") + F.length("mention_text")).alias("end_char"))
+    old = m.filter("label <> 'drug'")
+    fresh = t.docs.filter("doc_id % 9 = 0").select("doc_id", F.lit("x").alias("mention_text"), F.lit("drug").alias("label"), F.lit(0).cast("long").alias("start_char"), F.lit(1).cast("long").alias("end_char"))
+    odd = fresh.withColumn("label", F.lit("no label"))
+    return storage.append_mentions(old, valid_mentions(old.unionByName(fresh).unionByName(fresh).unionByName(odd))).select("doc_id", "mention_text", "label")
+
+
+@query("SELECT doc_id, title FROM docs WHERE doc_id IN (3, 5, 70) AND length(text) > 100")
+def docs_by_id(t: Tables) -> DataFrame:
+    return t.docs.filter(flt.build(flt.Filters(doc_ids=[3, 5, 70])) & flt.usable_text()).select("doc_id", "title")
+
+
+@query("SELECT doc_id, chunk_id FROM chunks WHERE chunk_index < 2")
+def capped_chunks(t: Tables) -> DataFrame:
+    return storage.capped(t.chunks, 2).select("doc_id", "chunk_id")
+
+
+@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS BIGINT) AS words FROM documents")
+def token_counts(t: Tables) -> DataFrame:
+    return t.raw("documents").select("doc_id", tx.token_count(F.col("text")).alias("words"))
+
+
+@query("SELECT strategy, round(1.96::DOUBLE * sqrt(p * (1 - p) / n), 9) AS margin FROM (SELECT strategy, avg(CASE WHEN len(clicked_chunk_ids) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p, count(*) AS n FROM log GROUP BY strategy)")
+def click_margin(t: Tables) -> DataFrame:
+    g = t.log.groupBy("strategy").agg(F.avg(F.when(F.size("clicked_chunk_ids") > 0, 1.0).otherwise(0.0)).alias("p"), F.count(F.lit(1)).alias("n"))
+    return g.select("strategy", F.round(ev.margin(F.col("p"), F.col("n")), 9).alias("margin"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(e, lambda x: x / norm)), 6) AS total FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS norm FROM embeddings)")
+def normalized_vectors(t: Tables) -> DataFrame:
+    v = t.raw("embeddings").select("vec_id", vec.normalize(vec.as_double("embedding")).alias("e"))
+    return v.select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("WITH w AS (SELECT doc_id, unnest(['studi', 'hors']) AS lexeme FROM docs) SELECT doc_id, lexeme, CASE lexeme WHEN 'studi' THEN '1,4' ELSE '2' END AS places FROM w")
+def lexeme_vectors(t: Tables) -> DataFrame:
+    d = t.docs.select("doc_id", F.lit("Studies, horses the STUDY.").alias("text"))
+    v = fulltext.with_vector(d).select("doc_id", F.explode("text_tsv").alias("x"))
+    return v.select("doc_id", "x.lexeme", F.array_join(F.col("x.positions").cast("array<string>"), ",").alias("places"))
+
+
+@query(f"WITH {BATCH}, f AS (SELECT query_id, chunk_id, similarity, text_score, round(1.0::DOUBLE / (60.0::DOUBLE + coalesce(vector_rank, 31)) + 1.0::DOUBLE / (60.0::DOUBLE + coalesce(text_rank, 31)), 8) AS final_score FROM (SELECT query_id, chunk_id, similarity, CAST(NULL AS DOUBLE) AS text_score, vector_rank, CAST(NULL AS BIGINT) AS text_rank FROM v)) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10")
+def batch_hybrid_stop_words(t: Tables) -> DataFrame:
+    """Stemmed full text drops stop words: a query of nothing else matches no chunk, and vectors decide alone."""
+    return retrieval.batch_hybrid(t.chunks, t.mentions, _batch(t).withColumn("words", F.lit("The of and")), 10, rank="stems")
+
+
 # --- experiments ------------------------------------------------------------------------------
 
 
@@ -542,14 +744,14 @@ def trial_stats(t: Tables) -> DataFrame:
 
 
 # Two ways to rank each query's chunks: by all dimensions, and by the first half of them.
-RANKED = "q AS (SELECT chunk_id AS query_id, embedding AS e FROM chunks WHERE chunk_id % 25 = 0), rk AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding, e), 6) DESC, chunk_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding[1:32], e[1:32]), 6) DESC, chunk_id) AS rb FROM q, chunks), oa AS (SELECT query_id, chunk_id, ra AS rank FROM rk WHERE ra <= 10), ob AS (SELECT query_id, chunk_id, rb AS rank FROM rk WHERE rb <= 10), j AS (SELECT query_id, count(*) AS n, sum((oa.rank - ob.rank) * (oa.rank - ob.rank)) AS d FROM oa JOIN ob USING (query_id, chunk_id) GROUP BY query_id), k AS (SELECT DISTINCT query_id FROM oa)"
+RANKED = "q AS (SELECT chunk_id AS query_id, embedding AS e FROM chunks WHERE chunk_id % 20 = 0), rk AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding, e), 6) DESC, chunk_id) AS ra, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(embedding[1:32], e[1:32]), 6) DESC, chunk_id) AS rb FROM q, chunks), oa AS (SELECT query_id, chunk_id, ra AS rank FROM rk WHERE ra <= 10), ob AS (SELECT query_id, chunk_id, rb AS rank FROM rk WHERE rb <= 10), j AS (SELECT query_id, count(*) AS n, sum((oa.rank - ob.rank) * (oa.rank - ob.rank)) AS d FROM oa JOIN ob USING (query_id, chunk_id) GROUP BY query_id), k AS (SELECT DISTINCT query_id FROM oa)"
 
 
 def _two_lists(t: Tables) -> tuple[DataFrame, DataFrame]:
     out = []
     for part in (64, 32):
         c = t.chunks.withColumn("embedding", F.slice("embedding", 1, part))
-        q = c.filter("chunk_id % 25 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+        q = c.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
         out.append(retrieval.batch_nearest(c, q, 10))
     return out[0], out[1]
 

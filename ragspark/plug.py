@@ -22,6 +22,8 @@ class Embedder(Protocol):
 
 
 class EntityExtractor(Protocol):
+    """(text, label, start, end) of each entity; the label is one of ours or a model's (ner.MODEL_LABELS)."""
+
     def extract(self, text: str) -> list[tuple[str, str, int, int]]: ...
 
 
@@ -64,18 +66,16 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "emb
     return df.mapInPandas(each, schema).withColumn(out, F.transform(out, lambda x: F.round(x, 6).cast("float")))
 
 
-# The prompts.
-SYSTEM_PROMPT = """You are a biomedical assistant. Answer ONLY using the provided CONTEXT.
-- Cite each claim with bracketed refs like [PMCID:chunk].
-- If evidence is insufficient, say you don't know.
-- Be concise and factual."""
-USER_PROMPT = """[CONTEXT]
+#: The prompts; only the form of a citation matters to what reads the answer.
+SYSTEM_PROMPT = """You answer questions about biomedical articles from the passages given, and from nothing else.
+Put the passage's reference, as [PMCID:chunk], behind every statement. Say so when the passages do not hold the answer.
+Keep to short, factual sentences."""
+USER_PROMPT = """Passages:
 {context}
-[/CONTEXT]
-[QUESTION]
-{question}
-[/QUESTION]
-Answer with citations in the form [PMCID:chunk]."""
+
+Question: {question}
+
+Cite as [PMCID:chunk]."""
 
 
 def prompt_context(hits: DataFrame) -> DataFrame:

@@ -37,6 +37,22 @@ def has_column(df: DataFrame, name: str) -> bool:
     return name in df.columns
 
 
+def has_table(spark: SparkSession, name: str) -> bool:
+    """A19."""
+    return spark.catalog.tableExists(name)
+
+
+def setting(spark: SparkSession, name: str, default: str | None = None) -> str | None:
+    """What a setting holds, or the default where it is unset."""
+    return spark.conf.get(name, default)
+
+
+def table_columns(spark: SparkSession, name: str) -> DataFrame:
+    """Column, type, whether it is a partition's; no rows for a table that is not there."""
+    found = spark.catalog.listColumns(name) if has_table(spark, name) else []
+    return spark.createDataFrame([(c.name, c.dataType, c.isPartition) for c in found], "column string, type string, is_partition boolean")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -18,6 +18,14 @@ PASSAGE = "struct<text:string, infons:map<string,string>>"
 DOCUMENT = f"struct<id:string, infons:map<string,string>, passages:array<{PASSAGE}>>"
 
 
+def lenient_json(payload: Column, schema: str) -> Column:
+    """JSON whatever it was sent as: where the whole is none, what lies between the outermost brackets."""
+    inner = F.regexp_extract(payload, r"(?s)[\[{].*[\]}]", 0)
+    broken = F.from_json(payload, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    empty = F.to_json(broken) == "{}"
+    return F.when(~empty, broken).otherwise(F.from_json(F.when(inner != "", inner), schema))
+
+
 def bioc_documents(payload: Column) -> Column:
     """The documents of {documents}, {collection: {documents}} or a list; else []."""
     docs = F.from_json(payload, f"documents array<{DOCUMENT}>")["documents"]

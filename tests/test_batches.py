@@ -29,8 +29,17 @@ def test_blocks_of_queries(spark, vectors, most):
 def test_best_places_with_ties():
     rng = np.random.default_rng(6)
     for n in (1, 9, 50, 400):
-        s, ids = rng.integers(0, 12, n) / 10, rng.permutation(n)
-        assert retrieval.best_places(s, ids, 5).tolist() == np.lexsort((ids, -s))[:5].tolist()
+        q, s, ids = rng.integers(0, 3, n), rng.integers(0, 12, n) / 10, rng.permutation(n)
+        want = [i for k in range(3) for i in np.lexsort((ids, -s, q != k))[: min(5, int((q == k).sum()))]]
+        assert retrieval.best_places(q, ids, s, 5).tolist() == want
+    assert retrieval.best_places(q[:0], ids[:0], s[:0], 5).tolist() == []
+
+
+def test_odd_vectors_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, None]), (5, [1.0]), (6, [1.0, 1.0])]
+    c = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+    q = spark.createDataFrame([(9, [1.0, 0.0]), (8, None)], "query_id long, vector array<double>")
+    assert [(r.query_id, r.chunk_id) for r in retrieval.batch_nearest(c, q, 5).orderBy("rank").collect()] == [(9, 1), (9, 6), (9, 2)]
 
 
 def test_ablation_against_plain(spark, vectors):

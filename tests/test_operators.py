@@ -75,7 +75,7 @@ def test_forced_assignment(spark):
 
 
 def test_stems_find_more(t):
-    assert retrieval.stemmed_matches(t.chunks, "the eren", 5, "or").count() >= 0
+    assert retrieval.text_matches(t.chunks, "the eren", 5, "or", rank="stems").count() >= 0
 
 
 def test_upserts(spark):
