@@ -61,10 +61,12 @@ def ner_score(n: Column) -> Column:
 def mention_counts(candidates: DataFrame, mentions: DataFrame) -> DataFrame:
     """Each candidate chunk's mentions, those of its document and section (null sections have none).
 
-    Only the candidates' keys are counted: mentions meet them by a semi join before they are grouped.
+    Candidates are few (a limit): their documents are named in the scan's filter, and mentions meet
+    their keys by a semi join before they are grouped.
     """
     key = ["doc_id", "section_name"]
-    near = mentions.join(F.broadcast(candidates.select(key).distinct()), key, "left_semi")
+    documents = [r.doc_id for r in candidates.select("doc_id").distinct().collect()]
+    near = mentions.filter(F.col("doc_id").isin(documents)).join(F.broadcast(candidates.select(key).distinct()), key, "left_semi")
     counts = near.groupBy(key).agg(F.count(F.lit(1)).alias("mention_count"), F.array_sort(F.collect_set("label")).alias("entity_types"))
     out = candidates.join(counts, key, "left")
     return out.withColumn("mention_count", F.coalesce("mention_count", F.lit(0).cast("long"))).withColumn("entity_types", F.coalesce("entity_types", F.array().cast("array<string>")))
@@ -186,10 +188,11 @@ def filtered(chunks: DataFrame, docs: DataFrame, query: Sequence[float], f: flt.
 
 
 def contexts(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """The hits with their text and metadata; joined after the limit."""
-    few = F.broadcast(hits)  # k rows, k is a limit
-    c = chunks.select("chunk_id", "chunk_index", "text").join(few, "chunk_id")
-    d = docs.select("doc_id", doc_ref(F.col("ext_id")).alias("doc_ref"), "title", F.coalesce("source", F.lit("UNKNOWN")).alias("source"), F.col("author").alias("authors"), F.year("year").alias("year"), F.col("institute").alias("institution"))
+    """The hits with their text and metadata; joined after the limit, whose ids the scans filter by."""
+    few = kept(hits)  # k rows, k is a limit
+    ids = few.select("chunk_id", "doc_id").collect()
+    c = chunks.filter(F.col("chunk_id").isin([r.chunk_id for r in ids])).select("chunk_id", "chunk_index", "text").join(F.broadcast(few), "chunk_id")
+    d = docs.filter(F.col("doc_id").isin(sorted({r.doc_id for r in ids}))).select("doc_id", doc_ref(F.col("ext_id")).alias("doc_ref"), "title", F.coalesce("source", F.lit("UNKNOWN")).alias("source"), F.col("author").alias("authors"), F.year("year").alias("year"), F.col("institute").alias("institution"))
     return d.join(F.broadcast(c), "doc_id").withColumn("distance", F.round(1 - F.col("similarity"), 6))
 
 

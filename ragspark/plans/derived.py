@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+import uuid
+from collections.abc import Callable
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_documents
+from ..session import shared_dir
 
 #: Patterns that stand for the four labels in invented prose; RE2 and Java read them alike.
 LABEL_PATTERNS = (("device", "[a-z]{2,}ment"), ("disease", "[a-z]{2,}heit"), ("drug", "[a-z]{3,}tion"), ("statistical_significance", "[0-9]+"))
 MODEL = "hash-64"
 
 
+#: The tables that this application has stored, by session, folder and name.
+_STORED: dict[tuple[str, int, str, str], DataFrame] = {}
+
+
+def stored(key: str):
+    """The table is ingested once an application and folder: written in order of `key`, so that a few keys read a few row groups.
+
+    Queries then read tables, as they do in an engine that is in use; the files go when the driver ends.
+    """
+
+    def of(make: Callable[["Tables"], DataFrame]):
+        @wraps(make)
+        def table(self: "Tables") -> DataFrame:
+            at = (self.spark.sparkContext.applicationId, id(self.spark), self.dir, make.__name__)
+            if at not in _STORED:
+                df, path = make(self), f"{shared_dir(self.spark)}/tables-{uuid.uuid4().hex}"
+                df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+                _STORED[at] = self.spark.read.schema(df.schema).parquet(path)
+            return _STORED[at]
+
+        return cached_property(table)  # named as `make` is
+
+    return of
+
+
 class Tables:
-    """What a query reads; each table is a plan over the scans, nothing is kept."""
+    """What a query reads: the driver's tables, and the engine's, made of them once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -23,7 +53,7 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    @cached_property
+    @stored("doc_id")
     def docs(self) -> DataFrame:
         i = F.col("doc_id")
         return self.raw("documents").select(
@@ -38,20 +68,20 @@ class Tables:
             "text",
         )
 
-    @cached_property
+    @stored("chunk_id")
     def chunks(self) -> DataFrame:
         v = self.raw("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("long").alias("label"))
         d = self.raw("documents").select("doc_id", "text")
         i = F.col("doc_id")
         return v.join(d, "doc_id").select("chunk_id", "doc_id", (i % 4).cast("int").alias("chunk_index"), "text", "embedding", F.when(i % 10 == 9, F.lit("other")).otherwise(F.lit(MODEL)).alias("embedding_model"), F.when(i % 17 != 0, F.concat(F.lit("S"), (i % 3).cast("string"))).alias("section_name"), "label")
 
-    @cached_property
+    @stored("chunk_id")
     def whole_chunks(self) -> DataFrame:
         """The chunker's chunks of whole documents, with their full text; chunk_id is the document's and the index."""
         c = chunk_documents(self.raw("documents").select("doc_id", "text"))
         return c.select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", F.col("full_text").alias("text"), "section_name")
 
-    @cached_property
+    @stored("doc_id")
     def mentions(self) -> DataFrame:
         d = self.raw("documents").select("doc_id", "text")
         named = lambda n: lambda m: F.struct(F.lit(n).alias("label"), m.alias("mention_text"))
@@ -61,7 +91,7 @@ class Tables:
         named_by = F.md5(F.concat_ws(":", i.cast("string"), "m.label", "m.mention_text").cast("binary"))
         return m.select("doc_id", "m.mention_text", "m.label", named_by.alias("mention_id"), F.instr("text", F.col("m.mention_text")).cast("long").alias("start_char"), F.date_add(F.lit("2020-01-01").cast("date"), (i % 1000).cast("int")).alias("created_at"), F.when(i % 17 != 0, F.concat(F.lit("S"), (i % 3).cast("string"))).alias("section_name"))
 
-    @cached_property
+    @stored("doc_id")
     def ids(self) -> DataFrame:
         """document_ids: journal DOIs, arXiv DOIs and PMC ids of some documents."""
         i, s = F.col("doc_id"), F.col("doc_id").cast("string")
@@ -72,7 +102,7 @@ class Tables:
         )
         return self.raw("documents").select("doc_id", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("doc_id", "k.id_type", "k.id_value")
 
-    @cached_property
+    @stored("event_id")
     def log(self) -> DataFrame:
         """The A/B log of the events: strategy by user, latency by value, clicks, ratings."""
         i = F.col("event_id")
