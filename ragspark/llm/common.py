@@ -175,15 +175,27 @@ def release() -> None:
 
 
 def trim() -> None:
-    """Gives freed memory back at a task's end; workers are kept and would hold it."""
+    """Gives freed memory back at a task's end; workers are kept and would hold it. Large arrays go back as soon as they are freed."""
     import ctypes
 
     pa.default_memory_pool().release_unused()
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 512 << 10)  # M_MMAP_THRESHOLD: fixed, else it grows with what is freed
+        libc.malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Lets executors collect their garbage, so that heaps which a stage of large shuffles has grown are given back.
+
+    A Python-heavy stage that follows needs the memory outside the heap. An executor that gets no
+    task here only keeps its heap; nothing else depends on it.
+    """
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def arrow_out(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)

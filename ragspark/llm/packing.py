@@ -4,25 +4,25 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import CACHES, arrow_out, runs, small_batches, text_column, trim, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Bytes of words and ids that a worker remembers, about.
-CACHE = 80 << 20
-#: Signs that the tokenizer parts from letters before them, and keeps together (the apostrophe, which it does not, is none).
-SIGNS = ".,;:!?*#$%&|()[]{}+-=_/\\~@^\"`"
+#: Bytes of words' hashes and ids that a worker remembers, at most.
+CACHE = 48 << 20
+#: Words tokenized in one text, parted by a special token.
+JOINED = 2000
 #: Bytes of text encoded at once.
-ENCODED = 4 << 20
+ENCODED = 2 << 20
 
 
 def default_tokenizer() -> str:
@@ -38,20 +38,52 @@ class Settings:
 
     window: int = 2048
     end: int = 1
-    shard: int = 750_000
+    shard: int = 500_000
     terms: int | None = None
     k1: float = 1.2
     b: float = 0.75
 
 
+class Known:
+    """Words' ids by the words' 64-bit hashes: sorted keys, and where each one's ids are in `flat`."""
+
+    def __init__(self, kind: np.dtype):
+        self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, kind)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes, and which are there."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return at, self.keys[at] == hashes
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New words, each once."""
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.keys, hashes[order])
+        begin = len(self.flat) + np.cumsum(sizes) - sizes
+        self.keys, self.begin, self.size = (np.insert(x, at, new[order]) for x, new in ((self.keys, hashes), (self.begin, begin), (self.size, sizes)))
+        self.flat = np.concatenate([self.flat, ids])
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each has, and all of them, one after the other."""
+        sizes = self.size[at].astype(np.int64)
+        upto = np.cumsum(sizes)
+        return sizes, self.flat[np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(self.begin[at] - (upto - sizes), sizes)]
+
+    @property
+    def bytes(self) -> int:
+        return self.keys.nbytes + self.begin.nbytes + self.size.nbytes + self.flat.nbytes
+
+
 class Encoder:
     """Ids of texts through ids of words: the tokenizer drops white space and merges nothing across it.
 
-    A word's ids are kept as the bytes of 16-bit numbers (32-bit ones of a larger vocabulary). A word
-    of letters and then signs is the two tokenized apart (the tokenizer's own split), so it is not
-    kept itself. Words that hold `<|` are not taken from here, since the special tokens' names are
-    matched before lower-casing. What is kept is bounded by bytes: when `recent` holds half of them
-    it becomes `older`, whose words are forgotten unless they are met again meanwhile.
+    New words are tokenized many at once, a special token between them, which the tokenizer parts
+    texts at before all else (one by one if it has none). Words that hold `<|` get no ids here, since
+    the special tokens' names are matched before lower-casing: texts with them are tokenized by
+    themselves. What is remembered is bounded by bytes: when `recent` holds half of them it becomes
+    `older`, whose words are forgotten unless they are met again meanwhile.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -59,53 +91,49 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
-
-    def encoded(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.kind).tobytes() if self.kind.itemsize > 2 else array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def parts(self, words: set[str]) -> dict[str, bytes]:
-        """The ids of words that are tokenized as they are; they are remembered."""
-        found = {w: self.older[w] for w in words if w in self.older} if self.older else {}
-        new = sorted(w for w in words if w not in found)
-        for i in range(0, len(new), 20_000):
-            batch = new[i : i + 20_000]
-            found.update(zip(batch, self.encoded(batch), strict=True))
-        self.recent.update(found)
-        self.held += sum(len(w) + len(x) for w, x in found.items()) + 190 * len(found)
-        return found
-
-    def words(self, words: list[str]) -> list[bytes]:
-        if self.held > self.most // 2:
-            self.older, self.recent, self.held = self.recent, {}, 0
-        get = self.recent.get
-        out = [get(w) for w in words]
-        missing = [i for i, x in enumerate(out) if x is None]
-        split = []
-        for i in missing:
-            w = words[i]
-            stem = w.rstrip(SIGNS)
-            split.append((stem, w[len(stem) :]) if len(stem) < len(w) and stem.isalpha() else (w, ""))
-        wanted = {p for both in split for p in both if p}
-        known = {p: x for p in wanted if (x := get(p)) is not None}
-        known |= self.parts(wanted.difference(known))
-        for i, (stem, signs) in zip(missing, split, strict=True):
-            out[i] = known[stem] + known[signs] if signs else known[stem] if stem else b""
-        return out
+        named = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
+        self.mark = named[-1] if named else None
+        self.recent, self.older = Known(self.kind), Known(self.kind)
+
+    def tokenized(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them."""
+        if self.mark is None:
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.asarray([len(x) for x in lists], np.int64), np.asarray([i for x in lists for i in x], self.kind)
+        mark, name = self.mark
+        plain = ["" if "<|" in w else w for w in words]
+        found = [np.zeros(0, self.kind)]
+        for s in range(0, len(plain), JOINED):
+            part = plain[s : s + JOINED]
+            found.append(np.asarray(self.tokenizer.encode_batch_fast([name.join(part) + name], add_special_tokens=False)[0].ids, self.kind))
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(ids == mark)
+        return np.diff(ends, prepend=-1) - 1, ids[ids != mark]
+
+    def words(self, words: list[str], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the distinct words has, and all of them."""
+        if self.recent.bytes > self.most // 2:
+            self.older, self.recent = self.recent, Known(self.kind)
+        _, there = self.recent.find(hashes)
+        missing = np.flatnonzero(~there)
+        at, there = self.older.find(hashes[missing])
+        if there.any():
+            self.recent.add(hashes[missing[there]], *self.older.ids(at[there]))
+        new = missing[~there]
+        if len(new):
+            self.recent.add(hashes[new], *self.tokenized([words[i] for i in new]))
+        return self.recent.ids(self.recent.find(hashes)[0])
 
 
 def encode(texts: pa.Array, encoder: Encoder) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each text its ids (16 bits, or 32 if any is larger), and its words' hashes, each as often as the word, as index terms."""
+    """Of each text its ids (16 bits, or 32 if the vocabulary is larger), and its words' hashes, each as often as the word, as index terms."""
     special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_pylist()
     words, codes, ends = words_of(texts)
     listed = words.to_pylist()
-    ids = encoder.words(listed)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // encoder.kind.itemsize
-    flat = np.frombuffer(b"".join(ids), encoder.kind)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, listed), np.uint64, len(listed))
+    sizes, flat = encoder.words(listed, hashes)
     begin = np.cumsum(sizes) - sizes
-    hashes = np.fromiter(map(zlib.crc32, map(str.encode, listed)), np.uint32, len(listed))
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
     counts = sizes[codes]
     upto = np.append(0, np.cumsum(counts))
     stream = flat[np.arange(int(upto[-1])) + np.repeat(begin[codes] - upto[:-1], counts)]
@@ -113,10 +141,10 @@ def encode(texts: pa.Array, encoder: Encoder) -> tuple[list[np.ndarray], list[np
     for i in range(len(texts)):
         a, b = ends[i], ends[i + 1]
         if special[i]:
-            out.append(np.asarray([x for w in re.split(r"[\x20\x09-\x0D]+", texts[i].as_py()) if w for x in encoder.tokenizer.encode(w, add_special_tokens=False).ids], np.uint32))
+            out.append(np.asarray([x for w in re.split(r"[\x20\x09-\x0D]+", texts[i].as_py()) if w for x in encoder.tokenizer.encode(w, add_special_tokens=False).ids], encoder.kind))
         else:
-            out.append(stream[upto[a] : upto[b]])
-        terms.append(hashes[codes[a:b]])
+            out.append(stream[upto[a] : upto[b]].copy())
+        terms.append(short[codes[a:b]])
     return out, terms
 
 

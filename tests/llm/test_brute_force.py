@@ -109,20 +109,27 @@ def test_greedy_packing_by_brute_force(seed):
 
 def test_forgetful_cache():
     rng = random.Random(2)
-    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) + rng.choice(["", ".", ",!"]) for _ in range(3000)]
+    words = list({"".join(rng.choice("abcdefgh") for _ in range(5)) + rng.choice(["", ".", ",!"]) for _ in range(3000)})
     small, large = (packing.Encoder(packing.default_tokenizer(), most) for most in (20_000, 1 << 30))
+    key = np.asarray([hash(w) & 0xFFFFFFFF for w in words], np.uint64)
     for _ in range(30):
-        batch = list({rng.choice(words) for _ in range(200)})
-        assert small.words(batch) == large.words(batch)
-    assert len(small.recent) + len(small.older) < 600 < len(large.recent)
-
-
-def test_large_vocabulary():
-    e = packing.Encoder(packing.default_tokenizer())
-    want = packing.encode(pa.array(["some words, and more"]), e)[0][0].tolist()
-    wide = packing.Encoder(packing.default_tokenizer())
-    wide.kind = np.dtype(np.uint32)
-    assert packing.encode(pa.array(["some words, and more"]), wide)[0][0].tolist() == want
+        pick = rng.sample(range(len(words)), 200)
+        mine, theirs = (e.words([words[i] for i in pick], key[pick]) for e in (small, large))
+        assert all(np.array_equal(a, b) for a, b in zip(mine, theirs, strict=True))
+        want = [large.tokenizer.encode(words[i], add_special_tokens=False).ids for i in pick]
+        assert mine[0].tolist() == [len(x) for x in want] and mine[1].tolist() == [i for x in want for i in x]
+    assert len(small.recent.keys) + len(small.older.keys) < 1500 < len(large.recent.keys)
+
+
+def test_tokenizer_without_marks_and_large_vocabulary():
+    words = ["some", "words,", "and", "more<|", "42"]
+    plain, wide = packing.Encoder(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
+    wide.mark, wide.kind = None, np.dtype(np.uint32)
+    wide.recent, wide.older = packing.Known(wide.kind), packing.Known(wide.kind)
+    text = pa.array(["some words, and 42 more", "x <|endoftext|> y"])
+    a, b = packing.encode(text, plain)[0], packing.encode(text, wide)[0]
+    assert [x.tolist() for x in a] == [x.tolist() for x in b] and b[0].dtype == np.uint32
+    assert plain.tokenized(words)[0].tolist()[3] == 0 and wide.tokenized(words[:3])[1].tolist() == plain.tokenized(words[:3])[1].tolist()
 
 
 def test_piles_of_a_hot_signature(spark, docs, scratch):
