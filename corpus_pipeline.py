@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.llm import jaccard, langid, mixing, packing, secrets
-from ragspark.llm.common import Scratch
+from ragspark.llm.common import Scratch, shrink_heaps
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,11 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of repeated rows one stays; different texts under one doc_id are different documents.
     """
+    shrink_heaps(spark)
     return jaccard.keep_one(spark, docs.select(COLUMNS), Scratch(spark, "pipeline-near"))
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row stays; null and empty texts as they are; a null n_chars is set only where the text changed."""
+    shrink_heaps(spark)
     return secrets.redact_documents(docs.select(COLUMNS))
 
 
@@ -45,12 +47,14 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A source without any word has target 0 and goes; repeated rows are taken each for itself.
     """
+    shrink_heaps(spark)
     mixed = mixing.mix_sources(docs.select(COLUMNS).withColumn("size", mixing.word_count("text")), Scratch(spark, "pipeline-mix").save)
     return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(COLUMNS)
 
 
 def lexical_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Null and empty texts are an end id alone; repeated rows are packed each for itself; a long text goes on in the next sequence."""
+    shrink_heaps(spark)
     return packing.pack_documents(docs)
 
 
