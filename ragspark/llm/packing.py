@@ -18,11 +18,11 @@ from .common import CACHES, arrow_out, runs, small_batches, text_column, trim, w
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of words' hashes and ids that a worker remembers, at most.
-CACHE = 48 << 20
+CACHE = 160 << 20
 #: Words tokenized in one text, parted by a special token.
 JOINED = 2000
 #: Bytes of text encoded at once.
-ENCODED = 2 << 20
+ENCODED = 8 << 20
 
 
 def default_tokenizer() -> str:
