@@ -38,7 +38,7 @@ class Settings:
 
     window: int = 2048
     end: int = 1
-    shard: int = 500_000
+    shard: int = 1_000_000
     terms: int | None = None
     k1: float = 1.2
     b: float = 0.75
