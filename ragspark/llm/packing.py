@@ -14,7 +14,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import CACHES, arrow_out, runs, small_batches, text_column, trim, words_of
+from .common import CACHES, arrow_out, release, runs, small_batches, text_column, trim, words_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of words' hashes and ids that a worker remembers, at most.
@@ -23,6 +23,8 @@ CACHE = 160 << 20
 JOINED = 2000
 #: Bytes of text encoded at once.
 ENCODED = 8 << 20
+#: Bytes of the table that a partition of the shuffle is to hold, and the most partitions.
+ROUTED, MOST = 32 << 20, 100_000
 
 
 def default_tokenizer() -> str:
@@ -38,7 +40,7 @@ class Settings:
 
     window: int = 2048
     end: int = 1
-    shard: int = 1_000_000
+    shard: int = 500_000
     terms: int | None = None
     k1: float = 1.2
     b: float = 0.75
@@ -238,21 +240,53 @@ def _binary(last: list[tuple[int, int, int, int, int]], total: int, sequence: in
     return out
 
 
+def routed(terms: np.ndarray) -> int:
+    """Where a document goes: its commonest word's bucket of 256 and its least word hash (no words: 0).
+
+    Copies, near copies and many documents on one matter share it; the bucket parts languages and kinds.
+    """
+    if not len(terms):
+        return 0
+    return int(np.bincount((terms & 255).astype(np.int64), minlength=256).argmax()) << 32 | int(terms.min())
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """A row per document: doc_id, key (see `routed`), width (bytes an id), ids and terms as bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("terms", pa.binary())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        encoder = worker_encoder(path)
+        for part in runs(batches, limit=ENCODED):
+            ids, terms = encode(text_column(part), encoder)
+            yield arrow_out(schema, {"doc_id": part.column("doc_id"), "key": [routed(t) for t in terms], "width": [encoder.kind.itemsize] * len(ids), "ids": [x.tobytes() for x in ids], "terms": [t.tobytes() for t in terms]})
+        trim()
+
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, key long, width int, ids binary, terms binary")
+
+
+def partitions(docs: DataFrame) -> int:
+    """Partitions for the shuffle of encoded documents: by the plan's estimate of its bytes, nothing is run for it."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(size // ROUTED, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, settings: Settings = Settings()) -> DataFrame:
     """A row per piece of a document, in sequences of at most settings.window ids.
 
-    Each partition packs its own documents, in shards of about settings.shard ids with an index
-    each, so nothing is shuffled or gathered; sequence_id is the partition's number and the count in
+    Documents are tokenized once and their ids shuffled once, by `routed`, so that those with most
+    words in common meet whatever files they came from; a key that many share is split (adaptive
+    rebalancing). Each partition, in the order of the keys, packs its documents in shards of about
+    settings.shard ids with an index each; sequence_id is the partition's number and the count in
     it. Null or empty text: the end id alone. Null doc_id: kept. Repeated rows: packed each. A text
     longer than a window is cut. Empty table: no rows. Other columns are not read. doc_tokens counts
     the end id.
     """
-    path = tokenizer or default_tokenizer()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-        trim()
-        encoder, first = worker_encoder(path), TaskContext.get().partitionId() << 32
+        release()
+        first = TaskContext.get().partitionId() << 32
         names: list = []
         ids: list[np.ndarray] = []
         terms: list[np.ndarray] = []
@@ -274,12 +308,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, settings: Sett
             return arrow_out(schema, out)
 
         held = 0
-        for part in runs(batches, limit=ENCODED):
-            got, words = encode(text_column(part), encoder)
-            for name, x, w in zip(part.column("doc_id").to_pylist(), got, words, strict=True):
+        for batch in batches:
+            for name, width, x, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "width", "ids", "terms")), strict=True):
+                kind = np.dtype(f"u{width}")
                 names.append(name)
-                ids.append(np.append(x, x.dtype.type(settings.end)))
-                terms.append(w)
+                ids.append(np.append(np.frombuffer(x, kind), kind.type(settings.end)))
+                terms.append(np.frombuffer(t, np.uint32))
                 held += len(ids[-1])
                 if held >= settings.shard:
                     yield flush()
@@ -289,7 +323,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, settings: Sett
         trim()
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(each, SCHEMA)
+    spread = encoded(docs, tokenizer or default_tokenizer()).hint("rebalance", partitions(docs), "key")
+    return spread.sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "width", "ids", "terms").mapInArrow(each, SCHEMA)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -354,6 +354,25 @@ def test_packing(spark, docs, tokenizer, window, shard):
     assert packing.pack_documents(docs([])).count() == 0
 
 
+def test_copies_meet_whatever_the_files(spark, docs, tokenizer):
+    """Copies far apart in the table lie in shared sequences, in shards of some 30 documents; one text of many rows stays whole."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(40)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, "one text of many rows") for i in range(300)] + [(1000 + i, t) for i, t in enumerate(texts)]
+    got = packing.pack_documents(docs(rows).repartitionByRange(4, "doc_id"), settings=packing.Settings(window=512, shard=4000)).collect()
+    check_pieces(rows, got, tokenizer, 512)
+    at: dict = {}
+    for r in got:
+        at.setdefault(r.doc_id, set()).add(r.sequence_id)
+    assert sum(bool(at[i] & at[1000 + i]) for i in range(300)) >= 285
+
+
+def test_routing_key():
+    terms = np.asarray([512, 256, 7, 7, 263], np.uint32)
+    assert packing.routed(terms) == 7 << 32 | 7 and packing.routed(terms[:0]) == 0
+    assert packing.routed(terms[[0, 1]]) == 256 and packing.routed(terms) == packing.routed(terms[::-1])
+
+
 def test_neighbours_share_windows():
     """Two topics, alternating: a window is of one topic wherever documents of its seed's topic are left."""
     s = packing.Settings(window=40)
