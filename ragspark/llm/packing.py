@@ -241,7 +241,7 @@ def _binary(last: list[tuple[int, int, int, int, int]], total: int, sequence: in
 
 
 def routed(terms: np.ndarray) -> int:
-    """Where a document goes: its commonest word's bucket of 256 and its least word hash (no words: 0).
+    """Where a document goes: the fullest of 256 buckets of its word hashes, and the least of them (no words: 0).
 
     Copies, near copies and many documents on one matter share it; the bucket parts languages and kinds.
     """
