@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, langid, lm, mixing, neardup, packing, secrets, toxicity, voronoi, warc
+from . import ann, jaccard, langid, lm, mixing, neardup, packing, secrets, toxicity, trie, voronoi, warc
 from .common import Scratch, table
 
 
@@ -58,9 +58,13 @@ def op11_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.search(spark, table(spark, sf_dir, "embeddings"), Scratch(spark, "op11"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), Scratch(spark, "op12"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_rp_forest, op2_warc_revisit, op3_jaccard_join, op4_language_id, op5_embedding_neardup, op6_source_mixing, op7_toxicity, op8_secret_scan, op9_lm_scoring, op10_lexical_packing, op11_voronoi_topk)}
+    return {f.__name__: f for f in (op1_rp_forest, op2_warc_revisit, op3_jaccard_join, op4_language_id, op5_embedding_neardup, op6_source_mixing, op7_toxicity, op8_secret_scan, op9_lm_scoring, op10_lexical_packing, op11_voronoi_topk, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_revisit": warc.WARC_SQL, "op3_jaccard_join": jaccard.JACCARD_SQL, "op5_embedding_neardup": neardup.NEAR_SQL, "op6_source_mixing": mixing.MIX_SQL, "op11_voronoi_topk": voronoi.VORONOI_SQL}
+    return {"op2_warc_revisit": warc.WARC_SQL, "op3_jaccard_join": jaccard.JACCARD_SQL, "op5_embedding_neardup": neardup.NEAR_SQL, "op6_source_mixing": mixing.MIX_SQL, "op11_voronoi_topk": voronoi.VORONOI_SQL, "op12_prefix_trie": trie.TRIE_SQL}
