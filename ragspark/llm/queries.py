@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, jaccard, langid, lm, mixing, neardup, packing, secrets, toxicity, trie, voronoi, warc
+from . import align, ann, jaccard, langid, lm, mixing, neardup, packing, secrets, toxicity, trie, voronoi, warc
 from .common import Scratch, table
 
 
@@ -62,8 +62,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"), Scratch(spark, "op12"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(spark, table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_rp_forest, op2_warc_revisit, op3_jaccard_join, op4_language_id, op5_embedding_neardup, op6_source_mixing, op7_toxicity, op8_secret_scan, op9_lm_scoring, op10_lexical_packing, op11_voronoi_topk, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_rp_forest, op2_warc_revisit, op3_jaccard_join, op4_language_id, op5_embedding_neardup, op6_source_mixing, op7_toxicity, op8_secret_scan, op9_lm_scoring, op10_lexical_packing, op11_voronoi_topk, op12_prefix_trie, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
