@@ -2,8 +2,11 @@ r"""WARC archives: revisit resolution by payload digest, and a splittable writer
 
 A record is one "line" of Spark's text writer whose line end is the record end of the format
 (CRLF CRLF), so archives are written and committed by Spark on any file system. They are read
-in splits, cut at CRLF CRLF WARC/1.1 CRLF; a payload holding that very sequence is written in
-base64 under an extension header, so no cut is wrong.
+in splits, cut at WARC/1.1 CRLF. That mark has no part that it also begins with, so a reader that
+meets half of it at its buffer's end and finds it is none has passed no other; marks that begin
+with the line ends before it would not do, since payloads end in line ends too. A payload holding
+WARC/1.1 is written in base64 under an extension header, and a header value that ends in it gets a
+space, so no cut is wrong.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
-CUT = f"{END}{VERSION}\r\n"
+CUT = f"{VERSION}\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Resolved revisits up to this many rows are broadcast (their count is checked); more are shuffled.
 BROADCAST_ROWS = 200_000
@@ -66,7 +69,8 @@ def today() -> str:
 
 def _header(name: str, value: Column) -> Column:
     """A header line, or nothing for null; a line break in a value would end it."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value.cast("string"), r"[\r\n]+", " "), F.lit("\r\n")), F.lit(""))
+    line = F.regexp_replace(value.cast("string"), r"[\r\n]+", " ")
+    return F.coalesce(F.concat(F.lit(f"{name}: "), line, F.when(F.endswith(line, F.lit(VERSION)), F.lit(" ")).otherwise(F.lit("")), F.lit("\r\n")), F.lit(""))
 
 
 def write(spark: SparkSession, recs: DataFrame, revisits: DataFrame, path: str, date: str | None = None) -> None:
@@ -81,7 +85,7 @@ def write(spark: SparkSession, recs: DataFrame, revisits: DataFrame, path: str,
     v = revisits.select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "refers_to", "refers_url", F.lit(True).alias("_again"))
     on = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("payload_digest") == F.col("_d"))
     r = recs.join(F.broadcast(v) if few else v, on, "left").withColumn("_again", F.coalesce("_again", F.lit(False)))
-    coded = F.contains(F.col("payload"), F.lit(CUT.strip("\r\n"))) & ~F.col("_again")
+    coded = F.contains(F.col("payload"), F.lit(VERSION)) & ~F.col("_again")
     body = F.when(F.col("_again"), F.lit("")).when(coded, F.base64(F.col("payload").cast("binary"))).otherwise(F.col("payload"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     original = _record_id(F.col("refers_to"), F.col("payload_digest"))
@@ -108,13 +112,13 @@ def write(spark: SparkSession, recs: DataFrame, revisits: DataFrame, path: str,
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of archives that write() made: headers as columns, payload (binary) as read."""
-    lines = spark.read.option("lineSep", CUT).text(path)
+    lines = spark.read.option("lineSep", CUT).text(path).filter("value <> ''")  # what precedes a file's first mark
     head = F.concat(F.lit("\r\n"), F.substring_index("value", END, 1), F.lit("\r\n"))
     raw = F.expr("substring(cast(value as binary), octet_length(substring_index(value, '\\r\\n\\r\\n', 1)) + 5)")
 
     def field(name: str) -> Column:
         x = F.regexp_extract("_head", rf"\r\n{name}: ([^\r]*)\r\n", 1)
-        return F.when(F.contains("_head", F.lit(f"\r\n{name}: ")), x)
+        return F.when(F.contains("_head", F.lit(f"\r\n{name}: ")), F.regexp_replace(x, "(WARC/1\\.1) $", "$1"))
 
     r = lines.select(head.alias("_head"), raw.alias("_raw"))
     r = r.withColumn("_block", F.expr("substring(_raw, 1, cast(%s as int))" % r"regexp_extract(_head, '\\r\\nContent-Length: ([0-9]+)\\r\\n', 1)"))

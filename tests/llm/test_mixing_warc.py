@@ -214,3 +214,30 @@ def test_foreign_archive(spark, tmp_path):
     assert got.count() == 6
     html = sorted((r.html or "") for r in warc.restore(got).collect())
     assert html == ["", ""] + ["<p>WARC/1.0\r\n\r\n</p>"] * 4
+
+
+def test_warc_no_page_is_lost_at_buffer_edges(spark, tmp_path):
+    """Payloads of all ends, these on every offset around the reader's buffer of 65,536 bytes."""
+
+    def record(page_id, payload):
+        http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload)
+        return b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: %d\r\nContent-Length: %d\r\n\r\n" % (page_id, len(http) + len(payload)) + http + payload + b"\r\n\r\n"
+
+    want, n = [], 0
+    for tail in (b"", b"\r", b"\n", b"\r\n", b"\r\n\r\n", b"\n\r", b"WARC/1."):
+        for back in range(-14, 15):
+            first = 65536 - len(record(n, b"x" * 60000)) + 60000 - back
+            payloads = [b"x" * first + tail, b"second" + tail, tail, b"y" * 65000 + tail]
+            (tmp_path / f"{n}.warc").write_bytes(b"".join(record(n + i, p) for i, p in enumerate(payloads)))
+            want += [(n + i, p) for i, p in enumerate(payloads)]
+            n += 4
+    got = sorted((r.page_id, bytes(r.payload)) for r in warc.read(spark, str(tmp_path)).select("page_id", "payload").collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and got == want
+
+
+def test_warc_marks_in_headers_and_payloads(spark, scratch):
+    """The mark of a record in an address or a page, and pages that end in line ends."""
+    rows = [(1, "http://a/WARC/1.1", "<html>WARC/1.1"), (2, "WARC/1.1", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 5), (3, "u", "x" * 200 + "\r\n\r\n"), (4, "v", "x" * 200 + "\r\n\r\n"), (5, None, "\r\n")]
+    warc.deduplicate(spark, spark.createDataFrame(rows, PAGES), scratch.path("archives"), scratch.save)
+    got = {(r.page_id, r.url, r.html) for r in warc.restore(warc.read(spark, scratch.path("archives"))).collect()}
+    assert got == set(rows)
