@@ -1,107 +1,23 @@
 """Full text with English stems (I4-I7, B7): vectors of lexemes with positions, queries, match, rank.
 
 The rank is the common one of lexeme vectors with all weights 0.1: of one lexeme, its occurrences
-count 1/j**2; of several that must all occur, each pair counts by its distance. Stems are Porter's
-(1980). Texts are handled in Arrow batches, since stemming is a program, not an expression.
+count 1/j**2; of several that must all occur, each pair counts by its distance. Texts are handled in
+Arrow batches, since stemming is a program, not an expression; operators/postings.py does so once.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# English words that are no lexemes.
-STOP_WORDS = frozenset(
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself "
-    "they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having "
-    "do does did doing a an the and but if or because as until while of at by for with about against between into through during before "
-    "after above below to from up down in out on off over under again further then once here there when where why how all any both each "
-    "few more most other some such no nor not only own same so than too very s t can will just don should now".split()
-)
-
-# The suffixes of the stemmer's second, third and fourth steps.
-STEP2 = (
-    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"),
-    ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"),
-    ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
-)
-STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
-STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
-WEIGHT = 0.1
-
+from .english import lexemes, stem
 
-def _shape(word: str) -> str:
-    """The word as v and c: y is a vowel after a consonant."""
-    out = ""
-    for i, ch in enumerate(word):
-        out += "v" if ch in "aeiou" or (ch == "y" and i and out[-1] == "c") else "c"
-    return out
-
-
-def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
-
-
-def _closed(stem: str) -> bool:
-    """Ends consonant, vowel, consonant that is not w, x or y."""
-    return _shape(stem).endswith("cvc") and stem[-1] not in "wxy"
-
-
-def _doubled(stem: str) -> bool:
-    return len(stem) > 1 and stem[-1] == stem[-2] and _shape(stem)[-1] == "c"
-
-
-@lru_cache(maxsize=100_000)
-def stem(word: str) -> str:
-    w = word
-    if len(w) < 3:
-        return w
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(end):
-            w = w[: len(w) - len(end)] + new
-            break
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) else w
-    else:
-        for end in ("ed", "ing"):
-            if w.endswith(end) and "v" in _shape(w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")) or (_measure(w) == 1 and _closed(w)):
-                    w += "e"
-                elif _doubled(w) and w[-1] not in "lsz":
-                    w = w[:-1]
-                break
-    if w.endswith("y") and "v" in _shape(w[:-1]):
-        w = w[:-1] + "i"
-    for pairs in (STEP2, STEP3):
-        for end, new in sorted(pairs, key=lambda p: -len(p[0])):
-            if w.endswith(end):
-                w = w[: -len(end)] + new if _measure(w[: -len(end)]) else w
-                break
-    for end in sorted(STEP4, key=len, reverse=True):
-        if w.endswith(end):
-            rest = w[: -len(end)]
-            if _measure(rest) > 1 and (end != "ion" or rest.endswith(("s", "t"))):
-                w = rest
-            break
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _closed(w[:-1]))):
-        w = w[:-1]
-    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
-
-
-def lexemes(text: str | None) -> dict[str, list[int]]:
-    """Stems with their positions (every word counts one); stop words have none."""
-    out: dict[str, list[int]] = {}
-    for i, w in enumerate(re.findall(r"[^\W_]+", (text or "").lower()), 1):
-        if w not in STOP_WORDS:
-            out.setdefault(stem(w), []).append(i)
-    return out
+__all__ = ["batch_scored", "lexemes", "matches", "query_lexemes", "rank", "scored", "stem", "with_vector"]
+WEIGHT = 0.1
 
 
 def query_lexemes(query: str, most: int = 10) -> list[str]:
@@ -114,25 +30,21 @@ def matches(vector: dict, query: list[str], mode: str = "and") -> bool:
     return bool(query) and (all(hits) if mode == "and" else any(hits))
 
 
-def _near(distance: int) -> float:
-    return 1e-30 if distance > 100 else 1.0 / (1.005 + 0.05 * math.exp(distance / 1.5 - 2))
+def _pair(a: np.ndarray, b: np.ndarray) -> float:
+    """The logarithm of what all pairs of two lexemes' positions leave of 1; a lexeme has at most 256 positions."""
+    apart = np.abs(np.subtract.outer(a, b)).ravel()
+    apart = apart[(apart > 0) & (apart <= 100)]  # farther ones count 1e-30, one place holds one word
+    return float(np.log1p(-WEIGHT / np.sqrt(1.005 + 0.05 * np.exp(apart / 1.5 - 2))).sum())
 
 
 def rank(vector: dict[str, list[int]], query: list[str], mode: str = "and") -> float:
     """I7."""
-    there = [vector[q] for q in query if q in vector]
+    there = [np.asarray(vector[q], float) for q in query if q in vector]
     if not query or not there:
         return 0.0
     if mode == "and" and len(query) > 1:
-        apart = 1.0
-        for i, a in enumerate(there):
-            for b in there[i + 1 :]:
-                for x in a:
-                    for y in b:
-                        if x != y:
-                            apart *= 1 - math.sqrt(WEIGHT * WEIGHT * _near(abs(x - y)))
-        return 1 - apart
-    return sum(sum(WEIGHT / (j * j) for j in range(1, len(p) + 1)) / 1.64493406685 for p in there) / len(query)
+        return float(-np.expm1(sum(_pair(a, b) for i, a in enumerate(there) for b in there[i + 1 :])))
+    return sum(float((WEIGHT / np.arange(1, len(p) + 1) ** 2).sum()) / 1.64493406685 for p in there) / len(query)
 
 
 def with_vector(df: DataFrame, text: str = "text", out: str = "text_tsv") -> DataFrame:

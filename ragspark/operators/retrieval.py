@@ -19,6 +19,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions.identifiers import doc_ref
 from . import filters as flt
+from .postings import TextIndex
 
 MISSING = 999999
 #: Queries of a block whose scores with a batch are held at once.
@@ -34,8 +35,11 @@ def scored(chunks: DataFrame, query: Sequence[float]) -> DataFrame:
 
 
 def nearest(chunks: DataFrame, query: Sequence[float], n: int, *carry: str) -> DataFrame:
-    """chunk_id, doc_id, similarity and what is carried: the n most similar chunks."""
-    s = scored(chunks, query).filter(F.col("similarity").isNotNull())
+    """chunk_id, doc_id, similarity and what is carried: the n most similar chunks.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part, as in batches.
+    """
+    s = scored(chunks, query).filter(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
     return s.select("chunk_id", "doc_id", "similarity", *carry).orderBy(F.desc("similarity"), "chunk_id").limit(n)
 
 
@@ -90,8 +94,14 @@ def boosted(near: DataFrame, mentions: DataFrame, k: int, weight: float = 0.15)
     return best(c, k, F.desc("final_score"), F.desc("similarity")).drop("section_name")
 
 
-def text_matches(chunks: DataFrame, query: str, n: int, mode: str = "and", *carry: str, rank: str = "words") -> DataFrame:
-    """The n chunks that match best, by the share of their words (rank="words") or by stems and positions ("stems")."""
+def text_matches(chunks: DataFrame, query: str, n: int, mode: str = "and", *carry: str, rank: str = "words", index: TextIndex | None = None, model: str | None = None) -> DataFrame:
+    """The n chunks that match best, by the share of their words (rank="words") or by stems and positions ("stems").
+
+    With an index (of these chunks, carrying doc_id, what is carried here and, for `model`,
+    embedding_model; its analyzer ranks) only the query's lists are read; without one, all texts are.
+    """
+    if index is not None:
+        return index.search(query, n, mode, None if model is None else F.col("embedding_model") == model).select("chunk_id", "doc_id", "text_score", *carry)
     if rank == "stems":
         s = fulltext.scored(chunks, query, mode=mode).withColumn("text_score", F.round("text_score", 8))
         return s.select("chunk_id", "doc_id", "text_score", *carry).orderBy(F.desc("text_score"), "chunk_id").limit(n)
@@ -101,10 +111,10 @@ def text_matches(chunks: DataFrame, query: str, n: int, mode: str = "and", *carr
     return c.select("chunk_id", "doc_id", "text_score", *carry).orderBy(F.desc("text_score"), "chunk_id").limit(n)
 
 
-def candidates(chunks: DataFrame, query: Sequence[float], words: str, n: int, mode: str, rank: str = "words") -> DataFrame:
+def candidates(chunks: DataFrame, query: Sequence[float], words: str, n: int, mode: str, rank: str = "words", index: TextIndex | None = None, model: str | None = None) -> DataFrame:
     """The nearest and the best matches with both ranks; a match that is not near has similarity 0. At most 2 n rows, scanned for once."""
     v = nearest(chunks, query, n, "section_name")
-    return fused_candidates(v, text_matches(chunks, words, n, mode, "section_name", rank=rank))
+    return fused_candidates(v, text_matches(chunks, words, n, mode, "section_name", rank=rank, index=index, model=model))
 
 
 def fused_candidates(near: DataFrame, matching: DataFrame) -> DataFrame:
@@ -113,9 +123,9 @@ def fused_candidates(near: DataFrame, matching: DataFrame) -> DataFrame:
     return kept(j.select("chunk_id", F.coalesce("v.doc_id", "t.doc_id").alias("doc_id"), F.coalesce("v.section_name", "t.section_name").alias("section_name"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "text_score", "vector_rank", "text_rank"))
 
 
-def hybrid_rrf(chunks: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, rrf_k: int = 60, mode: str = "and", multiplier: int = 3, rank: str = "words") -> DataFrame:
+def hybrid_rrf(chunks: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, rrf_k: int = 60, mode: str = "and", multiplier: int = 3, rank: str = "words", index: TextIndex | None = None) -> DataFrame:
     """Strategy 3, reciprocal rank fusion."""
-    return fused_by_rank(candidates(of_model(chunks, model), query, words, multiplier * k, mode, rank), k, multiplier * k, rrf_k)
+    return fused_by_rank(candidates(of_model(chunks, model), query, words, multiplier * k, mode, rank, index, model), k, multiplier * k, rrf_k)
 
 
 def fused_by_rank(c: DataFrame, k: int, n: int, rrf_k: int = 60) -> DataFrame:
@@ -130,18 +140,18 @@ def _norm_text(c: DataFrame) -> DataFrame:
     return c.withColumn("norm_text", F.coalesce(F.try_divide(F.col("text_score"), F.when(top > 0, top)), F.lit(0.0)))
 
 
-def hybrid_weighted(chunks: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, weights=(0.7, 0.3), mode: str = "and", multiplier: int = 3, rank: str = "words") -> DataFrame:
+def hybrid_weighted(chunks: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, weights=(0.7, 0.3), mode: str = "and", multiplier: int = 3, rank: str = "words", index: TextIndex | None = None) -> DataFrame:
     """Strategy 3 by weights; without a match the vector part stands alone."""
-    c = _norm_text(candidates(of_model(chunks, model), query, words, multiplier * k, mode, rank))
+    c = _norm_text(candidates(of_model(chunks, model), query, words, multiplier * k, mode, rank, index, model))
     c = c.withColumn("final_score", F.round(weights[0] * F.col("similarity") + weights[1] * F.col("norm_text"), 6))
     for r in ("vector_rank", "text_rank"):
         c = c.withColumn(r, F.coalesce(r, F.lit(MISSING).cast("long")))
     return best(c, k, F.desc("final_score")).drop("section_name", "norm_text")
 
 
-def full_hybrid(chunks: DataFrame, mentions: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, weights=(0.5, 0.3, 0.2), mode: str = "and", multiplier: int = 3, rank: str = "words") -> DataFrame:
+def full_hybrid(chunks: DataFrame, mentions: DataFrame, query: Sequence[float], words: str, k: int = 10, model: str | None = None, weights=(0.5, 0.3, 0.2), mode: str = "and", multiplier: int = 3, rank: str = "words", index: TextIndex | None = None) -> DataFrame:
     """Strategy 4, vector, text and mentions."""
-    return fused_fully(candidates(of_model(chunks, model), query, words, multiplier * k, mode, rank), mentions, k, weights)
+    return fused_fully(candidates(of_model(chunks, model), query, words, multiplier * k, mode, rank, index, model), mentions, k, weights)
 
 
 def fused_fully(c: DataFrame, mentions: DataFrame, k: int, weights=(0.5, 0.3, 0.2)) -> DataFrame:
@@ -168,11 +178,12 @@ def search(strategy: str, chunks: DataFrame, mentions: DataFrame, query: Sequenc
     return vector_only(chunks, query, k, **more)
 
 
-def compare(chunks: DataFrame, mentions: DataFrame, query: Sequence[float], words: str, k: int = 10, rank: str = "words") -> DataFrame:
+def compare(chunks: DataFrame, mentions: DataFrame, query: Sequence[float], words: str, k: int = 10, rank: str = "words", index: TextIndex | None = None, model: str | None = None) -> DataFrame:
     """Strategy, position, chunk_id, final_score of all four, from one search by vector and one by text."""
     n = 3 * k
+    chunks = of_model(chunks, model)
     near = kept(nearest(chunks, query, n, "section_name"))
-    c = fused_candidates(near, text_matches(chunks, words, n, "and", "section_name", rank=rank))
+    c = fused_candidates(near, text_matches(chunks, words, n, "and", "section_name", rank=rank, index=index, model=model))
     found = (best(near, k, F.desc("similarity")).withColumn("final_score", F.col("similarity")), boosted(near, mentions, k), fused_by_rank(c, k, n), fused_fully(c, mentions, k))
     parts = []
     for name, r in zip(STRATEGIES, found, strict=True):
@@ -219,25 +230,6 @@ def mentions_by_label(mentions: DataFrame, label: str, limit: int = 100) -> Data
     return mentions.filter(F.col("label") == label).orderBy(F.desc("created_at"), "mention_id").limit(limit)
 
 
-def query_blocks(queries: DataFrame, most: int) -> Iterator[tuple[list[int], list]]:
-    """The queries' ids and vectors in blocks of at most `most`; the driver holds a block and a partition."""
-    q = queries.select("query_id", vec.as_double("vector").alias("vector"))
-    first = q.limit(most + 1).toArrow()
-    if first.num_rows <= most:
-        yield first.column("query_id").to_pylist(), first.column("vector").to_pylist()
-        return
-    ids: list[int] = []
-    vectors: list = []
-    for r in q.toLocalIterator():
-        ids.append(r.query_id)
-        vectors.append(r.vector)
-        if len(ids) == most:
-            yield ids, vectors
-            ids, vectors = [], []
-    if ids:
-        yield ids, vectors
-
-
 def best_places(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k largest scores, ties by the smaller id."""
     order = np.lexsort((ids, -scores, query))
@@ -246,45 +238,119 @@ def best_places(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int)
     return order[place < k]
 
 
-def block_nearest(chunks: DataFrame, ids: list[int], vectors: list, k: int) -> DataFrame:
-    """query_id, chunk_id, similarity: each task's k best chunks of each query of a block, sent once at its end.
+def unit_rows(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a direction (finite, not zero), by their norms, and their places."""
+    norms = np.sqrt(np.einsum("ij,ij->i", v, v))
+    good = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+    return v[good] / norms[good, None], good
 
-    Chunks whose vector is null, holds nulls or has another length than the queries' take no part.
-    """
-    m = np.asarray(vectors, float).reshape(len(ids), -1 if ids else 0)
-    names = np.asarray(ids, np.int64)
-    shared = chunks.sparkSession.sparkContext.broadcast(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))
+
+class BestOf:
+    """Each query's k most similar chunks so far: fed with batches of chunks, holds k a query."""
+
+    def __init__(self, names: np.ndarray, vectors: np.ndarray, k: int):
+        self.names, self.m, self.k = names, vectors, k
+        self.held = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)] for _ in range(0, len(names), QUERY_ROWS)]
+
+    def feed(self, c: np.ndarray, v: np.ndarray) -> None:
+        v, good = unit_rows(v)
+        c, k = c[good], self.k
+        for at, start in enumerate(range(0, len(self.names), QUERY_ROWS) if len(c) else ()):
+            s = np.round(self.m[start : start + QUERY_ROWS] @ v.T, 6)
+            least = np.partition(s, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(s), -np.inf)
+            i, j = np.nonzero(s >= least[:, None])
+            both = [np.concatenate(x) for x in zip(self.held[at], (i + start, c[j], s[i, j]), strict=True)]
+            self.held[at] = [x[best_places(*both, k)] for x in both] if len(both[0]) else both
+
+    def found(self) -> pa.RecordBatch:
+        q, c, s = (np.concatenate([h[i] for h in self.held] or [np.zeros(0)]) for i in range(3))
+        return pa.RecordBatch.from_arrays([pa.array(self.names[q.astype(np.int64)], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "similarity"])
+
+
+FOUND = "query_id long, chunk_id long, similarity double"
+
+
+def rows_of(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+
+
+def whole(vector: str) -> Column:
+    """Not null, not empty, no null component."""
+    return F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+
+
+def few_nearest(chunks: DataFrame, names: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+    """query_id, chunk_id, similarity: each task's k best chunks of each of a checked number of queries, which are broadcast."""
+    shared = chunks.sparkSession.sparkContext.broadcast((names, vectors))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, blocks = shared.value, range(0, len(names), QUERY_ROWS)
-        held = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)] for _ in blocks]
+        best = BestOf(*shared.value, k)
         for b in batches:
-            c = np.asarray(b.column("chunk_id"))
-            v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            for at, start in enumerate(blocks):
-                s = np.round(m[start : start + QUERY_ROWS] @ v.T, 6)
-                least = np.partition(s, len(c) - k, axis=1)[:, len(c) - k] if len(c) > k else np.full(len(s), -np.inf)
-                i, j = np.nonzero(s >= least[:, None])
-                both = [np.concatenate(x) for x in zip(held[at], (i + start, c[j], s[i, j]), strict=True)]
-                held[at] = [x[best_places(*both, k)] for x in both] if len(both[0]) else both
-        for q, c, s in held:
-            yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "chunk_id", "similarity"])
-
-    whole = (F.size("embedding") == m.shape[1]) & ~F.exists("embedding", lambda x: x.isNull())
-    return chunks.filter(F.col("embedding").isNotNull() & whole).select("chunk_id", vec.as_double("embedding").alias("embedding")).mapInArrow(each, "query_id long, chunk_id long, similarity double")
+            best.feed(b.column("chunk_id").to_numpy(), rows_of(b.column("embedding"), b.num_rows))
+        yield best.found()
 
+    good = chunks.filter(whole("embedding") & (F.size("embedding") == vectors.shape[1]))
+    return good.select("chunk_id", vec.as_double("embedding").alias("embedding")).mapInArrow(each, FOUND)
 
-def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 10_000) -> DataFrame:
-    """query_id, rank, chunk_id, similarity: top k of any number of queries, a pass over the chunks a block of most_queries.
 
-    A block's queries (query_id, vector; null vectors are left out) are broadcast; each batch of
-    chunks is a matrix product for QUERY_ROWS of them at once, a task keeps k a query, so the
-    shuffle carries k x tasks rows a query.
+def tiles_nearest(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """query_id, chunk_id, similarity: the k best of each query within each tile.
+
+    A tile is the chunks (keys, chunk_id, embedding) and queries (keys, query_id, vector) of equal
+    keys and vector length; whoever deals them bounds its size. Nothing is broadcast or collected.
     """
-    parts = [block_nearest(chunks, ids, vectors, k) for ids, vectors in query_blocks(queries.filter("vector is not null"), most_queries)]
+    none = F.lit(None).cast("long")
+    c = chunks.filter(whole("embedding")).select(*keys, none.alias("query_id"), F.col("chunk_id").cast("long").alias("chunk_id"), vec.as_double("embedding").alias("v"))
+    q = queries.filter(whole("vector")).select(*keys, F.col("query_id").cast("long").alias("query_id"), none.alias("chunk_id"), vec.as_double("vector").alias("v"))
+
+    def tile(group: pa.Table) -> pa.Table:
+        asked = group.column("query_id").is_valid().to_numpy()
+        x = rows_of(group.column("v"), group.num_rows)
+        names, ids = group.column("query_id").to_pandas().to_numpy(), group.column("chunk_id").to_pandas().to_numpy()
+        m, good = unit_rows(x[asked])
+        best = BestOf(names[asked][good].astype(np.int64), m, k)
+        rows, v = ids[~asked].astype(np.int64), x[~asked]
+        for s in range(0, len(rows), 8192):
+            best.feed(rows[s : s + 8192], v[s : s + 8192])
+        return pa.Table.from_batches([best.found()])
+
+    return q.unionByName(c).withColumn("_size", F.size("v")).groupBy(*keys, "_size").applyInArrow(tile, FOUND)
+
+
+def grid_nearest(chunks: DataFrame, queries: DataFrame, k: int, query_rows: int = 16_384, chunk_rows: int = 65_536) -> DataFrame:
+    """query_id, chunk_id, similarity, of any number of queries: both sides are dealt to blocks, each pair of blocks is a tile.
+
+    The shuffle carries each chunk once a block of queries and each query once a block of chunks.
+    """
+    blocks = [max(1, -(-df.count() // rows)) for df, rows in ((queries, query_rows), (chunks, chunk_rows))]
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "vector", own("query_id", blocks[0]).alias("_i"), every(blocks[1]).alias("_j"))
+    c = chunks.select("chunk_id", "embedding", every(blocks[0]).alias("_i"), own("chunk_id", blocks[1]).alias("_j"))
+    return tiles_nearest(c, q, ["_i", "_j"], k)
+
+
+def best_by_query(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, chunk_id, similarity: each query's k best of what tasks have found."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
-    return reduce(DataFrame.unionAll, parts).withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
+    return found.withColumn("rank", place.cast("long")).filter(F.col("rank") <= k)
+
+
+def batch_nearest(chunks: DataFrame, queries: DataFrame, k: int = 10, most_queries: int = 10_000) -> DataFrame:
+    """query_id, rank, chunk_id, similarity: top k of any number of queries (query_id, vector), one plan.
+
+    Up to most_queries of them (counted) of one vector length are broadcast: a pass over the chunks,
+    whose tasks keep k a query. More go through the grid of blocks, whose driver holds nothing.
+    Vectors on either side that are null, zero, or hold null or non-finite components take no part.
+    """
+    q = queries.filter(whole("vector")).select("query_id", vec.as_double("vector").alias("vector"))
+    first = q.limit(most_queries + 1).toArrow()
+    sizes = set(first.column("vector").combine_chunks().value_lengths().to_pylist()) if first.num_rows else {1}
+    if first.num_rows > most_queries or len(sizes) > 1:
+        return best_by_query(grid_nearest(chunks, q, k), k)
+    m, good = unit_rows(rows_of(first.column("vector"), first.num_rows))
+    return best_by_query(few_nearest(chunks, first.column("query_id").to_numpy()[good], m, k), k)
 
 
 def batch_filtered(chunks: DataFrame, docs: DataFrame, queries: DataFrame, f: flt.Filters, k: int = 5) -> DataFrame:
@@ -307,12 +373,15 @@ def with_mention_counts(found: DataFrame, chunks: DataFrame, mentions: DataFrame
     return c.join(counts, key, "left").withColumn("mention_count", F.coalesce("mention_count", F.lit(0).cast("long")))
 
 
-def batch_matches(chunks: DataFrame, queries: DataFrame, n: int, mode: str = "and", rank: str = "words") -> DataFrame:
+def batch_matches(chunks: DataFrame, queries: DataFrame, n: int, mode: str = "and", rank: str = "words", index: TextIndex | None = None) -> DataFrame:
     """query_id, chunk_id, text_score, text_rank: the n best matches of many queries (query_id, words) in one join on terms.
 
     Only the queries' terms leave the chunks: those are counted a chunk before anything is shuffled.
     With rank="stems" the terms are stems, and a chunk that has them is ranked by their positions.
+    With an index of the chunks only its postings are read.
     """
+    if index is not None:
+        return index.batch(queries, n, mode)
     if rank == "stems":
         return fulltext.batch_scored(chunks, queries, n, mode)
     first = F.slice(F.split(tx.strip(F.col("words")), r"\s+"), 1, 10)
@@ -329,7 +398,7 @@ def batch_matches(chunks: DataFrame, queries: DataFrame, n: int, mode: str = "an
     return hits.withColumn("text_rank", rank.cast("long")).filter(F.col("text_rank") <= n).select("query_id", "chunk_id", "text_score", "text_rank")
 
 
-def batch_hybrid(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k: int = 10, fusion: str = "rrf", mode: str = "and", rrf_k: int = 60, weights=(0.5, 0.3, 0.2), multiplier: int = 3, rank: str = "words") -> DataFrame:
+def batch_hybrid(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k: int = 10, fusion: str = "rrf", mode: str = "and", rrf_k: int = 60, weights=(0.5, 0.3, 0.2), multiplier: int = 3, rank: str = "words", index: TextIndex | None = None) -> DataFrame:
     """Strategies 3 (fusion="rrf") and 4 ("weighted") for many queries (query_id, vector, words) in one plan.
 
     Candidates carry ids and scores; the chunks' document and section, and mentions of these alone,
@@ -337,7 +406,7 @@ def batch_hybrid(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k:
     """
     n = multiplier * k
     v = batch_nearest(chunks, queries, n).withColumnRenamed("rank", "vector_rank")
-    c = v.join(batch_matches(chunks, queries, n, mode, rank), ["query_id", "chunk_id"], "full_outer").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    c = v.join(batch_matches(chunks, queries, n, mode, rank, index), ["query_id", "chunk_id"], "full_outer").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     if fusion == "rrf":
         part = lambda r: F.lit(1.0) / (F.lit(float(rrf_k)) + F.coalesce(F.col(r), F.lit(n + 1)))
         c = c.withColumn("final_score", F.round(part("vector_rank") + part("text_rank"), 8))
@@ -352,7 +421,7 @@ def batch_hybrid(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k:
 
 
 def self_neighbours(vectors: DataFrame, k: int = 10, most: int = 10_000, every: int = 1) -> DataFrame:
-    """The k nearest others, among all vectors, of each whose id divides by `every`; in blocks of `most` queries."""
+    """The k nearest others, among all vectors, of each whose id divides by `every`; beyond `most` queries by the grid."""
     queries = vectors.filter(F.col("chunk_id") % every == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
     found = batch_nearest(vectors, queries, k + 1, most)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cached_property, wraps
 
@@ -10,34 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_documents
-from ..session import shared_dir
+from ..operators.ivf import IvfIndex, suggested_lists
+from ..operators.postings import TextIndex
+from ..session import listing, own_folder
 
 #: Patterns that stand for the four labels in invented prose; RE2 and Java read them alike.
 LABEL_PATTERNS = (("device", "[a-z]{2,}ment"), ("disease", "[a-z]{2,}heit"), ("drug", "[a-z]{3,}tion"), ("statistical_significance", "[0-9]+"))
 MODEL = "hash-64"
 
 
-#: The tables that this application has stored, by session, folder and name.
-_STORED: dict[tuple[str, int, str, str], DataFrame] = {}
+#: What this application has stored, by application, folder and name: the files that it was made of, and how to read it.
+_STORED: dict[tuple[str, str, str], tuple[tuple, object]] = {}
 
 
-def stored(key: str):
-    """The table is ingested once an application and folder: written in order of `key`, so that a few keys read a few row groups.
+def ingested(t: "Tables", name: str, sources: tuple[str, ...], make: Callable[[str], Callable[[], object]]):
+    """What `make(folder)` has stored and reads, made again when a source's files are others than before.
 
     Queries then read tables, as they do in an engine that is in use; the files go when the driver ends.
     """
+    at, files = (t.spark.sparkContext.applicationId, t.dir, name), tuple(listing(t.spark, f"{t.dir}/{s}.parquet") for s in sources)
+    if at not in _STORED or _STORED[at][0] != files:
+        _STORED[at] = files, make(own_folder(t.spark, f"tables-{name}"))
+    return _STORED[at][1]()
+
+
+def stored(key: str, *sources: str):
+    """The table is ingested once an application and folder: written in order of `key`, so that a few keys read a few row groups."""
 
     def of(make: Callable[["Tables"], DataFrame]):
         @wraps(make)
         def table(self: "Tables") -> DataFrame:
-            at = (self.spark.sparkContext.applicationId, id(self.spark), self.dir, make.__name__)
-            if at not in _STORED:
-                df, path = make(self), f"{shared_dir(self.spark)}/tables-{uuid.uuid4().hex}"
-                df.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
-                place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-                _STORED[at] = self.spark.read.schema(df.schema).parquet(path)
-            return _STORED[at]
+            def write(folder: str) -> Callable[[], DataFrame]:
+                df = make(self)
+                df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(folder)
+                return lambda: self.spark.read.schema(df.schema).parquet(folder)
+
+            return ingested(self, make.__name__, sources, write)
 
         return cached_property(table)  # named as `make` is
 
@@ -53,7 +60,7 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    @stored("doc_id")
+    @stored("doc_id", "documents")
     def docs(self) -> DataFrame:
         i = F.col("doc_id")
         return self.raw("documents").select(
@@ -68,20 +75,20 @@ class Tables:
             "text",
         )
 
-    @stored("chunk_id")
+    @stored("chunk_id", "documents", "embeddings")
     def chunks(self) -> DataFrame:
         v = self.raw("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), "embedding", F.col("label").cast("long").alias("label"))
         d = self.raw("documents").select("doc_id", "text")
         i = F.col("doc_id")
         return v.join(d, "doc_id").select("chunk_id", "doc_id", (i % 4).cast("int").alias("chunk_index"), "text", "embedding", F.when(i % 10 == 9, F.lit("other")).otherwise(F.lit(MODEL)).alias("embedding_model"), F.when(i % 17 != 0, F.concat(F.lit("S"), (i % 3).cast("string"))).alias("section_name"), "label")
 
-    @stored("chunk_id")
+    @stored("chunk_id", "documents")
     def whole_chunks(self) -> DataFrame:
         """The chunker's chunks of whole documents, with their full text; chunk_id is the document's and the index."""
         c = chunk_documents(self.raw("documents").select("doc_id", "text"))
         return c.select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", F.col("full_text").alias("text"), "section_name")
 
-    @stored("doc_id")
+    @stored("doc_id", "documents")
     def mentions(self) -> DataFrame:
         d = self.raw("documents").select("doc_id", "text")
         named = lambda n: lambda m: F.struct(F.lit(n).alias("label"), m.alias("mention_text"))
@@ -91,7 +98,7 @@ class Tables:
         named_by = F.md5(F.concat_ws(":", i.cast("string"), "m.label", "m.mention_text").cast("binary"))
         return m.select("doc_id", "m.mention_text", "m.label", named_by.alias("mention_id"), F.instr("text", F.col("m.mention_text")).cast("long").alias("start_char"), F.date_add(F.lit("2020-01-01").cast("date"), (i % 1000).cast("int")).alias("created_at"), F.when(i % 17 != 0, F.concat(F.lit("S"), (i % 3).cast("string"))).alias("section_name"))
 
-    @stored("doc_id")
+    @stored("doc_id", "documents")
     def ids(self) -> DataFrame:
         """document_ids: journal DOIs, arXiv DOIs and PMC ids of some documents."""
         i, s = F.col("doc_id"), F.col("doc_id").cast("string")
@@ -102,7 +109,7 @@ class Tables:
         )
         return self.raw("documents").select("doc_id", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select("doc_id", "k.id_type", "k.id_value")
 
-    @stored("event_id")
+    @stored("event_id", "events")
     def log(self) -> DataFrame:
         """The A/B log of the events: strategy by user, latency by value, clicks, ratings."""
         i = F.col("event_id")
@@ -117,6 +124,33 @@ class Tables:
             F.when(i % 5 == 0, F.lit(None).cast("int")).otherwise((i % 6).cast("int")).alias("user_rating"),
         )
 
+    @cached_property
+    def word_index(self) -> TextIndex:
+        """Full text of `chunks` by plain words."""
+        return self._text_index("words", self.chunks, ("doc_id", "section_name", "embedding_model"), "documents", "embeddings")
+
+    @cached_property
+    def english_index(self) -> TextIndex:
+        """Full text of `whole_chunks` by English stems."""
+        return self._text_index("english", self.whole_chunks, ("doc_id", "section_name"), "documents")
+
+    def _text_index(self, analyzer: str, chunks: DataFrame, carry: tuple[str, ...], *sources: str) -> TextIndex:
+        def write(folder: str) -> Callable[[], TextIndex]:
+            TextIndex.build(chunks, folder, analyzer, carry)
+            return lambda: TextIndex.open(self.spark, folder)
+
+        return ingested(self, f"{analyzer}_index", sources, write)
+
+    @cached_property
+    def lists(self) -> IvfIndex:
+        """The inverted lists of `chunks` of the model."""
+
+        def write(folder: str) -> Callable[[], IvfIndex]:
+            IvfIndex.build(self.chunks, folder, suggested_lists(self.chunks.count()), MODEL)
+            return lambda: IvfIndex.open(self.spark, folder)
+
+        return ingested(self, "lists", ("documents", "embeddings"), write)
+
     def vector(self, vec_id: int = 0) -> list[float]:
         """A query vector, by its id: one row."""
         return [float(x) for x in self.raw("embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first().embedding]

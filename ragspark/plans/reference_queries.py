@@ -13,12 +13,12 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import evaluation as ev
 from ..functions import fulltext
-from ..operators import experiments, facets, ner, retrieval, storage
+from ..operators import experiments, facets, ivf, ner, retrieval, storage
 from ..operators import filters as flt
 from ..operators.chunking import chunk_documents
-from ..operators.ivf import IvfIndex, suggested_lists
+from ..operators.ivf import suggested_lists
 from ..plug import prompt_context
-from ..session import shared_dir
+from ..session import own_folder
 from ..sources import files, parsing, requests
 from .derived import MODEL, SQL, Tables
 
@@ -107,13 +107,40 @@ def ner_boost(t: Tables) -> DataFrame:
 
 @query(f"WITH {NEAR30}, {T} SELECT chunk_id, doc_id, text_score, text_rank FROM t")
 def text_topk(t: Tables) -> DataFrame:
-    hits = retrieval.text_matches(retrieval.of_model(t.chunks, MODEL), QUERY, 30)
+    hits = retrieval.text_matches(t.chunks, QUERY, 30, index=t.word_index, model=MODEL)
     return retrieval.ranked(hits, "text_score", "text_rank")
 
 
 @query()
 def stemmed_text_topk(t: Tables) -> DataFrame:
-    return retrieval.text_matches(t.whole_chunks, "onions eren the", 30, "or", rank="stems")
+    return retrieval.text_matches(t.whole_chunks, "onions eren the", 30, "or", index=t.english_index)
+
+
+UPDATED = f"""updated AS (SELECT chunk_id, doc_id, CASE WHEN chunk_id % 10 = 0 THEN 'the of and ' || text ELSE text END AS text FROM chunks WHERE chunk_id % 7 <> 0),
+  uw AS (SELECT chunk_id, doc_id, {TERMS} AS w FROM updated)
+  SELECT chunk_id, doc_id, round(CAST(len(list_filter(w, lambda x: x IN ('the', 'of', 'and'))) AS DOUBLE) / len(w), 6) AS text_score FROM uw
+  WHERE list_has_all(w, ['the', 'of', 'and']) ORDER BY text_score DESC, chunk_id LIMIT 30"""
+
+
+@query(f"WITH {UPDATED}")
+def text_topk_after_update(t: Tables) -> DataFrame:
+    """The index after a tenth of the chunks changed and a seventh went: a segment beside the first, in a copy of it."""
+    index = t.word_index.compact(f"{own_folder(t.spark, 'updated')}/index")
+    changed = t.chunks.filter("chunk_id % 10 = 0 and chunk_id % 7 <> 0").withColumn("text", F.concat(F.lit("the of and "), "text"))
+    return index.update(changed, t.chunks.filter("chunk_id % 7 = 0")).search(QUERY, 30).select("chunk_id", "doc_id", "text_score")
+
+
+@query()
+def english_terms(t: Tables) -> DataFrame:
+    """Each stem of the whole texts' chunks with the chunks that have it and its highest frequency in one."""
+    return t.english_index.terms().drop("segment")
+
+
+@query()
+def batch_stems(t: Tables) -> DataFrame:
+    """Stemmed search for the benchmark's items, by their first words."""
+    asked = t.raw("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("words"))
+    return t.english_index.batch(asked, 10, "or")
 
 
 @query("SELECT CASE WHEN chunk_id IS NULL THEN NULL ELSE section_name END AS topic, count(*) AS found, count(CASE WHEN chunk_id % 3 = 0 THEN 1 END) AS ingested, count(CASE WHEN chunk_id % 3 = 1 THEN 1 END) AS skipped, count(CASE WHEN chunk_id % 3 = 2 THEN 1 END) AS errors FROM chunks WHERE section_name IS NOT NULL GROUP BY 1 UNION ALL SELECT 'all', count(*), count(CASE WHEN chunk_id % 3 = 0 THEN 1 END), count(CASE WHEN chunk_id % 3 = 1 THEN 1 END), count(CASE WHEN chunk_id % 3 = 2 THEN 1 END) FROM chunks WHERE section_name IS NOT NULL")
@@ -124,27 +151,27 @@ def ingest_summary(t: Tables) -> DataFrame:
 
 @query(f"WITH {NEAR30}, {T} {RRF}")
 def hybrid_rrf(t: Tables) -> DataFrame:
-    return retrieval.hybrid_rrf(t.chunks, t.vector(), QUERY, 10, MODEL)
+    return retrieval.hybrid_rrf(t.chunks, t.vector(), QUERY, 10, MODEL, index=t.word_index)
 
 
 @query(f"WITH {NEAR30}, {T} {WEIGHTED}")
 def hybrid_weighted(t: Tables) -> DataFrame:
-    return retrieval.hybrid_weighted(t.chunks, t.vector(), QUERY, 10, MODEL)
+    return retrieval.hybrid_weighted(t.chunks, t.vector(), QUERY, 10, MODEL, index=t.word_index)
 
 
 @query(f"WITH {NEAR30}, {NONE} {WEIGHTED}")
 def hybrid_weighted_no_match(t: Tables) -> DataFrame:
-    return retrieval.hybrid_weighted(t.chunks, t.vector(), "zzzzqqq", 10, MODEL)
+    return retrieval.hybrid_weighted(t.chunks, t.vector(), "zzzzqqq", 10, MODEL, index=t.word_index)
 
 
 @query(f"WITH {NEAR30}, {T}, {COUNTS} {FULL}")
 def full_hybrid(t: Tables) -> DataFrame:
-    return joined(retrieval.full_hybrid(t.chunks, t.mentions, t.vector(), QUERY, 10, MODEL))
+    return joined(retrieval.full_hybrid(t.chunks, t.mentions, t.vector(), QUERY, 10, MODEL, index=t.word_index))
 
 
 @query(f"WITH {NEAR30}, {T}, {COUNTS}, s1 AS (SELECT chunk_id, similarity AS final_score, similarity FROM scored ORDER BY 2 DESC, 1 LIMIT 10), s2 AS ({BOOST}), s3 AS ({RRF}), s4 AS ({FULL}) SELECT 'ivfflat_only' AS strategy, row_number() OVER (ORDER BY final_score DESC, chunk_id) AS position, chunk_id, final_score FROM s1 UNION ALL SELECT 'ivfflat_ner_boost', row_number() OVER (ORDER BY final_score DESC, similarity DESC, chunk_id), chunk_id, final_score FROM s2 UNION ALL SELECT 'ivfflat_tsvector', row_number() OVER (ORDER BY final_score DESC, chunk_id), chunk_id, final_score FROM s3 UNION ALL SELECT 'ivfflat_ner_tsvector', row_number() OVER (ORDER BY final_score DESC, chunk_id), chunk_id, final_score FROM s4")
 def compare_strategies(t: Tables) -> DataFrame:
-    return retrieval.compare(retrieval.of_model(t.chunks, MODEL), t.mentions, t.vector(), QUERY, 10)
+    return retrieval.compare(t.chunks, t.mentions, t.vector(), QUERY, 10, index=t.word_index, model=MODEL)
 
 
 @query(f"SELECT vec_id AS mention_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {Q0}), 6) AS similarity FROM embeddings WHERE label = 3 ORDER BY similarity DESC, mention_id LIMIT 10")
@@ -176,12 +203,12 @@ def _batch(t: Tables) -> DataFrame:
 
 @query(f"WITH {BATCH}, f AS (SELECT query_id, chunk_id, similarity, text_score, round(1.0::DOUBLE / (60.0::DOUBLE + coalesce(vector_rank, 31)) + 1.0::DOUBLE / (60.0::DOUBLE + coalesce(text_rank, 31)), 8) AS final_score FROM vt) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10")
 def batch_hybrid_rrf(t: Tables) -> DataFrame:
-    return retrieval.batch_hybrid(t.chunks, t.mentions, _batch(t), 10)
+    return retrieval.batch_hybrid(t.chunks, t.mentions, _batch(t), 10, index=t.word_index)
 
 
 @query(f"WITH {BATCH}, mc AS (SELECT doc_id, section_name, count(*) AS mention_count FROM mentions WHERE section_name IS NOT NULL GROUP BY ALL), f AS (SELECT query_id, vt.chunk_id, similarity, text_score, round(0.5::DOUBLE * similarity + 0.3::DOUBLE * coalesce(text_score / nullif(max(text_score) OVER (PARTITION BY query_id), 0), 0) + 0.2::DOUBLE * {NER}, 6) AS final_score FROM vt JOIN chunks c ON c.chunk_id = vt.chunk_id LEFT JOIN mc ON mc.doc_id = c.doc_id AND mc.section_name = c.section_name) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10")
 def batch_full_hybrid(t: Tables) -> DataFrame:
-    return retrieval.batch_hybrid(t.chunks, t.mentions, _batch(t), 10, fusion="weighted")
+    return retrieval.batch_hybrid(t.chunks, t.mentions, _batch(t), 10, fusion="weighted", index=t.word_index)
 
 
 @query(f"WITH {BATCH}, mc AS (SELECT doc_id, section_name, count(*) AS n FROM mentions WHERE section_name IS NOT NULL GROUP BY ALL), f AS (SELECT query_id, v.chunk_id, similarity, coalesce(n, 0) AS mention_count, round(similarity + round(0.15::DOUBLE * least(1.0::DOUBLE, ln(1 + coalesce(n, 0)) / ln(11.0::DOUBLE)), 6), 6) AS final_score FROM v JOIN chunks c ON c.chunk_id = v.chunk_id LEFT JOIN mc ON mc.doc_id = c.doc_id AND mc.section_name = c.section_name) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, similarity DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10")
@@ -211,9 +238,33 @@ def ivf_topk(t: Tables) -> DataFrame:
 
 
 def _ivf(t: Tables, probe_all: bool) -> DataFrame:
+    n = len(t.lists.centroids)
+    return t.lists.search(t.vector(), 10, n if probe_all else max(1, n // 4))
+
+
+def _every_twentieth(t: Tables) -> DataFrame:
+    return t.chunks.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query()
+def ivf_batch(t: Tables) -> DataFrame:
+    """Inverted lists for many queries, with each query's measured recall of its ten true neighbours."""
+    found = t.lists.search_many(_every_twentieth(t), 10, max(1, (3 * len(t.lists.centroids)) // 4))
+    exact = retrieval.batch_nearest(retrieval.of_model(t.chunks, MODEL), _every_twentieth(t), 10)
+    return found.join(ivf.recall(found, exact, _every_twentieth(t)), "query_id")
+
+
+@query(f"WITH q AS (SELECT chunk_id AS query_id, embedding AS e FROM chunks WHERE chunk_id % 20 = 0), s AS (SELECT query_id, chunk_id, round(list_cosine_similarity(embedding, e), 6) AS similarity FROM q, chunks WHERE embedding_model = '{MODEL}') SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10")
+def ivf_batch_full_probe(t: Tables) -> DataFrame:
+    """All lists of all queries: the exact neighbours, by the way that the index takes."""
+    return t.lists.search_many(_every_twentieth(t), 10, len(t.lists.centroids))
+
+
+@query()
+def ivf_measured_sweep(t: Tables) -> DataFrame:
+    """Indexes of several numbers of lists, built and searched; the recalls and times of each number of probes."""
     n = suggested_lists(t.chunks.count())
-    index = IvfIndex.build(t.chunks, f"{shared_dir(t.spark)}/ivf-{uuid.uuid4().hex}", n, MODEL)
-    return index.search(t.vector(), 10, n if probe_all else max(1, n // 4))
+    return ivf.sweep(retrieval.of_model(t.chunks, MODEL), _every_twentieth(t), own_folder(t.spark, "sweep"), [max(2, n // 2), n], [1, n // 4, n])
 
 
 # --- mentions ---------------------------------------------------------------------------------
@@ -583,21 +634,21 @@ def doi_and_query(t: Tables) -> DataFrame:
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id FROM docs WHERE doc_id % 3 <> 0")
 def id_lists(t: Tables) -> DataFrame:
-    place, s = f"{shared_dir(t.spark)}/ids-{uuid.uuid4().hex}", F.col("doc_id").cast("string")
+    place, s = f"{own_folder(t.spark, 'ids')}/rows", F.col("doc_id").cast("string")
     t.docs.select(F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("  "), s, F.lit("\t"))).otherwise(F.lit("  ")).alias("value")).write.text(place)
     return files.id_list(t.spark, place)
 
 
 @query("SELECT doc_id, title, list_extract(author, 1) AS first FROM docs")
 def json_round_trip(t: Tables) -> DataFrame:
-    place = f"{shared_dir(t.spark)}/json-{uuid.uuid4().hex}"
+    place = f"{own_folder(t.spark, 'json')}/rows"
     files.write_json(t.docs.select("doc_id", "title", "author"), place)
     return files.json_lines(t.spark, place, "doc_id long, title string, author array<string>").select("doc_id", "title", F.col("author")[0].alias("first"))
 
 
 @query("SELECT doc_id, '[\"' || author[1] || '\",\"' || author[2] || '\"]' AS author FROM docs")
 def csv_round_trip(t: Tables) -> DataFrame:
-    place = f"{shared_dir(t.spark)}/csv-{uuid.uuid4().hex}"
+    place = f"{own_folder(t.spark, 'csv')}/rows"
     files.write_csv(t.docs.select("doc_id", "author"), place)
     return t.spark.read.option("header", True).option("escape", "\\").schema("doc_id long, author string").csv(place)
 
@@ -675,7 +726,7 @@ def stream_ab_stats(t: Tables) -> DataFrame:
     """The same through a stream: the log is appended as JSON lines, then read as a stream to its end."""
     from ..streaming.logs import ab_log, running_statistics
 
-    place = f"{shared_dir(t.spark)}/ab-{uuid.uuid4().hex}"
+    place = own_folder(t.spark, "ab")
     experiments.append_log(t.log.select("event", "user_id", "strategy", "latency_ms", "clicked_chunk_ids", "user_rating"), f"{place}/log")
     name = f"ab_{uuid.uuid4().hex}"
     running_statistics(ab_log(t.spark, f"{place}/log"), name, f"{place}/state").awaitTermination()

@@ -1,8 +1,9 @@
-"""A session with the settings that the engine expects, and the folder that its nodes share."""
+"""A session with the settings that the engine expects, the folder that its nodes share, and what is done to files there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +26,30 @@ def shared_dir(spark: SparkSession) -> str:
         place = tempfile.mkdtemp(prefix="ragspark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
+
+
+def _file_system(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, path = _file_system(spark, path)
+    fs.delete(path, True)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the driver ends."""
+    fs, path = _file_system(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return str(path.toString())
+
+
+def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of a table's files, as one listing tells them; () if there are none."""
+    fs, path = _file_system(spark, path)
+    if not fs.exists(path):
+        return ()
+    found = [fs.getFileStatus(path)] if not fs.getFileStatus(path).isDirectory() else list(fs.listStatus(path))
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))

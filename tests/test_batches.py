@@ -42,6 +42,27 @@ def test_odd_vectors_take_no_part(spark):
     assert [(r.query_id, r.chunk_id) for r in retrieval.batch_nearest(c, q, 5).orderBy("rank").collect()] == [(9, 1), (9, 6), (9, 2)]
 
 
+def test_vectors_without_direction_take_no_part_in_either_search(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [1.0, i / 10]) for i in range(6)] + [(10, [nan, 1.0]), (11, [inf, 1.0]), (12, [0.0, 0.0]), (13, None), (14, [None, 1.0]), (15, []), (16, [1.0, 2.0, 3.0])]
+    c = spark.createDataFrame(rows, "chunk_id long, embedding array<double>").selectExpr("*", "chunk_id as doc_id")
+    q = c.selectExpr("chunk_id + 100 as query_id", "embedding as vector")
+    two = q.filter("size(vector) = 2")
+    one = {r.chunk_id: r.similarity for r in retrieval.nearest(c.filter("coalesce(size(embedding), 2) = 2"), [1.0, 0.2], 5).collect()}
+    assert list(one) == [2, 3, 1, 4, 0]
+    for got in (retrieval.batch_nearest(c, two, 5), retrieval.batch_nearest(c, two, 5, 1), retrieval.batch_nearest(c, q.filter("query_id <> 116"), 5)):
+        rows = got.collect()
+        assert {r.query_id for r in rows} == set(range(100, 106)) and len(rows) == 30
+        assert {r.chunk_id: r.similarity for r in rows if r.query_id == 102} == one
+    assert {(r.query_id, r.chunk_id) for r in retrieval.batch_nearest(c, q, 5).collect() if r.query_id == 116} == {(116, 16)}
+
+
+def test_grid_of_many_blocks(spark, vectors):
+    q = vectors.selectExpr("chunk_id as query_id", "embedding as vector")
+    got = retrieval.best_by_query(retrieval.grid_nearest(vectors, q, 4, query_rows=20, chunk_rows=13), 4)
+    assert same(got, retrieval.batch_nearest(vectors, q, 4))
+
+
 def test_ablation_against_plain(spark, vectors):
     x = np.asarray([r.embedding for r in vectors.orderBy("chunk_id").collect()])
 
