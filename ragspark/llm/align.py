@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import CACHES, Scratch, arrow_out, release, runs, text_column, trim
 from .packing import Encoder, Known
+from .word_bpe import byte_letters
 
 #: Bytes of words and ids that a worker remembers a side, bytes of text encoded at once, words tokenized in one text.
 CACHE, ENCODED, JOINED = 64 << 20, 4 << 20, 2000
@@ -61,13 +62,6 @@ class Entries:
         return self.flat[np.arange(int(upto[-1]) if len(n) else 0) + np.repeat(self.begin[ids] - (upto - n), n)]
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the rest from 256 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Side(Encoder):
     """Ids of words, each with a space before it, remembered by the words' hashes (see Encoder)."""
 

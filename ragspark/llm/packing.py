@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import CACHES, arrow_out, release, runs, small_batches, text_column, trim, words_of
+from .word_bpe import WordBpe
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bytes of words' hashes and ids that a worker remembers, at most.
@@ -81,8 +83,9 @@ class Known:
 class Encoder:
     """Ids of texts through ids of words: the tokenizer drops white space and merges nothing across it.
 
-    New words are tokenized many at once, a special token between them, which the tokenizer parts
-    texts at before all else (one by one if it has none). Words that hold `<|` get no ids here, since
+    New words of plain letters go through WordBpe if the vocabulary is one for it, others are
+    tokenized many at once, a special token between them, which the tokenizer parts texts at before
+    all else (one by one if it has none). Words that hold `<|` get no ids here, since
     the special tokens' names are matched before lower-casing: texts with them are tokenized by
     themselves. What is remembered is bounded by bytes: when `recent` holds half of them it becomes
     `older`, whose words are forgotten unless they are met again meanwhile.
@@ -95,10 +98,25 @@ class Encoder:
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         named = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
         self.mark = named[-1] if named else None
+        self.letters = WordBpe.of(path)
         self.recent, self.older = Known(self.kind), Known(self.kind)
 
     def tokenized(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each word has, and all of them."""
+        if self.letters is None:
+            return self.by_tokenizer(words)
+        out = self.letters.tokenized(words, lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids)
+        rest = [i for i, x in enumerate(out) if x is None]
+        sizes, ids = self.by_tokenizer([words[i] for i in rest])
+        ids, at = ids.tolist(), 0
+        for i, n in zip(rest, sizes.tolist(), strict=True):
+            out[i] = ids[at : at + n]
+            at += n
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return sizes, np.fromiter(chain.from_iterable(out), self.kind, int(sizes.sum()))
+
+    def by_tokenizer(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the tokenizer itself."""
         if self.mark is None:
             lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
             return np.asarray([len(x) for x in lists], np.int64), np.asarray([i for x in lists for i in x], self.kind)
