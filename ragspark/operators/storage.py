@@ -6,22 +6,45 @@ Parquet has no MERGE: an upsert is a join of the old and the new rows, written a
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def last_values(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row a key: of each column the last value that is not null, rows being in order of their text form."""
+    r = rows.withColumn("_text", F.to_json(F.struct(*rows.columns)))
+    last = [F.expr(f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN _text END)").alias(c) for c in rows.columns if c not in key]
+    return r.groupBy(*key).agg(*last, F.max("_text").alias("_text")).drop("_text").select(rows.columns)
+
+
+def merge_rows(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """`old` with the values of `new` (columns that it lacks stay) where they are not null, and with its new keys; nulls in keys are equal.
+
+    Repeated new rows are merged column by column first. Columns of `old`, in its order.
+    """
+    n = last_values(new.select([c for c in new.columns if c in old.columns]), key)
+    mark = lambda df: df.withColumn("_key", F.struct(*key))
+    j = mark(old).alias("o").join(mark(n).alias("n"), F.col("o._key").eqNullSafe(F.col("n._key")), "full_outer")
+    value = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) if c in n.columns else F.col(f"o.{c}")
+    return j.select(*map(value, old.columns))
+
+
 def upsert_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     """B1: keyed by ext_id; a null never erases; new documents get ids above the largest.
 
-    Of new rows with one ext_id, the last in order of their text form holds. A null ext_id matches
-    nothing: old rows without one stay, and each new row without one is a new document. New ids come
-    from counts by partition of a sort, not from one global window.
+    New rows with one ext_id are merged column by column: of each column the last value that is not
+    null, in order of the rows' text form. A null ext_id matches nothing: old rows without one stay,
+    and each new row without one is a new document. New ids come from counts by partition of a sort,
+    not from one global window.
     """
     cols = [c for c in old.columns if c not in ("ext_id", "doc_id")]
-    n = new.withColumn("_text", F.to_json(F.struct(*new.columns))).withColumn("_key", F.coalesce(F.concat(F.lit("e"), "ext_id"), F.concat(F.lit("n"), "_text")))
-    n = n.withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_text")))).filter("_r = 1 or ext_id is null")
-    n = n.withColumn("_key", F.when(F.col("ext_id").isNull(), F.concat("_key", F.lit("#"), F.col("_r").cast("string"))).otherwise(F.col("_key"))).drop("_text", "_r")
+    named = last_values(new.filter("ext_id is not null"), ["ext_id"]).withColumn("_key", F.concat(F.lit("e"), "ext_id"))
+    unnamed = new.filter("ext_id is null").withColumn("_text", F.to_json(F.struct(*new.columns)))
+    unnamed = unnamed.withColumn("_r", F.row_number().over(Window.partitionBy("_text").orderBy("_text")))
+    unnamed = unnamed.withColumn("_key", F.concat(F.lit("n"), "_text", F.lit("#"), F.col("_r").cast("string"))).drop("_text", "_r")
+    n = named.unionByName(unnamed)
     j = old.withColumn("_key", F.concat(F.lit("e"), "ext_id")).alias("o").join(n.alias("n"), "_key", "full_outer")
     kept = j.select("_key", F.coalesce("o.ext_id", "n.ext_id").alias("ext_id"), "o.doc_id", *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) if c in n.columns else F.col(f"o.{c}") for c in cols])
     fresh = number_from(kept.filter("doc_id is null").select("_key"), "_key", old.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("top")).first().top + 1)
@@ -54,9 +77,11 @@ def purge_chunks(chunks: DataFrame, doc_ids: DataFrame, model: str) -> DataFrame
 
 
 def append_mentions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """B4, made idempotent: a mention that is there (same document, span, text, label) is not added again."""
+    """B4, made idempotent: a mention that is there (same document, span, text, label; nulls are equal) is not added again."""
     key = ["doc_id", "start_char", "end_char", "mention_text", "label"]
-    return old.unionByName(new.join(old.select(key), key, "left_anti").dropDuplicates(key), allowMissingColumns=True)
+    there = old.select(*(F.col(c).alias(f"_{c}") for c in key))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key))
+    return old.unionByName(new.join(there, same, "left_anti").dropDuplicates(key), allowMissingColumns=True)
 
 
 def insert_ids(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import evaluation as ev
 from ..functions import fulltext
-from ..operators import experiments, facets, ivf, ner, retrieval, storage
+from ..operators import experiments, facets, ivf, ner, retrieval, storage, tables
 from ..operators import filters as flt
 from ..operators.chunking import chunk_documents
 from ..operators.ivf import suggested_lists
@@ -379,6 +379,22 @@ def upsert_documents(t: Tables) -> DataFrame:
     return up.select(F.when(F.col("doc_id") <= F.col("top"), F.col("doc_id")).alias("doc_id"), "ext_id", "title", "institute", (F.col("doc_id") > F.col("top")).alias("is_new"))
 
 
+@query("""WITH o AS (SELECT doc_id, title, institute FROM docs WHERE doc_id % 2 = 0),
+  n AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'New ' || doc_id END AS title, CASE WHEN doc_id % 3 = 0 THEN 'New institute' END AS institute FROM docs WHERE doc_id // 100 % 10 = 3)
+  SELECT doc_id, coalesce(n.title, o.title) AS title, coalesce(n.institute, o.institute) AS institute FROM o FULL JOIN n USING (doc_id)""")
+def upsert_in_place(t: Tables) -> DataFrame:
+    """New rows in two parts a key, one null where the other has the value; keys lie in a tenth of the buckets, which alone are written; twice."""
+    rows = t.docs.select("doc_id", "title", "institute")
+    table = tables.KeyedTable.create(rows.filter("doc_id % 2 = 0"), f"{own_folder(t.spark, 'keyed')}/docs", tables.by_range("doc_id", 100))
+    near = rows.filter("doc_id div 100 % 10 = 3")
+    none = F.lit(None).cast("string")
+    titles = near.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("New "), F.col("doc_id").cast("string"))).alias("title"), none.alias("institute"))
+    places = near.select("doc_id", none.alias("title"), F.when(F.col("doc_id") % 3 == 0, F.lit("New institute")).alias("institute"))
+    for _ in range(2):
+        table.upsert(titles.unionByName(places), ["doc_id"])
+    return table.rows()
+
+
 @query("""WITH o AS (SELECT doc_id, chunk_index, 'old' AS text FROM chunks UNION ALL SELECT doc_id, chunk_index + 1, 'old' FROM chunks),
   n AS (SELECT doc_id, chunk_index, 'new' AS text FROM chunks WHERE doc_id % 3 = 0)
   SELECT doc_id, chunk_index, text FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id AND n.chunk_index = o.chunk_index) UNION ALL SELECT * FROM n""")
@@ -653,6 +669,26 @@ def csv_round_trip(t: Tables) -> DataFrame:
     return t.spark.read.option("header", True).option("escape", "\\").schema("doc_id long, author string").csv(place)
 
 
+@query("""WITH o AS (SELECT doc_id, ext_id, title, institute FROM docs WHERE doc_id % 2 = 0),
+  n AS (SELECT ext_id, 'New ' || doc_id AS title, 'Institute of ' || doc_id AS institute FROM docs WHERE doc_id % 5 = 0)
+  SELECT o.doc_id, ext_id, coalesce(n.title, o.title) AS title, coalesce(n.institute, o.institute) AS institute FROM o FULL JOIN n USING (ext_id)""")
+def upsert_repeated_rows(t: Tables) -> DataFrame:
+    """Two new rows an ext_id, each with one of two values: both hold."""
+    old = t.docs.filter("doc_id % 2 = 0").select("doc_id", "ext_id", "title", "institute")
+    new, none, i = t.docs.filter("doc_id % 5 = 0"), F.lit(None).cast("string"), F.col("doc_id").cast("string")
+    titles = new.select("ext_id", F.concat(F.lit("New "), i).alias("title"), none.alias("institute"))
+    up = storage.upsert_documents(old, titles.unionByName(new.select("ext_id", none.alias("title"), F.concat(F.lit("Institute of "), i).alias("institute"))))
+    top = F.broadcast(old.agg(F.max("doc_id").alias("top")))
+    return up.join(top).select(F.when(F.col("doc_id") <= F.col("top"), F.col("doc_id")).alias("doc_id"), "ext_id", "title", "institute")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN start_char END AS start_char, mention_text, label FROM mentions")
+def append_mentions_null_spans(t: Tables) -> DataFrame:
+    """Mentions half of which have no span, added to themselves: nothing is added."""
+    m = t.mentions.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("start_char")).alias("start_char"), F.lit(None).cast("long").alias("end_char"), "mention_text", "label")
+    return storage.append_mentions(m, m.unionByName(m)).select("doc_id", "start_char", "mention_text", "label")
+
+
 @query("SELECT doc_id, mention_text, label FROM mentions WHERE label <> 'drug' UNION ALL SELECT doc_id, 'x', 'drug' FROM docs WHERE doc_id % 9 = 0")
 def append_mentions(t: Tables) -> DataFrame:
     """Mentions that are there already are not added again, nor those that the rules of the table refuse."""
