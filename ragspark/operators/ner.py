@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import TYPE_CHECKING
 
@@ -59,50 +60,97 @@ def strip_prefix(text: str) -> tuple[str, int]:
     return text[gone:], gone
 
 
-def context_of(text: str, start: int, end: int) -> str:
-    """The sentence that the span lies in, or what is within 100 characters."""
-    at = 0
-    for m in [*CUT.finditer(text), None]:
-        stop = m.start() if m else len(text)
-        if at <= start < stop:
-            return text[at:stop].strip() if end <= stop else text[max(0, start - 100) : end + 100]
-        at = m.end() if m else stop
-    return text[max(0, start - 100) : end + 100]
+class Sentences:
+    """A text's sentences, cut once; the context of a span is the sentence that it lies in, or what is within 100 characters."""
 
+    def __init__(self, text: str):
+        cuts = list(CUT.finditer(text))
+        self.text, self.begin, self.end = text, [0, *(m.end() for m in cuts)], [*(m.start() for m in cuts), len(text)]
 
-def vocabulary_pattern(vocabulary: dict[str, str]) -> re.Pattern | None:
-    """The offline stand-in for a model: terms with their labels (a model's, or ours), longest first."""
-    terms = sorted(vocabulary, key=lambda t: (-len(t), t))
-    return re.compile(r"\b(?:" + "|".join(map(re.escape, terms)) + r")\b", re.IGNORECASE) if terms else None
+    def context(self, start: int, end: int) -> str:
+        i = bisect_right(self.begin, start) - 1
+        if start < self.end[i] and end <= self.end[i]:
+            return self.text[self.begin[i] : self.end[i]].strip()
+        return self.text[max(0, start - 100) : end + 100]
 
 
-def entities(text: str | None, vocabulary: dict[str, str] | None = None, extractor: EntityExtractor | None = None) -> list[tuple[str, str, int, int, str, float]]:
+#: Terms of a vocabulary that is broadcast, and their characters, at most.
+MOST_TERMS, MOST_CHARACTERS = 1_000_000, 32_000_000
+
+
+def lowered(text: str) -> str:
+    """In lower case, letter by letter, so that places stay: the few letters that would become several stay as they are."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _in_word(text: str, i: int) -> bool:
+    return 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+
+
+class Vocabulary:
+    """The offline stand-in for a model: terms with their labels (a model's, or ours), found by one automaton in one pass.
+
+    A term is found where a word begins or ends at both of its ends, whatever its case. Of terms that
+    overlap the one that begins first is taken, of those the longest; then what begins after it.
+    Blank terms are none. The automaton is built once and sent to each worker once: its size grows
+    with the vocabulary, which is checked.
+    """
+
+    def __init__(self, terms: dict[str, str]):
+        import ahocorasick
+
+        self.labels = {lowered(t): MODEL_LABELS.get(v, v) for t, v in terms.items() if t.strip()}
+        if len(self.labels) > MOST_TERMS or sum(map(len, self.labels)) > MOST_CHARACTERS:
+            raise ValueError(f"a vocabulary has at most {MOST_TERMS} terms of {MOST_CHARACTERS} characters; extract by parts of it")
+        self.automaton = ahocorasick.Automaton()
+        for t in self.labels:
+            self.automaton.add_word(t, len(t))
+        if self.labels:
+            self.automaton.make_automaton()
+
+    def find(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, label) in order."""
+        if not self.labels:
+            return []
+        low, edge = lowered(text), lambda i: _in_word(text, i - 1) != _in_word(text, i)
+        found: dict[int, int] = {}
+        for last, size in self.automaton.iter(low):
+            start, end = last + 1 - size, last + 1
+            if end > found.get(start, 0) and edge(end) and edge(start):
+                found[start] = end
+        out, at = [], 0
+        for start in sorted(found):
+            if start >= at:
+                at = found[start]
+                out.append((start, at, self.labels[low[start:at]]))
+        return out
+
+
+def entities(text: str | None, vocabulary: Vocabulary | dict[str, str] | None = None, extractor: EntityExtractor | None = None) -> list[tuple[str, str, int, int, str, float]]:
     """A.4, H3: (text, label, start, end, context, confidence): extractor, vocabulary, then statistics, then devices; offsets are in `text`."""
     body, gone = strip_prefix(text or "")
-    found = extractor.extract(body) if extractor else []
-    out = [(shown, MODEL_LABELS.get(kind, kind), a + gone, b + gone, context_of(body, a, b), CONFIDENCE["model"]) for shown, kind, a, b in found]
-    passes: list = []
-    if vocabulary and (p := vocabulary_pattern(vocabulary)):
-        low = {k.lower(): MODEL_LABELS.get(v, v) for k, v in vocabulary.items()}
-        passes.append((p, lambda m: low[m.lower()], CONFIDENCE["model"]))
-    passes.append((STATISTICS, lambda m: "statistical_significance", CONFIDENCE["statistical_significance"]))
-    passes.append((DEVICES, lambda m: "device", CONFIDENCE["device"]))
-    for pattern, label, sure in passes:
-        for m in pattern.finditer(body):
-            shown = m[0].strip()
-            out.append((shown, label(shown), m.start() + gone, m.end() + gone, context_of(body, m.start(), m.end()), sure))
-    return out
-
-
-def extract_mentions(chunks: DataFrame, vocabulary: dict[str, str] | None = None, extractor: EntityExtractor | None = None) -> DataFrame:
-    """doc_id, section_name, chunk_index and each mention's columns; each chunk by itself."""
+    sentences = Sentences(body)
+    found = [(shown, MODEL_LABELS.get(kind, kind), a, b, CONFIDENCE["model"]) for shown, kind, a, b in (extractor.extract(body) if extractor else [])]
+    if vocabulary:
+        known = Vocabulary(vocabulary) if isinstance(vocabulary, dict) else vocabulary
+        found += [(body[a:b].strip(), label, a, b, CONFIDENCE["model"]) for a, b, label in known.find(body)]
+    for pattern, label in ((STATISTICS, "statistical_significance"), (DEVICES, "device")):
+        found += [(m[0].strip(), label, m.start(), m.end(), CONFIDENCE[label]) for m in pattern.finditer(body)]
+    return [(shown, label, a + gone, b + gone, sentences.context(a, b), sure) for shown, label, a, b, sure in found]
+
+
+def extract_mentions(chunks: DataFrame, vocabulary: Vocabulary | dict[str, str] | None = None, extractor: EntityExtractor | None = None) -> DataFrame:
+    """doc_id, section_name, chunk_index and each mention's columns; each chunk by itself. The vocabulary is checked (Vocabulary) and broadcast."""
+    known = Vocabulary(vocabulary) if isinstance(vocabulary, dict) else vocabulary
+    shared = chunks.sparkSession.sparkContext.broadcast(known)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "section_name", "chunk_index", "ordinal", "mention_text", "label", "start_char", "end_char", "context", "label_confidence"]
         for b in batches:
             rows = []
             for doc, section, index, text in zip(b.doc_id, b.section_name, b.chunk_index, b.text, strict=True):
-                rows += [(doc, section, index, i, *e) for i, e in enumerate(entities(text, vocabulary, extractor))]
+                rows += [(doc, section, index, i, *e) for i, e in enumerate(entities(text, shared.value, extractor))]
             yield pd.DataFrame(rows, columns=names)
 
     schema = "doc_id long, section_name string, chunk_index int, ordinal int, mention_text string, label string, start_char int, end_char int, context string, label_confidence double"

@@ -301,6 +301,18 @@ def extract_mentions(t: Tables) -> DataFrame:
     return ner.dedup(ner.extract_mentions(t.whole_chunks, {"stupid": "disease", "license": "drug"}))
 
 
+@query(r"""WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
+  w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents)
+  SELECT doc_id, term AS mention_text, CASE WHEN length(term) % 2 = 0 THEN 'drug' ELSE 'disease' END AS label, count(*) AS mentions FROM w JOIN d USING (term) GROUP BY ALL""")
+def dictionary_mentions(t: Tables) -> DataFrame:
+    """All words of the benchmark's items as a vocabulary, found in whole texts."""
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0)))
+    terms = {r.term: "drug" if len(r.term) % 2 == 0 else "disease" for r in t.raw("benchmark").select(words.alias("term")).distinct().limit(ner.MOST_TERMS + 1).collect()}
+    texts = t.raw("documents").select("doc_id", F.lit(None).cast("string").alias("section_name"), F.lit(0).alias("chunk_index"), F.concat(F.lit("\n\n"), "text").alias("text"))
+    found = ner.extract_mentions(texts, ner.Vocabulary(terms)).filter("label_confidence = 0.8")
+    return found.groupBy("doc_id", F.lower("mention_text").alias("mention_text"), "label").agg(F.count(F.lit(1)).alias("mentions"))
+
+
 # --- storage and planning ---------------------------------------------------------------------
 
 
