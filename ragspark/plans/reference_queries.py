@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -13,13 +14,14 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import evaluation as ev
 from ..functions import fulltext
-from ..operators import experiments, facets, ivf, ner, retrieval, storage, tables
+from ..operators import answers, experiments, facets, ivf, ner, retrieval, storage, tables
 from ..operators import filters as flt
 from ..operators.chunking import chunk_documents
 from ..operators.ivf import suggested_lists
-from ..plug import prompt_context
+from ..plug import ExtractiveGenerator, prompt_context
 from ..session import own_folder
-from ..sources import files, parsing, requests
+from ..sources import files, paged, parsing, requests
+from ..streaming import feedback
 from .derived import MODEL, SQL, Tables
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
@@ -521,6 +523,27 @@ def prompt(t: Tables) -> DataFrame:
     return prompt_context(hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "chunk_id"))))
 
 
+ASKED = f"""q AS (SELECT item_id AS query_id, b.text AS question, CAST(embedding AS DOUBLE[]) AS e FROM benchmark b JOIN embeddings ON vec_id = item_id),
+  s AS (SELECT query_id, chunk_id, doc_id, chunk_index, text, round(list_cosine_similarity(embedding, e), 6) AS similarity FROM q, chunks WHERE embedding_model = '{MODEL}'),
+  h AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'PMC' || doc_id WHEN 1 THEN '2401.' || doc_id ELSE 's' || doc_id END AS doc_ref,
+    row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5),
+  b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS told FROM h WHERE regexp_matches(text, '^[^\\n]') QUALIFY told <= 3),
+  a AS (SELECT query_id, string_agg(trim(string_split(regexp_extract(text, '^[^\\n]+'), '. ')[1], '. ') || '. [' || doc_ref || '#' || chunk_index || ']', ' ' ORDER BY rank) AS answer,
+    string_agg(doc_ref || '#' || chunk_index, ';' ORDER BY rank) FILTER (doc_ref LIKE 'PMC%') AS named FROM b GROUP BY query_id)
+  SELECT a.query_id, answer, (SELECT count(*) FROM h x WHERE x.query_id = a.query_id) AS n_contexts, coalesce(named, h.doc_ref || '#' || h.chunk_index) AS cited
+  FROM a JOIN h ON h.query_id = a.query_id AND h.rank = 1"""
+
+
+@query(f"WITH {ASKED}")
+def batch_answers(t: Tables) -> DataFrame:
+    """The benchmark's items as questions, all in one plan: passages, the extractive generator, citations or else the first passage."""
+    vectors = t.raw("embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    asked = t.raw("benchmark").join(vectors, "item_id").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), "vector")
+    told = answers.answer_many(asked, t.chunks, t.docs, ExtractiveGenerator(), 5, model=MODEL)
+    shown = F.transform("citations", lambda c: F.concat(c["doc_ref"], F.lit("#"), c["chunk_index"].cast("string")))
+    return told.select("query_id", "answer", "n_contexts", F.array_join(shown, ";").alias("cited"))
+
+
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[^ -~]', ' ', 'g'), '\b(eren\w*)\b', '<mark>\1</mark>', 'gi'), '\b(tion\w*)\b', '<mark>\1</mark>', 'gi') AS shown FROM p")
 def highlight(t: Tables) -> DataFrame:
     """Over ASCII, since RE2 and Java part words differently beyond it."""
@@ -667,6 +690,15 @@ def id_lists(t: Tables) -> DataFrame:
     return files.id_list(t.spark, place)
 
 
+@query("WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT source AS query, unnest(range(least(n, 100))) AS position FROM n) SELECT query, CAST(position // 30 AS INTEGER) AS page, position, query || '#' || position AS payload FROM r")
+def paged_search(t: Tables) -> DataFrame:
+    """Each source as a query of a paged service that has as many results as the source has documents; the first hundred, by pages of thirty."""
+    totals = {r.source: r["count"] for r in t.raw("documents").groupBy("source").count().collect()}
+    paged.register(t.spark)
+    options = {"queries": json.dumps(sorted(totals)), "fetcher_options": json.dumps({"totals": totals}), "limit": "100", "page_size": "30", "pages_a_task": "2"}
+    return t.spark.read.format("paged_search").options(**options).load()
+
+
 @query("SELECT doc_id, title, list_extract(author, 1) AS first FROM docs")
 def json_round_trip(t: Tables) -> DataFrame:
     place = f"{own_folder(t.spark, 'json')}/rows"
@@ -781,6 +813,26 @@ def stream_ab_stats(t: Tables) -> DataFrame:
     return t.spark.table(name)
 
 
+@query("""WITH i AS (SELECT event_id AS experiment_id, ts FROM events WHERE event_id % 2 = 0),
+  f AS (SELECT event_id AS experiment_id, ts + to_minutes(CAST(event_id % 5 * 20 AS INTEGER)) AS given, CAST(event_id % 6 AS INTEGER) AS user_rating FROM events WHERE event_id % 3 = 0)
+  SELECT experiment_id, i.ts, f.user_rating FROM i LEFT JOIN f USING (experiment_id) WHERE true""".replace("WHERE true", "AND f.given <= i.ts + INTERVAL 1 HOUR").replace("USING (experiment_id) AND", "ON f.experiment_id = i.experiment_id AND").replace("SELECT experiment_id, i.ts", "SELECT i.experiment_id, i.ts"))
+def stream_feedback(t: Tables) -> DataFrame:
+    """Interactions and their feedback as two streams, some of it repeated, some too late, some missing; committed by batch."""
+    place, e = own_folder(t.spark, "feedback"), t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    i = e.filter("event_id % 2 = 0").select(F.col("event_id").alias("experiment_id"), "ts")
+    given = F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 5 * 20).cast("int"))
+    f = e.filter("event_id % 3 = 0").select(F.col("event_id").alias("experiment_id"), given.alias("ts"), F.array().cast("array<bigint>").alias("clicked_chunk_ids"), (F.col("event_id") % 6).cast("int").alias("user_rating"))
+    end = e.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts")).withColumn("experiment_id", F.lit(-1).cast("long"))  # closes what is open
+    streams = {}
+    for name, rows in (("interactions", i), ("feedback", f.unionByName(f.filter("experiment_id % 2 = 0")))):
+        rows.coalesce(1).write.parquet(f"{place}/{name}")
+        end.select(*[F.col(c) if c in end.columns else F.lit(None).cast(dict(rows.dtypes)[c]).alias(c) for c in rows.columns]).coalesce(1).write.mode("append").parquet(f"{place}/{name}")
+        streams[name] = t.spark.readStream.schema(rows.schema).parquet(f"{place}/{name}")
+    joined = feedback.with_late_feedback(streams["interactions"], streams["feedback"], late="400 days")
+    feedback.start(joined, f"{place}/out", f"{place}/state").awaitTermination()
+    return feedback.read_committed(t.spark, f"{place}/out", joined.schema).filter("experiment_id >= 0").select("experiment_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_rating")
+
+
 @query("SELECT date_trunc('day', ts) AS window_start, strategy, count(*) AS queries, round(avg(latency_ms), 6) AS avg_latency_ms FROM log GROUP BY ALL")
 def ab_windowed(t: Tables) -> DataFrame:
     from ..streaming.logs import windowed_statistics
