@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.identifiers import citations
-from .operators import chunking, experiments, facets, filters, ner, retrieval, storage
+from .operators import answers, chunking, experiments, facets, filters, ner, retrieval, storage
+from .operators import mention_vectors as vectors_of_mentions
 from .plug import SYSTEM_PROMPT, USER_PROMPT, Embedder, EntityExtractor, ExtractiveGenerator, Generator, HashEmbedder, embed, prompt_context
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, docs: DataFrame, chunks: DataFrame, mentions: DataFrame, embedder: Embedder | None = None, generator: Generator | None = None, extractor: EntityExtractor | None = None):
+    def __init__(self, spark: SparkSession, docs: DataFrame, chunks: DataFrame, mentions: DataFrame, embedder: Embedder | None = None, generator: Generator | None = None, extractor: EntityExtractor | None = None, mention_vectors: DataFrame | None = None):
         self.spark, self.docs, self.chunks, self.mentions = spark, docs, chunks, mentions
         self.embedder, self.generator = embedder or HashEmbedder(), generator or ExtractiveGenerator()
         self.extractor = extractor
+        if mention_vectors is None:
+            kind = dict(mentions.dtypes).get("mention_id", "bigint")
+            mention_vectors = spark.createDataFrame([], f"mention_id {kind}, embedding array<float>, created_at timestamp")
+        self.mention_vectors = mention_vectors
 
     def vector(self, question: str) -> list[float]:
         return [round(float(x), 6) for x in self.embedder.encode([question])[0]]
@@ -41,6 +46,15 @@ class Engine:
         found = [by[(c.doc, c.idx)] for c in cited if (c.doc, c.idx) in by] or rows[:1]
         return {"answer": text, "citations": found, "contexts": rows}
 
+    def answer_many(self, questions: DataFrame, k: int = 5, where: filters.Filters | None = None) -> DataFrame:
+        """Any number of questions (query_id, question) in one plan: query_id, question, n_contexts, answer, citations."""
+        asked = embed(questions, self.embedder, "question", "vector")
+        return answers.answer_many(asked, self.chunks, self.docs, self.generator, k, where, self.embedder.name)
+
+    def similar_mentions(self, text: str, label: str | None = None, k: int = 10) -> DataFrame:
+        """By the vectors that ingest keeps up."""
+        return retrieval.similar_mentions(self.mentions, self.mention_vectors, self.vector(text), label, k)
+
     def ab_answer(self, question: str, experiment: experiments.Experiment, user_id: str | None = None, session_id: str | None = None, method: str = "consistent", forced: str | None = None, k: int = 5, log_path: str | None = None) -> dict:
         """Assign a strategy, retrieve by it, answer, log; one call. Without a user the assignment is at random.
 
@@ -76,7 +90,8 @@ class Engine:
         keep = [c for c in self.chunks.columns if c in made.columns]
         chunks = storage.upsert_chunks(self.chunks, made.select(*keep))
         mentions = storage.append_mentions(self.mentions, found.select(*[c for c in self.mentions.columns if c in found.columns]))
-        return Engine(self.spark, merged, chunks, mentions, self.embedder, self.generator, self.extractor)
+        vectors = vectors_of_mentions.kept_up(self.mention_vectors, mentions, self.embedder)
+        return Engine(self.spark, merged, chunks, mentions, self.embedder, self.generator, self.extractor, vectors)
 
     def backfill_mentions(self, vocabulary: dict[str, str] | None = None) -> tuple[DataFrame, dict]:
         """Mentions of the documents that have none, and the totals."""

@@ -19,6 +19,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions.identifiers import doc_ref
 from . import filters as flt
+from .names import NameIndex
 from .postings import TextIndex
 
 MISSING = 999999
@@ -192,9 +193,13 @@ def compare(chunks: DataFrame, mentions: DataFrame, query: Sequence[float], word
     return reduce(DataFrame.unionByName, parts)
 
 
-def filtered(chunks: DataFrame, docs: DataFrame, query: Sequence[float], f: flt.Filters, k: int = 5, model: str | None = None) -> DataFrame:
-    """Exact search among the chunks of documents that pass the filters, which reach the scan first."""
-    kept = docs.filter(flt.build(f)).select("doc_id")
+def filtered(chunks: DataFrame, docs: DataFrame, query: Sequence[float], f: flt.Filters, k: int = 5, model: str | None = None, names: NameIndex | None = None) -> DataFrame:
+    """Exact search among the chunks of documents that pass the filters, which reach the scan first.
+
+    With an index of names the documents that its names rule out are not checked.
+    """
+    pool = docs if names is None else names.candidates(docs, f)
+    kept = pool.filter(flt.build(f)).select("doc_id")
     return nearest(of_model(chunks, model).join(kept, "doc_id", "left_semi"), query, k).withColumn("final_score", F.col("similarity"))
 
 

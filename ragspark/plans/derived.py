@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_documents
+from ..operators import mention_vectors
 from ..operators.ivf import IvfIndex, suggested_lists
+from ..operators.names import NameIndex
 from ..operators.postings import TextIndex
+from ..plug import HashEmbedder
 from ..session import listing, own_folder
 
 #: Patterns that stand for the four labels in invented prose; RE2 and Java read them alike.
@@ -134,6 +137,21 @@ class Tables:
         """Full text of `whole_chunks` by English stems."""
         return self._text_index("english", self.whole_chunks, ("doc_id", "section_name"), "documents")
 
+    @cached_property
+    def names(self) -> NameIndex:
+        """The authors and institutes of `docs`."""
+
+        def write(folder: str) -> Callable[[], NameIndex]:
+            NameIndex.build(self.docs, folder)
+            return lambda: NameIndex(self.spark, folder)
+
+        return ingested(self, "names", ("documents",), write)
+
+    @stored("mention_id", "documents")
+    def mention_vectors(self) -> DataFrame:
+        """The vectors of `mentions`."""
+        return mention_vectors.mention_vectors(self.mentions, HashEmbedder(64), None)
+
     def _text_index(self, analyzer: str, chunks: DataFrame, carry: tuple[str, ...], *sources: str) -> TextIndex:
         def write(folder: str) -> Callable[[], TextIndex]:
             TextIndex.build(chunks, folder, analyzer, carry)

@@ -14,11 +14,11 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import evaluation as ev
 from ..functions import fulltext
-from ..operators import answers, experiments, facets, ivf, ner, retrieval, storage, tables
+from ..operators import answers, experiments, facets, ivf, mention_vectors, ner, retrieval, storage, tables
 from ..operators import filters as flt
 from ..operators.chunking import chunk_documents
 from ..operators.ivf import suggested_lists
-from ..plug import ExtractiveGenerator, prompt_context
+from ..plug import ExtractiveGenerator, HashEmbedder, prompt_context
 from ..session import own_folder
 from ..sources import files, paged, parsing, requests
 from ..streaming import feedback
@@ -99,7 +99,7 @@ def l2_topk(t: Tables) -> DataFrame:
 @query(f"WITH {SIM} SELECT chunk_id, scored.doc_id, similarity, similarity AS final_score FROM scored JOIN docs USING (doc_id) WHERE (lower(author[1]) LIKE '%smith 1%' OR lower(author[2]) LIKE '%smith 1%' OR lower(author[2]) LIKE '%chen 3%') AND year(year) BETWEEN 2005 AND 2020 AND lower(institute) LIKE '%institute en%' AND source IN ('arXiv', 'PubMed Central') ORDER BY similarity DESC, chunk_id LIMIT 10")
 def vector_topk_filtered(t: Tables) -> DataFrame:
     f = flt.Filters(authors=["Smith 1", "chen 3"], year_min=2005, year_max=2020, institutions=["institute en"], sources=["arXiv", "PubMed Central"])
-    return retrieval.filtered(t.chunks, t.docs, t.vector(), f, 10, MODEL)
+    return retrieval.filtered(t.chunks, t.docs, t.vector(), f, 10, MODEL, t.names)
 
 
 @query(f"WITH {NEAR30}, {COUNTS} {BOOST}")
@@ -315,6 +315,27 @@ def dictionary_mentions(t: Tables) -> DataFrame:
     return found.groupBy("doc_id", F.lower("mention_text").alias("mention_text"), "label").agg(F.count(F.lit(1)).alias("mentions"))
 
 
+@query("SELECT label, count(*) AS mentions, count(DISTINCT lower(trim(mention_text))) AS texts, CAST(1 AS BIGINT) AS vectors_a_text FROM mentions GROUP BY label")
+def mention_vector_coverage(t: Tables) -> DataFrame:
+    """Every mention has a vector, and mentions of one text have one."""
+    m = t.mentions.join(t.mention_vectors, "mention_id").groupBy("label", mention_vectors.text_key().alias("text")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("embedding").alias("vectors"))
+    return m.groupBy("label").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("texts"), F.max("vectors").alias("vectors_a_text"))
+
+
+@query()
+def mention_vector_topk(t: Tables) -> DataFrame:
+    """The mentions most similar to a text, by the vectors that ingest has made."""
+    asked = [float(x) for x in HashEmbedder(64).encode(["license"])[0]]
+    return retrieval.similar_mentions(t.mentions, t.mention_vectors, asked, None, 20)
+
+
+@query("SELECT doc_id, title FROM docs WHERE (lower(author[1]) LIKE '%mith 1%' OR lower(author[2]) LIKE '%mith 1%' OR lower(author[1]) LIKE '%en _%' OR lower(author[2]) LIKE '%en _%') AND (lower(institute) LIKE '%e de%' OR lower(institute) LIKE '%7%')")
+def docs_by_names(t: Tables) -> DataFrame:
+    """Documents by parts of names: found by their trigrams, one of them too short for any."""
+    f = flt.Filters(authors=["mith 1", "en _"], institutions=["E DE", "7"])
+    return t.names.candidates(t.docs, f).filter(flt.build(f)).select("doc_id", "title")
+
+
 # --- storage and planning ---------------------------------------------------------------------
 
 
