@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,20 @@ class Scratch:
     that an operator returns may still read some, so close() comes after that has been written.
     """
 
-    opened: list["Scratch"] = []
+    _scope: ContextVar[list["Scratch"] | None] = ContextVar("scratch-scope", default=None)
+
+    @classmethod
+    @contextmanager
+    def scope(cls) -> Iterator[None]:
+        """What is opened within, by the same thread, is closed at the end; nobody else's is."""
+        mine: list[Scratch] = []
+        token = cls._scope.set(mine)
+        try:
+            yield
+        finally:
+            cls._scope.reset(token)
+            for s in mine:
+                s.close()
 
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
@@ -54,7 +69,8 @@ class Scratch:
         fs, path = self._on_disk(self.root)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
-        Scratch.opened.append(self)
+        if (mine := Scratch._scope.get()) is not None:
+            mine.append(self)
 
     def _on_disk(self, path: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,8 +91,6 @@ class Scratch:
     def close(self) -> None:
         fs, path = self._on_disk(self.root)
         fs.delete(path, True)
-        if self in Scratch.opened:
-            Scratch.opened.remove(self)
 
 
 def crc_mod(id_column: str, m: int) -> Column:

@@ -23,7 +23,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 #: The window, and the entropy in bits that a window of a character class must reach.
 WINDOW = 20
-LEAST_BITS = {"hex": 3.0, "base36": 3.5, "base64": 3.9}
+LEAST_BITS = {"hex": 3.0, "base36": 3.5, "base64": 3.9, "letters": 3.6}
+#: Of letters alone a window must also change case like no words do: so many parts, a word with or without a capital being one.
+LEAST_PARTS = 7
+LETTERS = re.compile(r"[A-Za-z]{20,}")
 #: Runs of one case within a candidate that are judged by their own class, whatever they are joined to.
 RUNS = re.compile(r"[a-z0-9]{20,}|[A-Z0-9]{20,}"), re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}")
 #: What is not a secret however mixed it looks: UUIDs and tokens (what = / _ - part) that look like samples or
@@ -61,14 +64,25 @@ def high_entropy(candidate: str, window: int = WINDOW, least: dict = LEAST_BITS)
     return found
 
 
+def part_begins(letters: str) -> list[int]:
+    """1 for each letter that begins a part: a capital after a small letter, or a small letter after two capitals."""
+    big = [c <= "Z" for c in letters]
+    return [0, *(int(now and not last if now else last and i > 1 and big[i - 2]) for i, (last, now) in enumerate(zip(big, big[1:]), 1))]
+
+
 def _piece(piece: str, window: int, least: dict) -> list[tuple[int, int]]:
-    if len(piece) < window or WORDS.fullmatch(piece):
+    if len(piece) < window:
         return []
-    found = _windows(piece, window, least[char_class(piece)])
-    for kind, pattern in zip(("base36", "hex"), RUNS, strict=True):
-        for m in pattern.finditer(piece):
-            if not WORDS.fullmatch(m[0]):
-                found += [(a + m.start(), b + m.start()) for a, b in _windows(m[0], window, least[kind])]
+    found = []
+    for m in LETTERS.finditer(piece):
+        if not (m[0].islower() or m[0].isupper()):
+            found += [(a + m.start(), b + m.start()) for a, b in _windows(m[0], window, least["letters"], part_begins(m[0]))]
+    if not WORDS.fullmatch(piece):
+        found += _windows(piece, window, least[char_class(piece)])
+        for kind, pattern in zip(("base36", "hex"), RUNS, strict=True):
+            for m in pattern.finditer(piece):
+                if not WORDS.fullmatch(m[0]):
+                    found += [(a + m.start(), b + m.start()) for a, b in _windows(m[0], window, least[kind])]
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a <= merged[-1][1]:
@@ -78,15 +92,16 @@ def _piece(piece: str, window: int, least: dict) -> list[tuple[int, int]]:
     return merged
 
 
-def _windows(candidate: str, window: int, bits: float) -> list[tuple[int, int]]:
-    """Merged stretches of the windows whose Shannon entropy reaches `bits`.
+def _windows(candidate: str, window: int, bits: float, begins: list[int] | None = None) -> list[tuple[int, int]]:
+    """Merged stretches of the windows whose Shannon entropy reaches `bits` (and, given `begins`, that have LEAST_PARTS parts).
 
-    Sum of c*log2(c) over the window's character counts changes at two counts a step.
+    Sum of c*log2(c) over the window's character counts changes at two counts a step, and so does the
+    number of parts, those that begin behind the window's first letter and one.
     """
     need = (math.log2(window) - bits) * window + 1e-9  # entropy >= bits: the sum <= need
     found: list[tuple[int, int]] = []
     counts: dict[str, int] = {}
-    total = 0.0
+    total, parts = 0.0, 0
     term = _TERM if window == WINDOW else [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     for i, ch in enumerate(candidate):
         c = counts.get(ch, 0)
@@ -97,7 +112,9 @@ def _windows(candidate: str, window: int, bits: float) -> list[tuple[int, int]]:
             c = counts[old]
             total += term[c - 1] - term[c]
             counts[old] = c - 1
-        if i >= window - 1 and total <= need:
+        if begins:
+            parts += begins[i] - (begins[i - window + 1] if i >= window - 1 else 0)
+        if i >= window - 1 and total <= need and (not begins or parts >= LEAST_PARTS - 1):
             start = i - window + 1
             if found and start <= found[-1][1]:
                 found[-1] = (found[-1][0], i + 1)
@@ -118,14 +135,13 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base.sort()
     more, following, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        if not m[0].isalpha():
-            for a, b in high_entropy(m[0]):
-                a, b = a + m.start(), b + m.start()
-                while following < len(base) and base[following][0] <= a:  # both in order: one sweep
-                    reach = max(reach, base[following][2])
-                    following += 1
-                if reach < b:
-                    more.append((a, 3, b))
+        for a, b in () if m[0].islower() and m[0].isalpha() else high_entropy(m[0]):
+            a, b = a + m.start(), b + m.start()
+            while following < len(base) and base[following][0] <= a:  # both in order: one sweep
+                reach = max(reach, base[following][2])
+                following += 1
+            if reach < b:
+                more.append((a, 3, b))
     return base, sorted(base + more)
 
 
