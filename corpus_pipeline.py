@@ -67,10 +67,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        before = list(Scratch.opened)
-        docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
-        for done in [s for s in Scratch.opened if s not in before]:  # the stage's own tables: its rows are written
-            done.close()
+        with Scratch.scope():  # the stage's own tables go when its rows are written
+            docs = scratch.save(stage(spark, docs, sf_dir), f"{i}-{name}")
         if i:
             scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
