@@ -133,5 +133,5 @@ def test_registered():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in queries.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in queries.queries()}
     assert set(queries.queries()) | {"pipeline"} <= names
