@@ -49,32 +49,69 @@ def rank_correlation(a: DataFrame, b: DataFrame, key: str = "query_id", item: st
     return keys.join(c, key, "left").select(key, F.round(F.coalesce("_c", F.lit(0.0)), 6).alias("rank_correlation"))
 
 
-def latency_by_index(df: DataFrame, group: str, value: str, bins: int = 4096) -> DataFrame:
-    """Percentiles as the sorted list's element at int(p n); a null counts as 0 in the mean alone.
+def magnitude_bin(v: Column) -> Column:
+    """Bins in the order of the values, each a 256th of a power of two wide: no value, however far off, widens another's."""
+    size = F.abs(v)
+    power = F.floor(F.log2(size))
+    at = (power + 1100) * 256 + F.floor((size / F.pow(F.lit(2.0), power) - 1) * 256)
+    at = F.when(size == float("inf"), F.lit(10_000_000)).otherwise(at).cast("long")
+    return F.when(v == 0, F.lit(0)).when(v > 0, at + 1).otherwise(-at - 1).cast("long")
+
 
-    A group's range is cut into bins, whose counts say in which one each place lies; only the values
-    of those are counted one by one. No task sorts or gathers a group.
+def values_at(df: DataFrame, group: str, value: str, places: dict[str, Column], bins: int = 4096) -> DataFrame:
+    """group and, for each name, the group's value at that place (from 0) of its sorted values; places are columns over the number `_n` of values.
+
+    Bins by magnitude, then equal bins within those that hold a place, are counted; only the values of
+    the bins found are counted one by one. So no task sorts or gathers a group, whatever its outliers.
+    Nulls and NaN are no values.
     """
-    ok = df.filter(F.col(value).isNotNull()).select(group, F.col(value).alias("_v"))
-    ends = ok.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    v = df.select(group, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    v = v.withColumn("_b", magnitude_bin(F.col("_v")))
+
+    def inside(rows: DataFrame, wanted: DataFrame, keys: list[str], order: str) -> DataFrame:
+        """Which of the ordered rows (with a count) holds each wanted place of its keys, and the place within it."""
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        j = rows.withColumn("_upto", F.sum("_c").over(w)).join(wanted, keys)
+        return j.filter((F.col("_at") >= F.col("_upto") - F.col("_c")) & (F.col("_at") < F.col("_upto"))).withColumn("_at", F.col("_at") - F.col("_upto") + F.col("_c")).drop("_c", "_upto")
+
+    count = F.count(F.lit(1)).alias("_c")
+    first = v.groupBy(group, "_b").agg(count, F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    sizes = first.groupBy(group).agg(F.sum("_c").alias("_n"))
+    named = F.array(*[F.struct(F.lit(n).alias("_name"), at.cast("long").alias("_at")) for n, at in places.items()])
+    wanted = sizes.select(group, F.explode(named).alias("_p")).select(group, "_p.*")
+    coarse = inside(first, wanted, [group], "_b").select(group, "_b", "_lo", "_hi", "_name", "_at")
     share = (F.col("_v") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    binned = ok.join(ends, group).select(group, "_v", F.least(F.lit(bins - 1), F.floor(F.coalesce(share, F.lit(0.0)) * bins)).cast("int").alias("_b"))
-    upto = lambda key, order: F.sum("_c").over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counts = binned.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", upto([group], "_b"))
-    places = F.array(*[F.struct(F.lit(n).alias("_name"), at.cast("long").alias("_at")) for n, at in (("median", F.expr("_n div 2")), ("p95", F.floor(F.col("_n") * F.lit(0.95))), ("p99", F.floor(F.col("_n") * F.lit(0.99))))])
-    inside = (F.col("_at") >= F.col("_upto") - F.col("_c")) & (F.col("_at") < F.col("_upto"))
-    wanted = counts.join(ends.select(group, F.explode(places).alias("_p")).select(group, "_p.*"), group).filter(inside)
-    wanted = wanted.select(group, "_b", "_name", (F.col("_at") - F.col("_upto") + F.col("_c")).alias("_at"))
-    few = binned.join(wanted.select(group, "_b").distinct(), [group, "_b"], "left_semi").groupBy(group, "_b", "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", upto([group, "_b"], "_v"))
-    picked = few.join(wanted, [group, "_b"]).filter(inside)
-    tail = picked.groupBy(group).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in ("median", "p95", "p99")])
+    v = v.join(coarse.select(group, "_b", "_lo", "_hi").distinct(), [group, "_b"]).withColumn("_f", F.least(F.lit(bins - 1), F.floor(F.coalesce(share, F.lit(0.0)) * bins)).cast("int"))
+    fine = inside(v.groupBy(group, "_b", "_f").agg(count), coarse.drop("_lo", "_hi"), [group, "_b"], "_f")
+    keys = [group, "_b", "_f"]
+    few = v.join(fine.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "_v").agg(count)
+    found = inside(few, fine, keys, "_v")
+    return found.groupBy(group).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in places])
+
+
+def percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """group and, for each name, the percentile between the two values that lie around its place, to 6 digits."""
+    at = lambda p: F.lit(p) * (F.col("_n") - 1)
+    both = {f"{n}_{side}": f(at(p)) for n, p in shares.items() for side, f in (("low", F.floor), ("high", F.ceil))} | {"_last": F.col("_n") - 1}
+    got = values_at(df, group, value, both)
+    n = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    part = lambda p: at(p) - F.floor(at(p))
+    between = lambda name, p: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part(p)
+    return got.join(n, group).select(group, *[F.round(between(name, p), 6).alias(name) for name, p in shares.items()])
+
+
+def latency_by_index(df: DataFrame, group: str, value: str, bins: int = 4096) -> DataFrame:
+    """Percentiles as the sorted list's element at int(p n); a null counts as 0 in the mean alone."""
+    places = {"median": F.expr("_n div 2"), "p95": F.floor(F.col("_n") * F.lit(0.95)), "p99": F.floor(F.col("_n") * F.lit(0.99))}
+    tail = values_at(df, group, value, places, bins)
     head = df.groupBy(group).agg(F.round(F.avg(F.coalesce(value, F.lit(0.0))), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("stdev"), F.min(value).alias("low"), F.max(value).alias("high"))
     return head.join(tail, group, "left")
 
 
 def latency_linear(df: DataFrame, group: str, value: str) -> DataFrame:
     """Interpolated percentiles."""
-    return df.groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"), *[F.round(F.percentile(value, F.lit(p)), 6).alias(n) for n, p in (("p5", 0.05), ("median", 0.5), ("p95", 0.95))])
+    head = df.groupBy(group).agg(F.round(F.avg(value), 6).alias("mean"))
+    return head.join(percentiles(df, group, value, {"p5": 0.05, "median": 0.5, "p95": 0.95}), group, "left")
 
 
 def sweep(runs: DataFrame) -> DataFrame:
