@@ -14,7 +14,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import evaluation as ev
 from ..functions import fulltext
-from ..operators import answers, experiments, facets, ivf, mention_vectors, ner, retrieval, storage, tables
+from ..operators import answers, benchmark, experiments, facets, ivf, mention_vectors, ner, retrieval, storage, tables
 from ..operators import filters as flt
 from ..operators.chunking import chunk_documents
 from ..operators.ivf import suggested_lists
@@ -224,6 +224,34 @@ def batch_topk_filtered(t: Tables) -> DataFrame:
     return retrieval.batch_filtered(t.chunks, t.docs, _batch(t), f, 10)
 
 
+def _compared(names: dict[str, str], base: str) -> str:
+    """Lists of registered batch queries, compared with the base's by sets and by ranks."""
+    lists = " UNION ALL ".join(f"SELECT '{strategy}' AS strategy, query_id, chunk_id, rank FROM ({_FOUND[q][1]})" for strategy, q in names.items())
+    return f"""lists AS ({lists}),
+      b AS (SELECT * FROM lists WHERE strategy = '{base}'), o AS (SELECT * FROM lists WHERE strategy <> '{base}'),
+      shared AS (SELECT o.strategy, query_id, count(*) AS n, CAST(sum((o.rank - b.rank) ** 2) AS DOUBLE) AS d FROM o JOIN b USING (query_id, chunk_id) GROUP BY ALL),
+      sizes AS (SELECT strategy, query_id, count(*) AS n_o FROM o GROUP BY ALL), base AS (SELECT query_id, count(*) AS n_b FROM b GROUP BY ALL),
+      q AS (SELECT s.strategy, round(coalesce(n, 0) / CAST(n_o + n_b - coalesce(n, 0) AS DOUBLE), 6) AS jaccard, round(CASE WHEN n >= 2 THEN 1 - 6 * d / (CAST(n AS DOUBLE) * (CAST(n AS DOUBLE) * n - 1)) ELSE 0 END, 6) AS correlation
+        FROM sizes s JOIN base USING (query_id) LEFT JOIN shared t ON t.strategy = s.strategy AND t.query_id = s.query_id)
+      SELECT strategy, round(avg(jaccard), 6) AS avg_overlap, min(jaccard) AS min_overlap, max(jaccard) AS max_overlap, round(avg(correlation), 6) AS avg_rank_correlation FROM q GROUP BY strategy"""
+
+
+@query("WITH " + _compared({"ivfflat_only": "batch_topk", "ivfflat_ner_boost": "batch_ner_boost", "ivfflat_tsvector": "batch_hybrid_rrf", "ivfflat_ner_tsvector": "batch_full_hybrid"}, "ivfflat_only"))
+def strategy_comparisons(t: Tables) -> DataFrame:
+    """All four strategies over all the questions, stored, and compared with the first."""
+    place = own_folder(t.spark, "strategies")
+    for name in retrieval.STRATEGIES:
+        benchmark.strategy_list(name, t.chunks, t.mentions, _batch(t), 10, t.word_index).drop("strategy").write.parquet(f"{place}/lists/strategy={name}")
+    return benchmark.comparisons(benchmark.stored_lists(t.spark, place))
+
+
+@query()
+def strategy_benchmark(t: Tables) -> DataFrame:
+    """A whole run over fifty sampled questions: times, numbers of results and comparisons by strategy."""
+    questions = benchmark.sampled_questions(retrieval.of_model(t.chunks, MODEL), 50)
+    return benchmark.table(benchmark.run(t.chunks, t.mentions, questions, own_folder(t.spark, "benchmark"), 10, MODEL, t.word_index))
+
+
 @query("WITH s AS (SELECT a.chunk_id AS query_id, b.chunk_id, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM chunks a JOIN chunks b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s QUALIFY rank <= 5")
 def knn_self(t: Tables) -> DataFrame:
     return retrieval.self_neighbours(t.chunks, 5, every=20)
