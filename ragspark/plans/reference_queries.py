@@ -233,7 +233,7 @@ def _compared(names: dict[str, str], base: str) -> str:
       sizes AS (SELECT strategy, query_id, count(*) AS n_o FROM o GROUP BY ALL), base AS (SELECT query_id, count(*) AS n_b FROM b GROUP BY ALL),
       q AS (SELECT s.strategy, round(coalesce(n, 0) / CAST(n_o + n_b - coalesce(n, 0) AS DOUBLE), 6) AS jaccard, round(CASE WHEN n >= 2 THEN 1 - 6 * d / (CAST(n AS DOUBLE) * (CAST(n AS DOUBLE) * n - 1)) ELSE 0 END, 6) AS correlation
         FROM sizes s JOIN base USING (query_id) LEFT JOIN shared t ON t.strategy = s.strategy AND t.query_id = s.query_id)
-      SELECT strategy, round(avg(jaccard), 6) AS avg_overlap, min(jaccard) AS min_overlap, max(jaccard) AS max_overlap, round(avg(correlation), 6) AS avg_rank_correlation FROM q GROUP BY strategy"""
+      SELECT strategy, CAST(sum(CAST(round(jaccard * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000.0::DOUBLE AS avg_overlap, min(jaccard) AS min_overlap, max(jaccard) AS max_overlap, CAST(sum(CAST(round(correlation * 1000000) AS BIGINT)) AS DOUBLE) / count(*) / 1000000.0::DOUBLE AS avg_rank_correlation FROM q GROUP BY strategy"""
 
 
 @query("WITH " + _compared({"ivfflat_only": "batch_topk", "ivfflat_ner_boost": "batch_ner_boost", "ivfflat_tsvector": "batch_hybrid_rrf", "ivfflat_ner_tsvector": "batch_full_hybrid"}, "ivfflat_only"))
