@@ -81,6 +81,18 @@ def test_mixing_sql(spark, docs, sf_dir, scratch):
     assert ours == set(c.execute(mixing.MIX_SQL).fetchall())
 
 
+@pytest.mark.parametrize("most", [3, 40])
+def test_large_groups_are_split(spark, docs, scratch, most):
+    """Thousands of empty texts of one source: parts by count, the same rows as SQL with that bound, and each crossing once."""
+    d = docs([(i, "" if i % 3 else "a b c", "en", None if i % 2 else "s") for i in range(3000)]).select("doc_id", "text", "source")
+    got = mixing.mix_sources(d.withColumn("size", mixing.word_count("text")), scratch.save, most=most)
+    documents = d.toPandas()  # noqa: F841 - the SQL's table
+    want = duckdb.sql(mixing.MIX_SQL.replace("/ 100000.0", f"/ {most}.0")).fetchall()
+    assert {(r.doc_id, r.size, r.source_size, r.target, r.copies, r.taken) for r in got.collect()} == set(want)
+    parts = spark.read.parquet(scratch.path("placed"))
+    assert parts.count() > 32 * 4 and parts.agg({"_p": "max"}).first()[0] > 0
+
+
 def test_mixing_clashing_names(docs, scratch):
     d = docs([(1, "a b", "en", "s"), (2, "c", "en", "t")]).drop("size").withColumn("size", mixing.word_count("text")).selectExpr("*", "'x' as target", "9 as source_size", "'y' as _s", "1 as taken")
     got = {r.doc_id: (r.source_size, r.target) for r in mixing.mix_sources(d, scratch.save).collect()}
