@@ -6,6 +6,8 @@ import math
 import random
 import re
 import zlib
+from dataclasses import replace
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragspark.llm import ann, jaccard, neardup, packing
-from ragspark.llm.common import shingles, slices, words_of
+from ragspark.llm.common import Scratch, shingles, slices, words_of
 from ragspark.llm.components import components
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -109,6 +111,51 @@ def test_ann_reads_little_of_clusters(spark, scratch):
     assert rows_read / 120 < 0.2 * 6000
 
 
+def clusters(n, seed=5):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((n // 60, 16))
+    return (centres[rng.integers(0, len(centres), n)] + 0.1 * rng.standard_normal((n, 16))).astype(np.float32)
+
+
+#: A sample so small that its trees end early: leaves go on as trees of their own, one and two levels down.
+DEEP = [ann.Settings(leaf=16, sample=128, most=32, block=200, queries=9), ann.Settings(trees=2, leaf=8, sample=64, most=24, block=64, queries=500)]
+
+
+@pytest.mark.parametrize("settings", DEEP)
+def test_ann_trees_within_leaves(spark, settings):
+    """Leaves stay small though the table grows fourfold, recall holds, and a query reads hardly more rows."""
+    read = []
+    for n in (1500, 6000):
+        x, scratch = clusters(n), Scratch(spark, "deep")
+        got = ann.search(spark, vectors(spark, [(i, x[i].tolist(), 0) for i in range(n)] + ODD), scratch, every=50, settings=settings).toPandas()
+        u, hits = unit(x.astype(float)), 0
+        for q in range(0, n, 50):
+            score = u @ u[q]
+            score[q] = -2
+            mine = got[got.query_id == q].sort_values("rank")
+            assert mine["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(mine.score, score[mine.vec_id], atol=1e-12)
+            hits += len(set(mine.vec_id) & set(np.argsort(-score, kind="stable")[:5].tolist()))
+        assert hits / (n // 50 * 5) >= 0.9
+        last = max(int(f.name.split("-")[1]) for f in Path(scratch.root.removeprefix("file:")).glob("counts-*"))
+        counts = spark.read.parquet(scratch.path(f"counts-{last}"))
+        assert last and counts.agg(F.max("rows")).first()[0] <= settings.most
+        leaves = spark.read.parquet(scratch.path("routed")).select("id", "tree", F.explode("leaves").alias("leaf"))
+        read.append(leaves.join(counts, ["tree", "leaf"]).agg(F.sum("rows")).first()[0] / (n // 50))
+    assert read[1] < 2 * read[0]
+
+
+def test_ann_trees_within_leaves_exact(spark, scratch):
+    """A budget of all rows enters every leaf of every tree, however deep."""
+    x = clusters(900)
+    x[40:340] = x[7]  # a third of all rows are one vector
+    got = ann.search(spark, vectors(spark, [(i, x[i].tolist(), 0) for i in range(900)]), scratch, every=50, settings=replace(DEEP[0], rows=4 * 900)).toPandas()
+    u = unit(x.astype(float))
+    for q in range(0, 900, 50):
+        score = u @ u[q]
+        want = sorted((i for i in range(900) if i != q), key=lambda i: (-round(score[i], 12), i))[:5]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want
+
+
 def test_ann_recall_on_the_table(spark, scratch, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     d = v.toPandas()
