@@ -44,8 +44,9 @@ MODEL_LABELS = {
     "MEDICATION": "drug",
     "PHARMACEUTICAL": "drug",
 }
-STATISTICS = re.compile("|".join(STATISTICS_PATTERNS), re.IGNORECASE)
-DEVICES = re.compile("|".join(DEVICE_PATTERNS), re.IGNORECASE)
+# All begin at a word's edge with one of a few signs: most places of a text are left after one look.
+STATISTICS = re.compile(rf"\b(?=[psc\d])(?:{'|'.join(STATISTICS_PATTERNS)})", re.IGNORECASE)
+DEVICES = re.compile(rf"\b(?=[cdhimpsuvwx])(?:{'|'.join(DEVICE_PATTERNS)})", re.IGNORECASE)
 CONFIDENCE = {"statistical_significance": 0.9, "device": 0.85, "model": 0.8}
 SECTION = re.compile(r"\A\[[^\]\n]*\]\n")
 CUT = re.compile(r"(?<=[.?!])\s+(?=[A-Z0-9(])")
@@ -84,12 +85,11 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def _in_word(text: str, i: int) -> bool:
-    return 0 <= i < len(text) and (text[i].isalnum() or text[i] == "_")
+WORD = re.compile(r"\w+")
 
 
 class Vocabulary:
-    """The offline stand-in for a model: terms with their labels (a model's, or ours), found by one automaton in one pass.
+    """The offline stand-in for a model: terms with their labels (a model's, or ours): words looked up, others found by one automaton in one pass.
 
     A term is found where a word begins or ends at both of its ends, whatever its case. Of terms that
     overlap the one that begins first is taken, of those the longest; then what begins after it.
@@ -103,21 +103,28 @@ class Vocabulary:
         self.labels = {lowered(t): MODEL_LABELS.get(v, v) for t, v in terms.items() if t.strip()}
         if len(self.labels) > MOST_TERMS or sum(map(len, self.labels)) > MOST_CHARACTERS:
             raise ValueError(f"a vocabulary has at most {MOST_TERMS} terms of {MOST_CHARACTERS} characters; extract by parts of it")
-        self.automaton = ahocorasick.Automaton()
-        for t in self.labels:
+        # At word edges a term of word signs alone is a whole word: those are looked up, so that the automaton does not stop at each "a" in a word.
+        phrases = [t for t in self.labels if not WORD.fullmatch(t)]
+        self.automaton = ahocorasick.Automaton() if phrases else None
+        for t in phrases:
             self.automaton.add_word(t, len(t))
-        if self.labels:
+        if phrases:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, label) in order."""
         if not self.labels:
             return []
-        low, edge = lowered(text), lambda i: _in_word(text, i - 1) != _in_word(text, i)
+        low, edge = lowered(text), bytearray(len(text) + 1)
         found: dict[int, int] = {}
-        for last, size in self.automaton.iter(low):
+        for m in WORD.finditer(text):
+            start, end = m.span()
+            edge[start] = edge[end] = 1
+            if low[start:end] in self.labels:
+                found[start] = end
+        for last, size in self.automaton.iter(low) if self.automaton else ():
             start, end = last + 1 - size, last + 1
-            if end > found.get(start, 0) and edge(end) and edge(start):
+            if edge[end] and edge[start] and end > found.get(start, 0):
                 found[start] = end
         out, at = [], 0
         for start in sorted(found):
@@ -127,30 +134,49 @@ class Vocabulary:
         return out
 
 
+#: Mentions, and characters of their contexts, that a task holds before it hands them on.
+HELD_MENTIONS, HELD_CHARACTERS = 10_000, 2_000_000
+
+
 def entities(text: str | None, vocabulary: Vocabulary | dict[str, str] | None = None, extractor: EntityExtractor | None = None) -> list[tuple[str, str, int, int, str, float]]:
     """A.4, H3: (text, label, start, end, context, confidence): extractor, vocabulary, then statistics, then devices; offsets are in `text`."""
+    return list(each_entity(text, vocabulary, extractor))
+
+
+def each_entity(text: str | None, vocabulary: Vocabulary | dict[str, str] | None = None, extractor: EntityExtractor | None = None, contexts: bool = True) -> Iterator[tuple[str, str, int, int, str | None, float]]:
+    """entities() one by one, so that contexts (of a text without stops: all of it, each time) are not held together; null ones without `contexts`."""
     body, gone = strip_prefix(text or "")
-    sentences = Sentences(body)
+    sentences = Sentences(body) if contexts else None
     found = [(shown, MODEL_LABELS.get(kind, kind), a, b, CONFIDENCE["model"]) for shown, kind, a, b in (extractor.extract(body) if extractor else [])]
     if vocabulary:
         known = Vocabulary(vocabulary) if isinstance(vocabulary, dict) else vocabulary
         found += [(body[a:b].strip(), label, a, b, CONFIDENCE["model"]) for a, b, label in known.find(body)]
     for pattern, label in ((STATISTICS, "statistical_significance"), (DEVICES, "device")):
         found += [(m[0].strip(), label, m.start(), m.end(), CONFIDENCE[label]) for m in pattern.finditer(body)]
-    return [(shown, label, a + gone, b + gone, sentences.context(a, b), sure) for shown, label, a, b, sure in found]
+    for shown, label, a, b, sure in found:
+        yield shown, label, a + gone, b + gone, sentences.context(a, b) if sentences else None, sure
+
 
+def extract_mentions(chunks: DataFrame, vocabulary: Vocabulary | dict[str, str] | None = None, extractor: EntityExtractor | None = None, contexts: bool = True) -> DataFrame:
+    """doc_id, section_name, chunk_index and each mention's columns; each chunk by itself. The vocabulary is checked (Vocabulary) and broadcast.
 
-def extract_mentions(chunks: DataFrame, vocabulary: Vocabulary | dict[str, str] | None = None, extractor: EntityExtractor | None = None) -> DataFrame:
-    """doc_id, section_name, chunk_index and each mention's columns; each chunk by itself. The vocabulary is checked (Vocabulary) and broadcast."""
+    Mentions go on as they are found: a task holds HELD_MENTIONS of them and HELD_CHARACTERS of their
+    contexts, and one context more. Whoever does not need contexts has null ones without `contexts`.
+    """
     known = Vocabulary(vocabulary) if isinstance(vocabulary, dict) else vocabulary
     shared = chunks.sparkSession.sparkContext.broadcast(known)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "section_name", "chunk_index", "ordinal", "mention_text", "label", "start_char", "end_char", "context", "label_confidence"]
         for b in batches:
-            rows = []
+            rows, characters = [], 0
             for doc, section, index, text in zip(b.doc_id, b.section_name, b.chunk_index, b.text, strict=True):
-                rows += [(doc, section, index, i, *e) for i, e in enumerate(entities(text, shared.value, extractor))]
+                for i, e in enumerate(each_entity(text, shared.value, extractor, contexts)):
+                    rows.append((doc, section, index, i, *e))
+                    characters += len(e[4] or "")
+                    if len(rows) >= HELD_MENTIONS or characters >= HELD_CHARACTERS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, characters = [], 0
             yield pd.DataFrame(rows, columns=names)
 
     schema = "doc_id long, section_name string, chunk_index int, ordinal int, mention_text string, label string, start_char int, end_char int, context string, label_confidence double"

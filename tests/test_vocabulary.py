@@ -57,3 +57,31 @@ def test_contexts():
     began = time.perf_counter()
     assert len(ner.entities(long + " CT" * 20_000)) == 20_001
     assert time.perf_counter() - began < 10
+
+
+def test_contexts_are_handed_on_in_parts(spark, monkeypatch):
+    """A text without stops is the context of each of its mentions: all of them together would be its square."""
+    taken = {}
+    df = spark.createDataFrame([(1, "s", 0, "x")], "doc_id long, section_name string, chunk_index int, text string")
+    monkeypatch.setattr(type(df), "mapInPandas", lambda df, each, schema: taken.update(each=each))
+    ner.extract_mentions(df)
+    batch = ner.pd.DataFrame({"doc_id": [1], "section_name": ["s"], "chunk_index": [0], "text": ["CT " * 20_000]})
+    rows = [len(frame) for frame in taken["each"](iter([batch]))]
+    assert sum(rows) == 20_000 and max(rows) <= ner.HELD_CHARACTERS // 59_999 + 1
+
+
+def test_without_contexts_the_rest_is_the_same(spark):
+    df = spark.createDataFrame([(1, "s", 0, "A CT scan. License!"), (2, None, 1, None)], "doc_id long, section_name string, chunk_index int, text string")
+    whole, less = (ner.extract_mentions(df, {"license": "DRUG"}, contexts=c) for c in (True, False))
+    assert sorted(whole.drop("context").collect()) == sorted(less.drop("context").collect()) and whole.count() == 2
+    assert {r.context for r in less.collect()} == {None} and None not in {r.context for r in whole.collect()}
+
+
+def test_patterns_with_a_look_ahead_find_the_same():
+    rng = random.Random(3)
+    parts = ["p", "P-value", " ", "<", "=", "0.05", ".01", "95%", "CI", "ci:", "[1.2, 3]", "Significant", "\u017fignificant", "difference", "statistically", "x-RAY", "MRI", "stents", "medical", "device", "insulin  pump", "hearing aid", "wheelchair", "a", "_"]
+    for _ in range(3_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        for ahead, patterns in ((ner.STATISTICS, ner.STATISTICS_PATTERNS), (ner.DEVICES, ner.DEVICE_PATTERNS)):
+            plain = re.compile("|".join(patterns), re.IGNORECASE)
+            assert [m.span() for m in ahead.finditer(text)] == [m.span() for m in plain.finditer(text)], text
