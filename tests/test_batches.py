@@ -82,3 +82,23 @@ def test_ablation_against_plain(spark, vectors):
 def test_ablation_query_is_whole(spark, sf_dir):
     rows = reference_queries.queries()["ablation_overlap"](spark, sf_dir).collect()
     assert [r.keep for r in rows] == [0.8, 0.6, 0.4, 0.2] and all(r.std > 0 for r in rows)
+
+
+def test_probes_are_handed_on_in_parts(spark, tmp_path, monkeypatch):
+    """A batch of queries times its lists was one batch of their vectors."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ragspark.operators import ivf
+
+    rng, taken = np.random.default_rng(1), {}
+    index = ivf.IvfIndex(spark, str(tmp_path), rng.normal(size=(400, 4)))
+    df = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "query_id long, vector array<double>")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda df, each, schema: taken.update(each=each))
+    index.probes(df, 300)
+    x = rng.normal(size=(1000, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(x.tolist())], names=["query_id", "vector"])
+    parts = list(taken["each"](iter([batch])))
+    assert max(p.num_rows for p in parts) <= ivf.PROBE_ROWS
+    got = [(q, i) for p in parts for q, i in zip(p.column("query_id").to_pylist(), p.column("list_id").to_pylist(), strict=True)]
+    assert got == [(q, int(i)) for q, row in enumerate(ivf.nearest_lists(ivf.unit_rows(x)[0], index.centroids, 300)) for i in row]
