@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import own_folder
+
 
 def overlap(a: DataFrame, b: DataFrame, key: str = "query_id", item: str = "chunk_id") -> DataFrame:
     """query_id, n_a, n_b, n_both: sizes of the two lists' sets and of what they share."""
@@ -189,29 +193,42 @@ def pca_energy(vectors: DataFrame, column: str = "embedding") -> dict:
     return {"explained": e.tolist(), "cumulative": c.tolist(), "components": {p: int(np.searchsorted(c, p - 1e-12) + 1) for p in (0.8, 0.9, 0.95)}, "level": level_band(float(e[0]))}
 
 
+def kept_dimensions(keep: float, seed: int, dim: int = 64) -> list[int]:
+    """A random part of the dimensions."""
+    return sorted(np.random.default_rng(seed).choice(dim, max(1, round(keep * dim)), replace=False).tolist())
+
+
 def masked(vectors: DataFrame, keep: float, seed: int, column: str = "embedding", dim: int = 64) -> DataFrame:
     """A random part of the dimensions, normalised again."""
     from ..functions.vectors import normalize
 
-    take = sorted(np.random.default_rng(seed).choice(dim, max(1, round(keep * dim)), replace=False).tolist())
-    return vectors.withColumn(column, normalize(F.array(*[F.col(column)[i] for i in take])))
+    return vectors.withColumn(column, normalize(F.array(*[F.col(column)[i] for i in kept_dimensions(keep, seed, dim)])))
 
 
-def ablation(vectors: DataFrame, keep: float, trials: int = 6, k: int = 10, dim: int = 64, every: int = 20, whole: DataFrame | None = None) -> dict:
-    """How much of the k nearest stays when dimensions go.
+def ablations(vectors: DataFrame, keeps: Sequence[float], trials: int = 6, k: int = 10, dim: int = 64, every: int = 20) -> list[dict]:
+    """For each share of dimensions how much of the k nearest stays when the others go.
 
-    The vectors whose id divides by `every` are asked for, among all vectors; `whole` is their
-    neighbours by all dimensions if the caller has them.
+    The vectors whose id divides by `every` are asked for, among all vectors. All dimensions and each
+    trial's are searched in one pass; what that finds is stored, and only counts come to the driver.
     """
     from .retrieval import self_neighbours
 
-    whole = self_neighbours(vectors, k, every=every) if whole is None else whole
-    shares = []
-    for t in range(trials):
-        part = self_neighbours(masked(vectors, keep, t, dim=dim), k, every=every).select("query_id", "chunk_id", F.lit(1).alias("kept"))
-        n = whole.join(part, ["query_id", "chunk_id"], "left").agg(F.count(F.lit(1)).alias("whole"), F.count("kept").alias("kept")).first()
-        shares.append(n.kept / max(1, n.whole))
-    return {"keep": keep, "mean": float(np.mean(shares)), "std": float(np.std(shares))}
+    parts = [list(range(dim)), *(kept_dimensions(keep, t, dim) for keep in keeps for t in range(trials))]
+    place = f"{own_folder(vectors.sparkSession, 'ablation')}/found"
+    v = vectors.filter(F.size("embedding") == dim)
+    self_neighbours(v, k, every=every, parts=parts).select("part", "query_id", "chunk_id").write.parquet(place)
+    found = vectors.sparkSession.read.schema("part int, query_id long, chunk_id long").parquet(place)
+    whole = found.filter("part = 0").drop("part")
+    kept = {r.part: r.n for r in found.filter("part > 0").join(whole, ["query_id", "chunk_id"], "left_semi").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = max(1, whole.count())
+    shares = [kept.get(i, 0) / n for i in range(1, len(parts))]
+    by_keep = [shares[i * trials : (i + 1) * trials] for i in range(len(keeps))]
+    return [{"keep": keep, "mean": float(np.mean(s)), "std": float(np.std(s))} for keep, s in zip(keeps, by_keep, strict=True)]
+
+
+def ablation(vectors: DataFrame, keep: float, trials: int = 6, k: int = 10, dim: int = 64, every: int = 20) -> dict:
+    """ablations() of one share."""
+    return ablations(vectors, [keep], trials, k, dim, every)[0]
 
 
 def compare_runs(runs: dict[str, DataFrame], base: str, key: str = "query_id", item: str = "chunk_id", rank: str = "rank") -> DataFrame:

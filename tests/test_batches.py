@@ -102,3 +102,39 @@ def test_probes_are_handed_on_in_parts(spark, tmp_path, monkeypatch):
     assert max(p.num_rows for p in parts) <= ivf.PROBE_ROWS
     got = [(q, i) for p in parts for q, i in zip(p.column("query_id").to_pylist(), p.column("list_id").to_pylist(), strict=True)]
     assert got == [(q, int(i)) for q, row in enumerate(ivf.nearest_lists(ivf.unit_rows(x)[0], index.centroids, 300)) for i in row]
+
+
+def test_best_of_against_sorted(monkeypatch):
+    """Single precision only rules out: near ties, copies, rows without a direction and small batches give the sorted lists."""
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 8)
+    monkeypatch.setattr(retrieval, "CHUNK_ROWS", 50)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(300, 16)), np.zeros((5, 16)), np.full((3, 16), np.nan)])
+    near = x[:40].copy()
+    near[:, 0] += rng.normal(size=40) * 1e-6
+    x = np.concatenate([x, x[:30], near])[rng.permutation(378)]
+    ids = rng.permutation(len(x)) + 7
+    m, good = retrieval.unit_rows(x)
+    for k in (1, 11, 500):
+        best = retrieval.BestOf(ids[good][:20], m[:20], k)
+        for s in range(0, len(x), 71):
+            best.feed(ids[s : s + 71], x[s : s + 71])
+        got = sorted(zip(*(c.to_pylist() for c in best.found().columns), strict=True))
+        want = [(int(ids[good[q]]), int(ids[good[c]]), float(x_q[c])) for q in range(20) for x_q in [np.round(m @ m[q], 6)] for c in np.lexsort((ids[good], -x_q))[:k]]
+        assert [g[:2] for g in got] == sorted(w[:2] for w in want) and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=1.1e-6)
+
+
+def test_ablations_are_one_pass(spark, vectors, monkeypatch):
+    """Each trial searched all vectors again."""
+    searched = []
+    plain = retrieval.batch_nearest
+    monkeypatch.setattr(retrieval, "batch_nearest", lambda *a, **k: searched.append(1) or plain(*a, **k))
+    got = evaluation.ablations(vectors, (0.6, 0.3), 3)
+    assert len(searched) == 1 and got == [evaluation.ablation(vectors, keep, 3) for keep in (0.6, 0.3)]
+
+
+def test_parts_by_the_grid(spark, vectors):
+    q = vectors.selectExpr("chunk_id as query_id", "embedding as vector")
+    parts = [list(range(64)), [3, 5, 8, 13, 21]]
+    got = retrieval.best_by_query(retrieval.grid_nearest(vectors, q, 4, query_rows=20, chunk_rows=13, parts=parts), 4, "part")
+    assert same(got, retrieval.batch_nearest(vectors, q, 4, parts=parts)) and got.count() > 90 * 4
