@@ -24,19 +24,31 @@ def sampled_questions(chunks: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return some.select(F.col("chunk_id").alias("query_id"), tx.synthesized_query(F.col("text")).alias("words"), F.col("embedding").alias("vector"))
 
 
-def strategy_list(name: str, chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k: int, index: TextIndex | None = None) -> DataFrame:
-    """strategy, query_id, rank, chunk_id: what a strategy finds for all questions (query_id, words, vector), in one plan."""
+def strategy_list(name: str, chunks: DataFrame, mentions: DataFrame, queries: DataFrame, k: int, index: TextIndex | None = None, near: DataFrame | None = None, matching: DataFrame | None = None) -> DataFrame:
+    """strategy, query_id, rank, chunk_id: what a strategy finds for all questions (query_id, words, vector), in one plan.
+
+    `near` and `matching` are the questions' 3 k nearest chunks and best matches, if the caller has them.
+    """
     if name == STRATEGIES[0]:
-        found = retrieval.batch_nearest(chunks, queries, k)
+        found = retrieval.batch_nearest(chunks, queries, k) if near is None else near.filter(F.col("rank") <= k)
     elif name == STRATEGIES[1]:
-        found = retrieval.batch_boost(chunks, mentions, queries, k)
+        found = retrieval.batch_boost(chunks, mentions, queries, k, near=near)
     elif name in STRATEGIES:
-        found = retrieval.batch_hybrid(chunks, mentions, queries, k, fusion="rrf" if name == STRATEGIES[2] else "weighted", index=index)
+        found = retrieval.batch_hybrid(chunks, mentions, queries, k, fusion="rrf" if name == STRATEGIES[2] else "weighted", index=index, near=near, matching=matching)
     else:
         raise ValueError(f"no strategy is called {name}")
     return found.select(F.lit(name).alias("strategy"), "query_id", "rank", "chunk_id")
 
 
+def strategy_lists(chunks: DataFrame, mentions: DataFrame, queries: DataFrame, path: str, k: int, index: TextIndex | None = None) -> dict[str, DataFrame]:
+    """strategy_list() of all strategies, which share one search by vector and one by text: those are stored at path/near and path/matching."""
+    shared = {"near": retrieval.batch_nearest(chunks, queries, 3 * k), "matching": retrieval.batch_matches(chunks, queries, 3 * k, index=index)}
+    for name, df in shared.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        shared[name] = chunks.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+    return {name: strategy_list(name, chunks, mentions, queries, k, index, **shared) for name in STRATEGIES}
+
+
 def comparisons(lists: DataFrame, base: str = STRATEGIES[0]) -> DataFrame:
     """strategy, avg_overlap, min_overlap, max_overlap, avg_rank_correlation of each strategy's lists with the base's, over the questions."""
     runs = {n: lists.filter(F.col("strategy") == n).drop("strategy") for n in STRATEGIES}

@@ -48,3 +48,15 @@ def test_comparisons_against_sets(spark, ran):
 def test_unknown_strategy(ran):
     with pytest.raises(ValueError, match="no strategy"):
         benchmark.strategy_list("x", None, None, None, 1)
+
+
+def test_strategies_share_their_searches(spark, sf_dir, tmp_path, monkeypatch):
+    """All the questions were searched by vector four times, and by text twice."""
+    t, searched = Tables(spark, sf_dir), []
+    q = benchmark.sampled_questions(t.chunks, 6)
+    apart = {n: benchmark.strategy_list(n, t.chunks, t.mentions, q, 5, t.word_index).collect() for n in retrieval.STRATEGIES}
+    for name in ("batch_nearest", "batch_matches"):
+        plain = getattr(retrieval, name)
+        monkeypatch.setattr(retrieval, name, lambda *a, _f=plain, _n=name, **k: searched.append(_n) or _f(*a, **k))
+    got = benchmark.strategy_lists(t.chunks, t.mentions, q, str(tmp_path), 5, t.word_index)
+    assert {n: sorted(x.collect()) for n, x in got.items()} == {n: sorted(x) for n, x in apart.items()} and searched == ["batch_nearest", "batch_matches"]
