@@ -223,3 +223,19 @@ def test_averages(spark):
     d = spark.createDataFrame([(0.5,), (1.0,), (0.0,)], "p double")
     r = evaluation.averages(d, "p").first()
     assert (r.avg_p, r.min_p, r.max_p) == (0.5, 0.0, 1.0)
+
+
+def test_centroids_are_fitted_without_a_task_a_list(spark, tmp_path):
+    """The distances of all pairs of centroids went to the driver at each step, in a task a centroid."""
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(900, 64))
+    c = spark.createDataFrame([(i, i, "m", [float(v) for v in r]) for i, r in enumerate(x)], "chunk_id long, doc_id long, embedding_model string, embedding array<double>")
+    spark.sparkContext.setJobGroup("fitting", "")
+    index = IvfIndex.build(c, str(tmp_path / "ivf"), 200)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("fitting") for s in tracker.getJobInfo(j).stageIds]
+    # The index's list of centroids, a local table, has a task a row at most; what is fitted has a task a file.
+    assert stages and max(s.numTasks for s in stages if s and s.name.startswith("collect at")) < 20
+    assert index.rows().count() == 900 and len(index.centroids) <= 200
