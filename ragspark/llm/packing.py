@@ -25,6 +25,8 @@ CACHE = 160 << 20
 JOINED = 2000
 #: Bytes of text encoded at once.
 ENCODED = 8 << 20
+#: A term that so many documents, or fewer, have one of is a row of weights in an index.
+DENSE = 8
 #: Bytes of the table that a partition of the shuffle is to hold, and the most partitions.
 ROUTED, MOST = 32 << 20, 100_000
 
@@ -132,6 +134,11 @@ class Encoder:
 
     def words(self, words: list[str], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each of the distinct words has, and all of them."""
+        at = self.places(words, hashes)
+        return self.recent.ids(at)
+
+    def places(self, words: list[str], hashes: np.ndarray) -> np.ndarray:
+        """Where `recent` has each of the distinct words, tokenized if they are new."""
         if self.recent.bytes > self.most // 2:
             self.older, self.recent = self.recent, Known(self.kind)
         _, there = self.recent.find(hashes)
@@ -142,17 +149,17 @@ class Encoder:
         new = missing[~there]
         if len(new):
             self.recent.add(hashes[new], *self.tokenized([words[i] for i in new]))
-        return self.recent.ids(self.recent.find(hashes)[0])
+        return self.recent.find(hashes)[0]
 
 
 def encode(texts: pa.Array, encoder: Encoder) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of each text its ids (16 bits, or 32 if the vocabulary is larger), and its words' hashes, each as often as the word, as index terms."""
     special = pc.fill_null(pc.match_substring(texts, "<|"), False).to_pylist()
     words, codes, ends = words_of(texts)
-    listed = words.to_pylist()
+    listed = words.to_numpy(zero_copy_only=False).tolist()
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, listed), np.uint64, len(listed))
-    sizes, flat = encoder.words(listed, hashes)
-    begin = np.cumsum(sizes) - sizes
+    at = encoder.places(listed, hashes)
+    sizes, begin, flat = encoder.recent.size[at].astype(np.int64), encoder.recent.begin[at], encoder.recent.flat
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     counts = sizes[codes]
     upto = np.append(0, np.cumsum(counts))
@@ -188,22 +195,49 @@ class Index:
         idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
         mean = max(1.0, float(lengths.mean())) if n else 1.0
         norm = settings.k1 * (1 - settings.b + settings.b * lengths / mean)
-        self.weight = idf[place] * tf * (settings.k1 + 1) / (tf + norm[self.docs])
-        self.count, self.most = n, settings.terms
+        weight = idf[place] * tf * (settings.k1 + 1) / (tf + norm[self.docs])
+        # What a DENSE-th of the documents have is a row of their weights, other terms are lists: both together are a few times the postings.
+        often = self.df * DENSE >= max(n, 1)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense, listed = np.zeros((int(often.sum()), n)), ~often[place]
+        self.dense[self.row[place[~listed]], self.docs[~listed]] = weight[~listed]
+        self.alive, self.most = np.arange(n), settings.terms
+        self.end = self.begin + self.df
+        self._keep(listed)
+        self.weight = weight[listed]
+
+    def _keep(self, live: np.ndarray) -> None:
+        """Lists of these postings alone."""
+        upto = np.append(0, np.cumsum(live))
+        self.docs, self.begin, self.end = self.docs[live].astype(np.int64), upto[self.begin], upto[self.end]
+
+    def shrink(self, unused: np.ndarray) -> None:
+        """Used documents go from rows and lists: no seed gets them any more."""
+        keep = unused[self.alive]
+        live = keep[self.docs]
+        self._keep(live)
+        self.docs, self.weight = (np.cumsum(keep) - 1)[self.docs], self.weight[live]
+        self.alive, self.dense = self.alive[keep], self.dense[:, keep]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """The unused documents that share a queried term with the seed, best first (ties: as they came)."""
+        if 8 * np.count_nonzero(unused) < 7 * len(self.alive):
+            self.shrink(unused)
         t = self.terms[seed]
         t = t[self.df[t] > 1]
         if self.most is not None and len(t) > self.most:
             t = t[np.argsort(self.df[t], kind="stable")[: self.most]]
         if not len(t):
             return np.zeros(0, np.int64)
-        spans = [slice(b, b + d) for b, d in zip(self.begin[t].tolist(), self.df[t].tolist(), strict=True)]
-        docs = np.concatenate([self.docs[s] for s in spans])
-        scores = np.bincount(docs, np.concatenate([self.weight[s] for s in spans]), self.count)
-        found = np.flatnonzero(unused & (scores > 0))
-        return found[np.argsort(-scores[found], kind="stable")]
+        rows = self.row[t]
+        scores = self.dense[rows[rows >= 0]].sum(0)
+        begin, sizes = self.begin[t], self.end[t] - self.begin[t]
+        upto = np.cumsum(sizes)
+        if upto[-1]:
+            at = np.arange(upto[-1]) + np.repeat(begin - (upto - sizes), sizes)
+            scores += np.bincount(self.docs[at], self.weight[at], len(self.alive))
+        found = np.flatnonzero(unused[self.alive] & (scores > 0))
+        return self.alive[found[np.argsort(-scores[found], kind="stable")]]
 
 
 def pack(ids: list[np.ndarray], terms: list[np.ndarray], settings: Settings) -> list[tuple[int, int, int, int, int]]:

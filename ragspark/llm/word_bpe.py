@@ -65,7 +65,7 @@ class WordBpe:
         """Each word's ids, None for words of other signs; `signs(text)` gives the ids of a run of signs. Equal letters are merged once."""
         known: dict[str, list[int]] = {}
         marks: dict[str, list[int]] = {"": []}
-        fits, piece, table = WORD.fullmatch, self.engine._encode_single_piece, bytes(self.table)
+        fits, piece, last = WORD.fullmatch, self.engine._core_bpe.encode_single_piece, [bytes([b]) for b in self.table]
         out: list[list[int] | None] = []
         for w in words:
             m = fits(w) or fits(w.lower())
@@ -76,7 +76,7 @@ class WordBpe:
             ids = known.get(letters)
             if ids is None:
                 spelt = letters.encode()
-                ids = known[letters] = piece(spelt[:-1] + table[spelt[-1] : spelt[-1] + 1])
+                ids = known[letters] = piece(spelt[:-1] + last[spelt[-1]])
             if mark:
                 if mark not in marks:
                     marks[mark] = signs(mark)

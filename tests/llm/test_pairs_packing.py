@@ -449,3 +449,24 @@ def test_bm25_order():
 
     want = sorted((d for d in (1, 2, 4)), key=lambda d: -bm25(d))
     assert index.neighbours(0, unused).tolist() == want
+
+
+def test_index_of_rows_and_lists_shrinks_with_its_documents(monkeypatch):
+    """An index summed all postings for each seed, also those of documents that were used: rows, lists and their mixtures rank alike."""
+    import numpy as np
+
+    from ragspark.llm import packing
+
+    rng = np.random.default_rng(4)
+    terms = [rng.zipf(1.3, n).clip(max=400).astype(np.uint32) for n in rng.integers(0, 90, 120)]
+    lengths = np.asarray([len(t) * 2 + 1 for t in terms])
+    seeds, found = rng.permutation(120), {}
+    for dense in (0, 2, 8, 10**6):  # no rows, rows of what most have, a mixture, rows alone
+        monkeypatch.setattr(packing, "DENSE", dense)
+        index, unused = packing.Index(terms, lengths, packing.Settings()), np.ones(120, bool)
+        cells = index.dense.size + len(index.docs)
+        for seed in seeds:
+            unused[seed] = False
+            found.setdefault(int(seed), []).append(index.neighbours(int(seed), unused).tolist())
+        assert (dense == 0) == (not (index.row >= 0).any()) and index.dense.size + len(index.docs) < cells / 8
+    assert all(all(x == lists[0] for x in lists) for lists in found.values()) and max(len(x[0]) for x in found.values()) > 100
