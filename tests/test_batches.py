@@ -5,6 +5,7 @@ import pytest
 
 from ragspark.operators import evaluation, retrieval
 from ragspark.plans import reference_queries
+from ragspark.plans.derived import Tables
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +85,22 @@ def test_ablation_query_is_whole(spark, sf_dir):
     assert [r.keep for r in rows] == [0.8, 0.6, 0.4, 0.2] and all(r.std > 0 for r in rows)
 
 
+def test_ablation_query_asks_for_all_vectors(spark, sf_dir):
+    """Shares came from every twentieth vector's neighbours."""
+    rows = Tables(spark, sf_dir).chunks.select("chunk_id", "embedding").orderBy("chunk_id").collect()
+    ids, x = np.asarray([r.chunk_id for r in rows]), np.asarray([r.embedding for r in rows], float)
+
+    def nearest(v):
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        s = np.round(v @ v.T, 6)
+        return {(q, int(c)) for q in range(len(v)) for c in [c for c in np.lexsort((ids, -s[q])) if c != q][:10]}
+
+    whole = nearest(x)
+    for r in reference_queries.queries()["ablation_overlap"](spark, sf_dir).collect():
+        shares = [len(whole & nearest(x[:, evaluation.kept_dimensions(r.keep, t)])) / len(whole) for t in range(6)]
+        assert r.mean == pytest.approx(np.mean(shares)) and r.std == pytest.approx(np.std(shares))
+
+
 def test_probes_are_handed_on_in_parts(spark, tmp_path, monkeypatch):
     """A batch of queries times its lists was one batch of their vectors."""
     import numpy as np
