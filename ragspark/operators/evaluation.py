@@ -209,23 +209,62 @@ def ablations(vectors: DataFrame, keeps: Sequence[float], trials: int = 6, k: in
     """For each share of dimensions how much of the k nearest stays when the others go.
 
     The vectors whose id divides by `every` are asked for, among all vectors. All dimensions and each
-    trial's are searched in one pass; what that finds is stored, and only counts come to the driver.
+    trial's are searched in one pass. Of many vectors each task counts what its own keep; of up to
+    FEW_ASKED what is found is stored. Only counts come to the driver.
     """
-    from .retrieval import self_neighbours
-
     parts = [list(range(dim)), *(kept_dimensions(keep, t, dim) for keep in keeps for t in range(trials))]
-    place = f"{own_folder(vectors.sparkSession, 'ablation')}/found"
-    v = vectors.filter(F.size("embedding") == dim)
-    self_neighbours(v, k, every=every, parts=parts).select("part", "query_id", "chunk_id").write.parquet(place)
-    found = vectors.sparkSession.read.schema("part int, query_id long, chunk_id long").parquet(place)
-    whole = found.filter("part = 0").drop("part")
-    kept = {r.part: r.n for r in found.filter("part > 0").join(whole, ["query_id", "chunk_id"], "left_semi").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = max(1, whole.count())
+    v = vectors.filter(F.size("embedding") == dim).select("chunk_id", "embedding")
+    asked = v.filter(F.col("chunk_id") % every == 0)
+    kept = (_kept_of_many if asked.limit(FEW_ASKED + 1).count() > FEW_ASKED else _kept_of_few)(v, every, k, parts)
+    n = max(1, kept.get(0, 0))
     shares = [kept.get(i, 0) / n for i in range(1, len(parts))]
     by_keep = [shares[i * trials : (i + 1) * trials] for i in range(len(keeps))]
     return [{"keep": keep, "mean": float(np.mean(s)), "std": float(np.std(s))} for keep, s in zip(keeps, by_keep, strict=True)]
 
 
+#: Vectors that are asked for by a broadcast.
+FEW_ASKED = 500
+
+
+def _kept_of_few(v: DataFrame, every: int, k: int, parts: list[list[int]]) -> dict[int, int]:
+    """How many of the k nearest others by part 0 are also among those by each part."""
+    from .retrieval import self_neighbours
+
+    place = f"{own_folder(v.sparkSession, 'ablation')}/found"
+    self_neighbours(v, k, every=every, parts=parts).select("part", "query_id", "chunk_id").write.parquet(place)
+    found = v.sparkSession.read.schema("part int, query_id long, chunk_id long").parquet(place)
+    whole = found.filter("part = 0").drop("part")
+    return {r.part: r.n for r in found.join(whole, ["query_id", "chunk_id"], "left_semi").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _kept_of_many(v: DataFrame, every: int, k: int, parts: list[list[int]]) -> dict[int, int]:
+    """_kept_of_few of any number: counted where a block of queries is searched, so nothing that is found is shuffled or stored."""
+    from .retrieval import blocks_of_parts
+
+    queries = v.filter(F.col("chunk_id") % every == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    counts = blocks_of_parts(v, queries, k + 1, parts, lambda found: kept_by_part(found, k), "part int, n long", len(parts[0]))
+    return {r.part: r.n for r in counts.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+
+
+def kept_by_part(found: list, k: int):
+    """part, n: of some queries' k + 1 best by each part (query_id, chunk_id, similarity), how many of the k others by part 0 are also among those by the part."""
+    import pyarrow as pa
+
+    from .retrieval import best_places
+
+    pairs = []
+    for b in found:
+        q, c, s = (x.to_numpy() for x in b.columns)
+        first = best_places(q, c, s, k + 1)
+        q, c, s = (x[first[q[first] != c[first]]] for x in (q, c, s))
+        others = best_places(q, c, s, k)
+        pairs.append((q[others], c[others]))
+    q, c = (np.unique(np.concatenate(x), return_inverse=True) for x in zip(*pairs, strict=True))
+    keys = np.split(q[1] * len(c[0]) + c[1], np.cumsum([len(p[0]) for p in pairs])[:-1])
+    n = [int(np.isin(x, keys[0]).sum()) for x in keys]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(n)), pa.int32()), pa.array(n, pa.int64())], names=["part", "n"])
+
+
 def ablation(vectors: DataFrame, keep: float, trials: int = 6, k: int = 10, dim: int = 64, every: int = 20) -> dict:
     """ablations() of one share."""
     return ablations(vectors, [keep], trials, k, dim, every)[0]

@@ -101,6 +101,21 @@ def test_ablation_query_asks_for_all_vectors(spark, sf_dir):
         assert r.mean == pytest.approx(np.mean(shares)) and r.std == pytest.approx(np.std(shares))
 
 
+@pytest.mark.parametrize("rows", [16, 4096])
+def test_many_ablations_are_counted_by_blocks(spark, vectors, monkeypatch, rows):
+    """All that was found, 275 rows a vector, was shuffled and stored. Copies, null, zero and other vectors beside."""
+    odd = [(100, None), (101, [0.0] * 64), (102, [1.0]), (103, [float("nan")] * 64), (104, [None] * 64)]
+    v = vectors.union(vectors.filter("chunk_id < 30").selectExpr("chunk_id + 200", "embedding")).union(spark.createDataFrame(odd, vectors.schema))
+    v = v.union(vectors.filter("chunk_id < 1").selectExpr("explode(sequence(300, 315)) as chunk_id", "embedding"))
+    want = evaluation.ablations(v, (0.6, 0.1), 2, every=1)
+    monkeypatch.setattr(evaluation, "FEW_ASKED", 20)
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 16)
+    monkeypatch.setattr(retrieval.blocks_of_parts, "__defaults__", (rows,))
+    monkeypatch.setattr(retrieval, "batch_nearest", None)
+    assert evaluation.ablations(v, (0.6, 0.1), 2, every=1) == want and want[1]["std"] > 0
+    assert evaluation.ablations(v, (0.6, 0.1), 2, every=3) != want
+
+
 def test_probes_are_handed_on_in_parts(spark, tmp_path, monkeypatch):
     """A batch of queries times its lists was one batch of their vectors."""
     import numpy as np
